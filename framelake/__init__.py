@@ -9,7 +9,7 @@ from .operators.metrics import EvalResult, evaluate_predictions
 from .operators.submission import ValidationReport, validate, write_submission
 from .operators.synthetic import make_synthetic_cache
 from .session import build_session
-from .sources.runs import log_run
+from .sources.runs import log_run, read_experiments, read_runs, track
 from .sources.vector_cache import EmbeddingSet, embeddings, list_available, save_embedding_set
 
 __version__ = "0.1.0"
@@ -29,7 +29,10 @@ __all__ = [
     "log_run",
     "make_head",
     "make_synthetic_cache",
+    "read_experiments",
+    "read_runs",
     "save_embedding_set",
+    "track",
     "validate",
     "write_submission",
 ]

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 #: Spellings of a number in a matrix file; Spark's own cast also takes ``1d`` and ``0x1p3``.
 NUMBER_PATTERN = r"(?i)^[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity|nan)$"
 
-_EDGE_SPACE = r"^\s+|\s+$"
+#: What counts as white space at the ends of a line, the same set as the pattern ``\\s``.
+WHITE_SPACE = " \t\n\r\x0b\x0c"
 _LARGEST = float(2**63)
 
 
 def strip(text: Column) -> Column:
     """Cut white space of any kind off both ends."""
-    return F.regexp_replace(text, _EDGE_SPACE, "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def uncomment(line: Column) -> Column:

@@ -34,10 +34,12 @@ def _partial_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def gram_rows(rows: DataFrame, values: str) -> DataFrame:
     """(i, products ARRAY<DOUBLE>): row i of X'X for an array column of equal widths.
 
-    Each task multiplies its rows block by block; the partial matrices are added row by row with
-    a vector sum that also combines before the shuffle.
+    Each task multiplies its rows block by block, and the partial matrices are added row by row.
+    Partitions are merged down to two per core without a shuffle, so what is shuffled grows with
+    the cluster and not with the data.
     """
     wide = rows.select(F.col(values).cast("array<double>").alias("x"))
+    wide = wide.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
     partial = wide.mapInArrow(_partial_products, "i int, products array<double>")
     summed = partial.groupBy("i").agg(Summarizer.sum(array_to_vector("products")).alias("s"))
     return summed.select("i", vector_to_array("s").alias("products"))

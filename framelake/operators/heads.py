@@ -7,12 +7,12 @@ estimators. Labels of any numbering are mapped to 0..K-1 for fitting and back fo
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import vector_to_array
@@ -99,25 +99,24 @@ class HeadModel:
         )
 
 
-def _matrix(series: pd.Series) -> np.ndarray:
-    return np.stack(series.to_numpy()).astype(np.float64)
+def _product(x: pa.Array, weights: np.ndarray) -> np.ndarray:
+    """x W + b for a list column of equal widths; the last row of ``weights`` is b."""
+    block = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+    return block @ weights[:-1] + weights[-1]
 
 
 def _linear_scores(weights: np.ndarray) -> Callable[..., Column]:
-    """Scores x W + b for Arrow batches; the last row of ``weights`` is the intercept."""
-
-    @F.pandas_udf("array<double>")
-    def scores(x: pd.Series) -> pd.Series:
-        return pd.Series(list(_matrix(x) @ weights[:-1] + weights[-1]))
+    @F.arrow_udf("array<double>")
+    def scores(x: pa.Array) -> pa.Array:
+        return pa.array(list(_product(x, weights)), pa.list_(pa.float64()))
 
     return scores
 
 
 def _linear_index(weights: np.ndarray) -> Callable[..., Column]:
-    @F.pandas_udf("int")
-    def index(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for x in batches:
-            yield pd.Series((_matrix(x) @ weights[:-1] + weights[-1]).argmax(axis=1))
+    @F.arrow_udf("int")
+    def index(x: pa.Array) -> pa.Array:
+        return pa.array(_product(x, weights).argmax(axis=1), pa.int32())
 
     return index
 

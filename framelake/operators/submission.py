@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import CLASSES, EXPECTED_COLS, EXPECTED_ROWS
-from ..functions.text import as_label, is_whole, to_number, tokens, uncomment
+from ..functions.text import as_label, is_whole, to_number, uncomment
 from ..sources.matrix import read_matrix_lines, write_matrix
 
 #: Stray labels listed inside a message; the full list is what :func:`label_table` returns.
@@ -20,23 +20,35 @@ LISTED_LABELS = 100
 def line_profiles(lines: DataFrame, value: str = "value") -> DataFrame:
     """Lines grouped by what matters to the checks, with the number of lines of each kind.
 
-    A line usually repeats one class, so it is reduced to its distinct tokens before a number is
-    parsed, and equal lines merge before the shuffle: a valid matrix leaves one row per class.
+    A line usually repeats one class. Such a line equals its first token repeated, which one
+    string comparison shows, and stands for ``copies`` tokens without being split. Other lines
+    are split and reduced to their distinct tokens before numbers are parsed. Equal profiles
+    merge before the shuffle: a valid matrix leaves one row per class.
     """
-    cells = lines.where(uncomment(F.col(value)) != "").select(tokens(F.col(value)).alias("tokens"))
-    distinct = cells.select("tokens", F.array_distinct("tokens").alias("uniq")).select(
-        "tokens", F.transform("uniq", to_number).alias("nums")
+    line, head, copies = F.col("line"), F.col("head"), F.col("copies")
+    cut = (
+        lines.select(uncomment(F.col(value)).alias("line"))
+        .where(line != "")
+        .withColumn("head", F.substring_index(line, " ", 1))
+        .withColumn("copies", ((F.length(line) + 1) / (F.length(head) + 1)).cast("int"))
     )
-    any_nan = F.exists("nums", lambda x: F.coalesce(F.isnan(x), F.lit(False)))
-    any_text = F.exists("nums", lambda x: x.isNull())
-    profile = distinct.select(
-        F.size("tokens").alias("n_cols"),
-        F.when(any_nan, F.size(F.filter("tokens", lambda t: F.isnan(to_number(t)))))
-        .otherwise(0)
-        .alias("n_nans"),
-        F.when(any_text, F.size(F.filter("tokens", lambda t: to_number(t).isNull())))
-        .otherwise(0)
-        .alias("n_text"),
+    repeated = F.concat(F.repeat(F.concat(head, F.lit(" ")), copies - 1), head)
+    uniform = (line == repeated) & ~head.rlike(r"\s")
+    split = F.split(line, r"\s+")
+    cells = cut.select(
+        F.when(uniform, copies).otherwise(1).alias("copies"),
+        F.when(uniform, F.array(head)).otherwise(split).alias("tokens"),
+    )
+    parsed = cells.withColumn("nums", F.transform(F.array_distinct("tokens"), to_number))
+
+    def tally(test, present):
+        found = F.size(F.filter("tokens", lambda t: test(to_number(t))))
+        return F.when(F.exists("nums", present), found * copies).otherwise(0)
+
+    profile = parsed.select(
+        (F.size("tokens") * copies).alias("n_cols"),
+        tally(F.isnan, lambda x: F.coalesce(F.isnan(x), F.lit(False))).alias("n_nans"),
+        tally(F.isnull, F.isnull).alias("n_text"),
         F.exists("nums", lambda x: x.isNotNull() & ~is_whole(x)).alias("fractional"),
         F.array_sort(
             F.array_distinct(F.filter(F.transform("nums", as_label), lambda x: x.isNotNull()))
@@ -49,8 +61,10 @@ def line_profiles(lines: DataFrame, value: str = "value") -> DataFrame:
 
 def label_table(profiles: DataFrame) -> DataFrame:
     """(label, n_lines): every label that occurs, as a distributed table."""
+    # The outer form keeps the profiles unfiltered, so the report reuses their one shuffle.
     return (
-        profiles.select(F.explode("labels").alias("label"), "n_lines")
+        profiles.select(F.explode_outer("labels").alias("label"), "n_lines")
+        .where(F.col("label").isNotNull())
         .groupBy("label")
         .agg(F.sum("n_lines").alias("n_lines"))
     )
@@ -118,7 +132,7 @@ def validation_report(
             F.array_join(F.col("stray").cast("array<string>"), ", "),
             F.when(
                 F.col("n_stray") > LISTED_LABELS,
-                F.format_string(f" and %d more", F.col("n_stray") - LISTED_LABELS),
+                F.format_string(" and %d more", F.col("n_stray") - LISTED_LABELS),
             ).otherwise(""),
         ),
     )
@@ -201,7 +215,7 @@ def write_submission(
         raise ValueError(
             f"predictions hold {facts['empty']} empty and {facts['fractional']} non-integer values"
         )
-    write_matrix(predictions, out, n_cols)
+    write_matrix(predictions, out, n_cols, facts["n"])
     spark = predictions.sparkSession
     if validate_after:
         return validate(spark, out, expected_rows=expected_rows, expected_cols=expected_cols)

@@ -68,10 +68,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Measure a lookup table, reading at most ``rows + 1`` rows of it."""
-    bytes_per_row = F.octet_length(F.to_json(F.struct(*df.columns)))
-    seen = df.limit(rows + 1).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(bytes_per_row).alias("b")
+    """Measure a lookup table with one aggregate; no limit, which would gather rows in one task."""
+    seen = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("b"),
     ).first()
     return seen["n"] <= rows and (seen["b"] or 0) <= size
 

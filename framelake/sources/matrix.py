@@ -32,15 +32,27 @@ def sample_rows(predictions: DataFrame, n_cols: int = EXPECTED_COLS) -> DataFram
     return predictions.select("frame_idx", F.posexplode(cells).alias("sample", "y_pred"))
 
 
-def write_matrix(predictions: DataFrame, out: str, n_cols: int = EXPECTED_COLS) -> None:
+def output_tasks(spark: SparkSession, n_rows: int, n_cols: int) -> int:
+    """Number of part files: 128 MiB of text each, smaller ones while cores would be idle."""
+    size = 2 * n_rows * n_cols
+    return max(1, size >> 27, min(spark.sparkContext.defaultParallelism, size >> 23))
+
+
+def write_matrix(
+    predictions: DataFrame, out: str, n_cols: int = EXPECTED_COLS, n_rows: int | None = None
+) -> None:
     """Write the matrix as text; part files in name order are in frame order.
 
     Frames are range-partitioned before the lines are built, so the shuffle moves two numbers
-    per frame and not 500.
+    per frame and not 500. The number of tasks follows the size of the text, which adaptive
+    execution cannot see from those two numbers.
     """
+    if n_rows is None:
+        n_rows = predictions.count()
+    tasks = output_tasks(predictions.sparkSession, n_rows, n_cols)
     ordered = (
         predictions.select("frame_idx", "y_pred")
-        .repartitionByRange("frame_idx")
+        .repartitionByRange(tasks, "frame_idx")
         .sortWithinPartitions("frame_idx")
     )
     frame_lines(ordered, n_cols).select("value").write.mode("overwrite").text(out)
