@@ -50,7 +50,8 @@ def embed_frames(
 ) -> DataFrame:
     """Run a frozen model over frames, batch by batch on the executors.
 
-    ``load`` opens the model once per task from a pinned place that executors can reach. A result
+    ``load`` opens the model once per task that has frames, from a pinned place that executors
+    can reach. A result
     with patches is mean-pooled over them. A missing channel enters as zeros.
     """
     names = list(channels)
@@ -58,8 +59,9 @@ def embed_frames(
     schema = ", ".join(f"`{c}` {frames.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load()
+        model = None
         for batch in batches:
+            model = model or load()
             for start in range(0, batch.num_rows, batch_rows):
                 part = batch.slice(start, batch_rows)
                 vectors = np.asarray(model(_stack(part, names)), dtype=np.float32)

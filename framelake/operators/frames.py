@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CHANNELS, FRAMES_PER_FILE, LABEL_CHANNEL, SAMPLES_PER_FRAME
-from ..functions.vectors import array_mode, standardise
+from ..functions.vectors import array_mean, array_mode, array_std, standardise
+from ..schemas import FRAME_SCHEMA
 
 FRAME_KEYS = ("split", "location", "frame_idx")
 SHARD_KEYS = ("split", "location")
@@ -33,8 +34,9 @@ def assemble_frames(
 
 def write_frames(frames: DataFrame, root: str) -> None:
     """Write frames partitioned by split and location; large slices use many tasks."""
+    typed = frames.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in FRAME_SCHEMA])
     (
-        frames.hint("rebalance", *[F.col(k) for k in SHARD_KEYS])
+        typed.hint("rebalance", *[F.col(k) for k in SHARD_KEYS])
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*SHARD_KEYS)
@@ -183,8 +185,6 @@ def normalise(
 ) -> DataFrame:
     """Per-channel z-score, fitted on the train split or inside every frame (``scope="frame"``)."""
     if scope == "frame":
-        from ..functions.vectors import array_mean, array_std
-
         means = frames.withColumns({f"{c}_mean": array_mean(F.col(c)) for c in channels})
         stds = means.withColumns(
             {f"{c}_std": array_std(F.col(c), F.col(f"{c}_mean")) for c in channels}
