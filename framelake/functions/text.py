@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Spellings of a number in a matrix file; Spark's own cast also takes ``1d`` and ``0x1p3``.
-NUMBER_PATTERN = r"(?i)^[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity|nan)$"
+#: Characters of an ordinary number. Spark's own cast also takes ``1d`` and ``0x1p3``.
+_DIGITS = r"^[-+.0-9eE]+$"
+_SPECIAL = ("inf", "infinity", "nan")
 
 #: What counts as white space at the ends of a line, the same set as the pattern ``\\s``.
 WHITE_SPACE = " \t\n\r\x0b\x0c"
@@ -23,15 +24,31 @@ def uncomment(line: Column) -> Column:
     return strip(F.substring_index(line, "#", 1))
 
 
+def split_words(text: Column) -> Column:
+    """Split stripped text on white space.
+
+    Most lines have single blanks only, which plain substring searches show; those are split
+    without a pattern, several times faster.
+    """
+    odd = F.contains(text, F.lit("  "))
+    for mark in WHITE_SPACE.replace(" ", ""):
+        odd = odd | F.contains(text, F.lit(mark))
+    return F.when(odd, F.split(text, r"\s+")).otherwise(F.split(text, " "))
+
+
 def tokens(line: Column) -> Column:
     """Split an uncommented line on white space."""
-    return F.split(uncomment(line), r"\s+")
+    return split_words(uncomment(line))
 
 
 def to_number(token: Column) -> Column:
     """Parse one token; NULL when it is not a number."""
-    plain = F.regexp_replace(F.lower(token), "^[+]", "")
-    return F.when(token.rlike(NUMBER_PATTERN), plain.try_cast("double"))
+    word = F.lower(token)
+    named = F.when(word.isin(*_SPECIAL, *[sign + w for w in _SPECIAL for sign in "+-"]), word)
+    special = F.when(F.endswith(named, F.lit("nan")), F.lit(float("nan"))).otherwise(
+        named.try_cast("double")
+    )
+    return F.when(token.rlike(_DIGITS), token.try_cast("double")).otherwise(special)
 
 
 def is_whole(value: Column) -> Column:

@@ -8,32 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def standardise(values: Column, mean: Column, std: Column) -> Column:
-    """(x - mean) / std for every sample; a constant channel becomes 0."""
-    return F.transform(
-        values, lambda x: F.when(std == 0, F.lit(0.0)).otherwise((x.cast("double") - mean) / std)
-    )
-
-
 def add(left: Column, right: Column) -> Column:
     return F.zip_with(left, right, lambda a, b: a + b)
 
 
-def array_mean(values: Column) -> Column:
-    total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
-    return F.when(F.size(values) > 0, total / F.size(values))
-
-
-def array_std(values: Column, mean: Column) -> Column:
-    """Population standard deviation around a mean computed beforehand."""
-    squares = F.aggregate(
-        values,
-        F.lit(0.0),
-        lambda acc, x: acc + (x.cast("double") - mean) * (x.cast("double") - mean),
-    )
-    return F.when(F.size(values) > 0, F.sqrt(squares / F.size(values)))
-
-
 def array_mode(values: Column) -> Column:
     """Most frequent element, the smallest one on a tie."""
     ranked = F.transform(

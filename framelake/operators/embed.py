@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CHANNELS
-from ..functions.vectors import array_mean, array_std
+from ..functions.samples import summary
 
 #: (frames, channels, samples) float32 -> (frames, dim) or (frames, patches, dim).
 Embedder = Callable[[np.ndarray], np.ndarray]
@@ -20,13 +20,7 @@ Embedder = Callable[[np.ndarray], np.ndarray]
 def embed_statistics(frames: DataFrame, channels: Sequence[str] = CHANNELS) -> DataFrame:
     """Built-in embedder without weights: mean, deviation, minimum, maximum per channel."""
     keep = [c for c in frames.columns if c not in channels]
-    means = frames.withColumns({f"{c}_mean": array_mean(F.col(c)) for c in channels})
-    parts = []
-    for c in channels:
-        mean = F.col(f"{c}_mean")
-        parts += [mean, array_std(F.col(c), mean), F.array_min(c), F.array_max(c)]
-    features = F.array(*[F.coalesce(p.cast("float"), F.lit(0.0).cast("float")) for p in parts])
-    return means.select(*keep, features.alias("features"))
+    return frames.select(*keep, F.concat(*[summary(F.col(c)) for c in channels]).alias("features"))
 
 
 def _stack(batch: pa.RecordBatch, channels: Sequence[str]) -> np.ndarray:

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CHANNELS, FRAMES_PER_FILE, LABEL_CHANNEL, SAMPLES_PER_FRAME
-from ..functions.vectors import array_mean, array_mode, array_std, standardise
+from ..functions.samples import standardise, standardise_within
+from ..functions.vectors import array_mode
 from ..schemas import FRAME_SCHEMA
 
 FRAME_KEYS = ("split", "location", "frame_idx")
 SHARD_KEYS = ("split", "location")
+_RARE = 3.4028234663852886e38  # largest float
 
 
 def assemble_frames(
@@ -47,11 +49,20 @@ def write_frames(frames: DataFrame, root: str) -> None:
 def shape_table(raw: DataFrame, by: Sequence[str] = ("split", "location", "channel")) -> DataFrame:
     """(by, n_frames, min_len, max_len, n_empty) per raw file."""
     length = F.coalesce(F.size("samples"), F.lit(0))
+    # A search for a value that is not there answers NULL when the array holds a NULL: a plain
+    # loop instead of a lambda per sample. Only a line that does hold the value is looked through.
+    found = F.array_contains("samples", F.lit(_RARE).cast("float"))
+    unreadable = (
+        F.when(F.col("samples").isNull(), False)
+        .when(found.isNull(), True)
+        .when(found, F.exists("samples", lambda x: x.isNull()))
+        .otherwise(False)
+    )
     return raw.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_frames"),
         F.min(length).alias("min_len"),
         F.max(length).alias("max_len"),
-        F.count_if(F.exists("samples", lambda x: x.isNull())).alias("n_unreadable"),
+        F.count_if(unreadable).alias("n_unreadable"),
     )
 
 
@@ -185,13 +196,7 @@ def normalise(
 ) -> DataFrame:
     """Per-channel z-score, fitted on the train split or inside every frame (``scope="frame"``)."""
     if scope == "frame":
-        means = frames.withColumns({f"{c}_mean": array_mean(F.col(c)) for c in channels})
-        stds = means.withColumns(
-            {f"{c}_std": array_std(F.col(c), F.col(f"{c}_mean")) for c in channels}
-        )
-        return stds.withColumns(
-            {c: standardise(F.col(c), F.col(f"{c}_mean"), F.col(f"{c}_std")) for c in channels}
-        ).select(*frames.columns)
+        return frames.withColumns({c: standardise_within(F.col(c)) for c in channels})
     if scope != "train":
         raise ValueError(f"unknown scope {scope!r}; expected 'train' or 'frame'")
     return zscore(frames, channel_stats(frames.where(F.col("split") == "train"), channels), channels)

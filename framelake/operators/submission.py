@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import CLASSES, EXPECTED_COLS, EXPECTED_ROWS
-from ..functions.text import as_label, is_whole, to_number, uncomment
+from ..functions.text import as_label, is_whole, split_words, to_number, uncomment
 from ..sources.matrix import read_matrix_lines, write_matrix
 
 #: Stray labels listed inside a message; the full list is what :func:`label_table` returns.
@@ -34,10 +34,9 @@ def line_profiles(lines: DataFrame, value: str = "value") -> DataFrame:
     )
     repeated = F.concat(F.repeat(F.concat(head, F.lit(" ")), copies - 1), head)
     uniform = (line == repeated) & ~head.rlike(r"\s")
-    split = F.split(line, r"\s+")
     cells = cut.select(
         F.when(uniform, copies).otherwise(1).alias("copies"),
-        F.when(uniform, F.array(head)).otherwise(split).alias("tokens"),
+        F.when(uniform, F.array(head)).otherwise(split_words(line)).alias("tokens"),
     )
     parsed = cells.withColumn("nums", F.transform(F.array_distinct("tokens"), to_number))
 

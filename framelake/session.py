@@ -25,6 +25,8 @@ def build_session(app: str = "framelake", master: str | None = None, **conf: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # A frame of nine channels is 18 kB: batches of this size stay below 20 MB.
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     )
     if master:
         builder = builder.master(master)

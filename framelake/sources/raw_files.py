@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import strip, tokens, uncomment
+from ..functions.text import split_words, uncomment
 from ..session import lookup_join, materialise
 
 #: ``<split>/<location>/<channel>.txt``, either one file or a folder of ordered part files.
@@ -52,18 +52,18 @@ def read_lines(spark: SparkSession, root: str, layout: str = PLAIN_LAYOUT) -> Da
         .option("pathGlobFilter", "*.txt")
         .text(root)
         .select(
-            "value",
+            uncomment(F.col("value")).alias("line"),
             F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_block_start").alias("block"),
         )
-        .where(strip(uncomment(F.col("value"))) != "")
+        .where(F.col("line") != "")
     )
     keyed = text.select(
         *[F.regexp_extract("path", layout, i + 1).alias(k) for i, k in enumerate(KEYS)],
         F.regexp_extract("path", r"[^/]+$", 0).alias("file"),
         "block",
         F.monotonically_increasing_id().alias("line_id"),
-        F.transform(tokens(F.col("value")), lambda t: t.try_cast("float")).alias("samples"),
+        split_words(F.col("line")).try_cast("array<float>").alias("samples"),
     )
     return materialise(keyed, "raw-lines")
 

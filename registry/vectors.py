@@ -142,10 +142,15 @@ def q_gram_matrix(spark, sf):
     return gram_matrix(emb(spark, sf)).withColumn("value", F.round("value", 6))
 
 
+def _rounded(table):
+    digits = {c: F.round(c, 9) for c in ("macro_f1", "accuracy")}
+    return table.withColumns(digits).drop("per_class_f1", "n_unlabelled")
+
+
 def _scores(spark, sf, name, **params):
     model = make_head(name, seed=0, **params).fit(_train(spark, sf))
     pairs = predicted_pairs(model, _held(spark, sf))
-    table = score(pairs.select("y_true", "y_pred"))
+    table = _rounded(score(pairs.select("y_true", "y_pred")))
     return table.select(F.lit(name).alias("head"), "macro_f1", "accuracy", "n")
 
 
@@ -169,14 +174,14 @@ def predict_frames(spark, sf):
 
 def evaluate_head(spark, sf):
     model = make_head("linear").fit(_train(spark, sf))
-    return evaluate_by(model, _held(spark, sf), ["location"]).drop("per_class_f1", "n_unlabelled")
+    return _rounded(evaluate_by(model, _held(spark, sf), ["location"]))
 
 
 def head_per_location(spark, sf):
     """One head per location against the validation frames of the same location."""
     models = fit_per_group(_train(spark, sf), make_head("linear"), "location", TRAIN_LOCATIONS)
     pairs = predict_per_group(_held(spark, sf), models, "location").withColumnRenamed("y", "y_true")
-    return score(pairs, by=["location"]).drop("per_class_f1", "n_unlabelled")
+    return _rounded(score(pairs, by=["location"]))
 
 
 def head_pca(spark, sf):
@@ -191,7 +196,7 @@ def head_pca(spark, sf):
 
     model = make_head("linear").fit(reduced(_train(spark, sf)))
     pairs = predicted_pairs(model, reduced(_held(spark, sf)))
-    return score(pairs.select("y_true", "y_pred")).drop("per_class_f1", "n_unlabelled")
+    return _rounded(score(pairs.select("y_true", "y_pred")))
 
 
 def fused_features(spark, sf):
@@ -254,7 +259,72 @@ LONG_SQL = """long AS (
   SELECT split, location, frame_idx, y, CAST(unnest(features) AS DOUBLE) AS v,
          CAST(generate_subscripts(features, 1) - 1 AS INTEGER) AS dim FROM emb)"""
 
+# Ridge regression in SQL: standardise, build X'X + I and X'Y, eliminate column by column, predict.
+# ``g`` is the group that gets a head of its own (a constant for a single head).
+
+
+def ridge_sql(group: str, select: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join([EMB, LONG_SQL]) + f""",
+grouped AS (SELECT *, {group} AS g FROM long),
+stats AS (
+  SELECT g, dim, avg(v) AS m, stddev_pop(v) AS s FROM grouped WHERE split = 'train' GROUP BY g, dim),
+scaled AS (
+  SELECT g, split, location, frame_idx, y, dim, CASE WHEN s = 0 THEN 0 ELSE (v - m) / s END AS z
+  FROM grouped JOIN stats USING (g, dim)),
+train AS (SELECT * FROM scaled WHERE split = 'train'),
+classes AS (SELECT DISTINCT g, y AS c FROM train),
+system AS (
+  SELECT a.g, a.dim AS i, b.dim AS j, sum(a.z * b.z) + CASE WHEN a.dim = b.dim THEN 1 ELSE 0 END AS v
+  FROM train a JOIN train b USING (frame_idx) GROUP BY a.g, a.dim, b.dim
+  UNION ALL
+  SELECT g, dim, 63 + c, sum(z * CASE WHEN y = c THEN 1 ELSE -1 END)
+  FROM train JOIN classes USING (g) GROUP BY g, dim, c),
+solved AS (
+  SELECT 0 AS step, g, i, j, v FROM system
+  UNION ALL
+  SELECT m.step + 1, m.g, m.i, m.j,
+         CASE WHEN m.i = m.step THEN m.v / p.v ELSE m.v - f.v * r.v / p.v END
+  FROM solved m
+  JOIN solved p ON p.g = m.g AND p.i = m.step AND p.j = m.step
+  JOIN solved r ON r.g = m.g AND r.i = m.step AND r.j = m.j
+  JOIN solved f ON f.g = m.g AND f.i = m.i AND f.j = m.step
+  WHERE m.step < 64),
+weights AS (SELECT g, i AS dim, j - 63 AS c, v AS w FROM solved WHERE step = 64 AND j > 63),
+bias AS (
+  SELECT g, c, avg(CASE WHEN y = c THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS b
+  FROM (SELECT DISTINCT g, frame_idx, y FROM train) JOIN classes USING (g) GROUP BY g, c),
+scored AS (
+  SELECT split, location, frame_idx, y, c, sum(z * w) + any_value(b) AS score
+  FROM scaled JOIN weights USING (g, dim) JOIN bias USING (g, c) GROUP BY ALL),
+predicted AS (
+  SELECT split, location, frame_idx, y AS y_true, CAST(arg_max(c, score) AS INTEGER) AS y_pred
+  FROM scored GROUP BY ALL),
+held AS (SELECT * FROM predicted WHERE split = 'validation'),
+counts AS (
+  SELECT {{keys}}c, count(*) FILTER (y_true = c AND y_pred = c) AS tp,
+         count(*) FILTER (y_true = c) + count(*) FILTER (y_pred = c) AS seen
+  FROM held, range(1, 9) AS r(c) GROUP BY {{keys}}c),
+macro AS (
+  SELECT {{keys}}avg(CASE WHEN seen = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * tp / seen END) AS macro_f1
+  FROM counts {{by}}),
+total AS (
+  SELECT {{keys}}avg(CASE WHEN y_true = y_pred THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS accuracy,
+         count(*) AS n FROM held {{by}})
+""".format(
+        keys="location, " if "location" in select else "",
+        by="GROUP BY location" if "location" in select else "",
+    ) + select
+
+
+SCORES = "round(macro_f1, 9) AS macro_f1, round(accuracy, 9) AS accuracy, n"
+
 ORACLES = {
+    "head_linear": ridge_sql("0", f"SELECT 'linear' AS head, {SCORES} FROM macro, total"),
+    "predict_frames": ridge_sql("0", "SELECT frame_idx, y_pred FROM predicted WHERE split = 'test'"),
+    "evaluate_head": ridge_sql("0", f"SELECT location, {SCORES} FROM macro JOIN total USING (location)"),
+    "head_per_location": ridge_sql(
+        "location", f"SELECT location, {SCORES} FROM macro JOIN total USING (location)"
+    ),
     "emb_scan": with_cte(EMB, LONG_SQL, select="""
 SELECT frame_idx, y, dim, v AS value FROM long WHERE split = 'train' AND location = 'Bag'"""),
     "emb_scan_location": with_cte(EMB, select=f"""
