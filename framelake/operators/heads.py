@@ -1,7 +1,9 @@
-"""Classifier heads on frozen vectors: scaler, then a small trainable model.
+"""Classifier heads on frozen vectors: standardised features, then a small trainable model.
 
 ``linear`` solves the ridge problem from one Gram pass, ``logreg`` and ``mlp`` are Spark ML
 estimators. Labels of any numbering are mapped to 0..K-1 for fitting and back for predictions.
+No head stores a scaled copy of the training set unless it passes over it many times: ``linear``
+scales inside its one pass and ``logreg`` lets the estimator standardise.
 """
 
 from __future__ import annotations
@@ -34,18 +36,25 @@ def _class_array(classes: tuple[int, ...]) -> Column:
 
 @dataclass(frozen=True)
 class HeadModel:
-    """A fitted head. ``weights`` is set for the linear head, ``classifier`` for the others."""
+    """A fitted head. ``weights`` is set for the linear head, ``classifier`` for the others.
+
+    ``scaler`` is absent where the classifier works on the original scale.
+    """
 
     name: str
     classes: tuple[int, ...]
-    scaler: PipelineModel
+    scaler: PipelineModel | None = None
     classifier: Any = None
     weights: np.ndarray | None = None
     meta: dict[str, str] = field(default_factory=dict)
 
+    def _input(self, rows: DataFrame) -> DataFrame:
+        vectors = with_vector(rows)
+        return vectors if self.scaler is None else scale(vectors, self.scaler)
+
     def predict(self, rows: DataFrame) -> DataFrame:
         """Add ``y_pred``; row-wise, so it works on batch and streaming input alike."""
-        scaled = scale(with_vector(rows), self.scaler)
+        scaled = self._input(rows)
         if self.weights is not None:
             index = _linear_index(self.weights)(vector_to_array(SCALED, "float32"))
             found = scaled.withColumn(_INDEX, index)
@@ -58,7 +67,7 @@ class HeadModel:
 
     def scores(self, rows: DataFrame) -> DataFrame:
         """Add ``scores ARRAY<DOUBLE>`` (one per class) and ``y_pred``."""
-        scaled = scale(with_vector(rows), self.scaler)
+        scaled = self._input(rows)
         if self.weights is not None:
             found = scaled.withColumn(
                 "scores", _linear_scores(self.weights)(vector_to_array(SCALED, "float32"))
@@ -74,13 +83,15 @@ class HeadModel:
     def save(self, path: str) -> None:
         """Write scaler, classifier and a one-row description below ``path``."""
         spark = SparkSession.getActiveSession()
-        self.scaler.write().overwrite().save(f"{path}/scaler")
+        if self.scaler is not None:
+            self.scaler.write().overwrite().save(f"{path}/scaler")
         if self.classifier is not None:
             PipelineModel([self.classifier]).write().overwrite().save(f"{path}/classifier")
         weights = None if self.weights is None else self.weights.tolist()
-        row = (self.name, list(self.classes), json.dumps(self.meta), weights)
+        row = (self.name, list(self.classes), json.dumps(self.meta), weights, self.scaler is not None)
         spark.createDataFrame(
-            [row], "name string, classes array<int>, meta string, weights array<array<double>>"
+            [row],
+            "name string, classes array<int>, meta string, weights array<array<double>>, scaled boolean",
         ).coalesce(1).write.mode("overwrite").parquet(f"{path}/head")
 
     @staticmethod
@@ -92,7 +103,7 @@ class HeadModel:
         return HeadModel(
             name=row["name"],
             classes=tuple(row["classes"]),
-            scaler=PipelineModel.load(f"{path}/scaler"),
+            scaler=PipelineModel.load(f"{path}/scaler") if row["scaled"] else None,
             classifier=classifier,
             weights=None if row["weights"] is None else np.asarray(row["weights"]),
             meta=json.loads(row["meta"]),
@@ -123,18 +134,21 @@ def _linear_index(weights: np.ndarray) -> Callable[..., Column]:
 
 @dataclass(frozen=True)
 class _TrainingSet:
-    """Scaled vectors with a 0-based class index."""
+    """Vectors with a 0-based class index, and how often each class occurs."""
 
     rows: DataFrame
     classes: tuple[int, ...]
     counts: tuple[int, ...]
-    width: int
-    scaler: PipelineModel
 
     @property
     def n(self) -> int:
         return sum(self.counts)
 
+    def scaled(self) -> tuple[PipelineModel, DataFrame, int]:
+        """Fitted scaler, lazily scaled rows and their width; one pass for the statistics."""
+        scaler = PopulationScaler(self.n).fit(self.rows)
+        return scaler, scale(self.rows, scaler).select(SCALED, _INDEX), scaler.stages[0].mean.size
+
 
 def _fit_ridge(train: _TrainingSet, seed: int, alpha: float = 1.0) -> dict[str, Any]:
     """Ridge regression on +-1 targets, one column per class, from one Gram pass.
@@ -143,16 +157,16 @@ def _fit_ridge(train: _TrainingSet, seed: int, alpha: float = 1.0) -> dict[str,
     """
     k = len(train.classes)
     index = F.col(_INDEX)
+    scaler, rows, d = train.scaled()
     targets = F.transform(
         F.sequence(F.lit(0), F.lit(k - 1)),
         lambda c: F.when(index == c, F.lit(1.0)).otherwise(F.lit(-1.0)),
     )
-    joint = train.rows.select(F.concat(vector_to_array(SCALED), targets).alias("joint"))
-    d = train.width
+    joint = rows.select(F.concat(vector_to_array(SCALED), targets).alias("joint"))
     gram = collect_gram(joint, "joint", d + k)
     intercept = (2.0 * np.asarray(train.counts) - train.n) / train.n
     coefficients = np.linalg.solve(gram[:d, :d] + alpha * np.eye(d), gram[:d, d:])
-    return {"weights": np.vstack([coefficients, intercept])}
+    return {"scaler": scaler, "weights": np.vstack([coefficients, intercept])}
 
 
 def _fit_logreg(
@@ -163,14 +177,19 @@ def _fit_logreg(
     tol: float = 1e-6,
     fit_intercept: bool = True,
 ) -> dict[str, Any]:
-    """Multinomial logistic regression with an L2 penalty of 1 / (C n)."""
+    """Multinomial logistic regression on standardised features, L2 penalty 1 / (C n).
+
+    The estimator standardises by the sample deviation and keeps its own blocks of the data; the
+    factor (n - 1) / n turns its penalty into the one for the population deviation.
+    """
+    n = train.n
     estimator = LogisticRegression(
-        featuresCol=SCALED,
+        featuresCol=VECTOR,
         labelCol=_INDEX,
         family="multinomial",
-        regParam=1.0 / (C * train.n),
+        regParam=(n - 1) / n / (C * n),
         elasticNetParam=0.0,
-        standardization=False,
+        standardization=True,
         maxIter=max_iter,
         tol=tol,
         fitIntercept=fit_intercept,
@@ -191,9 +210,11 @@ def _fit_mlp(
     """Multilayer perceptron; with early stopping it trains in rounds from the last weights.
 
     A tenth of the rows, chosen by a hash of their vector, is held out. Training ends when the
-    held-out accuracy has not risen for ``patience`` rounds, and the best round is kept.
+    held-out accuracy has not risen for ``patience`` rounds, and the best round is kept. The
+    rounds share one scaled copy of the training set.
     """
-    layers = [train.width, *hidden_layer_sizes, len(train.classes)]
+    scaler, scaled, width = train.scaled()
+    layers = [width, *hidden_layer_sizes, len(train.classes)]
 
     def estimator(iterations: int) -> MultilayerPerceptronClassifier:
         return MultilayerPerceptronClassifier(
@@ -201,29 +222,31 @@ def _fit_mlp(
         )
 
     if not early_stopping:
-        return {"classifier": estimator(max_iter).fit(train.rows)}
-    draw = F.pmod(F.xxhash64(F.lit(seed), vector_to_array(SCALED)), F.lit(10))
-    fit_rows, held_out = train.rows.where(draw != 0), train.rows.where(draw == 0)
-    if held_out.isEmpty():
-        return {"classifier": estimator(max_iter).fit(train.rows)}
-    best, best_score, stale, weights = None, -1.0, 0, None
-    for done in range(0, max_iter, round_iter):
-        step = estimator(min(round_iter, max_iter - done))
-        if weights is not None:
-            step = step.setInitialWeights(weights)
-        model = step.fit(fit_rows)
-        weights = model.weights
-        hits = model.transform(held_out).agg(
-            F.avg((F.col("prediction") == F.col(_INDEX)).cast("double"))
-        )
-        score = hits.first()[0]
-        if score > best_score + tol:
-            best, best_score, stale = model, score, 0
-        else:
-            stale += 1
-            if stale >= patience:
-                break
-    return {"classifier": best}
+        return {"scaler": scaler, "classifier": estimator(max_iter).fit(scaled)}
+    kept = persisted(scaled)
+    try:
+        draw = F.pmod(F.xxhash64(F.lit(seed), vector_to_array(SCALED)), F.lit(10))
+        fit_rows, held_out = kept.where(draw != 0), kept.where(draw == 0)
+        if held_out.isEmpty():
+            return {"scaler": scaler, "classifier": estimator(max_iter).fit(kept)}
+        best, best_score, stale, weights = None, -1.0, 0, None
+        for done in range(0, max_iter, round_iter):
+            step = estimator(min(round_iter, max_iter - done))
+            if weights is not None:
+                step = step.setInitialWeights(weights)
+            model = step.fit(fit_rows)
+            weights = model.weights
+            hits = (F.col("prediction") == F.col(_INDEX)).cast("double")
+            score = model.transform(held_out).agg(F.avg(hits)).first()[0]
+            if score > best_score + tol:
+                best, best_score, stale = model, score, 0
+            else:
+                stale += 1
+                if stale >= patience:
+                    break
+        return {"scaler": scaler, "classifier": best}
+    finally:
+        kept.unpersist()
 
 
 #: Register another builder here: (training set, seed, **params) -> fitted parts.
@@ -249,7 +272,7 @@ class Head:
     def fit(self, rows: DataFrame, **meta: str) -> HeadModel:
         """Fit on rows of (features, y); every row needs a label.
 
-        The scaled training set is kept on the executors because fitting passes over it again.
+        Counting the classes reads the label column only.
         """
         labelled = rows.select(F.col("features"), F.col("y").cast("int").alias("y"))
         by_class = labelled.groupBy("y").count().orderBy("y").limit(MAX_CLASSES + 1).collect()
@@ -259,22 +282,13 @@ class Head:
             raise ValueError(f"more than {MAX_CLASSES} distinct labels")
         classes = tuple(r["y"] for r in by_class)
         index = (F.array_position(_class_array(classes), F.col("y")) - 1).cast("int")
-        vectors = with_vector(labelled).select(VECTOR, index.alias(_INDEX))
-        counts = tuple(r["count"] for r in by_class)
-        scaler = PopulationScaler(sum(counts)).fit(vectors)
-        scaled = persisted(scale(vectors, scaler).select(SCALED, _INDEX))
-        try:
-            train = _TrainingSet(
-                rows=scaled,
-                classes=classes,
-                counts=counts,
-                width=scaler.stages[0].mean.size,
-                scaler=scaler,
-            )
-            parts = BUILDERS[self.name](train, self.seed, **self.params)
-        finally:
-            scaled.unpersist()
-        return HeadModel(name=self.name, classes=classes, scaler=scaler, meta=dict(meta), **parts)
+        train = _TrainingSet(
+            rows=with_vector(labelled).select(VECTOR, index.alias(_INDEX)),
+            classes=classes,
+            counts=tuple(r["count"] for r in by_class),
+        )
+        parts = BUILDERS[self.name](train, self.seed, **self.params)
+        return HeadModel(name=self.name, classes=classes, meta=dict(meta), **parts)
 
 
 def make_head(name: str = "logreg", *, seed: int = 0, **params: Any) -> Head:

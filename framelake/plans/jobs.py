@@ -78,18 +78,24 @@ def frozen_embeddings(
     """
     frames = pool_test_frames(spark.read.schema(FRAME_SCHEMA).parquet(frames_root))
     if not refresh:
+        # One row per cached folder. As a filter on partition columns it keeps the files of
+        # finished slices from being opened, and no join is needed.
         done = (
             read_cache(spark, root)
             .where((F.col("fm") == fm) & (F.col("revision") == revision))
-            .select("split", "location")
+            .select(F.concat_ws("/", "split", "location").alias("slice"))
             .distinct()
+            .collect()
         )
-        frames = frames.join(done, ["split", "location"], "left_anti")
+        here = F.concat_ws("/", "split", "location")
+        frames = frames.where(~here.isin([r["slice"] for r in done]))
     vectors = embed_statistics(frames) if load is None else embed_frames(frames, load)
     keyed = vectors.withColumns(
         {"fm": F.lit(fm), "revision": F.lit(revision), "pooling": F.lit(DEFAULT_POOLING)}
     )
-    write_cache(keyed.select("frame_idx", "features", "y", "pooling", *CACHE_KEYS), root)
+    write_cache(
+        keyed.select("frame_idx", "features", "y", "pooling", *CACHE_KEYS), root, rebalance=False
+    )
 
 
 def train_head(

@@ -206,11 +206,12 @@ def embeddings(
     )
 
 
-def write_cache(rows: DataFrame, root: str | None = None) -> str:
+def write_cache(rows: DataFrame, root: str | None = None, *, rebalance: bool = True) -> str:
     """Write rows that carry their own key columns; touched partitions are replaced.
 
     The rebalance hint lets adaptive execution merge small partitions and split large ones, so
-    a slice that holds most of the rows is still written by many tasks.
+    a slice that holds most of the rows is still written by many tasks. Rows that come straight
+    from a scan of files already kept by slice need no such shuffle.
     """
     target = cache_root(rows.sparkSession, root)
     have = set(rows.columns)
@@ -223,9 +224,10 @@ def write_cache(rows: DataFrame, root: str | None = None) -> str:
         pooling.alias("pooling"),
         *CACHE_KEYS,
     )
+    if rebalance:
+        shaped = shaped.hint("rebalance", *[F.col(k) for k in CACHE_KEYS])
     (
-        shaped.hint("rebalance", *[F.col(k) for k in CACHE_KEYS])
-        .write.mode("overwrite")
+        shaped.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*CACHE_KEYS)
         .parquet(target)
