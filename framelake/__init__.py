@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
+
 from .operators.evaluation import evaluate
 from .operators.heads import HeadModel, list_heads, make_head
 from .operators.leaderboard import leaderboard
@@ -14,6 +18,9 @@ from .sources.vector_cache import EmbeddingSet, embeddings, list_available, save
 
 __version__ = "0.1.0"
 
+# Functions that run in tasks are sent with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = [
     "EmbeddingSet",
     "EvalResult",

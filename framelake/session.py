@@ -78,13 +78,21 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADC
     return seen["n"] <= rows and (seen["b"] or 0) <= size
 
 
-def lookup_join(facts: DataFrame, dim: DataFrame, on: list[str] | str, how: str = "left") -> DataFrame:
+def lookup_join(
+    facts: DataFrame,
+    dim: DataFrame,
+    on: list[str] | str,
+    how: str = "left",
+    rows: int = BROADCAST_ROWS,
+    size: int = BROADCAST_BYTES,
+) -> DataFrame:
     """Join a lookup table that is unique on ``on``.
 
-    A table measured as small is broadcast, so hot keys of ``facts`` need no shuffle. A larger
-    one is joined by shuffle and adaptive execution splits the hot partitions of ``facts``.
+    A table measured to stay within ``rows`` and ``size`` is broadcast, so hot keys of ``facts``
+    need no shuffle. A larger one is joined by shuffle and adaptive execution splits the hot
+    partitions of ``facts``.
     """
-    return facts.join(F.broadcast(dim) if fits_broadcast(dim) else dim, on, how)
+    return facts.join(F.broadcast(dim) if fits_broadcast(dim, rows, size) else dim, on, how)
 
 
 def persisted(df: DataFrame) -> DataFrame:

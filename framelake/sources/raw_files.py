@@ -22,6 +22,11 @@ PARTITIONED_LAYOUT = r"split=([^/]+)/location=([^/]+)/channel=([^/]+)/[^/]+$"
 
 KEYS = ("split", "location", "channel")
 
+#: The table of blocks has one row per file split: 100 TB in splits of 128 MB are 800,000 rows of
+#: about 150 bytes. Up to here it is broadcast, so that the lines themselves are not shuffled.
+_BLOCK_ROWS = 2_000_000
+_BLOCK_BYTES = 256 << 20
+
 
 def number_lines(lines: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Replace (file, block, line_id) by ``frame_idx``, counted per ``keys`` from 0.
@@ -39,7 +44,8 @@ def number_lines(lines: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     )
     shift = (F.sum("n").over(earlier) - F.col("n") - F.col("first_id")).alias("shift")
     offsets = counts.select(*keys, *block, shift)
-    numbered = lookup_join(lines, offsets, [*keys, *block], how="inner")
+    on = [*keys, *block]
+    numbered = lookup_join(lines, offsets, on, "inner", _BLOCK_ROWS, _BLOCK_BYTES)
     return numbered.withColumn("frame_idx", F.col("line_id") + F.col("shift")).drop(
         "line_id", "shift", *block
     )

@@ -1 +1,7 @@
 """Registered queries over the given tables, each with the SQL that gives the same rows."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -49,7 +49,7 @@ def _raw_folder(spark, sf):
             F.array_join(F.col("samples").cast("array<string>"), " ").alias("value"),
         )
         keys = ["split", "location", "channel"]
-        ordered = lines.repartitionByRange(4, *keys, "frame_idx").sortWithinPartitions(*keys, "frame_idx")
+        ordered = lines.repartitionByRange(*keys, "frame_idx").sortWithinPartitions(*keys, "frame_idx")
         ordered.select("value", *keys).write.partitionBy(*keys).text(path)
 
     return once(spark, sf, "raw", write)

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF
 from framelake import leaderboard, log_run, read_experiments, read_runs
 from framelake import session as S
 from framelake.__main__ import main, parser
@@ -172,6 +177,26 @@ def test_output_tasks_follow_the_text_size(spark):
     assert 1 < output_tasks(spark, 92_726, 500) <= cores
 
 
+def test_tasks_need_no_copy_of_the_package(tmp_path):
+    """Started from another folder, Python workers cannot import the package by name."""
+    root = Path(__file__).resolve().parents[1]
+    script = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from __spark_entry__ import queries
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+for name in ("embed_stats", "embed_udf", "gram_matrix", "predict_frames", "file_digest_disk"):
+    assert queries()[name](spark, {SF!r}).count() > 0, name
+print("all ran")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run(
+        [sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300
+    )
+    assert "all ran" in done.stdout, done.stderr[-2000:]
+
+
 def test_stage_names():
     stages = parser()._subparsers._group_actions[0].choices
     assert {"verify-data", "window", "embed", "train-head", "predict", "format-submission"} <= set(stages)
