@@ -36,11 +36,6 @@ def split_words(text: Column) -> Column:
     return F.when(odd, F.split(text, r"\s+")).otherwise(F.split(text, " "))
 
 
-def tokens(line: Column) -> Column:
-    """Split an uncommented line on white space."""
-    return split_words(uncomment(line))
-
-
 def to_number(token: Column) -> Column:
     """Parse one token; NULL when it is not a number."""
     word = F.lower(token)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..constants import CLASSES, EXPECTED_COLS, EXPECTED_ROWS
 from ..functions.text import as_label, is_whole, split_words, to_number, uncomment
+from ..session import materialise
 from ..sources.matrix import read_matrix_lines, write_matrix
 
 #: Stray labels listed inside a message; the full list is what :func:`label_table` returns.
@@ -78,11 +79,13 @@ def validation_report(
     expected_rows: int = EXPECTED_ROWS,
     expected_cols: int = EXPECTED_COLS,
     allowed: Sequence[int] = CLASSES,
+    list_stray: bool = True,
 ) -> DataFrame:
     """One row: shape, NaN count, labels and one message per kind of fault.
 
     ``unique_labels`` holds the allowed labels seen, ``n_stray`` the exact number of others and
-    ``stray`` the smallest of them, so the row stays small however bad the file is.
+    ``stray`` the smallest of them, so the row stays small however bad the file is. Without
+    ``list_stray`` they are not looked for, only whether there are any (``has_stray``).
     """
     none = F.lit(0).cast("bigint")
     facts = profiles.agg(
@@ -92,6 +95,9 @@ def validation_report(
         F.coalesce(F.sum(F.col("n_nans") * F.col("n_lines")), none).alias("n_nans"),
         F.coalesce(F.sum(F.col("n_text") * F.col("n_lines")), none).alias("n_text"),
         F.coalesce(F.bool_or("fractional"), F.lit(False)).alias("fractional"),
+        F.coalesce(
+            F.bool_or(F.exists("labels", lambda c: ~c.isin(list(allowed)))), F.lit(False)
+        ).alias("has_stray"),
         F.filter(
             F.array(
                 *[
@@ -102,11 +108,14 @@ def validation_report(
             lambda c: c.isNotNull(),
         ).alias("unique_labels"),
     )
-    stray = stray_labels(profiles, allowed)
-    listed = stray.orderBy("label").limit(LISTED_LABELS).agg(F.array_sort(F.collect_list("label")))
-    facts = facts.withColumns(
-        {"n_stray": stray.agg(F.count(F.lit(1))).scalar(), "stray": listed.scalar()}
-    )
+    if list_stray:
+        stray = stray_labels(profiles, allowed)
+        few = stray.orderBy("label").limit(LISTED_LABELS)
+        n_stray = stray.agg(F.count(F.lit(1))).scalar()
+        listed = few.agg(F.array_sort(F.collect_list("label"))).scalar()
+    else:
+        n_stray, listed = none, F.array().cast("array<bigint>")
+    facts = facts.withColumns({"n_stray": n_stray, "stray": listed})
 
     def note(condition, text, *args):
         return F.when(condition, F.format_string(text, *args))
@@ -144,6 +153,7 @@ def validation_report(
         "n_text",
         "fractional",
         "unique_labels",
+        "has_stray",
         "n_stray",
         "stray",
         "messages",
@@ -171,9 +181,15 @@ def validate(
     expected_cols: int = EXPECTED_COLS,
     allowed: Sequence[int] = CLASSES,
 ) -> ValidationReport:
-    """Check a matrix file or folder; faults become messages and nothing is raised for them."""
+    """Check a matrix file or folder; faults become messages and nothing is raised for them.
+
+    One pass; a second one lists stray labels if there are any.
+    """
     profiles = line_profiles(read_matrix_lines(spark, path))
-    row = validation_report(profiles, expected_rows, expected_cols, allowed).first()
+    limits = (expected_rows, expected_cols, allowed)
+    row = validation_report(profiles, *limits, list_stray=False).first()
+    if row["has_stray"]:
+        row = validation_report(profiles, *limits).first()
     seen = sorted([*row["unique_labels"], *row["stray"]])
     return ValidationReport(
         ok=row["ok"],
@@ -203,6 +219,8 @@ def write_submission(
     kind = predictions.schema["y_pred"].dataType
     if not isinstance(kind, T.NumericType):
         raise ValueError(f"expected one number per frame in y_pred, got {kind.simpleString()}")
+    # Checks, range sampling and the write all read these two columns: predict once.
+    predictions = materialise(predictions.select("frame_idx", "y_pred"), "predictions")
     faults = F.count_if(F.col("y_pred").isNull() | F.col("frame_idx").isNull()).alias("empty")
     broken = F.lit(False)
     if not isinstance(kind, T.IntegralType):

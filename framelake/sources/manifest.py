@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..session import materialise
 
 _ENTRY = r"(?s)^(\S+)\s+(.*)$"
 
@@ -37,4 +38,6 @@ def manifest_lines(digests: DataFrame) -> DataFrame:
 
 
 def write_manifest(digests: DataFrame, out: str) -> None:
+    """Write the lines in order; digests are stored first, as a global sort reads its input twice."""
+    digests = materialise(digests.select("rel", "digest"), "digests")
     manifest_lines(digests).select("line").write.mode("overwrite").text(out)

@@ -6,16 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import EXPECTED_COLS
-from ..functions.text import to_number, tokens, uncomment
+from ..functions.text import split_words, to_number, uncomment
 
 
 def parse_matrix(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Add ``vals ARRAY<DOUBLE>``; comments and blank lines go, unreadable tokens are NULL."""
+    """Add ``vals ARRAY<DOUBLE>``; comments and blank lines go, unreadable tokens are NULL.
+
+    A line of digits only is cast as a whole; token by token goes a line with words in it.
+    """
+    digits = ~F.col("line_text").rlike(r"[^-+.0-9eE\s]")
     return (
-        lines.where(uncomment(F.col(value)) != "")
-        .withColumn("tokens", tokens(F.col(value)))
-        .withColumn("vals", F.transform("tokens", to_number))
-        .drop("tokens")
+        lines.withColumn("line_text", uncomment(F.col(value)))
+        .where(F.col("line_text") != "")
+        .withColumn("words", split_words(F.col("line_text")))
+        .withColumn(
+            "vals",
+            F.when(digits, F.col("words").try_cast("array<double>")).otherwise(
+                F.transform("words", to_number)
+            ),
+        )
+        .drop("line_text", "words")
     )
 
 
