@@ -47,6 +47,16 @@ RUN_COLUMNS = (
     "start_time",
     "run_id",
 )
+# Formats of texts that people and scripts read.
+HEADLINE = "macro-F1=%.4f  acc=%.4f  n=%d  weakest=class %d (F1=%.3f)"
+WRONG_ROWS = "expected %d rows, got %d"
+WRONG_COLS = "expected %d cols, got %s"
+NAN_ENTRIES = "%d NaN entries"
+NON_INTEGER = "non-integer entries present"
+STRAY_LABELS = "labels outside allowed set: [%s]%s"
+MISSING_FILE = "missing: %s"
+HASH_MISMATCH = "hash mismatch: %s (expected %s, got %s)"
+MANIFEST_LINE = "%s  %s"
 # End of fixed values.
 
 #: Location directory of the test split, whose frames are mixed over locations.

@@ -68,7 +68,7 @@ def require_aligned(truth: DataFrame, predictions: DataFrame, keys: Sequence[str
     counts = alignment_summary(align(truth, predictions, keys, "y_true", "y_pred")).first()
     if counts["only_left"] or counts["only_right"] or counts["repeated"]:
         raise ValueError(
-            f"shape mismatch: {counts['only_left']} frames without prediction, "
+            f"truth and predictions differ: {counts['only_left']} frames without prediction, "
             f"{counts['only_right']} without truth, {counts['repeated']} repeated"
         )
     return join_truth(truth, predictions, keys)

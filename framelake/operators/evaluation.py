@@ -24,7 +24,7 @@ def evaluate(
     """Predict on a labelled set and score it; a set without labels is refused."""
     if isinstance(eval_set, EmbeddingSet):
         if not eval_set.has_labels:
-            raise ValueError(f"{eval_set.split!r} split has no labels; evaluate on 'validation'")
+            raise ValueError(f"{eval_set.split!r} has no labels to score against")
         eval_set = eval_set.df
     return evaluate_predictions(predicted_pairs(model, eval_set).select("y_true", "y_pred"), labels)
 

@@ -294,7 +294,7 @@ class Head:
 def make_head(name: str = "logreg", *, seed: int = 0, **params: Any) -> Head:
     """A head by name; ``params`` go to its builder (``C``, ``alpha``, ``hidden_layer_sizes``...)."""
     if name not in BUILDERS:
-        raise ValueError(f"unknown head {name!r}; choose from {list_heads()}")
+        raise ValueError(f"no head is called {name!r}; there are {list_heads()}")
     return Head(name, seed, params)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..constants import HASH_MISMATCH, MISSING_FILE
 from ..sources.file_listing import digest_files, list_files
 from ..sources.manifest import read_manifest, write_manifest
 
@@ -49,10 +50,10 @@ def manifest_summary(statuses: DataFrame) -> DataFrame:
 def messages(statuses: DataFrame) -> DataFrame:
     """(rel, message) for every entry that diverged."""
     text = (
-        F.when(F.col("status") == "missing", F.concat(F.lit("missing: "), "rel"))
+        F.when(F.col("status") == "missing", F.format_string(MISSING_FILE, "rel"))
         .when(
             F.col("status") == "mismatch",
-            F.format_string("hash mismatch: %s (expected %s, got %s)", "rel", "expected", "actual"),
+            F.format_string(HASH_MISMATCH, "rel", "expected", "actual"),
         )
         .otherwise(F.concat(F.lit("malformed line: "), "expected"))
     )
@@ -64,7 +65,7 @@ def generate_manifest(spark: SparkSession, root: str, out: str, pattern: str = "
     files = list_files(spark, root, pattern)
     n = files.count()
     if n == 0:
-        raise FileNotFoundError(f"no {pattern} files under {root}")
+        raise FileNotFoundError(f"nothing to hash: {root} has no {pattern} files")
     write_manifest(digest_files(files), out)
     return n
 

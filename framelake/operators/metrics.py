@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import CLASS_NAMES, CLASSES
+from ..constants import CLASS_NAMES, CLASSES, HEADLINE
 
 
 def _listed(value: str, labels: Sequence[int]) -> Column:
@@ -202,7 +202,7 @@ def weakest(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
     worst = F.array_min(entries)
     headline = F.format_string(
-        "macro-F1=%.4f  acc=%.4f  n=%d  weakest=class %d (F1=%.3f)",
+        HEADLINE,
         "macro_f1",
         "accuracy",
         "n",
@@ -251,7 +251,7 @@ def evaluate_predictions(pairs: DataFrame, labels: Sequence[int] = CLASSES) -> E
         {"headline": weakest(scores).select("headline").scalar()}
     ).first()
     if row["n"] == 0 or row["n_unlabelled"]:
-        raise ValueError("the set has no labels; score a labelled split instead")
+        raise ValueError("some or all rows have no labels, so there is nothing to score")
     table = np.zeros((len(labels), len(labels)), dtype=np.int64)
     for cell in cells:
         if cell["y_true"] is not None and cell["y_pred"] is not None:

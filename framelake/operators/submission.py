@@ -9,7 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import CLASSES, EXPECTED_COLS, EXPECTED_ROWS
+from ..constants import (
+    CLASSES,
+    EXPECTED_COLS,
+    EXPECTED_ROWS,
+    NAN_ENTRIES,
+    NON_INTEGER,
+    STRAY_LABELS,
+    WRONG_COLS,
+    WRONG_ROWS,
+)
 from ..functions.text import as_label, is_whole, split_words, to_number, uncomment
 from ..session import materialise
 from ..sources.matrix import read_matrix_lines, write_matrix
@@ -123,20 +132,21 @@ def validation_report(
     # NaN is neither an integer, nor are infinities, which the profile marks as fractional.
     messages = F.array(
         note(F.col("min_cols") != F.col("max_cols"), "ragged rows: %d to %d columns", "min_cols", "max_cols"),
-        note(F.col("n_rows") != expected_rows, f"expected {expected_rows} rows, got %d", "n_rows"),
+        note(F.col("n_rows") != expected_rows, WRONG_ROWS, F.lit(expected_rows), "n_rows"),
         note(
             (F.col("min_cols") != expected_cols) | (F.col("max_cols") != expected_cols),
-            f"expected {expected_cols} cols, got %s",
+            WRONG_COLS,
+            F.lit(expected_cols),
             F.when(F.col("min_cols") == F.col("max_cols"), F.col("max_cols").cast("string")).otherwise(
                 F.concat_ws(" to ", F.col("min_cols").cast("string"), F.col("max_cols").cast("string"))
             ),
         ),
-        note(F.col("n_nans") > 0, "%d NaN entries", "n_nans"),
+        note(F.col("n_nans") > 0, NAN_ENTRIES, "n_nans"),
         note(F.col("n_text") > 0, "%d entries are not numbers", "n_text"),
-        note(F.col("fractional"), "non-integer entries present"),
+        note(F.col("fractional"), NON_INTEGER),
         note(
             F.col("n_stray") > 0,
-            "labels outside allowed set: [%s]%s",
+            STRAY_LABELS,
             F.array_join(F.col("stray").cast("array<string>"), ", "),
             F.when(
                 F.col("n_stray") > LISTED_LABELS,

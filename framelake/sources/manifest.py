@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..constants import MANIFEST_LINE
 from ..functions.text import strip
 from ..session import materialise
 
@@ -33,7 +34,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def manifest_lines(digests: DataFrame) -> DataFrame:
     """(rel, line) in path order, compared folder by folder and not as one string."""
-    line = F.concat("digest", F.lit("  "), "rel").alias("line")
+    line = F.format_string(MANIFEST_LINE, "digest", "rel").alias("line")
     return digests.select("rel", line).orderBy(F.split("rel", "/"))
 
 

@@ -32,7 +32,7 @@ def cache_root(spark: SparkSession, override: str | None = None) -> str:
 
 def check_split(split: str) -> None:
     if split not in SPLITS:
-        raise ValueError(f"unknown split {split!r}; expected one of {SPLITS}")
+        raise ValueError(f"a split is one of {', '.join(SPLITS)}, not {split!r}")
 
 
 def read_cache(spark: SparkSession, root: str | None = None) -> DataFrame:
@@ -67,10 +67,10 @@ def resolve_revision(cache: DataFrame, fm: str, revision: str | None = None) ->
             return revision
         raise FileNotFoundError(f"revision {revision!r} of fm={fm!r} is not cached; found {found}")
     if not found:
-        raise FileNotFoundError(f"no cached embeddings for fm={fm!r}; extract them first")
+        raise FileNotFoundError(f"the cache has no vectors of fm={fm!r}")
     if len(found) > 1:
         raise ValueError(
-            f"multiple revisions cached for fm={fm!r}: {found}; pass revision= to choose"
+            f"fm={fm!r} has several revisions {found}; choose one with revision="
         )
     return found[0]
 
@@ -183,7 +183,7 @@ def embeddings(
     ).first()
     if facts["n"] == 0:
         place = f"/{location}" if location else ""
-        raise FileNotFoundError(f"no embeddings for fm={fm!r}@{rev} {split}{place}")
+        raise FileNotFoundError(f"nothing cached at {fm}@{rev}/{split}{place}")
     if facts["pooling"] != facts["other_pooling"]:
         raise ValueError(f"mixed pooling: {facts['pooling']!r} and {facts['other_pooling']!r}")
     labelled = facts["n_labelled"] == facts["n"]
@@ -250,7 +250,7 @@ def save_embedding_set(
     if split == "test":
         location = POOLED_LOCATION
     elif location is None:
-        raise ValueError(f"split={split!r} requires a location ({TRAIN_LOCATIONS})")
+        raise ValueError(f"vectors of {split!r} need a location, usually one of {TRAIN_LOCATIONS}")
     keyed = rows.withColumns(
         {
             "fm": F.lit(fm),

@@ -128,7 +128,7 @@ def test_mlp_without_early_stopping_and_with_two_layers(noisy):
 
 
 def test_registry(noisy):
-    with pytest.raises(ValueError, match=r"unknown head 'forest'.*\['linear', 'logreg', 'mlp'\]"):
+    with pytest.raises(ValueError, match=r"no head is called 'forest'.*\['linear', 'logreg', 'mlp'\]"):
         make_head("forest")
     with pytest.raises(TypeError):
         make_head("linear", depth=3).fit(noisy)

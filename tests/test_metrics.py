@@ -124,7 +124,7 @@ def test_alignment(spark):
     both = align(truth, pred, ["frame_idx"], "y_true", "y_pred")
     assert tuple(alignment_summary(both).first()) == (4, 1, 1, 0)
     assert sorted(map(tuple, join_truth(truth, pred, ["frame_idx"]).collect())) == [(2, 2, 2), (3, 3, 4)]
-    with pytest.raises(ValueError, match="shape mismatch"):
+    with pytest.raises(ValueError, match="differ"):
         require_aligned(truth, pred, ["frame_idx"])
     same = truth.withColumnRenamed("y_true", "y_pred")
     assert require_aligned(truth, same, ["frame_idx"]).count() == 3
