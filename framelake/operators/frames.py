@@ -206,4 +206,5 @@ def check_counts(raw: DataFrame, n_samples: int = SAMPLES_PER_FRAME) -> None:
     """Stop with the first violations when raw files do not have the published shape."""
     found = frame_sanity(raw, n_samples, frames_per_file=FRAMES_PER_FILE).limit(20).collect()
     if found:
-        raise ValueError("; ".join(f"{r['split']}/{r['location']} {r['check']}: {r['detail']}" for r in found))
+        shown = [f"{r['split']}/{r['location']} {r['check']}: {r['detail']}" for r in found]
+        raise ValueError("; ".join(shown))

@@ -27,7 +27,6 @@ from .scaling import SCALED, VECTOR, PopulationScaler, scale, with_vector
 
 MAX_CLASSES = 1000
 _INDEX = "class_index"
-_OUTPUTS = ("rawPrediction", "probability", "prediction")
 
 
 def _class_array(classes: tuple[int, ...]) -> Column:
@@ -298,7 +297,9 @@ def make_head(name: str = "logreg", *, seed: int = 0, **params: Any) -> Head:
     return Head(name, seed, params)
 
 
-def fit_per_group(rows: DataFrame, head: Head, column: str, groups: tuple[str, ...]) -> dict[str, HeadModel]:
+def fit_per_group(
+    rows: DataFrame, head: Head, column: str, groups: tuple[str, ...]
+) -> dict[str, HeadModel]:
     """One head per named group, e.g. per phone location (a fixed short list)."""
     return {g: head.fit(rows.where(F.col(column) == g)) for g in groups}
 

@@ -86,8 +86,7 @@ def certifiable(runs: DataFrame, python_env: str) -> DataFrame:
 def best_by_model(table: DataFrame) -> DataFrame:
     """Best run per model: (fm, best_f1, run_id, n_runs)."""
     number = F.nanvl(F.col("macro_f1"), F.lit(None).cast("double"))
-    rank = F.struct(number.alias("m"), F.col("run_id").alias("r"))
-    # Largest metric and, among equals, smallest run id: order by the metric, then pick by min.
+    # Equal scores of a model are merged first, keeping the smallest run id among them.
     return (
         table.where(number.isNotNull())
         .groupBy("fm", number.alias("m"))

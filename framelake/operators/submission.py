@@ -129,17 +129,17 @@ def validation_report(
     def note(condition, text, *args):
         return F.when(condition, F.format_string(text, *args))
 
-    # NaN is neither an integer, nor are infinities, which the profile marks as fractional.
+    ragged = F.col("min_cols") != F.col("max_cols")
+    low, high = (F.col(c).cast("string") for c in ("min_cols", "max_cols"))
+    # NaN is no integer, nor are infinities: the profile marks both as fractional.
     messages = F.array(
-        note(F.col("min_cols") != F.col("max_cols"), "ragged rows: %d to %d columns", "min_cols", "max_cols"),
+        note(ragged, "ragged rows: %d to %d columns", "min_cols", "max_cols"),
         note(F.col("n_rows") != expected_rows, WRONG_ROWS, F.lit(expected_rows), "n_rows"),
         note(
             (F.col("min_cols") != expected_cols) | (F.col("max_cols") != expected_cols),
             WRONG_COLS,
             F.lit(expected_cols),
-            F.when(F.col("min_cols") == F.col("max_cols"), F.col("max_cols").cast("string")).otherwise(
-                F.concat_ws(" to ", F.col("min_cols").cast("string"), F.col("max_cols").cast("string"))
-            ),
+            F.when(ragged, F.concat_ws(" to ", low, high)).otherwise(high),
         ),
         note(F.col("n_nans") > 0, NAN_ENTRIES, "n_nans"),
         note(F.col("n_text") > 0, "%d entries are not numbers", "n_text"),
@@ -156,9 +156,9 @@ def validation_report(
     )
     report = facts.withColumn("messages", F.filter(messages, lambda m: m.isNotNull()))
     return report.select(
-        (F.size("messages") == 0).alias("ok"),
+        ((F.size("messages") == 0) & ~F.col("has_stray")).alias("ok"),
         "n_rows",
-        F.when(F.col("min_cols") == F.col("max_cols"), F.col("max_cols")).otherwise(-1).alias("n_cols"),
+        F.when(ragged, -1).otherwise(F.col("max_cols")).alias("n_cols"),
         "n_nans",
         "n_text",
         "fractional",

@@ -52,6 +52,8 @@ def window_features(
         check_counts(raw, n_samples)
     # Statistics and normalisation both read the frames, so they are assembled once.
     frames = materialise(assemble_frames(raw), "frames")
+    if scope == "train" and frames.where(F.col("split") == "train").isEmpty():
+        raise ValueError("normalisation is fitted on train frames, and there are none")
     write_frames(normalise(frames, scope), out)
 
 

@@ -22,12 +22,14 @@ from .views import EMB, RAW, READINGS, SAMPLES, once, raw_channels, readings, wi
 
 def _long(frames, digits=None):
     """(frame key, pos, one column per channel) so that every sample is compared."""
-    zipped = F.posexplode(F.arrays_zip(*[F.coalesce(c, F.array().cast(t)) for c, t in
-                                         ((c, frames.schema[c].dataType.simpleString()) for c in CHANNELS)]))
-    rows = frames.select("split", "location", "frame_idx", zipped.alias("pos", "s"))
+    filled = [F.coalesce(c, F.array().cast(frames.schema[c].dataType)) for c in CHANNELS]
+    zipped = F.posexplode(F.arrays_zip(*filled)).alias("pos", "s")
+    rows = frames.select("split", "location", "frame_idx", zipped)
+
     def cell(i):
         value = F.col(f"s.{i}").cast("double")
         return value if digits is None else F.round(value, digits)
+
     return rows.select(
         "split", "location", "frame_idx", "pos", *[cell(i).alias(c) for i, c in enumerate(CHANNELS)]
     )

@@ -206,3 +206,10 @@ def test_cached_slices_are_not_embedded_again(spark, raw_root, tmp_path):
     jobs.frozen_embeddings(spark, frames, fm="m", revision="1", root=cache, load=explode)
     after = {p: p.stat().st_mtime_ns for p in (tmp_path / "cache").rglob("*.parquet")}
     assert before == after
+
+
+def test_normalisation_needs_train_frames(spark, tmp_path):
+    for c in CHANNELS:
+        write_file(tmp_path / "raw", "test", "Bag", c, [[1, 2]])
+    with pytest.raises(ValueError, match="train frames"):
+        jobs.window_features(spark, str(tmp_path / "raw"), str(tmp_path / "out"), check=False)
