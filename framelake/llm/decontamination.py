@@ -73,12 +73,13 @@ def _spans(windows: DataFrame, docs: DataFrame, lengths: list[int]) -> DataFrame
         F.col("length").alias("length_b"), F.col("words").alias("words_b"), "group", key_b.alias("k_b")
     )
     if fits_broadcast(known, BROADCAST_WINDOWS, BROADCAST_BYTES):
-        same = F.slice("w", F.col("pos") + 1, F.col("length")) == F.col("words_b")
         met = keyed.join(
-            F.broadcast(known), (F.col("k") == F.col("k_b")) & (F.col("length") == F.col("length_b")) & same, "left"
+            F.broadcast(known), (F.col("k") == F.col("k_b")) & (F.col("length") == F.col("length_b")), "left"
         )
+        # Words are compared behind the join: as a join key they would be cut out for every window.
+        same = F.slice("w", F.col("pos") + 1, F.col("length")) == F.col("words_b")
         met = met.where(F.col("group").isNotNull() | first)
-        return met.select("row", "id", "n_words", "pos", "length", "group")
+        return met.select("row", "id", "n_words", "pos", "length", F.when(same, F.col("group")).alias("group"))
     # A set beyond the bound is met by shuffle. Places travel with a digest of their words, which
     # takes the place of comparing the words.
     keyed = keyed.withColumn("text_key", F.sha2(F.concat_ws(" ", F.slice("w", F.col("pos") + 1, F.col("length"))), 256))
