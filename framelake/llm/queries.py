@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import decontamination, simhash, token_records, warc
+from .common import shared_folder, table
+
 
-from . import decontamination
-from .common import table
+def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written as records and read back."""
+    folder = shared_folder(spark, "token-records")
+    token_records.write_records(
+        table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=0
+    )
+    back = token_records.read_records(spark, folder)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +30,19 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose fingerprints differ in at most three bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives, read back with its revisits resolved."""
+    folder = shared_folder(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    back = warc.resolve_revisits(warc.read_archives(spark, folder, payloads=False))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 _WORDS = (
     r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
     r"'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -38,9 +67,22 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN places USING (r) LEFT JOIN items USING (r)
 """
 
+OP9 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+o AS (SELECT h, max(page_id) AS original FROM p WHERE n >= 1000 GROUP BY h HAVING count(*) > 1)
+SELECT page_id, n AS payload_bytes, h AS payload_digest,
+       CASE WHEN original IS NULL OR original IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN original IS DISTINCT FROM page_id THEN original END AS refers_to
+FROM p LEFT JOIN o USING (h)
+"""
+
 QUERIES = {
+    "op3_token_records": op3_token_records,
+    "op7_simhash": op7_simhash,
+    "op9_warc": op9_warc,
     "op5_decontamination": op5_decontamination,
 }
 ORACLES = {
+    "op9_warc": OP9,
     "op5_decontamination": OP5,
 }
