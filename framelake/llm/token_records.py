@@ -95,20 +95,30 @@ class Encoder:
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, new: list[str]) -> Iterator[bytes]:
-        """The ids of each part, 64 parts to a call's row."""
-        rows, sizes = [], []
-        for start in range(0, len(new), 64):
-            pieces = [
-                [p] if p[:1] == " " and p[1:].isalpha() else self.find(p) for p in new[start : start + 64]
-            ]
-            sizes.append(np.cumsum([len(p) for p in pieces]))
-            joined = "\udcff".join([x for p in pieces for x in p]).encode(errors="surrogateescape")
+    def _ids(self, pieces: list[str], sizes: np.ndarray) -> Iterator[bytes]:
+        """The ids of texts given as pre-tokens, ``sizes`` of them each; 256 texts to a call's row."""
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        rows, marks = [], []
+        for start in range(0, len(sizes), 256):
+            mark = ends[start : start + 257]
+            joined = "\udcff".join(pieces[mark[0] : mark[-1]]).encode(errors="surrogateescape")
             rows.append(codecs.charmap_decode(joined, "strict", BYTE_ALPHABET)[0])
-        for size, row in zip(sizes, self.parts.encode_batch(rows, add_special_tokens=False)):
+            marks.append(mark - mark[0])
+        for mark, row in zip(marks, self.parts.encode_batch(rows, add_special_tokens=False)):
             ids = np.array(row.ids, self.dtype).tobytes()
-            ends = (np.searchsorted(np.array(row.word_ids), size) * self.dtype.itemsize).tolist()
-            yield from map(ids.__getitem__, map(slice, [0, *ends], ends))
+            cuts = (np.searchsorted(np.array(row.word_ids), mark) * self.dtype.itemsize).tolist()
+            yield from map(ids.__getitem__, map(slice, cuts, cuts[1:]))
+
+    def _learn(self, new: set[str]) -> None:
+        """Remember the ids of parts that follow a space."""
+        plain = [p for p in new if p.isalpha()]
+        self.known.update(zip(plain, self._ids([" " + p for p in plain], np.ones(len(plain), np.int64))))
+        mixed = list(new.difference(plain))
+        self.known.update(zip(mixed, self._split([" " + p for p in mixed])))
+
+    def _split(self, parts: list[str]) -> Iterator[bytes]:
+        found = [self.find(p) for p in parts]
+        return self._ids([x for f in found for x in f], np.fromiter(map(len, found), np.int64, len(found)))
 
     @staticmethod
     def _cut(text: str) -> list[str]:
@@ -132,11 +142,8 @@ class Encoder:
         if len(self.known) > self.remembered:
             self.known.clear()
         heads = [c[0] for c in cut if c is not None]
-        new = list(set().union(*[c[1:] for c in cut if c is not None]).difference(self.known))
-        learned = self._ids([*heads, *[" " + p for p in new]])
-        first = [next(learned) for _ in heads]
-        self.known.update(zip(new, learned))
-        find, first = self.known.__getitem__, iter(first)
+        self._learn(set().union(*[c[1:] for c in cut if c is not None]).difference(self.known))
+        find, first = self.known.__getitem__, self._split(heads)
         out = []
         for text, parts in zip(batch, cut):
             if parts is None:
