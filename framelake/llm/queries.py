@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, simhash, token_records, warc
-from .common import shared_folder, table
+from . import decontamination, quality, simhash, token_records, toxicity, warc
+from .common import in_fold, shared_folder, table
 
 
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,14 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score per document; a third of the ids is never learned from."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = quality.score_documents(docs, labels, learn=~in_fold(F.col("id"), 3, 1))
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", in_fold(F.col("doc_id"), 3, 1).alias("held_out"), "score", predicted)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives, read back with its revisits resolved."""
     folder = shared_folder(spark, "warc")
@@ -43,6 +51,14 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score per document; a quarter of the ids is never learned from."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.score_documents(docs, labels, learn=~in_fold(F.col("doc_id"), 4, 2))
+    predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
+    return scored.select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "score", predicted)
+
+
 _WORDS = (
     r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
     r"'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -79,7 +95,9 @@ FROM p LEFT JOIN o USING (h)
 QUERIES = {
     "op3_token_records": op3_token_records,
     "op7_simhash": op7_simhash,
+    "op8_quality": op8_quality,
     "op9_warc": op9_warc,
+    "op10_toxicity": op10_toxicity,
     "op5_decontamination": op5_decontamination,
 }
 ORACLES = {
