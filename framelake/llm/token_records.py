@@ -41,6 +41,7 @@ PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _OTHER = [b for b in range(256) if b not in _PLAIN]
 BYTE_ALPHABET = "".join(chr(b if b in _PLAIN else 256 + _OTHER.index(b)) for b in range(256))
+_WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([^\w\s]+)").fullmatch
 _MASK = 0xA282EAD8
 _HEAD, _HEAD_SIZE = "<Bq", 9
 _PAIR, _PAIR_SIZE = "<QQ", 16
@@ -94,6 +95,7 @@ class Encoder:
         self.find = regex.compile(PRE_TOKEN).findall
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def _ids(self, pieces: list[str], sizes: np.ndarray) -> Iterator[bytes]:
         """The ids of texts given as pre-tokens, ``sizes`` of them each; 256 texts to a call's row."""
@@ -110,11 +112,29 @@ class Encoder:
             yield from map(ids.__getitem__, map(slice, cuts, cuts[1:]))
 
     def _learn(self, new: set[str]) -> None:
-        """Remember the ids of parts that follow a space."""
-        plain = [p for p in new if p.isalpha()]
+        """Remember the ids of parts that follow a space.
+
+        Letters and the marks behind them are pre-tokens of their own, so of such a part only its
+        letters are encoded, if they are not known either.
+        """
+        plain, marked, mixed = set(), [], []
+        for part in new:
+            if part.isalpha():
+                plain.add(part)
+            elif (found := _WORD_AND_MARKS(part)) and found[1].isalpha():
+                marked.append((part, found[1], found[2]))
+            else:
+                mixed.append(part)
+        plain.update([word for _, word, _ in marked if word not in self.known])
+        plain = list(plain)
         self.known.update(zip(plain, self._ids([" " + p for p in plain], np.ones(len(plain), np.int64))))
-        mixed = list(new.difference(plain))
         self.known.update(zip(mixed, self._split([" " + p for p in mixed])))
+        marks = list({m for *_, m in marked}.difference(self.marks))
+        if len(self.marks) > self.remembered:
+            self.marks.clear()
+            marks = list({m for *_, m in marked})
+        self.marks.update(zip(marks, self._split(marks)))
+        self.known.update([(part, self.known[word] + self.marks[m]) for part, word, m in marked])
 
     def _split(self, parts: list[str]) -> Iterator[bytes]:
         found = [self.find(p) for p in parts]
