@@ -10,10 +10,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, quality, simhash, token_records, toxicity, warc
+from . import (
+    chat_repair,
+    decontamination,
+    posting_lists,
+    quality,
+    sentence_pieces,
+    simhash,
+    token_counts,
+    token_records,
+    toxicity,
+    warc,
+)
 from .common import in_fold, shared_folder, table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after private data are replaced by tags."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    trees = token_counts.build_trees(table(spark, sf_dir, "documents"), path)
+    edited = token_counts.apply_edits(trees, token_counts.redactions("text"), path)
+    pieces = F.size("counts").cast("long").alias("n_pieces")
+    return edited.select(F.col("id").alias("doc_id"), "n_tokens_before", "n_tokens", "n_edits", "n_encoded", pieces)
+
+
+def op2_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation in its cheapest legal form, as rendered fragments."""
+    return chat_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written as records and read back."""
     folder = shared_folder(spark, "token-records")
@@ -24,12 +49,23 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector among all others."""
+    return posting_lists.nearest(table(spark, sf_dir, "embeddings"), asked=F.col("id") % 20 == 0, neighbours=20)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words in every document."""
     found = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as ids and the text that the ids give back."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return sentence_pieces.encode_documents(table(spark, sf_dir, "documents"), model)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose fingerprints differ in at most three bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -93,7 +129,11 @@ FROM p LEFT JOIN o USING (h)
 """
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op2_chat_repair": op2_chat_repair,
     "op3_token_records": op3_token_records,
+    "op4_posting_lists": op4_posting_lists,
+    "op6_sentence_pieces": op6_sentence_pieces,
     "op7_simhash": op7_simhash,
     "op8_quality": op8_quality,
     "op9_warc": op9_warc,

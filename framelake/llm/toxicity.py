@@ -22,12 +22,14 @@ from .common import texts
 GRAMS = (3, 4, 5, 6)
 BUCKETS = 1 << 19
 DIM = 8
-EPOCHS = 3
-RATE = 2.0
+#: Training takes so many steps, or goes three times over all texts if that is more.
+STEPS = 16_000
+RATE = 10.0
 #: N-grams of no weight that every text has besides its own, so that a few words are no strong evidence.
 NEUTRAL = 100.0
 SEED = 11
-POWER = 0.5
+#: Steps fall with this power of an embedding's squared gradients so far.
+POWER = 0.25
 #: Training texts that have to share an n-gram before it gets a vector.
 LEAST_TEXTS = 3
 #: One of so many training texts scales the log odds instead.
@@ -118,11 +120,17 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / spread), float(w[1])
 
 
+def _counted(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Distinct buckets, how often each occurs, and by how much their sum is divided; six bytes a bucket."""
+    ids, n = np.unique(np.concatenate([_NONE, *bags(text, buckets)]), return_counts=True)
+    return ids.astype(np.int32), np.minimum(n, 65535).astype(np.uint16), n.sum() + NEUTRAL
+
+
 def train(
     rows: list[tuple[str, int]],
     buckets: int = BUCKETS,
     dim: int = DIM,
-    epochs: int = EPOCHS,
+    steps: int = STEPS,
     rate: float = RATE,
     seed: int = SEED,
 ) -> ToxicityModel:
@@ -136,8 +144,7 @@ def train(
     share = float(labels.mean()) if rows else 0.5
     if share in (0.0, 1.0) or not rows:
         return ToxicityModel(np.zeros(buckets, np.float32), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    counted = [np.unique(np.concatenate([_NONE, *bags(text, buckets)]), return_counts=True) for text, _ in rows]
-    counted = [(ids.astype(np.int32), (n / (n.sum() + NEUTRAL)).astype(np.float32)) for ids, n in counted]
+    counted = [_counted(text, buckets) for text, _ in rows]
     places = rng.permutation(len(rows))
     # Every ASIDE-th text of each label.
     aside = np.concatenate([places[labels[places] == k][::ASIDE] for k in (0, 1)])
@@ -148,19 +155,18 @@ def train(
     # What few texts have tells them apart and not their labels: it keeps the zero vector.
     shared = np.bincount(np.concatenate([counted[k][0] for k in fitted]), minlength=buckets) >= LEAST_TEXTS
     table[~shared] = 0
-    learned = {}
-    for k in fitted:
-        ids, weights = counted[k]
-        learned[k] = ids[shared[ids]], weights[shared[ids]]
+    for k, (ids, counts, total) in enumerate(counted):
+        counted[k] = ids[shared[ids]], counts[shared[ids]], total
     soft = np.zeros((2, dim), np.float32)
     soft[1] = rng.normal(size=dim)
     bias = np.array([0.0, np.log(share / (1 - share))], np.float32)
     # Squared gradients so far: frequent n-grams take smaller steps.
     seen = np.full(buckets, 1e-8, np.float32)
     seen_soft = np.full((2, dim), 1e-8, np.float32)
-    for _ in range(epochs):
+    for _ in range(max(3, -(-steps // len(fitted)))):
         for at in rng.permutation(fitted):
-            ids, weights = learned[at]
+            ids, counts, total = counted[at]
+            weights = counts / np.float32(total)
             hidden = weights @ table[ids]
             z = soft @ hidden + bias
             z = np.exp(z - z.max())
@@ -174,7 +180,7 @@ def train(
             soft -= rate * 0.1 * push / np.sqrt(seen_soft)
             bias -= 0.01 * error
     logits = (table @ (soft[1] - soft[0])).astype(np.float32)
-    slope, level = _platt(np.array([weights @ logits[ids] for ids, weights in (counted[k] for k in aside)]), labels[aside])
+    slope, level = _platt(np.array([n @ logits[ids] / total for ids, n, total in (counted[k] for k in aside)]), labels[aside])
     return ToxicityModel(logits * np.float32(slope), level)
 
 
