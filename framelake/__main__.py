@@ -8,7 +8,7 @@ import sys
 from .operators.heads import list_heads
 from .operators.integrity import generate_manifest
 from .plans import jobs
-from .session import build_session
+from .session import TableError, build_session
 
 
 def parser() -> argparse.ArgumentParser:
@@ -43,6 +43,7 @@ def parser() -> argparse.ArgumentParser:
     stage.add_argument("--root")
     stage.add_argument("--store")
     stage.add_argument("--out", default="runs/head")
+    stage.add_argument("--tag", action="append", default=[], metavar="NAME=VALUE")
 
     stage = stages.add_parser("predict", help="apply a saved head to the test split")
     stage.add_argument("--head-path", required=True)
@@ -53,12 +54,18 @@ def parser() -> argparse.ArgumentParser:
     stage = stages.add_parser("format-submission", help="write and check the matrix")
     stage.add_argument("predictions")
     stage.add_argument("--out", default="teamName_predictions")
+    stage.add_argument("--text", action="store_true", help="predictions are text, any number per line")
+    stage.add_argument("--store")
+    stage.add_argument("--experiment", default="cli")
+    stage.add_argument("--tag", action="append", default=[], metavar="NAME=VALUE")
     return top
 
 
 def main(argv: list[str] | None = None) -> int:
     args = vars(parser().parse_args(argv))
     stage = args.pop("stage")
+    if "tag" in args:
+        args["tags"] = dict(t.partition("=")[::2] for t in args.pop("tag"))
     spark = build_session(f"framelake {stage}")
     try:
         if stage == "generate-manifest":
@@ -74,8 +81,13 @@ def main(argv: list[str] | None = None) -> int:
         elif stage == "predict":
             print(f"predicted {jobs.predict_test(spark, **args).count()} frames -> {args['out']}")
         else:
-            report = jobs.format_submission(spark, args["predictions"], args["out"])
+            report = jobs.format_submission(spark, args.pop("predictions"), args.pop("out"), **args)
             print(f"wrote {report.path}: {report.n_rows}x{report.n_cols} ok={report.ok}")
+    except TableError as exc:
+        for row in exc.rows.toLocalIterator():
+            print("FAIL:", *[v for v in row if v is not None], file=sys.stderr)
+        print(f"FAIL: {exc}", file=sys.stderr)
+        return 1
     except (ValueError, FileNotFoundError) as exc:
         print(f"FAIL: {exc}", file=sys.stderr)
         return 1

@@ -31,6 +31,20 @@ CHANNELS = (
 )
 SAMPLES_PER_FRAME = 500
 FRAMES_PER_FILE = {"train": 196_072, "validation": 28_789, "test": 92_726}
+EXPECTED_SHARDS = (
+    ("train", "Bag"),
+    ("train", "Hips"),
+    ("train", "Torso"),
+    ("train", "Hand"),
+    ("validation", "Bag"),
+    ("validation", "Hips"),
+    ("validation", "Torso"),
+    ("validation", "Hand"),
+    ("test", "Bag"),
+    ("test", "Hips"),
+    ("test", "Torso"),
+)
+LABELLED_SPLITS = ("train", "validation")
 EXPECTED_ROWS = 92_726
 EXPECTED_COLS = 500
 DEFAULT_POOLING = "mean"
@@ -53,7 +67,7 @@ WRONG_ROWS = "expected %d rows, got %d"
 WRONG_COLS = "expected %d cols, got %s"
 NAN_ENTRIES = "%d NaN entries"
 NON_INTEGER = "non-integer entries present"
-STRAY_LABELS = "labels outside allowed set: [%s]%s"
+STRAY_LABELS = "labels outside allowed set: [%s]"
 MISSING_FILE = "missing: %s"
 HASH_MISMATCH = "hash mismatch: %s (expected %s, got %s)"
 MANIFEST_LINE = "%s  %s"

@@ -77,8 +77,9 @@ def require_aligned(truth: DataFrame, predictions: DataFrame, keys: Sequence[str
 def compare_runs(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Reproduction check of two score tables (keys, scores ARRAY<DOUBLE>, y_pred).
 
-    One row: matched and unmatched frames, the largest absolute score difference and the number
-    of frames whose predicted class differs.
+    One row: matched and unmatched frames, frames that a side repeats, matched frames whose score
+    vectors differ in width, and over the others the largest absolute score difference and the
+    number of frames whose predicted class differs. A frame that is repeated is not matched.
     """
     both = ["scores", "y_pred"]
     packed = [
@@ -86,12 +87,15 @@ def compare_runs(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> Da
         for side, name in ((first, "a"), (second, "b"))
     ]
     aligned = align(packed[0], packed[1], keys, "a", "b")
-    matched = (F.col("n_left") > 0) & (F.col("n_right") > 0)
+    matched = (F.col("n_left") == 1) & (F.col("n_right") == 1)
+    repeated = (F.col("n_left") > 1) | (F.col("n_right") > 1)
+    wide = matched & ~F.size("a.scores").eqNullSafe(F.size("b.scores"))
+    gap = max_abs_diff(F.col("a.scores"), F.col("b.scores"))
     return aligned.agg(
         F.count_if(matched).alias("n_matched"),
         F.count_if(~matched).alias("n_unmatched"),
-        F.max(F.when(matched, max_abs_diff(F.col("a.scores"), F.col("b.scores")))).alias(
-            "max_abs_diff"
-        ),
+        F.count_if(repeated).alias("n_repeated"),
+        F.count_if(wide).alias("n_width_diff"),
+        F.max(F.when(matched & ~wide, gap)).alias("max_abs_diff"),
         F.count_if(matched & (F.col("a.y_pred") != F.col("b.y_pred"))).alias("n_argmax_diff"),
     )

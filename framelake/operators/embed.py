@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import CHANNELS
+from ..constants import CHANNELS, SAMPLES_PER_FRAME
 from ..functions.samples import summary
 
 #: (frames, channels, samples) float32 -> (frames, dim) or (frames, patches, dim).
@@ -23,10 +23,12 @@ def embed_statistics(frames: DataFrame, channels: Sequence[str] = CHANNELS) -> D
     return frames.select(*keep, F.concat(*[summary(F.col(c)) for c in channels]).alias("features"))
 
 
-def _stack(batch: pa.RecordBatch, channels: Sequence[str]) -> np.ndarray:
-    """(rows, channels, samples) from list columns; absent or short channels end in zeros."""
+def _stack(batch: pa.RecordBatch, channels: Sequence[str], width: int) -> np.ndarray:
+    """(rows, channels, width) from list columns; absent or short channels end in zeros."""
     lengths = [pc.fill_null(pc.list_value_length(batch.column(c)), 0) for c in channels]
-    width = max(pc.max(n).as_py() or 0 for n in lengths)
+    longest = max(pc.max(n).as_py() or 0 for n in lengths)
+    if longest > width:
+        raise ValueError(f"a channel of {longest} samples does not fit frames of {width}")
     block = np.zeros((batch.num_rows, len(channels), width), dtype=np.float32)
     for j, (name, n) in enumerate(zip(channels, lengths, strict=True)):
         values = batch.column(name).flatten().to_numpy(zero_copy_only=False)
@@ -40,9 +42,13 @@ def embed_frames(
     load: Callable[[], Embedder],
     *,
     channels: Sequence[str] = CHANNELS,
+    n_samples: int = SAMPLES_PER_FRAME,
     batch_rows: int = 256,
 ) -> DataFrame:
-    """Run a frozen model over frames, batch by batch on the executors.
+    """Run a frozen model over frames of ``n_samples``, batch by batch on the executors.
+
+    Every frame enters with that width, whatever its neighbours: shorter channels end in zeros,
+    longer ones are refused.
 
     ``load`` opens the model once per task that has frames, from a pinned place that executors
     can reach. A result
@@ -58,7 +64,7 @@ def embed_frames(
             model = model or load()
             for start in range(0, batch.num_rows, batch_rows):
                 part = batch.slice(start, batch_rows)
-                vectors = np.asarray(model(_stack(part, names)), dtype=np.float32)
+                vectors = np.asarray(model(_stack(part, names, n_samples)), dtype=np.float32)
                 if vectors.ndim == 3:
                     vectors = vectors.mean(axis=1)
                 columns = [part.column(c) for c in keep]

@@ -7,10 +7,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import CHANNELS, FRAMES_PER_FILE, LABEL_CHANNEL, SAMPLES_PER_FRAME
+from ..constants import (
+    CHANNELS,
+    EXPECTED_SHARDS,
+    FRAMES_PER_FILE,
+    LABEL_CHANNEL,
+    LABELLED_SPLITS,
+    SAMPLES_PER_FRAME,
+)
 from ..functions.samples import standardise, standardise_within
 from ..functions.vectors import array_mode
 from ..schemas import FRAME_SCHEMA
+from ..session import refuse
 
 FRAME_KEYS = ("split", "location", "frame_idx")
 SHARD_KEYS = ("split", "location")
@@ -24,9 +32,12 @@ def assemble_frames(
 
     One shuffle on the frame key for all files together; a channel that lacks the frame is NULL.
     The label of a frame is the most frequent of its sample labels, the smallest on a tie.
+    Lines that repeat a frame of a channel are what :func:`repeated_lines` lists.
     """
+    # A map task rarely holds two channels of a frame: combining there would only sort the samples twice.
     wide = (
-        raw.groupBy(*keys)
+        raw.repartition(*[F.col(k) for k in keys])
+        .groupBy(*keys)
         .pivot("channel", [*channels, LABEL_CHANNEL])
         .agg(F.any_value("samples", ignoreNulls=True))
     )
@@ -34,6 +45,11 @@ def assemble_frames(
     return wide.withColumn("y", label).drop(LABEL_CHANNEL)
 
 
+def repeated_lines(raw: DataFrame, keys: Sequence[str] = (*FRAME_KEYS, "channel")) -> DataFrame:
+    """(keys, n) of every key that occurs more than once; samples are not read."""
+    return raw.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+
+
 def write_frames(frames: DataFrame, root: str) -> None:
     """Write frames partitioned by split and location; large slices use many tasks."""
     typed = frames.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in FRAME_SCHEMA])
@@ -71,15 +87,20 @@ def frame_sanity(
     n_samples: int = SAMPLES_PER_FRAME,
     channels: Sequence[str] = CHANNELS,
     frames_per_file: Mapping[str, int] | None = None,
+    shards: Sequence[tuple[str, str]] | None = None,
+    labelled: Sequence[str] = (),
 ) -> DataFrame:
     """Violations only: (split, location, check, detail, found, expected).
 
     Checks per (split, location): every channel present, equally many frames in all channels,
-    the published number of frames when given, every line of the right length and readable.
+    the published number of frames when given, every line of the right length and readable. In the
+    ``labelled`` splits the label file is one of the channels. With ``shards``, each (split,
+    location) of that list has to be there.
     """
-    per_file = shape_table(raw.where(F.col("channel").isin(list(channels))))
+    label_file = (F.col("channel") == LABEL_CHANNEL) & F.col("split").isin(list(labelled))
+    per_file = shape_table(raw.where(F.col("channel").isin(list(channels)) | label_file))
     # At most one entry per listed channel and shard is collected.
-    shards = per_file.groupBy(*SHARD_KEYS).agg(
+    found = per_file.groupBy(*SHARD_KEYS).agg(
         F.collect_list(
             F.struct("channel", "n_frames", "min_len", "max_len", "n_unreadable")
         ).alias("files"),
@@ -99,6 +120,7 @@ def frame_sanity(
         )
 
     names = F.array(*[F.lit(c) for c in channels])
+    names = F.when(F.col("split").isin(list(labelled)), F.array_append(names, LABEL_CHANNEL)).otherwise(names)
     size = F.lit(n_samples)
     absent = F.transform(
         F.array_except(names, F.transform("files", lambda f: f["channel"])),
@@ -120,9 +142,16 @@ def frame_sanity(
         F.filter("files", lambda f: f["n_unreadable"] > 0),
         lambda f: issue("unreadable lines", f["channel"], f["n_unreadable"], F.lit(0)),
     )
-    return shards.withColumn("wanted", wanted).select(
+    violations = found.withColumn("wanted", wanted).select(
         *SHARD_KEYS, F.inline(F.concat(absent, count, short, long, unreadable))
     )
+    if not shards:
+        return violations
+    listed = [F.struct(F.lit(s).alias("split"), F.lit(p).alias("location")) for s, p in shards]
+    wanted_shards = raw.sparkSession.range(1).select(F.inline(F.array(*listed)))
+    lost = wanted_shards.join(found.select(*SHARD_KEYS), list(SHARD_KEYS), "left_anti")
+    lost = lost.select(*SHARD_KEYS, issue("location missing", F.col("location"), F.lit(0), F.lit(1)).alias("v"))
+    return violations.unionByName(lost.select(*SHARD_KEYS, "v.*"))
 
 
 def incomplete_frames(
@@ -203,8 +232,8 @@ def normalise(
 
 
 def check_counts(raw: DataFrame, n_samples: int = SAMPLES_PER_FRAME) -> None:
-    """Stop with the first violations when raw files do not have the published shape."""
-    found = frame_sanity(raw, n_samples, frames_per_file=FRAMES_PER_FILE).limit(20).collect()
-    if found:
-        shown = [f"{r['split']}/{r['location']} {r['check']}: {r['detail']}" for r in found]
-        raise ValueError("; ".join(shown))
+    """Stop with the table of all violations when raw files do not have the published shape."""
+    found = frame_sanity(
+        raw, n_samples, frames_per_file=FRAMES_PER_FILE, shards=EXPECTED_SHARDS, labelled=LABELLED_SPLITS
+    )
+    refuse(found, "shape-violations", "%d violations of the published shape")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -11,20 +13,19 @@ from .frames import FRAME_KEYS
 
 
 def fuse_models(
-    cache: DataFrame, models: Sequence[str], keys: Sequence[str] = FRAME_KEYS
+    cache: DataFrame, models: Sequence[tuple[str, str]], keys: Sequence[str] = FRAME_KEYS
 ) -> DataFrame:
-    """(keys, y, features): vectors of the models concatenated in the given order.
+    """(keys, y, features): vectors of (model, revision) pairs concatenated in the given order.
 
-    Frames that lack one of the models are left out. One shuffle on the frame key serves any
+    Frames that lack one of the pairs are left out. One shuffle on the frame key serves any
     number of models.
     """
-    rows = cache.where(F.col("fm").isin(list(models)))
-    wide = rows.groupBy(*keys).agg(
+    own = [(F.col("fm") == fm) & (F.col("revision") == revision) for fm, revision in models]
+    rows = cache.where(functools.reduce(operator.or_, own))
+    # A task of the scan holds one model's rows of a frame: combining there would only sort them twice.
+    wide = rows.repartition(*[F.col(k) for k in keys]).groupBy(*keys).agg(
         F.max("y").alias("y"),
-        *[
-            F.any_value(F.when(F.col("fm") == m, F.col("features")), ignoreNulls=True).alias(f"m{i}")
-            for i, m in enumerate(models)
-        ],
+        *[F.any_value(F.when(mine, F.col("features")), ignoreNulls=True).alias(f"m{i}") for i, mine in enumerate(own)],
     )
     parts = [f"m{i}" for i in range(len(models))]
     return wide.dropna(subset=parts).select(*keys, "y", F.concat(*parts).alias("features"))

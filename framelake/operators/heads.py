@@ -22,10 +22,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import persisted
-from .gram import collect_gram
+from .gram import collect_gram, grouped_gram
 from .scaling import SCALED, VECTOR, PopulationScaler, scale, with_vector
 
-MAX_CLASSES = 1000
 _INDEX = "class_index"
 
 
@@ -47,6 +46,10 @@ class HeadModel:
     weights: np.ndarray | None = None
     meta: dict[str, str] = field(default_factory=dict)
 
+    @property
+    def _scale(self) -> str:
+        return VECTOR if self.scaler is None else SCALED
+
     def _input(self, rows: DataFrame) -> DataFrame:
         vectors = with_vector(rows)
         return vectors if self.scaler is None else scale(vectors, self.scaler)
@@ -55,7 +58,7 @@ class HeadModel:
         """Add ``y_pred``; row-wise, so it works on batch and streaming input alike."""
         scaled = self._input(rows)
         if self.weights is not None:
-            index = _linear_index(self.weights)(vector_to_array(SCALED, "float32"))
+            index = _linear_index(self.weights)(vector_to_array(self._scale, "float32"))
             found = scaled.withColumn(_INDEX, index)
         else:
             found = self.classifier.transform(scaled).withColumn(
@@ -69,7 +72,7 @@ class HeadModel:
         scaled = self._input(rows)
         if self.weights is not None:
             found = scaled.withColumn(
-                "scores", _linear_scores(self.weights)(vector_to_array(SCALED, "float32"))
+                "scores", _linear_scores(self.weights)(vector_to_array(self._scale, "float32"))
             )
         else:
             found = self.classifier.transform(scaled).withColumn(
@@ -274,11 +277,10 @@ class Head:
         Counting the classes reads the label column only.
         """
         labelled = rows.select(F.col("features"), F.col("y").cast("int").alias("y"))
-        by_class = labelled.groupBy("y").count().orderBy("y").limit(MAX_CLASSES + 1).collect()
+        # A row per class, as many as the model has outputs.
+        by_class = labelled.groupBy("y").count().orderBy("y").collect()
         if not by_class or by_class[0]["y"] is None:
             raise ValueError("the training set has no labels or only some")
-        if len(by_class) > MAX_CLASSES:
-            raise ValueError(f"more than {MAX_CLASSES} distinct labels")
         classes = tuple(r["y"] for r in by_class)
         index = (F.array_position(_class_array(classes), F.col("y")) - 1).cast("int")
         train = _TrainingSet(
@@ -300,13 +302,65 @@ def make_head(name: str = "logreg", *, seed: int = 0, **params: Any) -> Head:
 def fit_per_group(
     rows: DataFrame, head: Head, column: str, groups: tuple[str, ...]
 ) -> dict[str, HeadModel]:
-    """One head per named group, e.g. per phone location (a fixed short list)."""
+    """One head per named group, e.g. per phone location (a fixed short list).
+
+    ``linear`` heads of all groups come from one pass; the estimators behind the others fit one
+    data set at a time.
+    """
+    if head.name == "linear":
+        return _ridge_per_group(rows, column, groups, **head.params)
     return {g: head.fit(rows.where(F.col(column) == g)) for g in groups}
 
 
+def _ridge_per_group(
+    rows: DataFrame, column: str, groups: tuple[str, ...], alpha: float = 1.0
+) -> dict[str, HeadModel]:
+    """Ridge heads from one Gram matrix per group of [features, 1, one column per class].
+
+    The matrix holds the sums, counts and products that standardising and solving need.
+    """
+    labelled = rows.where(F.col(column).isin(list(groups)))
+    found = labelled.groupBy(F.col(column).alias("g"), F.col("y").cast("int").alias("y")).count().collect()
+    if any(r["y"] is None for r in found) or len({r["g"] for r in found}) < len(groups):
+        raise ValueError("the training set has no labels or only some")
+    classes = sorted({r["y"] for r in found})
+    marks = F.transform(_class_array(tuple(classes)), lambda c: F.when(c == F.col("y"), 1.0).otherwise(0.0))
+    joint = F.concat(F.col("features").cast("array<double>"), F.array(F.lit(1.0)), marks)
+    table: dict[str, dict[int, list[float]]] = {g: {} for g in groups}
+    for r in grouped_gram(labelled.select(F.col(column).alias("g"), joint.alias("x")), "x", "g").collect():
+        table[r["g"]][r["i"]] = r["products"]
+    models = {}
+    for g, parts in table.items():
+        gram = np.array([parts[i] for i in range(len(parts))])
+        d = len(gram) - 1 - len(classes)
+        n, sums = gram[d, d], gram[:d, d]
+        own = [k for k in range(len(classes)) if gram[d, d + 1 + k] > 0]
+        counts = gram[d, d + 1 :][own]
+        mean = sums / n
+        spread = np.sqrt(np.maximum(np.diag(gram)[:d] / n - mean**2, 0))
+        scale_by = np.divide(1.0, spread, out=np.zeros(d), where=spread > 1e-12 * np.maximum(np.abs(mean), 1e-300))
+        covered = (gram[:d, :d] - n * np.outer(mean, mean)) * np.outer(scale_by, scale_by)
+        # Targets are +1 for the class and -1 for the rest.
+        targets = 2.0 * gram[:d, d + 1 :][:, own] - sums[:, None]
+        bias = (2.0 * counts - n) / n
+        crossed = (targets - np.outer(mean, n * bias)) * scale_by[:, None]
+        weights = np.linalg.solve(covered + alpha * np.eye(d), crossed) * scale_by[:, None]
+        models[g] = HeadModel(
+            name="linear",
+            classes=tuple(classes[k] for k in own),
+            weights=np.vstack([weights, bias - mean @ weights]),
+        )
+    return models
+
+
 def predict_per_group(rows: DataFrame, models: dict[str, HeadModel], column: str) -> DataFrame:
-    """Predict each group with its own head; partition filters keep every scan to its group."""
+    """Predict each group with its own head; partition filters keep every scan to its group.
+
+    Rows of a group without a head stay, with a NULL prediction.
+    """
+    rest = rows.where(F.col(column).isNull() | ~F.col(column).isin(list(models)))
     parts = [m.predict(rows.where(F.col(column) == g)) for g, m in models.items()]
+    parts.append(rest.withColumn("y_pred", F.lit(None).cast("int")))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

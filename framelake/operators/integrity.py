@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import HASH_MISMATCH, MISSING_FILE
@@ -23,7 +23,11 @@ def check_manifest(manifest: DataFrame, files: DataFrame) -> DataFrame:
         .when(F.col("actual") != F.col("expected"), "mismatch")
         .otherwise("ok")
     )
-    return listed.join(found, "rel", "left").select("rel", "expected", "actual", status.alias("status"))
+    columns = ["rel", "expected", "actual", status.alias("status")]
+    # Lines without a path have one NULL key: they pass by the join.
+    nowhere = listed.where(F.col("rel").isNull()).withColumn("actual", F.lit(None).cast("string"))
+    met = listed.where(F.col("rel").isNotNull()).join(found, "rel", "left")
+    return met.select(*columns).unionByName(nowhere.select(*columns))
 
 
 def unlisted_files(manifest: DataFrame, files: DataFrame) -> DataFrame:
@@ -78,13 +82,20 @@ def verify_manifest(spark: SparkSession, manifest_path: str, root: str) -> DataF
 
 
 def folder_digest(parts: DataFrame) -> DataFrame:
-    """One digest for a folder: SHA-256 over its part digests in name order.
+    """One digest for a folder: SHA-256 over its part digests in the order of the parts' numbers.
 
-    ``parts`` has one row per output file, a number chosen by the writer.
+    Digests of a thousand parts each are joined and hashed first, and then those hashes, so that one
+    row never holds the digests of all files.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("rel", "digest")))
-    joined = F.array_join(F.transform(ordered, lambda p: p["digest"]), "\n")
-    return parts.agg(F.sha2(joined, 256).alias("digest"))
+    number = F.regexp_extract("rel", r"part-(\d+)", 1).try_cast("bigint")
+    group = F.coalesce(F.floor(number / 1000), F.lit(-1)).alias("group")
+    keyed = parts.select("rel", "digest", group)
+
+    def joined(first: str) -> Column:
+        ordered = F.array_sort(F.collect_list(F.struct(first, "digest")))
+        return F.sha2(F.array_join(F.transform(ordered, lambda p: p["digest"]), "\n"), 256).alias("digest")
+
+    return keyed.groupBy("group").agg(joined("rel")).agg(joined("group"))
 
 
 def logged_digest_check(

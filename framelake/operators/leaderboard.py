@@ -18,13 +18,18 @@ def _ranked(metric: str) -> list[Column]:
     return [number.desc_nulls_last(), F.col("run_id").asc()]
 
 
-def run_table(runs: DataFrame, experiments: DataFrame, metric: str = "macro_f1") -> DataFrame:
+def run_table(
+    runs: DataFrame, experiments: DataFrame, metric: str = "macro_f1", params: Sequence[str] = ()
+) -> DataFrame:
     """Flatten runs to the leaderboard columns; an absent tag, param or metric is NULL.
 
+    ``params`` (for instance ``seed``) are added as text columns behind them.
+
     The experiment name falls back to the id. The column keeps the name ``macro_f1`` whatever
     ``metric`` is ranked, as users of the table expect.
     """
-    names = experiments.select("experiment_id", "name")
+    # Two writers may have added an experiment twice: one name per id, so that no run is doubled.
+    names = experiments.groupBy("experiment_id").agg(F.min("name").alias("name"))
     named = lookup_join(runs, names, "experiment_id")
     tag = lambda key: F.try_element_at("tags", F.lit(key))
     param = lambda key: F.try_element_at("params", F.lit(key))
@@ -41,7 +46,7 @@ def run_table(runs: DataFrame, experiments: DataFrame, metric: str = "macro_f1")
         "start_time": F.col("start_time"),
         "run_id": F.col("run_id"),
     }
-    return named.select(*[columns[c].alias(c) for c in RUN_COLUMNS])
+    return named.select(*[columns[c].alias(c) for c in RUN_COLUMNS], *[param(p).alias(p) for p in params])
 
 
 def leaderboard(
@@ -100,8 +105,8 @@ def best_by_model(table: DataFrame) -> DataFrame:
     )
 
 
-def ablation(table: DataFrame, heads: Sequence[str]) -> DataFrame:
-    """Best score per (fm, locations), one column per head, from names ``fm|locations|head``."""
+def ablation(table: DataFrame) -> DataFrame:
+    """(fm, locations, head, best_f1, n_runs) from run names ``fm|locations|head``, whatever the head is called."""
     parts = F.split("run_name", r"\|")
     named = table.where(F.size(parts) == 3).select(
         parts[0].alias("fm"),
@@ -109,4 +114,6 @@ def ablation(table: DataFrame, heads: Sequence[str]) -> DataFrame:
         parts[2].alias("head"),
         F.nanvl(F.col("macro_f1"), F.lit(None).cast("double")).alias("macro_f1"),
     )
-    return named.groupBy("fm", "locations").pivot("head", list(heads)).agg(F.max("macro_f1"))
+    return named.groupBy("fm", "locations", "head").agg(
+        F.max("macro_f1").alias("best_f1"), F.count(F.lit(1)).alias("n_runs")
+    )

@@ -23,9 +23,6 @@ from ..functions.text import as_label, is_whole, split_words, to_number, uncomme
 from ..session import materialise
 from ..sources.matrix import read_matrix_lines, write_matrix
 
-#: Stray labels listed inside a message; the full list is what :func:`label_table` returns.
-LISTED_LABELS = 100
-
 
 def line_profiles(lines: DataFrame, value: str = "value") -> DataFrame:
     """Lines grouped by what matters to the checks, with the number of lines of each kind.
@@ -88,13 +85,13 @@ def validation_report(
     expected_rows: int = EXPECTED_ROWS,
     expected_cols: int = EXPECTED_COLS,
     allowed: Sequence[int] = CLASSES,
-    list_stray: bool = True,
+    count_stray: bool = True,
 ) -> DataFrame:
     """One row: shape, NaN count, labels and one message per kind of fault.
 
-    ``unique_labels`` holds the allowed labels seen, ``n_stray`` the exact number of others and
-    ``stray`` the smallest of them, so the row stays small however bad the file is. Without
-    ``list_stray`` they are not looked for, only whether there are any (``has_stray``).
+    ``unique_labels`` holds the allowed labels seen and ``n_stray`` the number of others, all of
+    which :func:`stray_labels` lists. Without ``count_stray`` they are not counted, only whether there
+    are any (``has_stray``).
     """
     none = F.lit(0).cast("bigint")
     facts = profiles.agg(
@@ -117,14 +114,8 @@ def validation_report(
             lambda c: c.isNotNull(),
         ).alias("unique_labels"),
     )
-    if list_stray:
-        stray = stray_labels(profiles, allowed)
-        few = stray.orderBy("label").limit(LISTED_LABELS)
-        n_stray = stray.agg(F.count(F.lit(1))).scalar()
-        listed = few.agg(F.array_sort(F.collect_list("label"))).scalar()
-    else:
-        n_stray, listed = none, F.array().cast("array<bigint>")
-    facts = facts.withColumns({"n_stray": n_stray, "stray": listed})
+    n_stray = stray_labels(profiles, allowed).agg(F.count(F.lit(1))).scalar() if count_stray else none
+    facts = facts.withColumn("n_stray", n_stray)
 
     def note(condition, text, *args):
         return F.when(condition, F.format_string(text, *args))
@@ -144,15 +135,7 @@ def validation_report(
         note(F.col("n_nans") > 0, NAN_ENTRIES, "n_nans"),
         note(F.col("n_text") > 0, "%d entries are not numbers", "n_text"),
         note(F.col("fractional"), NON_INTEGER),
-        note(
-            F.col("n_stray") > 0,
-            STRAY_LABELS,
-            F.array_join(F.col("stray").cast("array<string>"), ", "),
-            F.when(
-                F.col("n_stray") > LISTED_LABELS,
-                F.format_string(" and %d more", F.col("n_stray") - LISTED_LABELS),
-            ).otherwise(""),
-        ),
+        note(F.col("n_stray") > 0, "%d labels outside allowed set", "n_stray"),
     )
     report = facts.withColumn("messages", F.filter(messages, lambda m: m.isNotNull()))
     return report.select(
@@ -165,7 +148,6 @@ def validation_report(
         "unique_labels",
         "has_stray",
         "n_stray",
-        "stray",
         "messages",
     )
 
@@ -193,14 +175,16 @@ def validate(
 ) -> ValidationReport:
     """Check a matrix file or folder; faults become messages and nothing is raised for them.
 
-    One pass; a second one lists stray labels if there are any.
+    One pass; a second one lists the labels, every one of them, if some are stray.
     """
     profiles = line_profiles(read_matrix_lines(spark, path))
     limits = (expected_rows, expected_cols, allowed)
-    row = validation_report(profiles, *limits, list_stray=False).first()
+    row = validation_report(profiles, *limits, count_stray=False).first()
+    seen, messages = row["unique_labels"], list(row["messages"])
     if row["has_stray"]:
-        row = validation_report(profiles, *limits).first()
-    seen = sorted([*row["unique_labels"], *row["stray"]])
+        seen = [r["label"] for r in label_table(profiles).orderBy("label").toLocalIterator()]
+        stray = [str(label) for label in seen if label not in set(allowed)]
+        messages.append(STRAY_LABELS % ", ".join(stray))
     return ValidationReport(
         ok=row["ok"],
         path=path,
@@ -209,10 +193,15 @@ def validate(
         dtype="float64",
         unique_labels=tuple(seen),
         n_nans=row["n_nans"],
-        messages=tuple(row["messages"]),
+        messages=tuple(messages),
     )
 
 
+def repeated_frames(predictions: DataFrame) -> DataFrame:
+    """(frame_idx, n) of every frame with several predictions."""
+    return predictions.groupBy("frame_idx").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+
+
 def write_submission(
     predictions: DataFrame,
     out: str,
@@ -224,7 +213,8 @@ def write_submission(
 ) -> ValidationReport:
     """Write (frame_idx, y_pred) as a matrix of ``n_cols`` samples per frame, then check it.
 
-    Predictions must be one number per frame without a fraction.
+    Predictions must be one number per frame without a fraction, and each frame must occur once:
+    a repeated frame would hide a missing one behind the right number of rows.
     """
     kind = predictions.schema["y_pred"].dataType
     if not isinstance(kind, T.NumericType):
@@ -242,6 +232,9 @@ def write_submission(
         raise ValueError(
             f"predictions hold {facts['empty']} empty and {facts['fractional']} non-integer values"
         )
+    repeated = repeated_frames(predictions).agg(F.count(F.lit(1)), F.min("frame_idx")).first()
+    if repeated[0]:
+        raise ValueError(f"{repeated[0]} frames have several predictions, the first is {repeated[1]}")
     write_matrix(predictions, out, n_cols, facts["n"])
     spark = predictions.sparkSession
     if validate_after:

@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 from ..constants import DEFAULT_POOLING, EXPECTED_ROWS, POOLED_LOCATION, SAMPLES_PER_FRAME
 from ..operators.embed import Embedder, embed_frames, embed_statistics
 from ..operators.evaluation import evaluate
-from ..operators.frames import assemble_frames, check_counts, normalise, write_frames
+from ..operators.frames import FRAME_KEYS, assemble_frames, check_counts, normalise, repeated_lines, write_frames
 from ..operators.heads import HeadModel, make_head
-from ..operators.integrity import manifest_summary, messages, verify_manifest
+from ..operators.integrity import folder_digest, manifest_summary, messages, verify_manifest
 from ..operators.metrics import EvalResult
 from ..operators.submission import ValidationReport, write_submission
 from ..schemas import CACHE_KEYS, FRAME_SCHEMA, PREDICTION_SCHEMA
-from ..session import materialise
-from ..sources.raw_files import PLAIN_LAYOUT, read_raw
+from ..session import materialise, refuse
+from ..sources.file_listing import digest_files, list_files
+from ..sources.matrix import read_text_predictions
+from ..sources.raw_files import PLAIN_LAYOUT, read_raw, unexpected_files
 from ..sources.runs import log_run
 from ..sources.vector_cache import embeddings, read_cache, write_cache
 
@@ -27,13 +29,9 @@ from ..sources.vector_cache import embeddings, read_cache, write_cache
 def verify_raw(spark: SparkSession, manifest: str, root: str) -> int:
     """Re-hash the listed files; any difference stops the pipeline."""
     statuses = materialise(verify_manifest(spark, manifest, root), "manifest-check")
-    totals = manifest_summary(statuses).first()
-    if not totals["ok"]:
-        shown = [r["message"] for r in messages(statuses).orderBy("rel").limit(20).collect()]
-        raise ValueError(
-            f"{totals['n_diverged']}/{totals['n']} files diverged: " + "; ".join(shown)
-        )
-    return totals["n"]
+    n = manifest_summary(statuses).first()["n"]
+    refuse(messages(statuses), "manifest-differences", f"%d/{n} files diverged")
+    return n
 
 
 def window_features(
@@ -49,6 +47,7 @@ def window_features(
     """Raw files to normalised frames, written per split and location."""
     raw = read_raw(spark, raw_root, layout)
     if check:
+        refuse(unexpected_files(spark, raw_root, layout), "unexpected-files", "%d files are no raw files")
         check_counts(raw, n_samples)
     # Statistics and normalisation both read the frames, so they are assembled once.
     frames = materialise(assemble_frames(raw), "frames")
@@ -58,7 +57,11 @@ def window_features(
 
 
 def pool_test_frames(frames: DataFrame) -> DataFrame:
-    """Give test frames the pooled location under which the cache keeps them."""
+    """Give test frames the pooled location under which the cache keeps them.
+
+    Frames are numbered per location, so several test locations would give one number twice; what
+    :func:`repeated_lines` finds then has to be refused.
+    """
     place = F.when(F.col("split") == "test", F.lit(POOLED_LOCATION)).otherwise(F.col("location"))
     return frames.withColumn("location", place)
 
@@ -91,6 +94,11 @@ def frozen_embeddings(
         )
         here = F.concat_ws("/", "split", "location")
         frames = frames.where(~here.isin([r["slice"] for r in done]))
+    refuse(
+        repeated_lines(frames.where(F.col("split") == "test"), FRAME_KEYS),
+        "repeated-test-frames",
+        "%d test frames occur in several locations",
+    )
     vectors = embed_statistics(frames) if load is None else embed_frames(frames, load)
     keyed = vectors.withColumns(
         {"fm": F.lit(fm), "revision": F.lit(revision), "pooling": F.lit(DEFAULT_POOLING)}
@@ -112,7 +120,7 @@ def train_head(
     root: str | None = None,
     store: str | None = None,
     out: str | None = None,
-    tags: Mapping[str, str] | None = None,
+    tags: Mapping[str, Any] | None = None,
     **params: Any,
 ) -> tuple[HeadModel, EvalResult]:
     """Fit on train, score on validation, log the run, save the head."""
@@ -136,7 +144,7 @@ def train_head(
             spark,
             store,
             experiment,
-            run_name=f"{fm}+{head}",
+            run_name=f"{fm}|{'all' if locations is None else f'{len(locations)}loc'}|{head}",
             params={"seed": seed, "fm": fm, "head": head, "revision": train.revision, **params},
             tags=tags,
             metrics=metrics,
@@ -164,11 +172,31 @@ def predict_test(
 
 
 def format_submission(
-    spark: SparkSession, predictions: str, out: str, expected_rows: int = EXPECTED_ROWS
+    spark: SparkSession,
+    predictions: str,
+    out: str,
+    expected_rows: int = EXPECTED_ROWS,
+    *,
+    text: bool = False,
+    store: str | None = None,
+    experiment: str = "cli",
+    tags: Mapping[str, Any] | None = None,
 ) -> ValidationReport:
-    """Turn saved frame predictions into the checked matrix; a faulty matrix is an error."""
-    table = spark.read.schema(PREDICTION_SCHEMA).parquet(predictions)
+    """Turn saved frame predictions into the checked matrix; a faulty matrix is an error.
+
+    Predictions are Parquet, or with ``text`` a text file of class ids with any number per line, which
+    are numbered in reading order. With ``store`` a run is logged whose tag ``submission_sha256`` is
+    the digest of the written matrix.
+    """
+    if text:
+        table = read_text_predictions(spark, predictions)
+    else:
+        table = spark.read.schema(PREDICTION_SCHEMA).parquet(predictions)
     report = write_submission(table, out, expected_rows=expected_rows)
     if not report.ok:
         raise ValueError("; ".join(report.messages))
+    if store:
+        digest = folder_digest(digest_files(list_files(spark, out, "part-*"))).first()["digest"]
+        logged = {"submission_sha256": digest} | dict(tags or {})
+        log_run(spark, store, experiment, run_name="submission", params={"out": out}, tags=logged)
     return report

@@ -58,6 +58,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/framelake/{name}-{uuid.uuid4().hex}"
 
 
+class TableError(ValueError):
+    """A check found faults; ``rows`` is the table of all of them and ``path`` where it was written."""
+
+    def __init__(self, message: str, rows: DataFrame, path: str):
+        super().__init__(f"{message}; all of them in {path}")
+        self.rows, self.path = rows, path
+
+
+def refuse(faults: DataFrame, name: str, message: str) -> None:
+    """Raise :class:`TableError` if there are faults; every fault is written, the message has their number."""
+    path = scratch_path(faults.sparkSession, name)
+    faults.write.parquet(path)
+    rows = faults.sparkSession.read.schema(faults.schema).parquet(path)
+    n = rows.count()
+    if n:
+        raise TableError(message % n, rows, path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

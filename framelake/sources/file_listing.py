@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..functions.text import without_scheme
 
 CHUNK = 1 << 20
-MAX_TASKS = 10_000
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*.txt") -> DataFrame:
@@ -59,7 +58,7 @@ def digest_files(files: DataFrame, tasks: int | None = None) -> DataFrame:
     otherwise merge them all into one task.
     """
     if tasks is None:
-        tasks = max(1, min(files.count(), MAX_TASKS))
+        tasks = max(1, files.count())
     spread = files.select("path", "rel").repartition(tasks)
     return spread.mapInArrow(_hash_batches, "rel string, digest string")
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import EXPECTED_COLS
 from ..functions.text import split_words, to_number, uncomment
+from ..session import materialise
+from .raw_files import number_lines
 
 
 def parse_matrix(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -72,6 +75,31 @@ def read_matrix_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def read_text_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """(frame_idx, y_pred): the numbers of a text file in reading order, counted from 0.
+
+    Lines are numbered by their block as raw files are; the numbers before a line are those of earlier
+    lines, added up per thousand lines first, so that no task sorts all lines.
+    """
+    lines = spark.read.text(path).select(
+        F.lit("predictions").alias("name"),
+        F.regexp_extract(F.col("_metadata.file_path"), "[^/]+$", 0).alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line_id"),
+        "value",
+    )
+    kept = lines.where(uncomment(F.col("value")) != "")
+    parsed = parse_matrix(number_lines(materialise(kept, "prediction-lines"), ("name",)))
+    parsed = parsed.withColumns({"n": F.size("vals").cast("bigint"), "group": F.expr("frame_idx div 1000")})
+    sums = parsed.groupBy("group").agg(F.sum("n").alias("n"))
+    before = W.orderBy("group").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select("group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = W.partitionBy("group").orderBy("frame_idx").rowsBetween(W.unboundedPreceding, -1)
+    placed = parsed.withColumn("first", F.coalesce(F.sum("n").over(within), F.lit(0))).join(starts, "group")
+    cells = placed.select((F.col("start") + F.col("first")).alias("at"), F.posexplode("vals").alias("pos", "v"))
+    return cells.select((F.col("at") + F.col("pos")).alias("frame_idx"), F.col("v").alias("y_pred"))
+
+
 def flatten_predictions(parsed: DataFrame) -> DataFrame:
     """(line, pos, y_pred) for prediction files with any number of values per line."""
     keep = [c for c in parsed.columns if c not in ("vals", "value")]

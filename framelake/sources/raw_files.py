@@ -8,17 +8,19 @@ gives each block its first number. No step gathers a whole file in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import split_words, uncomment
+from ..constants import CHANNELS, LABEL_CHANNEL, SPLITS, TRAIN_LOCATIONS
+from ..functions.text import split_words, uncomment, without_scheme
 from ..session import lookup_join, materialise
+from .file_listing import list_files
 
-#: ``<split>/<location>/<channel>.txt``, either one file or a folder of ordered part files.
-PLAIN_LAYOUT = r"([^/]+)/([^/]+)/([^/]+)\.txt(?:/[^/]+)?$"
+#: Below the root: ``<split>/<location>/<channel>.txt``, one file or a folder of ordered part files.
+PLAIN_LAYOUT = r"^([^/]+)/([^/]+)/([^/]+)\.txt(?:/[^/]+)?$"
 #: The same as partition folders, the way Spark itself writes text.
-PARTITIONED_LAYOUT = r"split=([^/]+)/location=([^/]+)/channel=([^/]+)/[^/]+$"
+PARTITIONED_LAYOUT = r"^split=([^/]+)/location=([^/]+)/channel=([^/]+)/[^/]+$"
 
 KEYS = ("split", "location", "channel")
 
@@ -51,27 +53,53 @@ def number_lines(lines: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     )
 
 
+def _keys(rel: Column, layout: str) -> list[Column]:
+    return [F.regexp_extract(rel, layout, i + 1).alias(k) for i, k in enumerate(KEYS)]
+
+
+def _fault() -> Column:
+    """Why the keys of a path are not those of a raw file; NULL if they are."""
+    return (
+        F.when(F.col("channel") == "", "layout")
+        .when(~F.col("split").isin(list(SPLITS)), "split")
+        .when(~F.col("location").isin(list(TRAIN_LOCATIONS)), "location")
+        .when(~F.col("channel").isin([*CHANNELS, LABEL_CHANNEL]), "channel")
+    )
+
+
+def unexpected_files(spark: SparkSession, root: str, layout: str = PLAIN_LAYOUT) -> DataFrame:
+    """(rel, fault): text files below ``root`` that are no raw files, and which part of the path says so."""
+    files = list_files(spark, root).select("rel", *_keys(F.col("rel"), layout))
+    return files.select("rel", _fault().alias("fault")).where(F.col("fault").isNotNull())
+
+
 def read_lines(spark: SparkSession, root: str, layout: str = PLAIN_LAYOUT) -> DataFrame:
-    """Non-blank lines below ``root`` with their keys and position, written out once."""
+    """Non-blank lines of the raw files below ``root`` with their keys and position, written out once.
+
+    Other files, see :func:`unexpected_files`, are left out.
+    """
+    # Paths in file metadata are escaped as in a URL.
+    path = without_scheme(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
+    base = F.regexp_replace(without_scheme(F.lit(str(root))), "/+$", "")
     text = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.txt")
         .text(root)
         .select(
             uncomment(F.col("value")).alias("line"),
-            F.col("_metadata.file_path").alias("path"),
+            path.substr(F.length(base) + 2, F.length(path)).alias("rel"),
             F.col("_metadata.file_block_start").alias("block"),
         )
         .where(F.col("line") != "")
     )
     keyed = text.select(
-        *[F.regexp_extract("path", layout, i + 1).alias(k) for i, k in enumerate(KEYS)],
-        F.regexp_extract("path", r"[^/]+$", 0).alias("file"),
+        *_keys(F.col("rel"), layout),
+        F.regexp_extract("rel", r"[^/]+$", 0).alias("file"),
         "block",
         F.monotonically_increasing_id().alias("line_id"),
         split_words(F.col("line")).try_cast("array<float>").alias("samples"),
     )
-    return materialise(keyed, "raw-lines")
+    return materialise(keyed.where(_fault().isNull()), "raw-lines")
 
 
 def read_raw(spark: SparkSession, root: str, layout: str = PLAIN_LAYOUT) -> DataFrame:

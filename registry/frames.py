@@ -12,12 +12,13 @@ from framelake.operators.frames import (
     frame_sanity,
     incomplete_frames,
     normalise,
+    repeated_lines,
     shape_table,
 )
-from framelake.sources.raw_files import PARTITIONED_LAYOUT, read_raw
+from framelake.sources.raw_files import PARTITIONED_LAYOUT, read_raw, unexpected_files
 from pyspark.sql import functions as F
 
-from .views import EMB, RAW, READINGS, SAMPLES, once, raw_channels, readings, with_cte
+from .views import EMB, RAW, READINGS, SAMPLES, once, raw_channels, readings, table, with_cte
 
 
 def _long(frames, digits=None):
@@ -58,13 +59,12 @@ def _raw_folder(spark, sf):
 
 
 def frames_from_files(spark, sf):
-    """Channel files written as text, read back, lines numbered and samples summed."""
+    """Channel files written as text, read back, lines numbered; every sample."""
     raw = read_raw(spark, _raw_folder(spark, sf), PARTITIONED_LAYOUT)
-    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return raw.where(F.col("channel") != "Label").select(
-        "split", "location", "channel", "frame_idx",
-        F.size("samples").alias("n_samples"), F.round(total, 6).alias("total"),
+    cells = raw.where(F.col("channel") != "Label").select(
+        "split", "location", "channel", "frame_idx", F.posexplode("samples").alias("pos", "value")
     )
+    return cells.withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
 def q_channel_stats(spark, sf):
@@ -114,12 +114,38 @@ def _load_patch_model():
 
 def embed_udf(spark, sf):
     frames = assemble_frames(raw_channels(spark, sf)).drop("y")
-    vectors = embed_frames(frames, _load_patch_model)
+    vectors = embed_frames(frames, _load_patch_model, n_samples=SAMPLES)
     cells = vectors.select("split", "location", "frame_idx", F.posexplode("features").alias("dim", "value"))
     return cells.withColumn("value", F.round(F.col("value").cast("double"), 4))
 
 
+def frame_repeats(spark, sf):
+    """Lines that give a frame of a channel once more."""
+    return repeated_lines(readings(spark, sf))
+
+
+def raw_unexpected_files(spark, sf):
+    """Notes per source beside the channel files, and files of unknown splits, places and channels."""
+
+    def write(path):
+        docs = table(spark, sf, "documents").select(F.col("source").alias("place"), F.col("n_chars").cast("string").alias("value"))
+        odd = ["train/Bag/Acc_x.txt", "train/Bag/Temp.txt", "train/Moon/Acc_x.txt", "sunday/Bag/Acc_x.txt"]
+        few = docs.where("place = 'src0'").withColumn("place", F.explode(F.array(*[F.lit(o) for o in odd])))
+        counted = docs.unionByName(few).groupBy("place").agg(F.count("value").cast("string").alias("value"))
+        # One line, so one file, per place.
+        counted = counted.repartition("place").select("value", "place")
+        for name in odd:
+            counted.where(F.col("place") == name).coalesce(1).select("value").write.text(f"{path}/{name}")
+        counted.where(~F.col("place").isin(odd)).write.mode("append").partitionBy("place").text(path)
+
+    found = unexpected_files(spark, once(spark, sf, "odd-raw", write))
+    folder = F.regexp_replace(F.substring_index("rel", "/", 1), "^place=", "")
+    return found.groupBy(folder.alias("folder"), "fault").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
+    "frame_repeats": frame_repeats,
+    "raw_unexpected_files": raw_unexpected_files,
     "frames_assemble": frames_assemble,
     "frame_labels": frame_labels,
     "frames_from_files": frames_from_files,
@@ -153,8 +179,8 @@ def _stats_sql(source: str) -> str:
 PER_CHANNEL = """per_channel AS (
   SELECT split, location, frame_idx, channel, avg(v) AS mean, stddev_pop(v) AS std,
          min(v) AS low, max(v) AS high,
-         avg(v) FILTER (pos < 3) AS mean0, avg(v) FILTER (pos BETWEEN 3 AND 5) AS mean1,
-         max(v) FILTER (pos < 3) AS max0, max(v) FILTER (pos BETWEEN 3 AND 5) AS max1
+         avg(v) FILTER (pos < 4) AS mean0, avg(v) FILTER (pos BETWEEN 4 AND 7) AS mean1,
+         max(v) FILTER (pos < 4) AS max0, max(v) FILTER (pos BETWEEN 4 AND 7) AS max1
   FROM raw_long GROUP BY ALL)"""
 
 
@@ -175,9 +201,15 @@ ORACLES = {
     "frame_labels": with_cte(EMB, select="SELECT split, location, frame_idx, y FROM emb"),
     "frames_from_files": with_cte(RAW, select="""
 SELECT split, location, channel,
-       row_number() OVER (PARTITION BY split, location, channel ORDER BY frame_idx) - 1 AS frame_idx,
-       CAST(len(samples) AS INTEGER) AS n_samples,
-       round(list_sum(list_transform(samples, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM raw"""),
+       dense_rank() OVER (PARTITION BY split, location, channel ORDER BY frame_idx) - 1 AS frame_idx,
+       pos, round(v, 6) AS value FROM raw_long"""),
+    "frame_repeats": with_cte(READINGS, select="""
+SELECT split, location, channel, frame_idx, count(*) AS n FROM readings GROUP BY ALL HAVING count(*) > 1"""),
+    "raw_unexpected_files": """
+SELECT source AS folder, 'layout' AS fault, CAST(1 AS BIGINT) AS n FROM documents GROUP BY source
+UNION ALL SELECT 'train', 'channel', CAST(1 AS BIGINT) FROM documents GROUP BY 1
+UNION ALL SELECT 'train', 'location', CAST(1 AS BIGINT) FROM documents GROUP BY 1
+UNION ALL SELECT 'sunday', 'split', CAST(1 AS BIGINT) FROM documents GROUP BY 1""",
     "channel_stats": with_cte(RAW, select="""
 SELECT channel, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM raw_long
 WHERE split = 'train' GROUP BY channel"""),

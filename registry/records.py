@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from framelake.operators.heads import list_heads
 from framelake.operators.integrity import (
     check_manifest,
     logged_digest_check,
@@ -22,6 +21,7 @@ from framelake.operators.leaderboard import (
 from framelake.operators.submission import (
     label_table,
     line_profiles,
+    repeated_frames,
     stray_labels,
     validation_report,
 )
@@ -41,18 +41,18 @@ from framelake.session import materialise
 from pyspark.sql import functions as F
 
 from .views import (
-    EXTERNAL,
     FILES,
     MANIFEST,
     MATRIX_LINES,
+    ORDER_PRED,
     RUNS,
     experiments,
-    external,
     files,
     frame_pred,
     manifest_text,
     matrix_lines,
     once,
+    order_pred,
     runs,
     table,
     with_cte,
@@ -109,11 +109,10 @@ def run_tags_merge(spark, sf):
 
 
 def runs_by_seed(spark, sf):
-    rows = run_table(runs(spark, sf), experiments(spark, sf))
+    rows = run_table(runs(spark, sf), experiments(spark, sf), params=("seed",))
     # The factor keeps means off decimal ties, which the two engines may round apart.
     number = F.nanvl("macro_f1", F.lit(None).cast("double")) * F.lit(OFF_GRID)
-    seeded = rows.withColumns({"seed": F.col("run_id").cast("bigint") % 4, "macro_f1": number})
-    seeds = scores_by_seed(seeded, ["experiment", "fm", "head"])
+    seeds = scores_by_seed(rows.withColumn("macro_f1", number), ["experiment", "fm", "head"])
     return seeds.withColumns({"mean_f1": F.round("mean_f1", 9), "std_f1": F.round("std_f1", 9)})
 
 
@@ -124,7 +123,7 @@ def certifiable_best(spark, sf):
 
 def runs_ablation(spark, sf):
     rows = run_table(runs(spark, sf), experiments(spark, sf))
-    return ablation(rows, list_heads())
+    return ablation(rows)
 
 
 def fm_comparison(spark, sf):
@@ -167,8 +166,15 @@ def file_digest(spark, sf):
 
 
 def file_digest_disk(spark, sf):
-    """The given table files themselves, hashed in pieces on the executors."""
-    return digest_files(list_files(spark, sf, "*.parquet"))
+    """Documents written as text files, a hundred to a file, and the files hashed in pieces on the executors."""
+
+    def write(path):
+        docs = table(spark, sf, "documents").select("doc_id", "text", F.expr("doc_id div 100").alias("folder"))
+        dealt = docs.repartition(F.col("folder")).sortWithinPartitions("folder", "doc_id")
+        dealt.select(F.col("text").alias("value"), "folder").write.partitionBy("folder").text(path)
+
+    found = digest_files(list_files(spark, once(spark, sf, "document-files", write)))
+    return found.select(F.regexp_extract("rel", r"folder=(\d+)/", 1).cast("bigint").alias("folder"), "digest")
 
 
 def manifest_generate(spark, sf):
@@ -211,7 +217,6 @@ def validate_report(spark, sf):
     return _report(spark, sf).select(
         "ok", "n_rows", "n_cols", "n_nans", "n_text", "fractional", "n_stray",
         F.array_join("unique_labels", ",").alias("labels"),
-        F.array_join("stray", ",").alias("stray"),
         F.array_join("messages", "; ").alias("messages"),
     )
 
@@ -229,13 +234,13 @@ def submission_matrix(spark, sf):
 
 
 def submission_lines(spark, sf):
-    lines = frame_lines(external(spark, sf))
+    lines = frame_lines(order_pred(spark, sf))
     return lines.select("frame_idx", F.length("value").alias("chars"), F.sha2("value", 256).alias("digest"))
 
 
 def submission_roundtrip(spark, sf):
     """Write the matrix as text, read it back and number its lines again."""
-    path = once(spark, sf, "matrix", lambda p: write_matrix(external(spark, sf), p, 50))
+    path = once(spark, sf, "matrix", lambda p: write_matrix(order_pred(spark, sf), p, 50))
     lines = read_matrix_lines(spark, path).select(
         F.lit("matrix").alias("name"),
         F.regexp_extract(F.col("_metadata.file_path"), "[^/]+$", 0).alias("file"),
@@ -253,6 +258,11 @@ def submission_roundtrip(spark, sf):
     )
 
 
+def submission_repeats(spark, sf):
+    """Frames with several predictions, which a submission refuses."""
+    return repeated_frames(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("frame_idx")))
+
+
 QUERIES = {
     "leaderboard": q_leaderboard,
     "leaderboard_filtered": leaderboard_filtered,
@@ -281,6 +291,7 @@ QUERIES = {
     "submission_matrix": submission_matrix,
     "submission_lines": submission_lines,
     "submission_roundtrip": submission_roundtrip,
+    "submission_repeats": submission_repeats,
 }
 
 BOARD_SQL = """experiment, run_name,
@@ -318,9 +329,7 @@ SELECT {BOARD_SQL} FROM board WHERE run_id IN (
 ORDER BY {NUMBER_SQL} DESC NULLS LAST, run_id LIMIT 1"""),
     "runs_ablation": with_cte(RUNS, select=f"""
 SELECT split_part(run_name, '|', 1) AS fm, split_part(run_name, '|', 2) AS locations,
-       max({NUMBER_SQL}) FILTER (head = 'linear') AS linear,
-       max({NUMBER_SQL}) FILTER (head = 'logreg') AS logreg,
-       max({NUMBER_SQL}) FILTER (head = 'mlp') AS mlp
+       split_part(run_name, '|', 3) AS head, max({NUMBER_SQL}) AS best_f1, count(*) AS n_runs
 FROM runs WHERE run_name IS NOT NULL GROUP BY ALL"""),
     "fm_comparison": with_cte(RUNS, select=f"""
 SELECT fm, best_f1, min(run_id) AS run_id, any_value(n_runs) AS n_runs FROM (
@@ -343,6 +352,9 @@ SELECT rel, CASE status WHEN 'missing' THEN 'missing: ' || rel
 SELECT rel FROM files WHERE rel NOT IN (SELECT rel FROM listed WHERE rel IS NOT NULL)"""),
     "manifest_generate": with_cte(FILES, select="SELECT rel, digest || '  ' || rel AS line FROM files"),
     "file_digest": with_cte(FILES, select="SELECT rel, digest FROM files"),
+    "file_digest_disk": """
+SELECT doc_id // 100 AS folder, sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS digest
+FROM documents GROUP BY 1""",
     "submission_hash_check": with_cte(FILES, select="""
 SELECT doc_id AS run_id, digest,
        CASE WHEN doc_id % 23 = 0 THEN NULL WHEN doc_id % 17 = 0 THEN reverse(digest)
@@ -363,13 +375,11 @@ facts AS (
 labels AS (SELECT DISTINCT CAST(trunc(val) AS BIGINT) AS label FROM nums WHERE isfinite(val)),
 seen AS (
   SELECT string_agg(label, ',' ORDER BY label) FILTER (label BETWEEN 1 AND 8) AS labels,
-         string_agg(label, ',' ORDER BY label) FILTER (label NOT BETWEEN 1 AND 8) AS stray,
-         string_agg(label, ', ' ORDER BY label) FILTER (label NOT BETWEEN 1 AND 8) AS listed,
          count(*) FILTER (label NOT BETWEEN 1 AND 8) AS n_stray FROM labels)""", select="""
 SELECT lo = hi AND n_rows = 15000 AND lo = 20 AND n_nans = 0 AND n_text = 0 AND NOT fractional
          AND n_stray = 0 AS ok,
        n_rows, CAST(CASE WHEN lo = hi THEN hi ELSE -1 END AS INTEGER) AS n_cols, n_nans, n_text,
-       fractional, n_stray, labels, stray,
+       fractional, n_stray, labels,
        concat_ws('; ', CASE WHEN lo <> hi THEN 'ragged rows: ' || lo || ' to ' || hi || ' columns' END,
          CASE WHEN n_rows <> 15000 THEN 'expected 15000 rows, got ' || n_rows END,
          CASE WHEN lo <> 20 OR hi <> 20 THEN 'expected 20 cols, got ' ||
@@ -377,7 +387,7 @@ SELECT lo = hi AND n_rows = 15000 AND lo = 20 AND n_nans = 0 AND n_text = 0 AND
          CASE WHEN n_nans > 0 THEN n_nans || ' NaN entries' END,
          CASE WHEN n_text > 0 THEN n_text || ' entries are not numbers' END,
          CASE WHEN fractional THEN 'non-integer entries present' END,
-         CASE WHEN n_stray > 0 THEN 'labels outside allowed set: [' || listed || ']' END) AS messages
+         CASE WHEN n_stray > 0 THEN n_stray || ' labels outside allowed set' END) AS messages
 FROM facts, seen"""),
     "validate_labels": with_cte(MATRIX_LINES, select="""
 SELECT CAST(trunc(val) AS BIGINT) AS label, count(DISTINCT line) AS n_lines FROM nums
@@ -388,10 +398,12 @@ WHERE isfinite(val) AND trunc(val) NOT BETWEEN 1 AND 8"""),
     "submission_matrix": """
 SELECT vec_id AS frame_idx, CAST(s AS INTEGER) AS sample, CAST(1 + vec_id % 8 AS INTEGER) AS y_pred
 FROM embeddings, range(0, 500) AS r(s)""",
-    "submission_lines": with_cte(EXTERNAL, select="""
+    "submission_lines": with_cte(ORDER_PRED, select="""
 SELECT frame_idx, CAST(999 AS INTEGER) AS chars,
-       sha256(rtrim(repeat(y_pred || ' ', 500))) AS digest FROM external"""),
-    "submission_roundtrip": with_cte(EXTERNAL, select="""
+       sha256(rtrim(repeat(y_pred || ' ', 500))) AS digest FROM order_pred"""),
+    "submission_roundtrip": with_cte(ORDER_PRED, select="""
 SELECT row_number() OVER (ORDER BY frame_idx) - 1 AS "row", CAST(50 AS INTEGER) AS n_cols,
-       y_pred AS low, y_pred AS high FROM external"""),
+       y_pred AS low, y_pred AS high FROM order_pred"""),
+    "submission_repeats": """
+SELECT l_orderkey AS frame_idx, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1""",
 }

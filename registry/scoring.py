@@ -100,7 +100,11 @@ def pred_alignment_summary(spark, sf):
 
 
 def run_compare(spark, sf):
-    table = compare_runs(scores(spark, sf, 5), scores(spark, sf, 3), ["frame_idx"])
+    first, second = scores(spark, sf, 5), scores(spark, sf, 3)
+    # Some frames of the second run have a score too few, some occur twice.
+    k = F.col("frame_idx")
+    cut = second.withColumn("scores", F.when(k % 97 == 4, F.slice("scores", 1, 10)).otherwise(F.col("scores")))
+    table = compare_runs(first, cut.unionByName(cut.where(k % 101 == 5)), ["frame_idx"])
     return table.withColumn("max_abs_diff", F.round("max_abs_diff", 9))
 
 
@@ -210,14 +214,18 @@ WHERE y_true IS NULL OR y_pred IS NULL"""),
 SELECT count(*) AS n_keys, count(*) FILTER (y_pred IS NULL) AS only_left,
        count(*) FILTER (y_true IS NULL) AS only_right, CAST(0 AS BIGINT) AS repeated
 FROM truth FULL JOIN external USING (frame_idx)"""),
-    "run_compare": with_cte(scores_sql("a", 5), scores_sql("b", 3), select="""
-, pairs AS (
-  SELECT coalesce(a.frame_idx, b.frame_idx) AS frame_idx, a.score AS s, b.score AS t,
-         a.y_pred AS p, b.y_pred AS q
-  FROM a FULL JOIN b ON a.frame_idx = b.frame_idx AND a.c = b.c)
-SELECT count(DISTINCT frame_idx) FILTER (p IS NOT NULL AND q IS NOT NULL) AS n_matched,
-       count(DISTINCT frame_idx) FILTER (p IS NULL OR q IS NULL) AS n_unmatched,
-       round(max(abs(s - t)), 9) AS max_abs_diff,
-       count(DISTINCT frame_idx) FILTER (p <> q) AS n_argmax_diff
-FROM pairs"""),
+    "run_compare": with_cte(scores_sql("a", 5), scores_sql("whole", 3), select="""
+, b AS (SELECT * FROM whole WHERE frame_idx % 97 <> 4 OR c < 10
+        UNION ALL SELECT * FROM whole WHERE frame_idx % 101 = 5 AND (frame_idx % 97 <> 4 OR c < 10)),
+pa AS (SELECT frame_idx, count(*) FILTER (c = 0) AS n, count(*) AS w, any_value(y_pred) AS p FROM a GROUP BY 1),
+pb AS (SELECT frame_idx, count(*) FILTER (c = 0) AS n, count(*) AS w, any_value(y_pred) AS q FROM b GROUP BY 1),
+f AS (SELECT frame_idx, coalesce(pa.n, 0) AS nl, coalesce(pb.n, 0) AS nr, pa.w AS wl, pb.w AS wr, p, q
+      FROM pa FULL JOIN pb USING (frame_idx)),
+m AS (SELECT * FROM f WHERE nl = 1 AND nr = 1)
+SELECT (SELECT count(*) FROM m) AS n_matched, (SELECT count(*) FROM f WHERE nl <> 1 OR nr <> 1) AS n_unmatched,
+       (SELECT count(*) FROM f WHERE nl > 1 OR nr > 1) AS n_repeated,
+       (SELECT count(*) FROM m WHERE wl <> wr) AS n_width_diff,
+       (SELECT round(max(abs(a.score - b.score)), 9) FROM m JOIN a USING (frame_idx)
+        JOIN b ON b.frame_idx = a.frame_idx AND b.c = a.c WHERE wl = wr) AS max_abs_diff,
+       (SELECT count(*) FROM m WHERE p <> q) AS n_argmax_diff"""),
 }

@@ -8,7 +8,8 @@ from framelake.constants import TRAIN_LOCATIONS
 from framelake.operators.evaluation import evaluate_by, predicted_pairs
 from framelake.operators.fusion import fuse_models
 from framelake.operators.gram import gram_matrix
-from framelake.operators.heads import fit_per_group, make_head, predict_per_group
+from framelake.operators.heads import HeadModel, fit_per_group, make_head, predict_per_group
+from framelake.operators.leaderboard import run_table
 from framelake.operators.metrics import score
 from framelake.operators.scaling import (
     SCALED,
@@ -20,6 +21,8 @@ from framelake.operators.scaling import (
     with_vector,
 )
 from framelake.operators.synthetic import synthetic_vectors
+from framelake.plans import jobs
+from framelake.sources.runs import read_experiments, read_run_metrics, read_runs
 from framelake.sources.vector_cache import (
     catalog,
     drop_partial_labels,
@@ -33,17 +36,15 @@ from framelake.sources.vector_cache import (
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
 
-from .views import EMB, cache_path, emb, with_cte
+from .views import EMB, cache_path, emb, once, with_cte
 
 
 def _cells():
     return F.posexplode("features").alias("dim", "value")
 
 
-def _total():
-    """Sum of a vector: one number that changes when any element does."""
-    total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return F.round(total, 6).alias("total")
+def _exact(rows):
+    return rows.withColumn("value", F.col("value").cast("double"))
 
 
 def cached(spark, sf):
@@ -57,12 +58,12 @@ def emb_scan(spark, sf):
 
 def emb_scan_location(spark, sf):
     rows = select_slice(cached(spark, sf), "fixture", "v1", "validation", "Torso")
-    return rows.select("location", "frame_idx", "y", _total())
+    return _exact(rows.select("location", "frame_idx", "y", _cells()))
 
 
 def emb_scan_test(spark, sf):
     rows = select_slice(cached(spark, sf), "fixture", "v1", "test", "Bag")
-    return rows.select("location", "frame_idx", "y", _total())
+    return _exact(rows.select("location", "frame_idx", "y", _cells()))
 
 
 def emb_scan_defaults(spark, sf):
@@ -95,10 +96,11 @@ def emb_shape(spark, sf):
 
 def emb_roundtrip(spark, sf):
     rows = cached(spark, sf)
-    return rows.select(
+    cells = rows.select(
         "fm", "revision", "split", "location", "frame_idx", "pooling", F.col("y").cast("int").alias("y"),
-        _total(),
+        _cells(),
     )
+    return _exact(cells)
 
 
 def emb_catalog(spark, sf):
@@ -159,11 +161,38 @@ def head_linear(spark, sf):
 
 
 def head_logreg(spark, sf):
-    return _scores(spark, sf, "logreg", max_iter=100)
+    return _scores(spark, sf, "logreg")
+
+
+def head_logreg_gradient(spark, sf):
+    """Gradient of the penalised log loss at the fitted weights, per class and dimension: zero at the optimum."""
+    train = _train(spark, sf)
+    model = make_head("logreg", seed=0, tol=1e-9).fit(train)
+    fitted = model.classifier
+    stats = {r["dim"]: (r["mean"], r["std"]) for r in scaler_stats(train).collect()}
+    size = len(stats)
+    scored = fitted.transform(with_vector(train))
+    n = train.count()
+    k = F.array_position(F.array(*[F.lit(c) for c in model.classes]), F.col("y")) - 1
+    cells = scored.select(
+        k.alias("k"), vector_to_array("probability").alias("p"), F.posexplode("features").alias("dim", "v")
+    ).select("k", "dim", "v", F.posexplode("p").alias("c", "p"))
+    mean = F.element_at(F.array(*[F.lit(stats[d][0]) for d in range(size)]), F.col("dim") + 1)
+    std = F.element_at(F.array(*[F.lit(stats[d][1]) for d in range(size)]), F.col("dim") + 1)
+    error = F.col("p") - F.when(F.col("k") == F.col("c"), 1.0).otherwise(0.0)
+    data = cells.groupBy("c", "dim").agg((F.sum(error * (F.col("v") - mean) / std) / n).alias("g"))
+    weights = fitted.coefficientMatrix.toArray()
+    flat = F.array(*[F.lit(float(weights[c, d] * stats[d][1] / n)) for c in range(len(model.classes)) for d in range(size)])
+    whole = F.col("g") + F.element_at(flat, F.col("c") * size + F.col("dim") + 1)
+    names = F.array(*[F.lit(c) for c in model.classes])
+    # The sum turns a negative zero into zero.
+    return data.select(
+        F.element_at(names, F.col("c") + 1).alias("class"), "dim", (F.round(whole, 4) + 0.0).alias("gradient")
+    )
 
 
 def head_mlp(spark, sf):
-    return _scores(spark, sf, "mlp", max_iter=50)
+    return _scores(spark, sf, "mlp")
 
 
 def predict_frames(spark, sf):
@@ -172,6 +201,44 @@ def predict_frames(spark, sf):
     return model.predict(test).select("frame_idx", "y_pred")
 
 
+def head_saved(spark, sf):
+    """A head written to disk, loaded and applied to the test split."""
+
+    def write(path):
+        make_head("linear").fit(_train(spark, sf)).save(path)
+
+    model = HeadModel.load(spark, once(spark, sf, "head", write))
+    test = select_slice(cached(spark, sf), "fixture", "v1", "test")
+    return model.predict(test).select("frame_idx", "y_pred")
+
+
+def _trained(spark, sf):
+    """The train and predict jobs on the cache, with a run store of their own."""
+
+    def write(path):
+        jobs.train_head(
+            spark, "fixture", "linear", root=cache_path(spark, sf), store=f"{path}/store", out=f"{path}/head",
+            tags={"git_dirty": False},
+        )
+        jobs.predict_test(spark, f"{path}/head", f"{path}/predictions", root=cache_path(spark, sf))
+
+    return once(spark, sf, "trained", write)
+
+
+def job_predictions(spark, sf):
+    return spark.read.parquet(f"{_trained(spark, sf)}/predictions").select("frame_idx", "y_pred")
+
+
+def job_run_log(spark, sf):
+    """What the train job logged, found again through the leaderboard table."""
+    store = f"{_trained(spark, sf)}/store"
+    board = run_table(read_runs(spark, store), read_experiments(spark, store), params=("seed",))
+    values = read_run_metrics(spark, store).where("metric IN ('macro_f1', 'accuracy')")
+    return values.join(board.select("run_id", "run_name", "seed", "git_dirty"), "run_id").select(
+        "run_name", "seed", "git_dirty", "metric", F.round("value", 9).alias("value"), "step"
+    )
+
+
 def evaluate_head(spark, sf):
     model = make_head("linear").fit(_train(spark, sf))
     return _rounded(evaluate_by(model, _held(spark, sf), ["location"]))
@@ -200,12 +267,9 @@ def head_pca(spark, sf):
 
 
 def fused_features(spark, sf):
-    main = cached(spark, sf).where("fm = 'fixture' OR (fm = 'org/other' AND revision = '007')")
-    fused = fuse_models(main, ["fixture", "org/other"])
-    return fused.select(
-        "split", "location", "frame_idx", F.col("y").cast("int").alias("y"),
-        F.size("features").alias("width"), _total(),
-    )
+    fused = fuse_models(cached(spark, sf), [("fixture", "v1"), ("org/other", "007")])
+    y = F.col("y").cast("int").alias("y")
+    return _exact(fused.select("split", "location", "frame_idx", y, _cells()))
 
 
 def _synthetic(spark, sf):
@@ -244,7 +308,11 @@ QUERIES = {
     "gram_matrix": q_gram_matrix,
     "head_linear": head_linear,
     "head_logreg": head_logreg,
+    "head_logreg_gradient": head_logreg_gradient,
     "head_mlp": head_mlp,
+    "head_saved": head_saved,
+    "job_predictions": job_predictions,
+    "job_run_log": job_run_log,
     "predict_frames": predict_frames,
     "evaluate_head": evaluate_head,
     "head_per_location": head_per_location,
@@ -254,7 +322,6 @@ QUERIES = {
     "synth_balance": synth_balance,
 }
 
-TOTAL = "round(list_sum(list_transform(features, lambda x: CAST(x AS DOUBLE))), 6) AS total"
 LONG_SQL = """long AS (
   SELECT split, location, frame_idx, y, CAST(unnest(features) AS DOUBLE) AS v,
          CAST(generate_subscripts(features, 1) - 1 AS INTEGER) AS dim FROM emb)"""
@@ -327,11 +394,11 @@ ORACLES = {
     ),
     "emb_scan": with_cte(EMB, LONG_SQL, select="""
 SELECT frame_idx, y, dim, v AS value FROM long WHERE split = 'train' AND location = 'Bag'"""),
-    "emb_scan_location": with_cte(EMB, select=f"""
-SELECT location, frame_idx, y, {TOTAL} FROM emb
+    "emb_scan_location": with_cte(EMB, LONG_SQL, select="""
+SELECT location, frame_idx, y, dim, v AS value FROM long
 WHERE split = 'validation' AND location = 'Torso'"""),
-    "emb_scan_test": with_cte(EMB, select=f"""
-SELECT CAST(NULL AS VARCHAR) AS location, frame_idx, y, {TOTAL} FROM emb WHERE split = 'test'"""),
+    "emb_scan_test": with_cte(EMB, LONG_SQL, select="""
+SELECT CAST(NULL AS VARCHAR) AS location, frame_idx, y, dim, v AS value FROM long WHERE split = 'test'"""),
     "emb_scan_defaults": with_cte(EMB, select="""
 SELECT location, coalesce(pooling, 'mean') AS pooling, count(*) AS n FROM emb
 WHERE split = 'train' GROUP BY ALL"""),
@@ -346,20 +413,18 @@ WHERE split = 'train' AND location <> 'Hand' GROUP BY ALL"""),
 SELECT split, count(*) AS n, CAST(min(len(features)) AS INTEGER) AS min_dim,
        CAST(max(len(features)) AS INTEGER) AS max_dim, bool_and(y IS NOT NULL) AS labelled
 FROM emb GROUP BY split"""),
-    "emb_roundtrip": with_cte(EMB, select=f"""
+    "emb_roundtrip": with_cte(EMB, LONG_SQL, select="""
 SELECT fm, revision, split, CASE WHEN split = 'test' THEN 'all' ELSE location END AS location,
-       frame_idx, pooling, y, {TOTAL} FROM emb
+       frame_idx, pooling, y, dim, v AS value FROM long JOIN (SELECT fm, revision, pooling, frame_idx FROM emb) USING (frame_idx)
 UNION ALL
 SELECT 'org/other', r.rev, split, CASE WHEN split = 'test' THEN 'all' ELSE location END,
-       frame_idx, pooling, y, {TOTAL} FROM emb, (VALUES ('007'), ('r/1')) AS r(rev)
-WHERE frame_idx % 5 = 0"""),
+       frame_idx, pooling, y, CAST(63 - dim AS INTEGER), v FROM long JOIN (SELECT pooling, frame_idx FROM emb) USING (frame_idx),
+       (VALUES ('007'), ('r/1')) AS r(rev)"""),
     "emb_catalog": """
-SELECT DISTINCT fm, revision FROM embeddings, (VALUES ('fixture', 'v1', 1),
-  ('org/other', '007', 5), ('org/other', 'r/1', 5)) AS m(fm, revision, step)
-WHERE vec_id % step = 0""",
+SELECT DISTINCT fm, revision FROM embeddings, (VALUES ('fixture', 'v1'),
+  ('org/other', '007'), ('org/other', 'r/1')) AS m(fm, revision)""",
     "revision_resolve": """
-SELECT DISTINCT revision FROM embeddings, (VALUES ('007'), ('r/1')) AS m(revision)
-WHERE vec_id % 5 = 0""",
+SELECT DISTINCT revision FROM embeddings, (VALUES ('007'), ('r/1')) AS m(revision)""",
     "label_set": with_cte(EMB, select="SELECT DISTINCT y FROM emb WHERE split = 'train'"),
     "scaler_stats": with_cte(EMB, LONG_SQL, select="""
 SELECT dim, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM long
@@ -373,11 +438,19 @@ SELECT location, dim, round(avg(v), 6) AS mean FROM long WHERE split = 'train' G
     "gram_matrix": with_cte(EMB, LONG_SQL, select="""
 SELECT a.dim AS i, b.dim AS j, round(sum(a.v * b.v), 6) AS value
 FROM long a JOIN long b USING (frame_idx) GROUP BY ALL"""),
-    "fused_features": with_cte(EMB, select="""
-SELECT split, CASE WHEN split = 'test' THEN 'all' ELSE location END AS location, frame_idx, y,
-       CAST(2 * len(features) AS INTEGER) AS width,
-       round(list_sum(list_transform(list_concat(features, features), lambda x: CAST(x AS DOUBLE))), 6) AS total
-FROM emb WHERE frame_idx % 5 = 0"""),
+    "fused_features": with_cte(EMB, LONG_SQL, select="""
+SELECT split, CASE WHEN split = 'test' THEN 'all' ELSE location END AS location, frame_idx, y, dim, v AS value FROM long
+UNION ALL
+SELECT split, CASE WHEN split = 'test' THEN 'all' ELSE location END, frame_idx, y, CAST(127 - dim AS INTEGER), v FROM long"""),
+    "head_saved": ridge_sql("0", "SELECT frame_idx, y_pred FROM predicted WHERE split = 'test'"),
+    "job_predictions": ridge_sql("0", "SELECT frame_idx, y_pred FROM predicted WHERE split = 'test'"),
+    "job_run_log": ridge_sql("0", """
+SELECT 'fixture|all|linear' AS run_name, '0' AS seed, 'false' AS git_dirty, 'macro_f1' AS metric,
+       round(macro_f1, 9) AS value, CAST(0 AS BIGINT) AS step FROM macro
+UNION ALL SELECT 'fixture|all|linear', '0', 'false', 'accuracy', round(accuracy, 9), 0 FROM total"""),
+    "head_logreg_gradient": with_cte(EMB, select="""
+SELECT c.y AS class, CAST(d AS INTEGER) AS dim, 0.0::DOUBLE AS gradient
+FROM (SELECT DISTINCT y FROM emb WHERE split = 'train') AS c, range(0, 64) AS r(d)"""),
     "synth_balance": with_cte(EMB, select="""
 SELECT split, location, y, count(*) AS n, CAST(16 AS INTEGER) AS width FROM emb GROUP BY ALL"""),
 }

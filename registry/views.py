@@ -12,7 +12,7 @@ from framelake.constants import CHANNELS, TRAIN_LOCATIONS
 from framelake.session import scratch_path
 from framelake.sources.vector_cache import write_cache
 
-SAMPLES = 7  # samples per channel that one 64-number vector yields for 9 channels
+SAMPLES = 8  # samples per channel: the 64 numbers of a vector fill eight channels, the ninth repeats the first
 _written: dict[tuple[str, str, str], str] = {}
 
 
@@ -70,15 +70,15 @@ EMB = """emb AS (
 
 
 def cache_path(spark: SparkSession, sf: str) -> str:
-    """The vectors written as a cache, plus a second model with two revisions."""
+    """The vectors written as a cache, plus a second model, the vectors reversed, with two revisions."""
 
     def write(path: str) -> None:
         rows = emb(spark, sf)
         pooled = F.when(F.col("split") == "test", "all").otherwise(F.col("location"))
         main = rows.withColumn("location", pooled)
         other = F.explode(F.array(F.lit("007"), F.lit("r/1")))
-        second = main.where(F.col("frame_idx") % 5 == 0).withColumns(
-            {"fm": F.lit("org/other"), "revision": other}
+        second = main.withColumns(
+            {"fm": F.lit("org/other"), "features": F.reverse("features"), "revision": other}
         )
         write_cache(main.unionByName(second), path)
 
@@ -134,6 +134,16 @@ EXTERNAL = """external AS (
   FROM orders WHERE o_orderkey % 89 <> 7)"""
 
 
+def order_pred(spark: SparkSession, sf: str) -> DataFrame:
+    """A prediction for every order."""
+    label = 1 + F.col("o_custkey") % 8
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("frame_idx"), label.cast("int").alias("y_pred"))
+
+
+ORDER_PRED = """order_pred AS (
+  SELECT o_orderkey AS frame_idx, CAST(1 + o_custkey % 8 AS INTEGER) AS y_pred FROM orders)"""
+
+
 def frame_pred(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("frame_idx"), (1 + F.col("vec_id") % 8).cast("int").alias("y_pred")
@@ -331,12 +341,12 @@ checked AS (
 
 
 def raw_channels(spark: SparkSession, sf: str) -> DataFrame:
-    """Nine channels of seven samples and a label line per vector; some channels lack a frame."""
+    """Nine channels of eight samples and a label line per vector; some channels lack a frame."""
     cut = F.array(
         *[
             F.struct(
                 F.lit(c).alias("channel"),
-                F.slice("features", 1 + SAMPLES * i, SAMPLES).alias("samples"),
+                F.slice("features", 1 + SAMPLES * (i % 8), SAMPLES).alias("samples"),
             )
             for i, c in enumerate(CHANNELS)
         ]
@@ -360,7 +370,7 @@ channel_names AS (
   SELECT unnest(['Acc_x','Acc_y','Acc_z','Gyr_x','Gyr_y','Gyr_z','Magn_x','Magn_y','Magn_z']) AS channel,
          unnest(range(0, 9)) AS c),
 raw AS (
-  SELECT split, location, frame_idx, channel, list_slice(features, 7 * c + 1, 7 * c + 7) AS samples, y
+  SELECT split, location, frame_idx, channel, list_slice(features, 8 * (c % 8) + 1, 8 * (c % 8) + 8) AS samples, y
   FROM emb, channel_names
   WHERE NOT (channel = 'Gyr_z' AND frame_idx % 50 = 3)),
 raw_long AS (

@@ -14,18 +14,25 @@ from framelake.operators.integrity import (
     verify_manifest,
 )
 from framelake.plans.jobs import verify_raw
+from framelake.session import TableError
 from framelake.sources.file_listing import digest_files, list_files
 from framelake.sources.manifest import parse_manifest, read_manifest
 
 
+CONTENTS = {
+    "train/Hips/Gyr_z.txt": "".join(f"{k} {k * k}\n" for k in range(400)).encode(),
+    "train/Hips/Magn_x.txt": b"\n",
+    "odd na%20me/a+b.txt": bytes(range(256)) * 9000,
+}
+
+
 @pytest.fixture
 def raw(tmp_path):
-    root = tmp_path / "raw"
-    (root / "Bag" / "deep er").mkdir(parents=True)
-    (root / "Bag" / "Acc_x.txt").write_text("1 2 3\n4 5 6\n")
-    (root / "Bag" / "Label.txt").write_text("1 1 1\n2 2 2\n")
-    (root / "Bag" / "deep er" / "a%20b+c.txt").write_bytes(bytes(range(256)) * 9000)
-    (root / "Bag" / "notes.md").write_text("not listed")
+    root = tmp_path / "data"
+    for rel, content in CONTENTS.items():
+        (root / rel).parent.mkdir(parents=True, exist_ok=True)
+        (root / rel).write_bytes(content)
+    (root / "notes.md").write_text("not listed")
     return root
 
 
@@ -35,51 +42,50 @@ def sha(path):
 
 def test_listing_and_digests(spark, raw):
     files = list_files(spark, str(raw))
-    got = {r["rel"]: r["length"] for r in files.collect()}
-    assert got == {
-        "Bag/Acc_x.txt": 12, "Bag/Label.txt": 12, "Bag/deep er/a%20b+c.txt": 256 * 9000
-    }
+    assert {r["rel"]: r["length"] for r in files.collect()} == {rel: len(c) for rel, c in CONTENTS.items()}
     digests = {r["rel"]: r["digest"] for r in digest_files(files).collect()}
-    assert digests == {rel: sha(raw / rel) for rel in got}
+    assert digests == {rel: hashlib.sha256(c).hexdigest() for rel, c in CONTENTS.items()}
 
 
-def test_clean_files_verify(spark, raw, tmp_path):
+@pytest.mark.parametrize("rel,place", [("train/Hips/Gyr_z.txt", 0), ("train/Hips/Gyr_z.txt", -1), ("odd na%20me/a+b.txt", 1 << 20)])
+def test_a_flipped_bit_is_found_wherever_it_is(spark, raw, tmp_path, rel, place):
     manifest = str(tmp_path / "manifest")
-    assert generate_manifest(spark, str(raw), manifest) == 3
-    assert verify_raw(spark, manifest, str(raw)) == 3
-    lines = [r["value"] for r in spark.read.text(manifest).collect()]
-    assert f"{sha(raw / 'Bag' / 'Acc_x.txt')}  Bag/Acc_x.txt" in lines
+    assert generate_manifest(spark, str(raw), manifest) == verify_raw(spark, manifest, str(raw)) == len(CONTENTS)
+    changed = bytearray(CONTENTS[rel])
+    changed[place] ^= 1
+    (raw / rel).write_bytes(bytes(changed))
+    with pytest.raises(TableError, match="1/3 files diverged") as caught:
+        verify_raw(spark, manifest, str(raw))
+    [row] = caught.value.rows.collect()
+    assert row["rel"] == rel and row["message"].startswith(f"hash mismatch: {rel} (expected ")
 
 
-def test_one_changed_byte_is_found(spark, raw, tmp_path):
-    manifest = str(tmp_path / "manifest")
-    generate_manifest(spark, str(raw), manifest)
-    bad = raw / "Bag" / "Acc_x.txt"
-    bad.write_text(bad.read_text().replace("1", "9", 1))
-    with pytest.raises(ValueError, match="1/3 files diverged: hash mismatch: Bag/Acc_x.txt"):
-        verify_raw(spark, manifest, str(raw))
+def test_all_differences_are_kept(spark, tmp_path):
+    root, manifest = tmp_path / "many", tmp_path / "MANIFEST"
+    root.mkdir()
+    (root / "there.txt").write_text("x")
+    manifest.write_text("".join(f"{k:064x}  gone-{k}.txt\n" for k in range(50)))
+    with pytest.raises(TableError, match="50/50 files diverged") as caught:
+        verify_raw(spark, str(manifest), str(root))
+    assert {r["message"] for r in caught.value.rows.collect()} == {f"missing: gone-{k}.txt" for k in range(50)}
 
 
 def test_every_kind_of_entry(spark, raw, tmp_path):
-    acc = sha(raw / "Bag" / "Acc_x.txt")
-    manifest = tmp_path / "MANIFEST"
+    good, manifest = sha(raw / "train" / "Hips" / "Gyr_z.txt"), tmp_path / "MANIFEST"
     manifest.write_text(
-        f"# comment\n\n   \n{acc}  Bag/Acc_x.txt\n{acc}\tBag/Label.txt  \n"
-        f"{acc} Bag/gone.txt\nlonely\n{sha(raw / 'Bag' / 'notes.md')}  Bag/notes.md\n"
+        f"# comment\n\n   \n{good}  train/Hips/Gyr_z.txt\n{good}\ttrain/Hips/Magn_x.txt  \n"
+        f"{good} gone.txt\nlonely\nforlorn\n{sha(raw / 'notes.md')}  notes.md\n"
     )
     statuses = verify_manifest(spark, str(manifest), str(raw))
-    got = {r["rel"]: r["status"] for r in statuses.collect()}
-    assert got == {
-        "Bag/Acc_x.txt": "ok", "Bag/Label.txt": "mismatch", "Bag/gone.txt": "missing",
-        None: "malformed", "Bag/notes.md": "ok",
-    }
-    assert tuple(manifest_summary(statuses).first()) == (5, 1, 1, 1, 3, False)
+    assert sorted((r["rel"] or "", r["status"]) for r in statuses.collect()) == [
+        ("", "malformed"), ("", "malformed"), ("gone.txt", "missing"), ("notes.md", "ok"),
+        ("train/Hips/Gyr_z.txt", "ok"), ("train/Hips/Magn_x.txt", "mismatch"),
+    ]
+    assert tuple(manifest_summary(statuses).first()) == (6, 1, 1, 2, 4, False)
     notes = sorted(r["message"] for r in messages(statuses).collect())
-    assert notes[0].startswith("hash mismatch: Bag/Label.txt (expected ")
-    assert notes[1:] == ["malformed line: lonely", "missing: Bag/gone.txt"]
-    listed = read_manifest(spark, str(manifest))
-    extra = unlisted_files(listed, list_files(spark, str(raw))).collect()
-    assert [r["rel"] for r in extra] == ["Bag/deep er/a%20b+c.txt"]
+    assert notes[1:] == ["malformed line: forlorn", "malformed line: lonely", "missing: gone.txt"]
+    extra = unlisted_files(read_manifest(spark, str(manifest)), list_files(spark, str(raw))).collect()
+    assert [r["rel"] for r in extra] == ["odd na%20me/a+b.txt"]
 
 
 def test_nothing_to_hash(spark, tmp_path):
@@ -118,7 +124,12 @@ def test_folder_digest_depends_on_names_and_contents(spark):
     def digest(*rows):
         return folder_digest(spark.createDataFrame(rows, "rel string, digest string")).first()[0]
 
-    base = digest(("a", "1"), ("b", "2"))
-    assert base == digest(("b", "2"), ("a", "1"))
-    assert base != digest(("a", "2"), ("b", "1"))
-    assert base == hashlib.sha256(b"1\n2").hexdigest()
+    def joined(*parts):
+        return hashlib.sha256("\n".join(parts).encode()).hexdigest()
+
+    base = digest(("part-0", "1"), ("part-1", "2"))
+    assert base == digest(("part-1", "2"), ("part-0", "1")) == joined(joined("1", "2"))
+    assert base != digest(("part-0", "2"), ("part-1", "1"))
+    many = [(f"part-{k:05d}", str(k)) for k in range(2500)]
+    thousands = [joined(*[d for _, d in many[k : k + 1000]]) for k in range(0, 2500, 1000)]
+    assert digest(*many) == joined(*thousands)

@@ -144,4 +144,10 @@ def test_compare_runs(spark):
     b = spark.createDataFrame([(1, [0.1, 0.7], 2), (2, [0.4, 0.6], 2), (4, [1.0, 0.0], 1)], schema)
     row = compare_runs(a, b, ["frame_idx"]).first()
     assert (row["n_matched"], row["n_unmatched"], row["n_argmax_diff"]) == (2, 2, 1)
+    assert (row["n_repeated"], row["n_width_diff"]) == (0, 0)
     assert row["max_abs_diff"] == pytest.approx(0.2)
+    # A second row of a frame and a score too few are reported, not passed over.
+    a = spark.createDataFrame([(1, [1.0, 2.0], 1), (1, [1.0, 9.0], 1), (2, [1.0, 5.0], 1)], schema)
+    b = spark.createDataFrame([(1, [1.0, 2.0], 1), (2, [1.0], 1)], schema)
+    row = compare_runs(a, b, ["frame_idx"]).first()
+    assert (row["n_matched"], row["n_repeated"], row["n_width_diff"], row["max_abs_diff"]) == (1, 1, 1, None)

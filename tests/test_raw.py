@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framelake import embeddings
-from framelake.constants import CHANNELS
+from framelake import embeddings, read_experiments, read_runs
+from framelake.constants import CHANNELS, EXPECTED_SHARDS
 from framelake.operators.embed import embed_frames, embed_statistics
 from framelake.operators.frames import (
     assemble_frames,
@@ -14,9 +16,12 @@ from framelake.operators.frames import (
     frame_sanity,
     incomplete_frames,
     normalise,
+    repeated_lines,
 )
+from framelake.operators.leaderboard import ablation, run_table
 from framelake.plans import jobs
-from framelake.sources.raw_files import read_raw
+from framelake.session import TableError
+from framelake.sources.raw_files import read_raw, unexpected_files
 
 N, WIDTH = 40, 6
 
@@ -116,8 +121,13 @@ def test_sanity(spark, tmp_path):
     }
     published = frame_sanity(raw, 2, frames_per_file={"train": 5}).where(F.col("check") == "frame count")
     assert published.count() == 8
-    with pytest.raises(ValueError, match="channel missing"):
+    with pytest.raises(TableError, match="[0-9]+ violations") as caught:
         check_counts(raw, 2)
+    found = {(r["split"], r["location"], r["check"], r["detail"]) for r in caught.value.rows.collect()}
+    # Labels of the one train folder, and every folder that is not there.
+    assert ("train", "Bag", "channel missing", "Label") in found
+    assert {(s, p) for s, p, check, _ in found if check == "location missing"} == set(EXPECTED_SHARDS) - {("train", "Bag")}
+    assert caught.value.rows.count() == len(found)
     short = incomplete_frames(assemble_frames(raw), 2).collect()
     assert {(r["frame_idx"], r["channel"]) for r in short} == (
         {(i, "Magn_z") for i in range(4)} | {(3, "Gyr_x"), (1, "Acc_y"), (3, "Acc_y")}
@@ -158,7 +168,7 @@ def test_embedders_agree(spark, raw_root):
         return embed
 
     a = {r["frame_idx"]: r["features"] for r in embed_statistics(frames).collect()}
-    b = {r["frame_idx"]: r["features"] for r in embed_frames(frames, load, batch_rows=7).collect()}
+    b = {r["frame_idx"]: r["features"] for r in embed_frames(frames, load, n_samples=WIDTH, batch_rows=7).collect()}
     assert len(a) == N and a.keys() == b.keys()
     for k in a:
         assert a[k] == pytest.approx(b[k], abs=1e-4)
@@ -167,11 +177,66 @@ def test_embedders_agree(spark, raw_root):
 def test_missing_and_short_channels_enter_as_zeros(spark):
     schema = "frame_idx long, Acc_x array<float>, Acc_y array<float>"
     frames = spark.createDataFrame([(0, [1.0, 2.0, 3.0], None), (1, [4.0], [5.0, 6.0])], schema)
-    flat = embed_frames(frames, lambda: lambda b: b.reshape(len(b), -1), channels=("Acc_x", "Acc_y"))
+    flat = embed_frames(frames, lambda: lambda b: b.reshape(len(b), -1), channels=("Acc_x", "Acc_y"), n_samples=3)
     got = {r["frame_idx"]: r["features"] for r in flat.coalesce(1).collect()}
     assert {k: [x for x in v if x] for k, v in got.items()} == {0: [1.0, 2.0, 3.0], 1: [4.0, 5.0, 6.0]}
 
 
+def test_width_does_not_depend_on_the_batch(spark):
+    schema = "frame_idx long, Acc_x array<float>"
+    frames = spark.createDataFrame([(0, [1.0]), (1, [1.0, 1.0])], schema).coalesce(1)
+    mean = lambda: lambda block: block.mean(2)
+    for rows in (1, 2):
+        got = embed_frames(frames, mean, channels=("Acc_x",), n_samples=2, batch_rows=rows).collect()
+        assert {r["frame_idx"]: r["features"] for r in got} == {0: [0.5], 1: [1.0]}
+    with pytest.raises(Exception, match="does not fit frames of 1"):
+        embed_frames(frames, mean, channels=("Acc_x",), n_samples=1).collect()
+
+
+def test_other_files_are_reported_and_not_read(spark, raw_root, tmp_path):
+    before = read_raw(spark, str(raw_root)).count()
+    odd = {"README.txt": "layout", "train/notes.txt": "layout", "train/Bag/Temp.txt": "channel", "night/Bag/Acc_x.txt": "split", "train/Moon/Acc_x.txt": "location"}
+    for rel in odd:
+        (raw_root / rel).parent.mkdir(parents=True, exist_ok=True)
+        (raw_root / rel).write_text("1 2 3\n")
+    try:
+        assert {r["rel"]: r["fault"] for r in unexpected_files(spark, str(raw_root)).collect()} == odd
+        assert read_raw(spark, str(raw_root)).count() == before
+        with pytest.raises(TableError, match="5 files are no raw files"):
+            jobs.window_features(spark, str(raw_root), str(tmp_path / "out"), n_samples=WIDTH)
+    finally:
+        for rel in odd:
+            (raw_root / rel).unlink()
+
+
+def test_test_frames_of_two_locations_are_refused(spark, raw_root, tmp_path):
+    frames = assemble_frames(read_raw(spark, str(raw_root)))
+    again = frames.where("split = 'test'").withColumn("location", F.lit("Hips"))
+    from framelake.operators.frames import write_frames
+
+    root = str(tmp_path / "frames")
+    write_frames(frames.where("split = 'test'").withColumn("location", F.lit("Bag")).unionByName(again), root)
+    with pytest.raises(TableError, match=f"{N} test frames occur in several locations"):
+        jobs.frozen_embeddings(spark, root, fm="m", revision="1", root=str(tmp_path / "cache"))
+
+
+def test_repeated_lines(spark):
+    raw = spark.createDataFrame(
+        [("train", "Bag", 0, "Acc_x", [1.0]), ("train", "Bag", 0, "Acc_x", [2.0]), ("train", "Bag", 0, "Acc_y", [1.0])],
+        "split string, location string, frame_idx long, channel string, samples array<float>",
+    )
+    assert [(r["channel"], r["n"]) for r in repeated_lines(raw).collect()] == [("Acc_x", 2)]
+
+
+def test_frames_are_sorted_once(spark):
+    raw = spark.range(10).selectExpr(
+        "concat('train', id) AS split", "concat('Bag', id) AS location", "id AS frame_idx", "'Acc_x' AS channel",
+        "array(1f) AS samples",
+    )
+    plan = assemble_frames(raw)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("- Sort [") == 1
+
+
 def test_all_stages(spark, raw_root, tmp_path):
     frames, cache = str(tmp_path / "frames"), str(tmp_path / "cache")
     jobs.window_features(spark, str(raw_root), frames, n_samples=WIDTH, check=False)
@@ -186,10 +251,26 @@ def test_all_stages(spark, raw_root, tmp_path):
     predicted = jobs.predict_test(spark, str(tmp_path / "head"), str(tmp_path / "preds"), root=cache)
     truth = [1 + r["frame_idx"] % 8 for r in predicted.collect()]
     assert np.mean([r["y_pred"] == t for r, t in zip(predicted.collect(), truth)]) > 0.8
+    store = str(tmp_path / "store")
     report = jobs.format_submission(
-        spark, str(tmp_path / "preds"), str(tmp_path / "submission"), expected_rows=N
+        spark, str(tmp_path / "preds"), str(tmp_path / "submission"), expected_rows=N, store=store, tags={"git_dirty": False}
     )
     assert report.ok and report.n_rows == N
+    board = run_table(read_runs(spark, store), read_experiments(spark, store), params=("seed",))
+    assert {r["run_name"] for r in board.collect()} == {"stats|3loc|linear", "submission"}
+    best = ablation(board).collect()
+    assert [(r["fm"], r["locations"], r["head"]) for r in best] == [("stats", "3loc", "linear")]
+    # The logged digest is that of the files, whoever computes it.
+    parts = sorted((tmp_path / "submission").glob("part-*"))
+    own = hashlib.sha256("\n".join(hashlib.sha256(p.read_bytes()).hexdigest() for p in parts).encode()).hexdigest()
+    logged = read_runs(spark, store).where("tags['run_name'] = 'submission'").first()["tags"]
+    assert logged["submission_sha256"] == hashlib.sha256(own.encode()).hexdigest() and logged["git_dirty"] == "false"
+    flat = tmp_path / "flat.txt"
+    flat.write_text("# classes\n1 2 3\n\n4\n5 6\n")
+    texts = jobs.format_submission(spark, str(flat), str(tmp_path / "from-text"), expected_rows=6, text=True)
+    assert texts.ok
+    lines = "".join(p.read_text() for p in sorted((tmp_path / "from-text").glob("part-*"))).splitlines()
+    assert [int(x.split(" ", 1)[0]) for x in lines] == [1, 2, 3, 4, 5, 6]
     with pytest.raises(ValueError, match="expected 92726 rows"):
         jobs.format_submission(spark, str(tmp_path / "preds"), str(tmp_path / "submission"))
 

@@ -7,7 +7,7 @@ import pytest
 
 from framelake import validate, write_submission
 from framelake.constants import EXPECTED_COLS, EXPECTED_ROWS
-from framelake.operators.submission import LISTED_LABELS, label_table, line_profiles, stray_labels
+from framelake.operators.submission import label_table, line_profiles, stray_labels, validation_report
 
 
 def small(spark, tmp_path, text, **kw):
@@ -115,12 +115,15 @@ def test_profiles_match_brute_force(spark):
     assert {r["label"]: r["n_lines"] for r in label_table(rows).collect()} == want
 
 
-def test_many_stray_labels_stay_a_table(spark, tmp_path):
+def test_all_stray_labels_are_reported(spark, tmp_path):
     path = str(tmp_path / "many")
     spark.range(1000).selectExpr("CONCAT(id + 100, ' 1 2') AS value").write.text(path)
     rep = validate(spark, path, expected_rows=1000, expected_cols=3)
-    listed = ", ".join(str(i) for i in range(100, 100 + LISTED_LABELS))
-    assert rep.messages == (f"labels outside allowed set: [{listed}] and 900 more",)
+    listed = ", ".join(str(i) for i in range(100, 1100))
+    assert rep.messages == (f"labels outside allowed set: [{listed}]",)
+    assert rep.unique_labels == (1, 2, *range(100, 1100))
+    row = validation_report(line_profiles(spark.read.text(path)), 1000, 3).first()
+    assert (row["n_stray"], row["messages"]) == (1000, ["1000 labels outside allowed set"])
     assert stray_labels(line_profiles(spark.read.text(path))).count() == 1000
 
 
@@ -137,6 +140,12 @@ def test_writer_keeps_the_frame_order(spark, tmp_path):
     assert all(x.count(" ") == 4999 for x in lines)
 
 
+def test_writer_refuses_a_repeated_frame(spark, tmp_path):
+    preds = spark.createDataFrame([(0, 1), (1, 2), (1, 2)], "frame_idx long, y_pred int")
+    with pytest.raises(ValueError, match="1 frames have several predictions, the first is 1"):
+        write_submission(preds, str(tmp_path / "twice"), expected_rows=3)
+
+
 def test_writer_refuses_bad_predictions(spark, tmp_path):
     out = str(tmp_path / "sub")
     base = spark.range(4)

@@ -18,7 +18,7 @@ from framelake import session as S
 from framelake.__main__ import main, parser
 from framelake.constants import RUN_COLUMNS
 from framelake.operators.fusion import fuse_models
-from framelake.operators.leaderboard import certifiable
+from framelake.operators.leaderboard import certifiable, run_table, scores_by_seed
 from framelake.operators.synthetic import synthetic_keys, synthetic_vectors
 from framelake.schemas import EXPERIMENT_SCHEMA, LEADERBOARD_SCHEMA, RUN_SCHEMA
 from framelake.sources.matrix import output_tasks
@@ -107,12 +107,22 @@ def test_tags(spark):
     assert df.select(merge_tags(F.col("auto"), F.col("given"))).first()[0] == {"a": "1", "b": "3"}
 
 
+def test_an_experiment_added_twice_doubles_no_run(spark):
+    runs = spark.sql("SELECT 'r' AS run_id, '1' AS experiment_id, now() AS start_time, map('seed', '3') AS params, map('run_name', 'n') AS tags, map('macro_f1', 0.5D) AS metrics")
+    names = spark.createDataFrame([("1", "team"), ("1", "team")], "experiment_id string, name string")
+    got = run_table(runs, names, params=("seed",)).collect()
+    assert [(r["experiment"], r["seed"]) for r in got] == [("team", "3")]
+    assert scores_by_seed(run_table(runs, names, params=("seed",)), ["fm"]).first()["n_seeds"] == 1
+
+
 def test_fusion_needs_every_model(spark):
     rows = spark.createDataFrame(
         [("a", 1, [1.0], 4), ("b", 1, [2.0, 3.0], 4), ("a", 2, [5.0], 4)],
         "fm string, frame_idx long, features array<float>, y int",
     ).selectExpr("*", "'train' AS split", "'Bag' AS location")
-    got = fuse_models(rows, ["b", "a"]).collect()
+    rows = rows.withColumn("revision", F.lit("1"))
+    other = rows.withColumns({"revision": F.lit("2"), "features": F.array(F.lit(9.0).cast("float"))})
+    got = fuse_models(rows.unionByName(other), [("b", "1"), ("a", "1")]).collect()
     assert [(r["frame_idx"], r["features"], r["y"]) for r in got] == [(1, [2.0, 3.0, 1.0], 4)]
 
 
