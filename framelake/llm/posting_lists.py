@@ -407,6 +407,8 @@ def nearest(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     neighbours: int = NEIGHBOURS,
+    sample: int = SAMPLE,
+    list_size: int = LIST,
 ) -> DataFrame:
     """(query_id, rank, id, score): for each row where ``asked`` (on ``id``) holds, its nearest other rows.
 
@@ -414,7 +416,7 @@ def nearest(
     Equal vectors are searched for once. Queries that do not take part, see :func:`build_index`, and an
     empty table give no rows.
     """
-    index = build_index(vectors, id_col, vector_col, neighbours)
+    index = build_index(vectors, id_col, vector_col, neighbours, sample, list_size)
     kind = f"query_id long, rank int, {id_col} long, score double"
     if index is None:
         return vectors.sparkSession.createDataFrame([], kind)
