@@ -28,9 +28,13 @@ def max_abs_diff(left: Column, right: Column) -> Column:
 
 
 def uniform(seed: int, *keys: Column) -> Column:
-    """A draw from (0, 1) fixed by the seed and the keys, whatever the partitioning."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("bigint"), *keys), 11)
-    return (bits.cast("double") + F.lit(0.5)) * F.lit(2.0**-53)
+    """A draw from (0, 1) fixed by the seed and the keys, whatever the partitioning or the engine.
+
+    The first 13 hex digits of a SHA-256 are 52 bits, which a double holds exactly.
+    """
+    name = F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys])
+    bits = F.conv(F.substring(F.sha2(name, 256), 1, 13), 16, 10).cast("bigint")
+    return (bits.cast("double") + F.lit(0.5)) * F.lit(2.0**-52)
 
 
 def normal(seed: int, *keys: Column) -> Column:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from framelake.constants import TRAIN_LOCATIONS
 from framelake.operators.evaluation import evaluate_by, predicted_pairs
 from framelake.operators.fusion import fuse_models
-from framelake.operators.gram import gram_matrix
+from framelake.operators.gram import gram_matrix, gram_rows
 from framelake.operators.heads import HeadModel, fit_per_group, make_head, predict_per_group
 from framelake.operators.leaderboard import run_table
 from framelake.operators.metrics import score
+from framelake.operators.pca import fit_pca
 from framelake.operators.scaling import (
     SCALED,
     VECTOR,
@@ -33,7 +35,6 @@ from framelake.sources.vector_cache import (
     select_slice,
     shape,
 )
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
 
 from .views import EMB, cache_path, emb, once, with_cte
@@ -161,10 +162,6 @@ def head_linear(spark, sf):
 
 
 def head_logreg(spark, sf):
-    return _scores(spark, sf, "logreg")
-
-
-def head_logreg_gradient(spark, sf):
     """Gradient of the penalised log loss at the fitted weights, per class and dimension: zero at the optimum."""
     train = _train(spark, sf)
     model = make_head("logreg", seed=0, tol=1e-9).fit(train)
@@ -192,7 +189,33 @@ def head_logreg_gradient(spark, sf):
 
 
 def head_mlp(spark, sf):
-    return _scores(spark, sf, "mlp")
+    """The perceptron's classes against a forward pass of its weights in built-in expressions, frame by frame."""
+    model = make_head("mlp", seed=0).fit(_train(spark, sf))
+    weights = np.asarray(model.classifier.weights)
+    layers, at, held = model.classifier.getLayers(), 0, []
+    for wide, narrow in zip(layers, layers[1:]):
+        # Weights of a layer stand column by column, its biases behind them.
+        table = weights[at : at + wide * narrow].reshape(wide, narrow)
+        bias = weights[at + wide * narrow : at + (wide + 1) * narrow]
+        held.append([[*map(float, table[:, j]), float(bias[j])] for j in range(narrow)])
+        at += (wide + 1) * narrow
+    one = spark.createDataFrame([(held,)], "layers array<array<array<double>>>").scalar()
+    rows = scale(with_vector(model.predict(_held(spark, sf))), model.scaler).withColumn("layers", one)
+
+    def layer(k, x):
+        units = F.get("layers", F.lit(k))
+        return F.transform(
+            units,
+            lambda u: F.aggregate(
+                F.zip_with(u, F.concat(x, F.array(F.lit(1.0))), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v
+            ),
+        )
+
+    rows = rows.withColumn("hidden", F.transform(layer(0, vector_to_array(SCALED)), lambda v: 1 / (1 + F.exp(-v))))
+    rows = rows.withColumn("out", layer(1, F.col("hidden")))
+    best = F.array_position("out", F.array_max("out")).cast("int")
+    label = F.element_at(F.array(*[F.lit(c) for c in model.classes]), best)
+    return rows.select("location", "frame_idx", (label == F.col("y_pred")).alias("same"))
 
 
 def predict_frames(spark, sf):
@@ -252,18 +275,23 @@ def head_per_location(spark, sf):
 
 
 def head_pca(spark, sf):
-    """PCA in front of the head: eight components of the scaled vectors."""
-    train = with_vector(_train(spark, sf))
-    scaler = PopulationScaler().fit(train.select(VECTOR))
-    pca = PCA(k=8, inputCol=SCALED, outputCol="pca").fit(scale(train, scaler))
-
-    def reduced(rows):
-        parts = pca.transform(scale(with_vector(rows), scaler))
-        return parts.select("frame_idx", "y", vector_to_array("pca", "float32").alias("features"))
-
-    model = make_head("linear").fit(reduced(_train(spark, sf)))
-    pairs = predicted_pairs(model, reduced(_held(spark, sf)))
-    return _rounded(score(pairs.select("y_true", "y_pred")))
+    """Eight components: what is left of C v - l v, which is zero, and their products, the identity."""
+    train = _train(spark, sf)
+    pca = fit_pca(train, 8)
+    n = train.count()
+    scaled = scale(with_vector(train), pca.scaler).select(vector_to_array(SCALED).alias("x"))
+    parts = [(k, v.tolist(), float(w)) for k, (v, w) in enumerate(zip(pca.components.T, pca.variances))]
+    held = F.broadcast(spark.createDataFrame(parts, "k int, v array<double>, w double").withColumn("one", F.lit(1)))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    rest = gram_rows(scaled, "x").withColumn("one", F.lit(1)).join(held, "one")
+    left = dot(F.col("products"), F.col("v")) / n - F.col("w") * F.element_at("v", F.col("i") + 1)
+    first = held.select(F.col("k").alias("a"), F.col("v").alias("va"), "one")
+    pairs = first.join(held, "one").select(
+        F.lit("product").alias("kind"), "a", F.col("k").alias("b"), dot(F.col("va"), F.col("v")).alias("value")
+    )
+    rows = rest.select(F.lit("residual").alias("kind"), F.col("k").alias("a"), F.col("i").alias("b"), left.alias("value"))
+    # The sum turns a negative zero into zero.
+    return rows.unionByName(pairs).withColumn("value", F.round("value", 6) + 0.0)
 
 
 def fused_features(spark, sf):
@@ -280,7 +308,8 @@ def _synthetic(spark, sf):
 
 
 def synth_cache(spark, sf):
-    return _synthetic(spark, sf).select("split", "location", "frame_idx", "y", _total())
+    cells = _synthetic(spark, sf).select("split", "location", "frame_idx", "y", _cells())
+    return cells.withColumn("value", F.round(F.col("value").cast("double"), 4) + 0.0)
 
 
 def synth_balance(spark, sf):
@@ -308,7 +337,6 @@ QUERIES = {
     "gram_matrix": q_gram_matrix,
     "head_linear": head_linear,
     "head_logreg": head_logreg,
-    "head_logreg_gradient": head_logreg_gradient,
     "head_mlp": head_mlp,
     "head_saved": head_saved,
     "job_predictions": job_predictions,
@@ -385,6 +413,27 @@ total AS (
 
 SCORES = "round(macro_f1, 9) AS macro_f1, round(accuracy, 9) AS accuracy, n"
 
+def _uniform_sql(*keys: str) -> str:
+    name = " || '|' || ".join(["'1'", *keys])
+    return f"((('0x' || substr(sha256({name}), 1, 13))::BIGINT)::DOUBLE + 0.5) * (1.0::DOUBLE / 4503599627370496.0::DOUBLE)"
+
+
+def _normal_sql(*keys: str) -> str:
+    radius, angle = _uniform_sql("'radius'", *keys), _uniform_sql("'angle'", *keys)
+    return f"sqrt(-2.0::DOUBLE * ln({radius})) * cos(2.0::DOUBLE * pi() * ({angle}))"
+
+
+SYNTH = f"""
+, dims AS (SELECT range AS d FROM range(0, 16)),
+centroids AS (SELECT c, d, 2.5::DOUBLE * {_normal_sql("'centroid'", "c::VARCHAR", "d::VARCHAR")} AS v
+              FROM range(1, 9) AS r(c), dims),
+shifts AS (SELECT p, d, 0.3::DOUBLE * {_normal_sql("'shift'", "p", "d::VARCHAR")} AS v
+           FROM (VALUES ('Bag'), ('Hips'), ('Torso'), ('Hand')) AS l(p), dims)
+SELECT split, location, frame_idx, y, CAST(dims.d AS INTEGER) AS dim,
+       round(CAST(CAST(centroids.v + shifts.v + {_normal_sql("'noise'", "split", "location", "frame_idx::VARCHAR", "dims.d::VARCHAR")} AS FLOAT) AS DOUBLE), 4) + 0.0::DOUBLE AS value
+FROM emb, dims JOIN centroids ON centroids.d = dims.d AND centroids.c = coalesce(y, 1)
+JOIN shifts ON shifts.d = dims.d AND shifts.p = location"""
+
 ORACLES = {
     "head_linear": ridge_sql("0", f"SELECT 'linear' AS head, {SCORES} FROM macro, total"),
     "predict_frames": ridge_sql("0", "SELECT frame_idx, y_pred FROM predicted WHERE split = 'test'"),
@@ -448,7 +497,14 @@ SELECT split, CASE WHEN split = 'test' THEN 'all' ELSE location END, frame_idx,
 SELECT 'fixture|all|linear' AS run_name, '0' AS seed, 'false' AS git_dirty, 'macro_f1' AS metric,
        round(macro_f1, 9) AS value, CAST(0 AS BIGINT) AS step FROM macro
 UNION ALL SELECT 'fixture|all|linear', '0', 'false', 'accuracy', round(accuracy, 9), 0 FROM total"""),
-    "head_logreg_gradient": with_cte(EMB, select="""
+    "head_mlp": with_cte(EMB, select="SELECT location, frame_idx, true AS same FROM emb WHERE split = 'validation'"),
+    "head_pca": """
+SELECT 'residual' AS kind, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, 0.0::DOUBLE AS value
+FROM range(0, 8) AS r(a), range(0, 64) AS q(b) WHERE EXISTS (SELECT 1 FROM embeddings)
+UNION ALL SELECT 'product', CAST(a AS INTEGER), CAST(b AS INTEGER), CASE WHEN a = b THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
+FROM range(0, 8) AS r(a), range(0, 8) AS q(b) WHERE EXISTS (SELECT 1 FROM embeddings)""",
+    "synth_cache": with_cte(EMB, select=SYNTH),
+    "head_logreg": with_cte(EMB, select="""
 SELECT c.y AS class, CAST(d AS INTEGER) AS dim, 0.0::DOUBLE AS gradient
 FROM (SELECT DISTINCT y FROM emb WHERE split = 'train') AS c, range(0, 64) AS r(d)"""),
     "synth_balance": with_cte(EMB, select="""
