@@ -52,6 +52,17 @@ def _scaled(values: np.ndarray, lengths: np.ndarray, mean: np.ndarray, std: np.n
         return np.where(std == 0.0, 0.0, (values - mean) / std)
 
 
+@F.arrow_udf(
+    T.StructType([T.StructField("n", T.LongType()), T.StructField("mean", T.DoubleType()), T.StructField("squares", T.DoubleType())])
+)
+def moments(samples: pa.Array) -> pa.Array:
+    """Per row the number of samples, their mean and the sum of squares around it; NULL samples do not count."""
+    lengths, values = _lengths(samples), _values(samples)
+    n = np.bincount(np.repeat(np.arange(len(lengths)), lengths), ~np.isnan(values), len(lengths)).astype(np.int64)
+    mean, std = (np.nan_to_num(m) for m in _moments(values, lengths))
+    return pa.StructArray.from_arrays([pa.array(n), pa.array(mean), pa.array(n * std * std)], ["n", "mean", "squares"])
+
+
 @F.arrow_udf(_DOUBLES)
 def standardise(samples: pa.Array, mean: pa.Array, std: pa.Array) -> pa.Array:
     """(x - mean) / std for every sample; a constant channel becomes 0."""

@@ -15,7 +15,7 @@ from ..constants import (
     LABELLED_SPLITS,
     SAMPLES_PER_FRAME,
 )
-from ..functions.samples import standardise, standardise_within
+from ..functions.samples import moments, standardise, standardise_within
 from ..functions.vectors import array_mode
 from ..schemas import FRAME_SCHEMA
 from ..session import refuse
@@ -169,26 +169,33 @@ def incomplete_frames(
     return frames.select(*FRAME_KEYS, F.inline(parts)).where(F.col("n_samples") != n_samples)
 
 
-def _sample_rows(frames: DataFrame, channels: Sequence[str]) -> DataFrame:
-    """One row per sample instant with one column per channel."""
-    empty = F.array().cast("array<float>")
-    columns = [F.coalesce(F.col(c), empty).alias(c) for c in channels]
-    zipped = frames.select(*columns).select(F.inline(F.arrays_zip(*channels)))
-    return zipped.select(*[F.col(c).cast("double").alias(c) for c in channels])
-
-
 def channel_stats(frames: DataFrame, channels: Sequence[str] = CHANNELS) -> DataFrame:
     """One row with the mean and population deviation of every channel, as struct columns.
 
-    Samples are streamed into keyless aggregates: each task sends one row to the shuffle.
+    The samples of a frame become a count, a mean and a sum of squares around it in Arrow batches;
+    only those travel on, one row per channel and number of samples from each task.
     """
-    samples = _sample_rows(frames, channels)
-    return samples.agg(
-        *[
-            F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c)
-            for c in channels
-        ]
+    own = [F.struct(F.lit(c).alias("channel"), moments(F.col(c)).alias("m")) for c in channels]
+    cells = frames.select(F.inline(F.array(*own))).select("channel", "m.*").where("n > 0")
+    parts = cells.groupBy("channel", "n").agg(
+        (F.col("n") * F.count(F.lit(1))).cast("double").alias("w"),
+        F.avg("mean").alias("mean"),
+        F.var_pop("mean").alias("spread"),
+        F.sum("squares").alias("squares"),
     )
+    # One entry per number of samples that occurs.
+    merged = parts.groupBy("channel").agg(F.collect_list(F.struct("w", "mean", "spread", "squares")).alias("parts"))
+
+    def total(value):
+        return F.aggregate("parts", F.lit(0.0), lambda s, p: s + value(p))
+
+    merged = merged.withColumn("w", total(lambda p: p["w"]))
+    merged = merged.withColumn("mean", total(lambda p: p["w"] * p["mean"]) / F.col("w"))
+    gap = lambda p: p["spread"] + (p["mean"] - F.col("mean")) * (p["mean"] - F.col("mean"))
+    merged = merged.withColumn("std", F.sqrt(total(lambda p: p["squares"] + p["w"] * gap(p)) / F.col("w")))
+    none = F.struct(F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("std"))
+    found = F.struct("mean", "std")
+    return merged.agg(*[F.coalesce(F.max(F.when(F.col("channel") == c, found)), none).alias(c) for c in channels])
 
 
 def channel_stats_long(stats: DataFrame, channels: Sequence[str] = CHANNELS) -> DataFrame:

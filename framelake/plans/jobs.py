@@ -23,7 +23,7 @@ from ..sources.file_listing import digest_files, list_files
 from ..sources.matrix import read_text_predictions
 from ..sources.raw_files import PLAIN_LAYOUT, read_raw, unexpected_files
 from ..sources.runs import log_run
-from ..sources.vector_cache import embeddings, read_cache, write_cache
+from ..sources.vector_cache import embeddings, read_cache, slices, write_cache
 
 
 def verify_raw(spark: SparkSession, manifest: str, root: str) -> int:
@@ -86,10 +86,9 @@ def frozen_embeddings(
         # One row per cached folder. As a filter on partition columns it keeps the files of
         # finished slices from being opened, and no join is needed.
         done = (
-            read_cache(spark, root)
+            slices(read_cache(spark, root))
             .where((F.col("fm") == fm) & (F.col("revision") == revision))
             .select(F.concat_ws("/", "split", "location").alias("slice"))
-            .distinct()
             .collect()
         )
         here = F.concat_ws("/", "split", "location")

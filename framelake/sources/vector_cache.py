@@ -11,6 +11,7 @@ import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -45,9 +46,27 @@ def read_cache(spark: SparkSession, root: str | None = None) -> DataFrame:
         raise
 
 
+def slices(cache: DataFrame) -> DataFrame:
+    """(fm, revision, split, location) of every cached slice, from the folder names of its files.
+
+    The listing is what Spark made to plan a scan of the cache; no row is read. A table that does not
+    come from files is scanned.
+    """
+    files = cache.inputFiles()
+    if not files:
+        return cache.select(*CACHE_KEYS).distinct()
+    found = set()
+    for name in files:
+        # A folder name is escaped once by the writer and once more in a URI.
+        parts = dict(p.partition("=")[::2] for p in name.split("/") if "=" in p)
+        found.add(tuple(unquote(unquote(parts[k])) for k in CACHE_KEYS))
+    kind = ", ".join(f"{k} string" for k in CACHE_KEYS)
+    return cache.sparkSession.createDataFrame(sorted(found), kind)
+
+
 def catalog(cache: DataFrame) -> DataFrame:
-    """Cached (fm, revision) pairs in order; reads partition values only."""
-    return cache.select("fm", "revision").distinct().orderBy("fm", "revision")
+    """Cached (fm, revision) pairs in order; no row of the cache is read."""
+    return slices(cache).select("fm", "revision").distinct().orderBy("fm", "revision")
 
 
 def list_available(spark: SparkSession, root: str | None = None) -> list[tuple[str, str]]:
@@ -56,7 +75,7 @@ def list_available(spark: SparkSession, root: str | None = None) -> list[tuple[s
 
 def revisions(cache: DataFrame, fm: str) -> DataFrame:
     """Revisions cached for one model, in order."""
-    return cache.where(F.col("fm") == fm).select("revision").distinct().orderBy("revision")
+    return slices(cache).where(F.col("fm") == fm).select("revision").distinct().orderBy("revision")
 
 
 def resolve_revision(cache: DataFrame, fm: str, revision: str | None = None) -> str:

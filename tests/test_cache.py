@@ -8,9 +8,11 @@ from framelake.sources.vector_cache import (
     CACHE_ROOT_CONF,
     DEFAULT_CACHE_ROOT,
     cache_root,
+    catalog,
     pooled_order,
     read_cache,
     resolve_revision,
+    revisions,
     select_slice,
     write_cache,
 )
@@ -22,6 +24,17 @@ def vectors(spark, n=4, label="1"):
     )
 
 
+def test_catalogue_reads_no_rows(spark, tmp_path):
+    root = str(tmp_path / "c")
+    odd = ["org/n", "a__b", "x@y", "a=b", "100%", "sp ace", "007"]
+    rows = spark.createDataFrame([(k, [1.0], fm, "r/1") for k, fm in enumerate(odd)], "frame_idx long, features array<double>, fm string, revision string")
+    write_cache(rows.selectExpr("*", "'train' AS split", "'Bag' AS location"), root)
+    cache = read_cache(spark, root)
+    assert [tuple(r) for r in catalog(cache).collect()] == sorted((fm, "r/1") for fm in odd)
+    assert [r["revision"] for r in revisions(cache, "a=b").collect()] == ["r/1"]
+    assert "FileScan" not in catalog(cache)._jdf.queryExecution().toString()
+
+
 def test_names_survive(spark, tmp_path):
     root = str(tmp_path / "c")
     models = ["plain", "org/name", "a__b", "x@y", "a=b", "tab le"]
