@@ -28,8 +28,7 @@ from .common import in_fold, shared_folder, table
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document before and after private data are replaced by tags."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    trees = token_counts.build_trees(table(spark, sf_dir, "documents"), path)
-    edited = token_counts.apply_edits(trees, token_counts.redactions("text"), path)
+    edited = token_counts.count_edited(table(spark, sf_dir, "documents"), path, token_counts.private_edits)
     pieces = F.size("counts").cast("long").alias("n_pieces")
     return edited.select(F.col("id").alias("doc_id"), "n_tokens_before", "n_tokens", "n_edits", "n_encoded", pieces)
 

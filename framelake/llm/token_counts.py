@@ -10,7 +10,7 @@ sums on the way from the changed leaves to the root are updated.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ LEAF = 64
 #: Characters behind its end that a match of the pre-token pattern may depend on.
 LOOK = 3
 #: Pre-tokens whose counts a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 EDITS = T.ArrayType(
     T.StructType(
@@ -228,6 +228,14 @@ def _lists(rows: list[list[int]]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, flat)
 
 
+def _edited(out: dict[str, list]) -> pa.RecordBatch:
+    columns = [
+        _lists(v) if k in ("lengths", "counts") else pa.array(v, pa.string() if k == "text" else pa.int64())
+        for k, v in out.items()
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=list(out))
+
+
 def build_trees(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, lengths, counts, n_tokens) per document row: the leaves of its tree, as a table keeps them.
 
@@ -287,17 +295,47 @@ def apply_edits(trees: DataFrame, edits_col: Column, tokenizer: str) -> DataFram
                 row = (doc_id, text, lengths, counts, before, after, len(wanted), skipped, encoded)
                 for name, value in zip(out, row):
                     out[name].append(value)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    _lists(v) if k in ("lengths", "counts") else pa.array(v, pa.string() if k == "text" else pa.int64())
-                    for k, v in out.items()
-                ],
-                names=list(out),
-            )
+            yield _edited(out)
 
     return trees.select("id", "text", "lengths", "counts", "n_tokens", edits_col.alias("edits")).mapInArrow(apply, _EDITED)
 
 
+def count_edited(
+    docs: DataFrame,
+    tokenizer: str,
+    edits: Callable[[str], list[dict]],
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """:func:`build_trees` and :func:`apply_edits` in one pass, the edits found in each text by a function."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _counts(tokenizer)
+        for batch in small_batches(batches, 256):
+            bodies = texts(batch.column(1))
+            pieces = [counter.find(t) for t in bodies]
+            counter.learn(set().union(*pieces))
+            counts = [counter.of(p) for p in pieces]
+            found = [clean_edits(edits(t), len(t)) for t in bodies]
+            out = {c.split()[0]: [] for c in _EDITED.split(", ")}
+            for doc_id, text, own, numbers, (wanted, skipped) in zip(batch.column(0).to_pylist(), bodies, pieces, counts, found):
+                before = after = sum(numbers)
+                encoded = 0
+                if wanted:
+                    tree = PreTokenTree(own, numbers, counter)
+                    for start, end, new in reversed(wanted):
+                        tree.edit(start, end, new)
+                    own, numbers = [p for leaf in tree.pieces for p in leaf], [n for leaf in tree.counts for n in leaf]
+                    text, encoded, after = "".join(own), tree.encoded, tree.total()
+                row = (doc_id, text, list(map(len, own)), numbers, before, after, len(wanted), skipped, encoded)
+                for name, value in zip(out, row):
+                    out[name].append(value)
+            yield _edited(out)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(count, _EDITED)
+
+
 #: What :func:`redactions` looks for, in this order, and what it puts there.
 PRIVATE = (
     (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "[EMAIL]"),
@@ -306,17 +344,19 @@ PRIVATE = (
 )
 
 
+def private_edits(text: str) -> list[dict]:
+    """Edits that put a tag in place of mail addresses, IP addresses and long numbers."""
+    found = []
+    for pattern, tag in PRIVATE:
+        if tag == "[EMAIL]" and "@" not in text:
+            continue
+        found += [{"start": m.start(), "end": m.end(), "text": tag} for m in re.finditer(pattern, text)]
+    return found
+
+
 @F.arrow_udf(EDITS)
 def redactions(column: pa.Array) -> pa.Array:
-    """Edits that put a tag in place of mail addresses, IP addresses and long numbers."""
-    patterns = [(re.compile(p), tag) for p, tag in PRIVATE]
-    out = []
-    for text in column.to_pylist():
-        found = []
-        for pattern, tag in patterns:
-            if tag == "[EMAIL]" and "@" not in (text or ""):
-                continue
-            found += [{"start": m.start(), "end": m.end(), "text": tag} for m in pattern.finditer(text or "")]
-        out.append(found)
+    """:func:`private_edits` of a text column."""
+    out = [private_edits(t or "") for t in column.to_pylist()]
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
     return pa.array(out, kind)
