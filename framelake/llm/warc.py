@@ -268,14 +268,15 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         F.max("page_id").alias("page_r"),
         F.count(F.lit(1)).alias("found"),
     )
-    met = revisits.join(named, "refers_to_record", "left")
+    # Sizes are guessed from the short list of archives, so joins that must shuffle say so.
+    met = revisits.join(named.hint("merge"), "refers_to_record", "left")
     lost = met.where(F.col("found").isNull()).drop("bytes_r", "page_r", "found")
     by_digest = responses.where(F.col("payload_digest").isNotNull()).groupBy("payload_digest").agg(
         F.max_by("payload_bytes", "page_id").alias("bytes_r"), F.max("page_id").alias("page_r")
     )
     columns = ["record_type", "page_id", "url", "payload_digest", F.col("bytes_r").alias("payload_bytes"), F.col("page_r").alias("refers_to")]
     solved = met.where(F.col("found").isNotNull()).select(*columns)
-    rest = lost.join(by_digest, "payload_digest", "left").select(*columns)
+    rest = lost.join(by_digest.hint("merge"), "payload_digest", "left").select(*columns)
     plain = responses.select(
         "record_type", "page_id", "url", "payload_digest", "payload_bytes", F.lit(None).cast("long").alias("refers_to")
     )
@@ -290,12 +291,12 @@ def rewrite_archives(spark: SparkSession, folder: str, out: str, least: int = LE
     its task.
     """
     captures = resolve_revisits(read_archives(spark, folder, payloads=False))
-    marked = captures.join(originals(captures, least), "payload_digest", "left")
+    marked = captures.join(originals(captures, least).hint("merge"), "payload_digest", "left")
     again = (F.col("payload_bytes") >= least) & ~F.col("original").eqNullSafe(F.col("page_id"))
     marked = marked.withColumn("original", F.when(again, F.col("original"))).drop("refers_to", "record_type")
     stored = read_archives(spark, folder).where("record_type = 'response'")
     bodies = stored.groupBy("payload_digest").agg(F.first("payload").alias("payload"))
-    kept = marked.where(F.col("original").isNull()).join(bodies, "payload_digest", "left")
+    kept = marked.where(F.col("original").isNull()).join(bodies.hint("merge"), "payload_digest", "left")
     lost = F.raise_error(F.concat(F.lit("no response holds payload "), "payload_digest"))
     kept = kept.withColumn("payload", F.coalesce("payload", lost.cast("binary")))
     revisits = marked.where(F.col("original").isNotNull()).withColumn("payload", F.lit(None).cast("binary"))
