@@ -265,14 +265,19 @@ def drop_near_duplicates(
     radius: int = RADIUS,
     most: int = SHARD,
 ) -> DataFrame:
-    """``docs`` with one row of each group of :func:`near_duplicates`, all columns kept.
+    """``docs`` with one row of each group of :func:`near_duplicates`, chosen by :func:`keep_first`, all columns kept."""
+    rows, rooted = _grouped(docs, id_col, text_col, size, radius, most)
+    keys = rows.groupBy("id", "h", "fp").agg(F.count(F.lit(1)).alias("n")).join(rooted.select("fp", "root"), "fp")
+    return keep_first(docs, keys, id_col, text_col)
+
+
+def keep_first(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one row of each group; ``keys``: (id, h, n, root), the rows of an id and text hash and their group.
 
     The row with the smallest id stays, null ids last; of several texts under that id the one with the
     smallest hash, and of rows that repeat both any one.
     """
     columns = docs.columns
-    rows, rooted = _grouped(docs, id_col, text_col, size, radius, most)
-    keys = rows.groupBy("id", "h", "fp").agg(F.count(F.lit(1)).alias("n")).join(rooted.select("fp", "root"), "fp")
     rank = F.struct(F.col("id").isNull().alias("late"), "id", "h")
     best = keys.groupBy("root").agg(F.min(rank).alias("best"))
     # (id, h) that do not stay as they are: dropped, or kept once out of several equal rows.
