@@ -294,6 +294,15 @@ def head_pca(spark, sf):
     return rows.unionByName(pairs).withColumn("value", F.round("value", 6) + 0.0)
 
 
+def head_pca_score(spark, sf):
+    """A linear head on eight components, scored on the validation split."""
+    pca = fit_pca(_train(spark, sf), 8)
+    model = make_head("linear").fit(pca.transform(_train(spark, sf)))
+    pairs = predicted_pairs(model, pca.transform(_held(spark, sf)))
+    table = _rounded(score(pairs.select("y_true", "y_pred")))
+    return table.select(F.lit("pca").alias("head"), "macro_f1", "accuracy", "n")
+
+
 def fused_features(spark, sf):
     fused = fuse_models(cached(spark, sf), [("fixture", "v1"), ("org/other", "007")])
     y = F.col("y").cast("int").alias("y")
@@ -345,6 +354,7 @@ QUERIES = {
     "evaluate_head": evaluate_head,
     "head_per_location": head_per_location,
     "head_pca": head_pca,
+    "head_pca_score": head_pca_score,
     "fused_features": fused_features,
     "synth_cache": synth_cache,
     "synth_balance": synth_balance,
@@ -413,6 +423,55 @@ total AS (
 
 SCORES = "round(macro_f1, 9) AS macro_f1, round(accuracy, 9) AS accuracy, n"
 
+
+def pca_sql(k: int, squarings: int = 14) -> str:
+    """Scores of a ridge head on the ``k`` largest components.
+
+    Repeated squaring of the matrix leaves the projector on its largest component, which is taken off
+    for the next one. Standardised components have n times the identity as products, so the weights are
+    the sum of projectors over variances, times X'Y over n + 1.
+    """
+    steps = []
+    for c in range(k):
+        steps.append(f"p{c}_0 AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM c{c} WHERE i = j) AS v FROM c{c})")
+        for t in range(squarings):
+            steps.append(f"q{c}_{t} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM p{c}_{t} a JOIN p{c}_{t} b ON a.j = b.i GROUP BY a.i, b.j)")
+            steps.append(f"p{c}_{t + 1} AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM q{c}_{t} WHERE i = j) AS v FROM q{c}_{t})")
+        last = f"p{c}_{squarings}"
+        steps.append(f"l{c} AS MATERIALIZED (SELECT sum(a.v * b.v) AS l FROM c{c} a JOIN {last} b USING (i, j))")
+        steps.append(f"c{c + 1} AS MATERIALIZED (SELECT i, j, a.v - l * b.v AS v FROM c{c} a JOIN {last} b USING (i, j), l{c})")
+    parts = " UNION ALL ".join(f"SELECT i, j, v / l AS v FROM p{c}_{squarings}, l{c}" for c in range(k))
+    return with_cte(EMB, LONG_SQL, select=f"""
+, stats AS (SELECT dim, avg(v) AS m, stddev_pop(v) AS s FROM long WHERE split = 'train' GROUP BY dim),
+scaled AS MATERIALIZED (
+  SELECT split, frame_idx, y, dim, CASE WHEN s = 0 THEN 0 ELSE (v - m) / s END AS z FROM long JOIN stats USING (dim)),
+train AS MATERIALIZED (SELECT * FROM scaled WHERE split = 'train'),
+frames AS (SELECT DISTINCT frame_idx, y FROM train),
+size AS (SELECT count(*) AS n FROM frames),
+classes AS (SELECT DISTINCT y AS c FROM train),
+c0 AS MATERIALIZED (
+  SELECT a.dim AS i, b.dim AS j, sum(a.z * b.z) / any_value(n) AS v
+  FROM train a JOIN train b USING (frame_idx), size GROUP BY a.dim, b.dim),
+{", ".join(steps)},
+inverse AS (SELECT i, j, sum(v) AS v FROM ({parts}) GROUP BY i, j),
+moments AS (SELECT dim AS j, c, sum(z * CASE WHEN y = c THEN 1 ELSE -1 END) AS v FROM train, classes GROUP BY dim, c),
+weights AS (
+  SELECT i AS dim, c, sum(a.v * b.v) / (any_value(n) + 1) AS w
+  FROM inverse a JOIN moments b USING (j), size GROUP BY i, c),
+bias AS (SELECT c, avg(CASE WHEN y = c THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS b FROM frames, classes GROUP BY c),
+scored AS (
+  SELECT frame_idx, y, c, sum(z * w) + any_value(b) AS score
+  FROM scaled JOIN weights USING (dim) JOIN bias USING (c) WHERE split = 'validation' GROUP BY frame_idx, y, c),
+held AS (SELECT frame_idx, y AS y_true, CAST(arg_max(c, score) AS INTEGER) AS y_pred FROM scored GROUP BY frame_idx, y),
+counts AS (
+  SELECT c, count(*) FILTER (y_true = c AND y_pred = c) AS tp,
+         count(*) FILTER (y_true = c) + count(*) FILTER (y_pred = c) AS seen
+  FROM held, range(1, 9) AS r(c) GROUP BY c),
+macro AS (SELECT avg(CASE WHEN seen = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * tp / seen END) AS macro_f1 FROM counts),
+total AS (SELECT avg(CASE WHEN y_true = y_pred THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS accuracy, count(*) AS n FROM held)
+SELECT 'pca' AS head, {SCORES} FROM macro, total""")
+
+
 def _uniform_sql(*keys: str) -> str:
     name = " || '|' || ".join(["'1'", *keys])
     return f"((('0x' || substr(sha256({name}), 1, 13))::BIGINT)::DOUBLE + 0.5) * (1.0::DOUBLE / 4503599627370496.0::DOUBLE)"
@@ -503,6 +562,7 @@ SELECT 'residual' AS kind, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, 0.0
 FROM range(0, 8) AS r(a), range(0, 64) AS q(b) WHERE EXISTS (SELECT 1 FROM embeddings)
 UNION ALL SELECT 'product', CAST(a AS INTEGER), CAST(b AS INTEGER), CASE WHEN a = b THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
 FROM range(0, 8) AS r(a), range(0, 8) AS q(b) WHERE EXISTS (SELECT 1 FROM embeddings)""",
+    "head_pca_score": pca_sql(8),
     "synth_cache": with_cte(EMB, select=SYNTH),
     "head_logreg": with_cte(EMB, select="""
 SELECT c.y AS class, CAST(d AS INTEGER) AS dim, 0.0::DOUBLE AS gradient

@@ -9,6 +9,7 @@ from framelake import HeadModel, embeddings, make_head
 from framelake.operators import gram
 from framelake.operators.gram import collect_gram, gram_rows
 from framelake.operators.heads import BUILDERS, fit_per_group, predict_per_group
+from framelake.operators.pca import fit_pca
 from framelake.operators.scaling import SCALED, VECTOR, PopulationScaler, scale, scaler_stats, with_vector
 
 
@@ -189,3 +190,27 @@ def test_prediction_is_row_wise_and_streams(spark, cache, tmp_path, name):
 def test_training_set_is_released(spark, noisy):
     make_head("linear").fit(noisy)
     assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
+def test_pca_takes_the_largest_components(noisy):
+    x, y = local(noisy)
+    z = standardised(x, x)
+    pca = fit_pca(noisy, 3)
+    values = np.sort(np.linalg.eigvalsh(z.T @ z / len(z)))[::-1]
+    assert np.allclose(pca.variances, values[:3]) and pca.variances[-1] > values[3]
+    got, labels = local(pca.transform(noisy).orderBy("frame_idx"))
+    assert np.allclose(got, z @ pca.components, atol=1e-5) and (labels == y).all()
+    assert np.allclose(got.var(0), values[:3], atol=1e-4)
+
+
+def test_head_on_components(noisy):
+    x, y = local(noisy)
+    pca = fit_pca(noisy, 3)
+    rows = make_head("linear").fit(pca.transform(noisy)).predict(pca.transform(noisy)).orderBy("frame_idx").collect()
+    z = standardised(x, x)
+    left, _, _ = np.linalg.svd(z, full_matrices=False)
+    white = left[:, :3] * np.sqrt(len(z))
+    classes = np.unique(y)
+    target = np.where(y[:, None] == classes, 1.0, -1.0)
+    scores = white @ (white.T @ target) / (len(z) + 1) + target.mean(0)
+    assert [r["y_pred"] for r in rows] == classes[scores.argmax(1)].tolist()
