@@ -32,6 +32,8 @@ RADIUS = 3
 SEED = 42
 #: Fingerprints in one tree, at most.
 SHARD = 2000
+#: Trees whose members search an earlier tree in one task.
+TOGETHER = 8
 #: Shingles held at once while a long text is hashed.
 _CHUNK = 1 << 16
 
@@ -94,33 +96,38 @@ class BKTree:
         self.children.append({})
 
 
-def tree_links(members: list[int], searches: list[int], radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among ``members``, and of each search to the trees of that forest."""
-    tree, parent, links = BKTree(), [], []
+class Forest:
+    """A tree of members that reports a spanning forest of their links, and searches that join its parts."""
 
-    def root(place: int) -> int:
+    def __init__(self, radius: int) -> None:
+        self.tree, self.parent, self.radius = BKTree(), [], radius
+
+    def root(self, place: int) -> int:
+        parent = self.parent
         while parent[place] != place:
             parent[place] = parent[parent[place]]
             place = parent[place]
         return place
 
-    for value in members:
-        place = len(parent)
-        parent.append(place)
-        for other in tree.near(value, radius):
-            above = root(other)
-            if above != root(place):
-                links.append((value, tree.values[other]))
-                parent[root(place)] = above
-        tree.add(value)
-    for value in searches:
-        met = set()
-        for other in tree.near(value, radius):
-            above = root(other)
-            if above not in met and tree.values[other] != value:
-                met.add(above)
-                links.append((value, tree.values[other]))
-    return links
+    def add(self, value: int) -> list[tuple[int, int]]:
+        """Links of a new member to the parts that it joins."""
+        links, place = [], len(self.parent)
+        self.parent.append(place)
+        for other in self.tree.near(value, self.radius):
+            above = self.root(other)
+            if above != self.root(place):
+                links.append((value, self.tree.values[other]))
+                self.parent[self.root(place)] = above
+        self.tree.add(value)
+        return links
+
+    def search(self, value: int) -> list[tuple[int, int]]:
+        """A link to each part that lies near a value which is not a member."""
+        met = {}
+        for other in self.tree.near(value, self.radius):
+            if self.tree.values[other] != value:
+                met.setdefault(self.root(other), other)
+        return [(value, self.tree.values[other]) for other in met.values()]
 
 
 def _blocks(value: Column, widths: list[int], low: int = 0) -> list[Column]:
@@ -144,7 +151,11 @@ def _rest(value: Column, low: int, width: int) -> Column:
 
 
 def shards(prints: DataFrame, radius: int = RADIUS, most: int = SHARD) -> DataFrame:
-    """(key, part, searches, fp): where each distinct fingerprint is a member of a tree or searches one."""
+    """(key, part, salt, searches, fp): where each distinct fingerprint is a member of a tree or searches one.
+
+    The searches of a tree are dealt out by ``salt``, ``TOGETHER`` later trees at a time, and its members
+    come to each of them; so a task holds one tree however large the shard is.
+    """
     widths = _widths(64, radius + 1)
     lows = [sum(widths[:k]) for k in range(len(widths))]
     first = [
@@ -168,45 +179,51 @@ def shards(prints: DataFrame, radius: int = RADIUS, most: int = SHARD) -> DataFr
     hot = hot.join(again, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     # A tree is searched by its own members as they come in and by the members of later trees.
-    dealt = hot.select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), own)).alias("part"))
-    dealt = dealt.select("key", "part", (F.col("part") < F.col("own")).alias("searches"), "fp")
-    return small.select("key", F.lit(0).alias("part"), F.lit(False).alias("searches"), "fp").unionByName(dealt)
+    dealt = hot.select("key", "fp", "parts", own.alias("own"), F.explode(F.sequence(F.lit(0), own)).alias("part"))
+    block = lambda part: F.floor(part / TOGETHER).cast("int")
+    searches = F.col("part") < F.col("own")
+    salts = F.when(searches, F.array(block(F.col("own")))).otherwise(
+        F.sequence(block(F.col("own")), block(F.col("parts") - 1))
+    )
+    dealt = dealt.select("key", "part", F.explode(salts).alias("salt"), searches.alias("searches"), "fp")
+    alone = small.select("key", F.lit(0).alias("part"), F.lit(0).alias("salt"), F.lit(False).alias("searches"), "fp")
+    return alone.unionByName(dealt)
 
 
 def links(prints: DataFrame, radius: int = RADIUS, most: int = SHARD) -> DataFrame:
     """(a, b) among the distinct fingerprints ``fp``: links that join all that lie within ``radius`` bits."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, members, found, late = None, [], [], []
-
-        def finish() -> None:
-            if len(members) > 1 or late:
-                found.extend(tree_links(members, late, radius))
+        current, forest, found = None, Forest(radius), []
 
         def out() -> pa.RecordBatch:
             pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
             found.clear()
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
+        # Members come before the searches of their tree, so links go out as they are found.
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            parts = batch.column(1).to_pylist()
-            roles = batch.column(2).to_pylist()
-            values = batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64).tolist()
-            for shard, role, value in zip(zip(keys, parts), roles, values):
-                if shard != current:
-                    finish()
-                    current, members, late = shard, [], []
-                (late if role else members).append(value)
+            shard = zip(*[batch.column(k).to_pylist() for k in range(3)])
+            roles = batch.column(3).to_pylist()
+            values = batch.column(4).to_numpy(zero_copy_only=False).view(np.uint64).tolist()
+            for place, role, value in zip(shard, roles, values):
+                if place != current:
+                    current, forest = place, Forest(radius)
+                if role:
+                    found += forest.search(value)
+                else:
+                    own = forest.add(value)
+                    # A tree that comes to several tasks reports its own links in the first.
+                    if place[2] == place[1] // TOGETHER:
+                        found += own
+                if len(found) >= _CHUNK:
+                    yield out()
             if found:
                 yield out()
-        finish()
-        if found:
-            yield out()
 
     placed = shards(prints, radius, most)
-    dealt = placed.repartition("key", "part").sortWithinPartitions("key", "part", "searches")
-    return dealt.select("key", "part", "searches", "fp").mapInArrow(search, "a long, b long")
+    dealt = placed.repartition("key", "part", "salt").sortWithinPartitions("key", "part", "salt", "searches")
+    return dealt.select("key", "part", "salt", "searches", "fp").mapInArrow(search, "a long, b long")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:

@@ -104,6 +104,22 @@ def test_hot_group_emits_no_pairs(spark):
     assert simhash.links(prints).count() <= 4 * len(values)
 
 
+def test_no_task_holds_a_hot_shard(spark):
+    """A tree and the searches that come to it stay near their bound, and every two trees meet once."""
+    rnd = random.Random(2)
+    center = rnd.getrandbits(64)
+    values = {close(rnd, center, rnd.randint(1, 3)) for _ in range(900)}
+    prints = spark.createDataFrame([(as_signed(v),) for v in values], "fp long")
+    rows = simhash.shards(prints, most=10).collect()
+    groups, members, searches = {}, {}, {}
+    for r in rows:
+        groups[r["key"], r["part"], r["salt"]] = groups.get((r["key"], r["part"], r["salt"]), 0) + 1
+        side = searches if r["searches"] else members
+        side.setdefault((r["key"], r["part"], r["salt"]), set()).add(r["fp"])
+    assert max(p for _, p, _ in groups) >= 16 and max(groups.values()) <= 2 * (simhash.TOGETHER + 1) * 10
+    assert set(searches) <= set(members)
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(k, k + 1) for k in range(200)], [(500, k) for k in range(50)], [(None, 2), (3, 2), (2, 3), (9, 8)]])
 def test_components(spark, edges):
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
