@@ -30,7 +30,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     edited = token_counts.count_edited(table(spark, sf_dir, "documents"), path, token_counts.private_edits)
     pieces = F.size("counts").cast("long").alias("n_pieces")
-    return edited.select(F.col("id").alias("doc_id"), "n_tokens_before", "n_tokens", "n_edits", "n_encoded", pieces)
+    return edited.select(F.col("id").alias("doc_id"), "n_tokens_before", "n_tokens", "n_edits", "n_skipped", "n_encoded", pieces)
 
 
 def op2_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -345,13 +345,22 @@ PRIVATE = (
 
 
 def private_edits(text: str) -> list[dict]:
-    """Edits that put a tag in place of mail addresses, IP addresses and long numbers."""
+    """Edits that put a tag in place of mail addresses, IP addresses and long numbers.
+
+    Finds that overlap become one edit over all of them, with the tag of the first, of those the longest.
+    """
     found = []
     for pattern, tag in PRIVATE:
         if tag == "[EMAIL]" and "@" not in text:
             continue
         found += [{"start": m.start(), "end": m.end(), "text": tag} for m in re.finditer(pattern, text)]
-    return found
+    merged = []
+    for e in sorted(found, key=lambda e: (e["start"], -e["end"])):
+        if merged and e["start"] < merged[-1]["end"]:
+            merged[-1]["end"] = max(merged[-1]["end"], e["end"])
+        else:
+            merged.append(e)
+    return merged
 
 
 @F.arrow_udf(EDITS)

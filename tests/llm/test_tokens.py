@@ -108,6 +108,18 @@ def test_count_query_against_the_library(spark, sf, plain):
         assert r["n_tokens"] == len(plain.encode(text, add_special_tokens=False).ids)
 
 
+@pytest.mark.parametrize("text", ["at 1.2.3.4 555 123 4567 now", "write 1234567890@x.com now"])
+def test_overlapping_private_data_is_one_edit(text):
+    edits, skipped = token_counts.clean_edits(token_counts.private_edits(text), len(text))
+    assert skipped == 0 and len(edits) == 1
+    start, end, tag = edits[0]
+    assert not any(c.isdigit() or c == "@" for c in text[:start] + text[end:]) and tag.startswith("[")
+
+
+def test_query_returns_skipped_edits(spark, sf):
+    assert all(r["n_skipped"] == 0 for r in queries.op1_token_counts(spark, sf).select("n_skipped").collect())
+
+
 def test_encoder_equals_the_library():
     whole = Tokenizer.from_file(BPE)
     encoder = token_records.Encoder(BPE, 3)
