@@ -16,6 +16,7 @@ from . import (
     posting_lists,
     quality,
     sentence_pieces,
+    sharding,
     simhash,
     token_counts,
     token_records,
@@ -94,6 +95,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "score", predicted)
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of equal length, equal texts together."""
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 _WORDS = (
     r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
     r"'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -138,6 +144,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
     "op5_decontamination": op5_decontamination,
+    "op13_sharding": op13_sharding,
 }
 ORACLES = {
     "op9_warc": OP9,
