@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import (
     chat_repair,
+    collocations,
     decontamination,
     posting_lists,
     quality,
@@ -95,6 +96,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "score", predicted)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of two or three words of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of equal length, equal texts together."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
@@ -133,6 +139,34 @@ SELECT page_id, n AS payload_bytes, h AS payload_digest,
 FROM p LEFT JOIN o USING (h)
 """
 
+OP12 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (
+  SELECT lang, m, array_to_string(w[s:s + m - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, m, unnest(generate_series(1, len(w) - m + 1)) AS s FROM w, (SELECT unnest([1, 2, 3]) AS m) WHERE len(w) >= m)
+  GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+cuts AS (
+  SELECT lang, phrase, m, a, k, array_to_string(w[1:k], ' ') AS lp, array_to_string(w[k + 1:m], ' ') AS rp
+  FROM (SELECT *, unnest(generate_series(1, m - 1)) AS k FROM c)),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.m, a, k, x.f AS l, y.f AS r,
+         CAST(1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = lp JOIN f y ON y.lang = cuts.lang AND y.phrase = rp),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, phrase, max(a) AS longest FROM (
+    SELECT lang, a, array_to_string(w[s:s + 1], ' ') AS phrase FROM (SELECT *, unnest([1, 2]) AS s FROM c WHERE m = 3))
+  GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inside USING (lang, phrase) WHERE longest IS NULL OR 100 * longest < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_chat_repair": op2_chat_repair,
@@ -144,9 +178,11 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
     "op5_decontamination": op5_decontamination,
+    "op12_collocations": op12_collocations,
     "op13_sharding": op13_sharding,
 }
 ORACLES = {
     "op9_warc": OP9,
+    "op12_collocations": OP12,
     "op5_decontamination": OP5,
 }
