@@ -1,25 +1,27 @@
 """Phrase collocations: phrases whose words meet more often than their parts would by chance.
 
 Phrases of up to three words are counted with a HAT-trie in every task: a shallow trie of word ids whose
-leaves are hash containers. A container above ``BURST`` phrases bursts into one container for each
-next word. A task that holds ``ENTRIES`` phrases spills its largest subtrees, each as a run sorted by
-words; the runs of all tasks are merged by shuffle, where equal phrases are added up. A word id has 21
-bits, so a phrase is one 63-bit number; a task whose words run out of ids spills all and starts anew.
-
-Partitions of the merge are hashes of the language and the whole phrase, not of its first words: the
-runs below one common pair of words together would be more than one task can take, while a phrase has
-at most one row per run. Only phrases counted ``min_count`` times stay. Every part of such a phrase is at
-least as frequent, so scores come from joins of that smaller table with itself.
+leaves are hash containers. A word id has 21 bits, so a phrase is one 63-bit number. All phrases of a
+language start in the container of the root; a container above ``BURST`` phrases bursts, and each next word
+with ``OWN`` phrases of its own gets a subtree. A task that holds ``ENTRIES`` phrases spills whole
+subtrees, the largest first, as sorted runs; what is frequent stays and goes on counting.
+
+A run is cut by hash partitions of the whole phrase, and a piece is one small row: phrases in the order of
+their words, compressed. The partitions are as many as the text has ``PART_BYTES``, so a merge task
+holds one partition whatever the input. They are not cut by first words, since the runs below one common
+word, or pair of words, would be more than a task can take. Only phrases that occur ``min_count`` times leave
+the merge. Every part of such a phrase is at least as frequent, so scores come from joins of that much
+smaller table with itself.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,15 +39,19 @@ TOP = 2000
 UNIT = 1_000_000
 COVERED_PERCENT = 50
 
-#: Phrases in a container before it bursts, and phrases and words in a task before it spills.
-BURST = 4096
-ENTRIES = 1_200_000
+#: Phrases in a container before it bursts, and those of a next word that become a subtree.
+BURST, OWN = 1 << 18, 1 << 13
+#: Phrases in a task before it spills; a word counts as four.
+ENTRIES = 3_000_000
 #: Word places read before they are counted.
 PENDING = 1 << 19
+#: Text per partition of the merge.
+PART_BYTES = 8 << 20
 _BLOCK = 1 << 20
 _BITS = 21
 _MASK = (1 << _BITS) - 1
-_ROWS_OUT = 1 << 16
+_SHIFTS = (2 * _BITS, _BITS, 0)
+_RUNS = "lang string, part long, entries long, raw long, phrases binary, counts binary"
 _COUNTS = "lang string, phrase string, n long"
 
 #: A byte of the text to what the splitting reads: A-Z in lower case, one mark for pieces, one for words.
@@ -65,12 +71,99 @@ class WordIds(dict):
         return found
 
 
+class Container:
+    """Counts by phrase number, hashed with open addressing; whole arrays of phrases are added at once."""
+
+    def __init__(self) -> None:
+        self.n = 0
+        self._clear(10)
+
+    def _clear(self, bits: int) -> None:
+        self.bits = bits
+        self.keys = np.zeros(1 << bits, np.int64)
+        self.counts = np.zeros(1 << bits, np.int64)
+
+    def items(self) -> tuple[np.ndarray, np.ndarray]:
+        used = self.keys != 0
+        return self.keys[used], self.counts[used]
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> int:
+        """Add phrases, each once; how many of them are new."""
+        before = self.n
+        if (self.n + len(keys)) * 2 > len(self.keys):
+            old = self.items()
+            self._clear(int((self.n + len(keys)) * 2).bit_length())
+            self.n = 0
+            self._put(*old)
+        self._put(keys, counts)
+        return self.n - before
+
+    def _put(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        mask = len(self.keys) - 1
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        at = (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(keys):
+            found = self.keys[at]
+            free = found == 0
+            self.keys[at[free]] = keys[free]
+            # Of several phrases for one free place the last is there now.
+            mine = self.keys[at] == keys
+            self.n += int((mine & free).sum())
+            self.counts[at[mine]] += counts[mine]
+            other = ~mine
+            keys, counts, at = keys[other], counts[other], (at[other] + 1) & mask
+
+
+class Node:
+    """Phrases below a place of the trie: a container, and subtrees of the next words that have many."""
+
+    def __init__(self, level: int = 0) -> None:
+        self.level = level
+        self.rest = Container()
+        self.own: dict[int, Node] = {}
+        self.limit = BURST
+
+    def size(self) -> int:
+        return self.rest.n + sum(n.size() for n in self.own.values())
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> int:
+        """Add sorted phrases, each once; how many of them are new."""
+        new, left = 0, np.ones(len(keys), bool)
+        if self.own:
+            words = keys >> _SHIFTS[self.level] & _MASK
+            known = np.fromiter(self.own, np.int64, len(self.own))
+            starts, ends = np.searchsorted(words, known, "left"), np.searchsorted(words, known, "right")
+            for k in np.flatnonzero(starts < ends).tolist():
+                start, end = int(starts[k]), int(ends[k])
+                new += self.own[int(known[k])].add(keys[start:end], counts[start:end])
+                left[start:end] = False
+        new += self.rest.add(keys[left], counts[left])
+        if self.rest.n > self.limit and self.level + 1 < LONGEST:
+            self._burst()
+        return new
+
+    def _burst(self) -> None:
+        keys, counts = self.rest.items()
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        words, sizes = np.unique(keys >> _SHIFTS[self.level] & _MASK, return_counts=True)
+        self.rest = Container()
+        for word in words[sizes >= OWN].tolist():
+            self.own[word] = Node(self.level + 1)
+        self.limit = 1 << 62
+        self.add(keys, counts)
+        self.limit = max(BURST, 2 * self.rest.n)
+
+    def items(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [self.rest.items(), *[pair for n in self.own.values() for pair in n.items()]]
+
+
 class HatTrie:
-    """Phrases of one language as 63-bit numbers: first word to a container, or to containers by second word."""
+    """Phrases of one language."""
 
     def __init__(self) -> None:
         self.ids = WordIds()
-        self.root: dict[int, Counter | dict[int, Counter]] = {}
+        self.root = Node()
         self.size = 0
         self.words = 0
         self.pending: list[np.ndarray] = []
@@ -78,8 +171,8 @@ class HatTrie:
         self.last = np.zeros(0, np.int64)
 
     def held(self) -> int:
-        """Phrases and words in memory; a place still to be counted takes a sixteenth of one."""
-        return self.size + len(self.ids) + self.n_pending // 16
+        """Phrases and words in memory, and a part for the places still to be counted."""
+        return self.size + 4 * len(self.ids) + self.n_pending // 8
 
     def read(self, text: bytes) -> Iterator[None]:
         """Take in a whole text, block by block; blocks end between words."""
@@ -111,82 +204,61 @@ class HatTrie:
         self.pending, self.n_pending, self.last = [], 0, w[-(LONGEST - 1) :]
         real = w > 0
         self.words += int(real[old:].sum())
-        keys = [w[old:][real[old:]] << 2 * _BITS]
+        keys = [w[old:][real[old:]] << _SHIFTS[0]]
         for more in range(1, LONGEST):
             # A phrase of ``more + 1`` words ends in place k if none of its places is a mark.
             ends = np.arange(max(old, more), len(w))
             whole = real[ends]
-            key = w[ends - more] << 2 * _BITS
-            for back in range(more, 0, -1):
-                whole = whole & real[ends - back]
+            key = w[ends - more] << _SHIFTS[0]
             for k in range(1, more + 1):
-                key = key | w[ends - more + k] << (2 - k) * _BITS
+                whole = whole & real[ends - k]
+                key = key | w[ends - more + k] << _SHIFTS[k]
             keys.append(key[whole])
-        self._absorb(np.sort(np.concatenate(keys)))
-
-    def _absorb(self, keys: np.ndarray) -> None:
-        if not len(keys):
-            return
-        first = keys >> 2 * _BITS
-        starts = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
-        ends = [*starts[1:].tolist(), len(keys)]
-        items = keys.tolist()
-        for word, start, end in zip(first[starts].tolist(), starts.tolist(), ends):
-            node = self.root.get(word)
-            if node is None:
-                node = self.root[word] = Counter()
-            if type(node) is Counter:
-                before = len(node)
-                node.update(items[start:end])
-                self.size += len(node) - before
-                if len(node) > BURST:
-                    self.root[word] = self._burst(node)
-            else:
-                while start < end:
-                    second = items[start] >> _BITS & _MASK
-                    stop = start + int(np.searchsorted(keys[start:end], (word << _BITS | second) + 1 << _BITS))
-                    child = node.setdefault(second, Counter())
-                    before = len(child)
-                    child.update(items[start:stop])
-                    self.size += len(child) - before
-                    start = stop
-
-    @staticmethod
-    def _burst(container: Counter) -> dict[int, Counter]:
-        node: dict[int, Counter] = {}
-        for key, n in container.items():
-            node.setdefault(key >> _BITS & _MASK, Counter())[key] = n
-        return node
-
-    def subtree_sizes(self) -> list[tuple[int, int]]:
-        """(phrases, first word) of every subtree."""
-        return [
-            (len(n) if type(n) is Counter else sum(map(len, n.values())), word) for word, n in self.root.items()
-        ]
+        keys = np.sort(np.concatenate(keys))
+        if len(keys):
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            self.size += self.root.add(keys[starts], np.diff(np.append(starts, len(keys))))
+
+    def subtrees(self) -> list[tuple[int, int]]:
+        """(phrases, first word) of every subtree, and of what has no subtree under word 0."""
+        return [(n.size(), word) for word, n in self.root.own.items()] + [(self.root.rest.n, 0)]
 
     def take(self, words: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Remove whole subtrees: their phrases and counts."""
-        containers: list[Counter] = []
+        found = []
         for word in words:
-            node = self.root.pop(word)
-            containers += [node] if type(node) is Counter else node.values()
-        n = sum(map(len, containers))
-        self.size -= n
-        keys = np.fromiter((k for c in containers for k in c), np.int64, n)
-        return keys, np.fromiter((v for c in containers for v in c.values()), np.int64, n)
-
-    def run(self, keys: np.ndarray, counts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-        """Phrases as text, sorted by their words, and their counts."""
-        names = pa.array(list(self.ids), pa.binary())
-        order = pc.sort_indices(names).to_numpy()
+            if word:
+                found += self.root.own.pop(word).items()
+            else:
+                found.append(self.root.rest.items())
+                self.root.rest, self.root.limit = Container(), BURST
+        keys = np.concatenate([k for k, _ in found])
+        self.size -= len(keys)
+        return keys, np.concatenate([c for _, c in found])
+
+    def run(self, keys: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+        """(partition, phrases in the order of their words, counts) of some phrases."""
+        names = list(self.ids)
+        order = pc.sort_indices(pa.array(names, pa.binary())).to_numpy()
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(1, len(order) + 1)
         rank[0] = 0
-        parts = [keys >> s & _MASK for s in (2 * _BITS, _BITS, 0)]
-        order = np.argsort(rank[parts[0]] << 2 * _BITS | rank[parts[1]] << _BITS | rank[parts[2]])
-        parts = [p[order] for p in parts]
-        words = [names.take(pa.array(p, mask=p == 0)) for p in parts]
-        return pc.binary_join_element_wise(*words, b" ", null_handling="skip").cast(pa.string()), counts[order]
+        hashes = np.array([xxhash.xxh64_intdigest(n) for n in names], np.uint64)
+        places = [keys >> s & _MASK for s in _SHIFTS]
+        mixed = np.zeros(len(keys), np.uint64)
+        for p in places:
+            mixed = (mixed ^ hashes[p]) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+        part = (mixed % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(rank[places[0]] << _SHIFTS[0] | rank[places[1]] << _SHIFTS[1] | rank[places[2]])
+        order = order[np.argsort(part[order], kind="stable")]
+        part, counts = part[order], counts[order]
+        words = pa.array(names, pa.binary())
+        spelled = [words.take(pa.array(p[order], mask=p[order] == 0)) for p in places]
+        phrases = pc.binary_join_element_wise(*spelled, b" ", null_handling="skip")
+        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, int)
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(part)]):
+            yield int(part[start]), phrases[start:end], counts[start:end]
 
     def forget(self) -> None:
         """New ids, when all phrases have been taken; the last places keep their words."""
@@ -196,16 +268,28 @@ class HatTrie:
         self.last = np.array([self.ids[w] for w in last], np.int64)
 
 
-def _rows(lang: str, phrases: pa.Array, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for start in range(0, len(phrases), _ROWS_OUT):
-        part = phrases.slice(start, _ROWS_OUT)
-        langs = pa.array([lang] * len(part), pa.string())
-        yield pa.RecordBatch.from_arrays([langs, part, pa.array(counts[start : start + _ROWS_OUT])], ["lang", "phrase", "n"])
+def _pack(rows: list[tuple[str, int, pa.Array, np.ndarray]]) -> pa.RecordBatch:
+    """Pieces of runs as rows; a phrase has no line feed."""
+    out = []
+    for lang, part, phrases, counts in rows:
+        whole = pa.ListArray.from_arrays(pa.array([0, len(phrases)], pa.int32()), phrases)
+        text = pc.binary_join(whole, b"\n")[0].as_py()
+        small = [pa.compress(b, "zstd", asbytes=True) for b in (text, counts.astype("<i8").tobytes())]
+        out.append((lang, part, len(phrases), len(text), *small))
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    names = ["lang", "part", "entries", "raw", "phrases", "counts"]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=names)
+
 
+def _unpack(entries: int, raw: int, phrases: bytes, counts: bytes) -> pa.Table:
+    text = pa.array([pa.decompress(phrases, raw, "zstd", asbytes=True)], pa.binary())
+    numbers = np.frombuffer(pa.decompress(counts, 8 * entries, "zstd", asbytes=True), "<i8")
+    return pa.table({"phrase": pc.split_pattern(text, b"\n").flatten(), "n": numbers})
 
-def _spill(tries: dict[str, HatTrie], down_to: int) -> Iterator[pa.RecordBatch]:
+
+def _spill(tries: dict[str, HatTrie], down_to: int, parts: int) -> Iterator[pa.RecordBatch]:
     """Runs of the largest subtrees, until ``down_to`` phrases are left."""
-    subtrees = sorted(((n, lang, word) for lang, t in tries.items() for n, word in t.subtree_sizes()), reverse=True)
+    subtrees = sorted(((n, lang, word) for lang, t in tries.items() for n, word in t.subtrees()), reverse=True)
     left, chosen = sum(t.size for t in tries.values()), {}
     for n, lang, word in subtrees:
         if left <= down_to:
@@ -213,27 +297,28 @@ def _spill(tries: dict[str, HatTrie], down_to: int) -> Iterator[pa.RecordBatch]:
         chosen.setdefault(lang, []).append(word)
         left -= n
     for lang, words in chosen.items():
-        trie = tries[lang]
-        yield from _rows(lang, *trie.run(*trie.take(words)))
-
-
-def _totals(tries: dict[str, HatTrie]) -> Iterator[pa.RecordBatch]:
-    """The numbers of words read since the last time, under the empty phrase."""
+        rows = []
+        for piece in tries[lang].run(*tries[lang].take(words), parts):
+            rows.append((lang, *piece))
+            if len(rows) == 64:
+                yield _pack(rows)
+                rows = []
+        if rows:
+            yield _pack(rows)
+
+
+def _spill_all(tries: dict[str, HatTrie], parts: int) -> Iterator[pa.RecordBatch]:
+    """All phrases, and the numbers of words read under the empty phrase."""
+    for trie in tries.values():
+        trie.count()
+    yield from _spill(tries, 0, parts)
     for lang, trie in tries.items():
         if trie.words:
-            yield from _rows(lang, pa.array([""], pa.string()), np.array([trie.words]))
+            yield _pack([(lang, 0, pa.array([b""], pa.binary()), np.array([trie.words]))])
             trie.words = 0
 
 
-def _spill_all(tries: dict[str, HatTrie]) -> Iterator[pa.RecordBatch]:
-    for trie in tries.values():
-        trie.count()
-    yield from _spill(tries, 0)
-    yield from _totals(tries)
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted runs of (lang, phrase, n); an empty phrase carries the number of words."""
+def _runs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     tries: dict[str, HatTrie] = {}
     held = 0
     for batch in small_batches(batches):
@@ -246,14 +331,44 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 full = len(trie.ids) + _BLOCK // 2 > _MASK
                 if full or held + trie.held() > ENTRIES:
                     if full or sum(t.size for t in tries.values()) < ENTRIES // 2:
-                        yield from _spill_all(tries)
+                        yield from _spill_all(tries, parts)
                         trie.forget()
                         tries = {lang: trie}
                     else:
-                        yield from _spill(tries, ENTRIES // 2)
+                        yield from _spill(tries, ENTRIES // 4, parts)
                     held = sum(t.held() for t in tries.values()) - trie.held()
             held += trie.held()
-    yield from _spill_all(tries)
+    yield from _spill_all(tries, parts)
+
+
+def _added(tables: list[pa.Table]) -> pa.Table:
+    summed = pa.concat_tables(tables).combine_chunks().group_by("phrase").aggregate([("n", "sum")])
+    return summed.rename_columns({"n_sum": "n"}).select(["phrase", "n"])
+
+
+def _merge(batches: Iterator[pa.RecordBatch], min_count: int) -> Iterator[pa.RecordBatch]:
+    """Equal phrases of a partition added up; those that are frequent, and the numbers of words."""
+
+    def done(lang: str, tables: list[pa.Table]) -> pa.RecordBatch:
+        table = _added(tables)
+        table = table.filter(pc.or_(pc.greater_equal(table["n"], min_count), pc.equal(table["phrase"], b"")))
+        phrases = table["phrase"].combine_chunks().cast(pa.string())
+        langs = pa.array([lang] * table.num_rows, pa.string())
+        return pa.RecordBatch.from_arrays([langs, phrases, table["n"].combine_chunks()], ["lang", "phrase", "n"])
+
+    key, tables, fresh = None, [], 0
+    for batch in small_batches(batches, 16):
+        for lang, part, entries, raw, phrases, counts in zip(*[c.to_pylist() for c in batch.columns]):
+            if key != (lang, part):
+                if key is not None:
+                    yield done(key[0], tables)
+                key, tables, fresh = (lang, part), [], 0
+            tables.append(_unpack(entries, raw, phrases, counts))
+            fresh += entries
+            if fresh > ENTRIES:
+                tables, fresh = [_added(tables)], 0
+    if key is not None:
+        yield done(key[0], tables)
 
 
 def count_phrases(
@@ -265,8 +380,11 @@ def count_phrases(
     """
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang")
     rows = docs.select(lang, F.col(text_col).cast("string").alias("text"))
-    merged = rows.mapInArrow(_runs, _COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    return merged.where((F.col("n") >= min_count) | (F.col("phrase") == ""))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // PART_BYTES))
+    runs = rows.mapInArrow(lambda b: _runs(b, parts), _RUNS)
+    dealt = runs.repartition("lang", "part").sortWithinPartitions("lang", "part")
+    return dealt.mapInArrow(lambda b: _merge(b, min_count), _COUNTS)
 
 
 def _n_words(phrase: Column) -> Column:

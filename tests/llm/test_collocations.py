@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -65,9 +66,11 @@ def test_random_with_bursts_and_spills(spark, seed, monkeypatch):
     docs = random_docs(seed) + [("en", "the new york city of " * 3000)]
     want = by_sql(docs)
     assert want and by_spark(spark, docs) == want
-    monkeypatch.setattr(c, "BURST", 4)
+    monkeypatch.setattr(c, "BURST", 8)
+    monkeypatch.setattr(c, "OWN", 3)
+    monkeypatch.setattr(c, "PART_BYTES", 999)
     monkeypatch.setattr(c, "PENDING", 64)
-    monkeypatch.setattr(c, "ENTRIES", 120)
+    monkeypatch.setattr(c, "ENTRIES", 200)
     monkeypatch.setattr(c, "_BLOCK", 256)
     assert by_spark(spark, docs) == want
     monkeypatch.setattr(c, "ENTRIES", 20)
@@ -90,22 +93,41 @@ def test_large_numbers(spark):
     assert row["score"] == 1_000_000 * a * a // (l * r) == 999_999
 
 
-def test_trie():
+def test_trie(monkeypatch):
+    monkeypatch.setattr(c, "BURST", 8)
+    monkeypatch.setattr(c, "OWN", 4)
     trie = c.HatTrie()
     rnd = random.Random(5)
     words = [[rnd.choice(WORDS[:6]) for _ in range(rnd.randint(0, 30))] for _ in range(50)]
     want = Counter(" ".join(p[s : s + m]) for p in words for m in (1, 2, 3) for s in range(len(p) - m + 1))
-    for piece in words:
+    for k, piece in enumerate(words):
         list(trie.read(" ".join(piece).encode()))
+        if k % 10 == 0:
+            trie.count()
     trie.count()
-    assert trie.size == len(want) and trie.words == sum(map(len, words))
-    found, order = Counter(), []
-    for part in ([w for _, w in trie.subtree_sizes()[:2]], [w for _, w in trie.subtree_sizes()[2:]]):
-        phrases, counts = trie.run(*trie.take(part))
-        order.append([p.split(" ") for p in phrases.to_pylist()])
-        found.update(dict(zip(phrases.to_pylist(), counts.tolist())))
-    assert found == want and trie.size == 0
-    assert all(run == sorted(run) for run in order)
+    assert trie.size == len(want) == trie.root.size() and trie.words == sum(map(len, words))
+    assert trie.root.own and any(n.own for n in trie.root.own.values())
+    found, seen = Counter(), {}
+    chosen = [w for _, w in trie.subtrees()]
+    for subtrees in (chosen[:2], chosen[2:]):
+        for part, phrases, counts in trie.run(*trie.take(subtrees), 3):
+            phrases = [p.decode() for p in phrases.to_pylist()]
+            assert [p.split(" ") for p in phrases] == sorted(p.split(" ") for p in phrases)
+            assert all(seen.setdefault(p, part) == part for p in phrases)
+            found.update(dict(zip(phrases, counts.tolist())))
+    assert found == want and trie.size == trie.root.size() == 0 and set(seen.values()) == {0, 1, 2}
+
+
+def test_container():
+    rnd, held, want = random.Random(3), c.Container(), Counter()
+    for _ in range(30):
+        some = Counter(rnd.randint(1, 3000) << rnd.choice([0, 21, 42]) for _ in range(500))
+        keys = np.array(list(some), np.int64)
+        new = held.add(keys, np.array([some[k] for k in some]))
+        assert new == len(set(some) - set(want))
+        want.update(some)
+    keys, counts = held.items()
+    assert dict(zip(keys.tolist(), counts.tolist())) == want and held.n == len(want)
 
 
 def test_given_table(spark, sf):
