@@ -19,6 +19,7 @@ from . import (
     sentence_pieces,
     sharding,
     simhash,
+    structure_audit,
     token_counts,
     token_records,
     toxicity,
@@ -96,6 +97,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "score", predicted)
 
 
+def op11_structure_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after a stated damage."""
+    return structure_audit.audit_damaged(table(spark, sf_dir, "conversations"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2,000 best phrases of two or three words of every language."""
     return collocations.collocations(table(spark, sf_dir, "documents"))
@@ -139,6 +145,80 @@ SELECT page_id, n AS payload_bytes, h AS payload_digest,
 FROM p LEFT JOIN o USING (h)
 """
 
+OP11 = r"""
+WITH RECURSIVE
+bits AS (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+                               lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c
+         FROM (SELECT unnest(range(256)) AS i)),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM bits),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+kinds AS (
+  SELECT conv_id, turn, role, text,
+         xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, len(k) + 1), lambda i: CAST(ascii(k[i]) AS BIGINT))),
+             lambda c, x: xor(c >> 8, tab[CAST((xor(c, x) & 255) + 1 AS INT)]))) % 20 AS kind
+  FROM keyed, tab),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) FROM kinds WHERE kind <> 0)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+         left(role, 1) AS ini FROM damaged),
+rowsof AS MATERIALIZED (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+                 WHEN right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+         lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS ini_before
+  FROM placed),
+nxt(s, r) AS (VALUES ('n', 's'), ('n', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+put(st, mid, n) AS (VALUES ('n', 'n', 0), ('n', 'u', 1), ('n', 'a', 2), ('s', 's', 0), ('s', 'u', 1), ('s', 'a', 2),
+                           ('u', 'u', 0), ('u', 'a', 1), ('a', 'a', 0), ('a', 'u', 1)),
+ways AS MATERIALIZED (
+  SELECT st, mid AS after, repeat('I', n) || 'D' AS letters, 5 * n + 2 AS price, 'D' AS kind FROM put
+  UNION ALL SELECT st, r, repeat('I', n) || 'K', 5 * n, 'K' FROM put JOIN nxt ON s = mid
+  UNION ALL SELECT st, r, repeat('I', n) || 'R', 5 * n + 1, 'R' FROM put JOIN nxt ON s = mid WHERE r IN ('u', 'a')),
+dp AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, 'n' AS st, CAST(0 AS BIGINT) AS cost, '' AS audit FROM (SELECT DISTINCT conv_id FROM rowsof)
+  UNION ALL
+  SELECT conv_id, i, st, cost, audit FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, st ORDER BY cost, audit) AS best FROM (
+      SELECT d.conv_id, r.i, w.after AS st,
+             d.cost + w.price + CASE WHEN r.fault = 3 AND w.kind <> 'D' THEN 5 ELSE 0 END AS cost, d.audit || w.letters AS audit
+      FROM dp d JOIN rowsof r ON r.conv_id IS NOT DISTINCT FROM d.conv_id AND r.i = d.i + 1 JOIN ways w ON w.st = d.st
+      WHERE w.kind = 'D' OR r.fault IN (0, 3) AND (w.kind = 'R' OR r.ini = w.after)))
+  WHERE best = 1),
+ends AS (
+  SELECT conv_id, cost + 5 * more AS cost, audit || repeat('I', more) AS audit
+  FROM (SELECT *, CASE st WHEN 's' THEN 2 WHEN 'u' THEN 1 ELSE 0 END AS more FROM dp)
+  WHERE (conv_id, i) IN (SELECT (conv_id, max(i)) FROM rowsof GROUP BY conv_id)),
+best AS (SELECT * FROM ends QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1),
+letters AS (
+  SELECT conv_id, p, audit[p] AS letter, len(replace(audit[1:p], 'I', '')) AS i, len(replace(audit[1:p], 'D', '')) AS e
+  FROM (SELECT *, unnest(generate_series(1, len(audit))) AS p FROM best)),
+spelled AS (
+  SELECT l.conv_id, l.p, l.letter, l.e, CASE WHEN l.letter IN ('K', 'R') THEN r.text ELSE '' END AS text, r.role, r.ini
+  FROM letters l LEFT JOIN rowsof r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.i = l.i AND l.letter <> 'I' WHERE l.letter <> 'D'),
+opened AS (
+  SELECT *, max(CASE WHEN e = 1 AND letter = 'K' AND ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS s FROM spelled),
+hashed AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN (e - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text,
+                                    chr(10) ORDER BY p)) AS h FROM opened GROUP BY conv_id),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank,
+         count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 3) AS truncated,
+         count(*) FILTER (WHERE ini_before IS NOT NULL AND ini_before || ini NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rowsof GROUP BY conv_id)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+       coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN hashed ON hashed.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 OP12 = r"""
 WITH p AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -178,11 +258,13 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
     "op5_decontamination": op5_decontamination,
+    "op11_structure_audit": op11_structure_audit,
     "op12_collocations": op12_collocations,
     "op13_sharding": op13_sharding,
 }
 ORACLES = {
     "op9_warc": OP9,
+    "op11_structure_audit": OP11,
     "op12_collocations": OP12,
     "op5_decontamination": OP5,
 }
