@@ -42,11 +42,11 @@ COVERED_PERCENT = 50
 #: Phrases in a container before it bursts, and those of a next word that become a subtree.
 BURST, OWN = 1 << 18, 1 << 13
 #: Phrases in a task before it spills; a word counts as four.
-ENTRIES = 3_000_000
+ENTRIES = 1_200_000
 #: Word places read before they are counted.
 PENDING = 1 << 19
 #: Text per partition of the merge.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 _BLOCK = 1 << 20
 _BITS = 21
 _MASK = (1 << _BITS) - 1
@@ -365,7 +365,7 @@ def _merge(batches: Iterator[pa.RecordBatch], min_count: int) -> Iterator[pa.Rec
                 key, tables, fresh = (lang, part), [], 0
             tables.append(_unpack(entries, raw, phrases, counts))
             fresh += entries
-            if fresh > ENTRIES:
+            if fresh > ENTRIES // 2:
                 tables, fresh = [_added(tables)], 0
     if key is not None:
         yield done(key[0], tables)
