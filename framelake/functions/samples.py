@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,6 +64,31 @@ def moments(samples: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(n), pa.array(mean), pa.array(n * std * std)], ["n", "mean", "squares"])
 
 
+#: A value that no sample has: the largest float.
+_RARE = 3.4028234663852886e38
+
+
+def is_unreadable(samples: Column) -> Column:
+    """Whether a line could not be read or holds a NULL.
+
+    A search for a value that is not there answers NULL when the array holds a NULL: a plain loop
+    instead of a lambda per sample. Only a line that does hold the value is looked through.
+    """
+    found = F.array_contains(samples, F.lit(_RARE).cast("float"))
+    return (
+        F.when(samples.isNull(), False)
+        .when(found.isNull(), True)
+        .when(found, F.exists(samples, lambda x: x.isNull()))
+        .otherwise(False)
+    )
+
+
+def line_facts(samples: Column) -> dict[str, Column]:
+    """What checks and statistics need of a line: ``length``, ``unreadable`` and its ``moments``."""
+    length = F.coalesce(F.size(samples), F.lit(0))
+    return {"length": length, "unreadable": is_unreadable(samples), "moments": moments(samples)}
+
+
 @F.arrow_udf(_DOUBLES)
 def standardise(samples: pa.Array, mean: pa.Array, std: pa.Array) -> pa.Array:
     """(x - mean) / std for every sample; a constant channel becomes 0."""

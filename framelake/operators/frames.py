@@ -11,18 +11,19 @@ from ..constants import (
     CHANNELS,
     EXPECTED_SHARDS,
     FRAMES_PER_FILE,
+    FRAMES_PER_SPLIT,
     LABEL_CHANNEL,
     LABELLED_SPLITS,
+    POOLED_LOCATION,
     SAMPLES_PER_FRAME,
 )
-from ..functions.samples import moments, standardise, standardise_within
+from ..functions.samples import is_unreadable, moments, standardise, standardise_within
 from ..functions.vectors import array_mode
 from ..schemas import FRAME_SCHEMA
 from ..session import refuse
 
 FRAME_KEYS = ("split", "location", "frame_idx")
 SHARD_KEYS = ("split", "location")
-_RARE = 3.4028234663852886e38  # largest float
 
 
 def assemble_frames(
@@ -63,17 +64,10 @@ def write_frames(frames: DataFrame, root: str) -> None:
 
 
 def shape_table(raw: DataFrame, by: Sequence[str] = ("split", "location", "channel")) -> DataFrame:
-    """(by, n_frames, min_len, max_len, n_empty) per raw file."""
-    length = F.coalesce(F.size("samples"), F.lit(0))
-    # A search for a value that is not there answers NULL when the array holds a NULL: a plain
-    # loop instead of a lambda per sample. Only a line that does hold the value is looked through.
-    found = F.array_contains("samples", F.lit(_RARE).cast("float"))
-    unreadable = (
-        F.when(F.col("samples").isNull(), False)
-        .when(found.isNull(), True)
-        .when(found, F.exists("samples", lambda x: x.isNull()))
-        .otherwise(False)
-    )
+    """(by, n_frames, min_len, max_len, n_unreadable) per raw file; stored facts of the lines are used."""
+    stored = {"length", "unreadable"} <= set(raw.columns)
+    length = F.col("length") if stored else F.coalesce(F.size("samples"), F.lit(0))
+    unreadable = F.col("unreadable") if stored else is_unreadable(F.col("samples"))
     return raw.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_frames"),
         F.min(length).alias("min_len"),
@@ -89,13 +83,15 @@ def frame_sanity(
     frames_per_file: Mapping[str, int] | None = None,
     shards: Sequence[tuple[str, str]] | None = None,
     labelled: Sequence[str] = (),
+    frames_per_split: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Violations only: (split, location, check, detail, found, expected).
 
     Checks per (split, location): every channel present, equally many frames in all channels,
     the published number of frames when given, every line of the right length and readable. In the
     ``labelled`` splits the label file is one of the channels. With ``shards``, each (split,
-    location) of that list has to be there.
+    location) of that list has to be there. ``frames_per_split`` are numbers of frames of all locations
+    of a split together; a violation of one has the location ``all``.
     """
     label_file = (F.col("channel") == LABEL_CHANNEL) & F.col("split").isin(list(labelled))
     per_file = shape_table(raw.where(F.col("channel").isin(list(channels)) | label_file))
@@ -145,6 +141,12 @@ def frame_sanity(
     violations = found.withColumn("wanted", wanted).select(
         *SHARD_KEYS, F.inline(F.concat(absent, count, short, long, unreadable))
     )
+    if frames_per_split:
+        table = F.create_map(*[F.lit(v) for kv in frames_per_split.items() for v in kv])
+        whole = found.groupBy("split").agg(F.sum("most").alias("n"))
+        whole = whole.withColumn("wanted", F.try_element_at(table, F.col("split")).cast("bigint")).where("n <> wanted")
+        v = issue("frame count", F.lit("all locations"), F.col("n"), F.col("wanted")).alias("v")
+        violations = violations.unionByName(whole.select("split", F.lit(POOLED_LOCATION).alias("location"), v).select(*SHARD_KEYS, "v.*"))
     if not shards:
         return violations
     listed = [F.struct(F.lit(s).alias("split"), F.lit(p).alias("location")) for s, p in shards]
@@ -176,8 +178,17 @@ def channel_stats(frames: DataFrame, channels: Sequence[str] = CHANNELS) -> Data
     only those travel on, one row per channel and number of samples from each task.
     """
     own = [F.struct(F.lit(c).alias("channel"), moments(F.col(c)).alias("m")) for c in channels]
-    cells = frames.select(F.inline(F.array(*own))).select("channel", "m.*").where("n > 0")
-    parts = cells.groupBy("channel", "n").agg(
+    return _merged_moments(frames.select(F.inline(F.array(*own))).select("channel", "m.*"), channels)
+
+
+def line_stats(raw: DataFrame, channels: Sequence[str] = CHANNELS) -> DataFrame:
+    """The same from raw lines whose moments were stored as they were read; no sample is read."""
+    cells = raw.where(F.col("channel").isin(list(channels))).select("channel", "moments.*")
+    return _merged_moments(cells, channels)
+
+
+def _merged_moments(cells: DataFrame, channels: Sequence[str]) -> DataFrame:
+    parts = cells.where("n > 0").groupBy("channel", "n").agg(
         (F.col("n") * F.count(F.lit(1))).cast("double").alias("w"),
         F.avg("mean").alias("mean"),
         F.var_pop("mean").alias("spread"),
@@ -239,8 +250,12 @@ def normalise(
 
 
 def check_counts(raw: DataFrame, n_samples: int = SAMPLES_PER_FRAME) -> None:
-    """Stop with the table of all violations when raw files do not have the published shape."""
+    """Stop with the table of all violations when raw files do not have the published shape.
+
+    The published number of test frames is that of all test locations together.
+    """
     found = frame_sanity(
-        raw, n_samples, frames_per_file=FRAMES_PER_FILE, shards=EXPECTED_SHARDS, labelled=LABELLED_SPLITS
-    )
+        raw, n_samples, frames_per_file=FRAMES_PER_FILE, shards=EXPECTED_SHARDS, labelled=LABELLED_SPLITS,
+        frames_per_split=FRAMES_PER_SPLIT,
+    )
     refuse(found, "shape-violations", "%d violations of the published shape")

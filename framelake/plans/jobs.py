@@ -12,7 +12,16 @@ from pyspark.sql import functions as F
 from ..constants import DEFAULT_POOLING, EXPECTED_ROWS, POOLED_LOCATION, SAMPLES_PER_FRAME
 from ..operators.embed import Embedder, embed_frames, embed_statistics
 from ..operators.evaluation import evaluate
-from ..operators.frames import FRAME_KEYS, assemble_frames, check_counts, normalise, repeated_lines, write_frames
+from ..operators.frames import (
+    FRAME_KEYS,
+    assemble_frames,
+    check_counts,
+    line_stats,
+    normalise,
+    repeated_lines,
+    write_frames,
+    zscore,
+)
 from ..operators.heads import HeadModel, make_head
 from ..operators.integrity import folder_digest, manifest_summary, messages, verify_manifest
 from ..operators.metrics import EvalResult
@@ -44,23 +53,31 @@ def window_features(
     layout: str = PLAIN_LAYOUT,
     check: bool = True,
 ) -> None:
-    """Raw files to normalised frames, written per split and location."""
-    raw = read_raw(spark, raw_root, layout)
+    """Raw files to normalised frames, written per split and location.
+
+    Lines are stored once, with the moments of their samples; statistics come from those, and frames are
+    assembled, normalised and written in one job. Test frames are numbered over all locations.
+    """
+    raw = read_raw(spark, raw_root, layout, facts=True, pool_test=True)
     if check:
         refuse(unexpected_files(spark, raw_root, layout), "unexpected-files", "%d files are no raw files")
         check_counts(raw, n_samples)
-    # Statistics and normalisation both read the frames, so they are assembled once.
-    frames = materialise(assemble_frames(raw), "frames")
-    if scope == "train" and frames.where(F.col("split") == "train").isEmpty():
-        raise ValueError("normalisation is fitted on train frames, and there are none")
-    write_frames(normalise(frames, scope), out)
+    frames = assemble_frames(raw)
+    if scope == "train":
+        train = raw.where(F.col("split") == "train")
+        if train.isEmpty():
+            raise ValueError("normalisation is fitted on train frames, and there are none")
+        frames = zscore(frames, line_stats(train))
+    else:
+        frames = normalise(frames, scope)
+    write_frames(frames, out)
 
 
 def pool_test_frames(frames: DataFrame) -> DataFrame:
     """Give test frames the pooled location under which the cache keeps them.
 
-    Frames are numbered per location, so several test locations would give one number twice; what
-    :func:`repeated_lines` finds then has to be refused.
+    The window stage numbers them over all locations. Frames from elsewhere may be numbered per location,
+    and what :func:`repeated_lines` finds then has to be refused.
     """
     place = F.when(F.col("split") == "test", F.lit(POOLED_LOCATION)).otherwise(F.col("location"))
     return frames.withColumn("location", place)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -87,6 +88,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialise_bucketed(df: DataFrame, columns: Sequence[str], name: str, buckets: int | None = None) -> DataFrame:
+    """The same, with the rows of each task filed by a hash of ``columns`` into ``buckets`` (default: shuffle partitions).
+
+    Writing moves no row to another task. A later join or group on these columns reads the table bucket by
+    bucket, so only the other side is shuffled. The catalogue entry goes again, the files stay.
+    """
+    spark = df.sparkSession
+    path, entry = scratch_path(spark, name), f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    many = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(many, *columns).option("path", path).saveAsTable(entry)
+    rows = spark.table(entry)
+    spark.sql(f"DROP TABLE {entry}")
+    return rows
+
+
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
     """Measure a lookup table with one aggregate; no limit, which would gather rows in one task."""
     seen = df.agg(

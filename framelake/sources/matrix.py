@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from ..constants import EXPECTED_COLS
 from ..functions.text import split_words, to_number, uncomment
-from ..session import materialise
-from .raw_files import number_lines
+from .raw_files import number_lines, store_lines
 
 
 def parse_matrix(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -89,7 +88,7 @@ def read_text_predictions(spark: SparkSession, path: str) -> DataFrame:
         "value",
     )
     kept = lines.where(uncomment(F.col("value")) != "")
-    parsed = parse_matrix(number_lines(materialise(kept, "prediction-lines"), ("name",)))
+    parsed = parse_matrix(number_lines(store_lines(kept, ("name",), "prediction-lines"), ("name",)))
     parsed = parsed.withColumns({"n": F.size("vals").cast("bigint"), "group": F.expr("frame_idx div 1000")})
     sums = parsed.groupBy("group").agg(F.sum("n").alias("n"))
     before = W.orderBy("group").rowsBetween(W.unboundedPreceding, -1)

@@ -15,6 +15,8 @@ from framelake.operators.frames import (
     repeated_lines,
     shape_table,
 )
+from framelake.plans import jobs
+from framelake.schemas import FRAME_SCHEMA
 from framelake.sources.raw_files import PARTITIONED_LAYOUT, read_raw, unexpected_files
 from pyspark.sql import functions as F
 
@@ -67,6 +69,24 @@ def frames_from_files(spark, sf):
     return cells.withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
+def test_frame_numbers(spark, sf):
+    """Every line of the test files under the number it has over all test locations."""
+    raw = read_raw(spark, _raw_folder(spark, sf), PARTITIONED_LAYOUT, pool_test=True).where("split = 'test'")
+    first = F.round(F.col("samples")[0].cast("double"), 6).alias("first")
+    return raw.select("location", "channel", "frame_idx", F.size("samples").alias("n_samples"), first)
+
+
+def frame_shards(spark, sf):
+    """Channel files windowed, normalised on train and written as frame shards; every sample read back."""
+    raw = _raw_folder(spark, sf)
+
+    def write(path):
+        jobs.window_features(spark, raw, path, n_samples=SAMPLES, layout=PARTITIONED_LAYOUT, check=False)
+
+    frames = spark.read.schema(FRAME_SCHEMA).parquet(once(spark, sf, "frame-shards", write))
+    return _long(frames, 4)
+
+
 def q_channel_stats(spark, sf):
     frames = assemble_frames(raw_channels(spark, sf)).where("split = 'train'")
     stats = channel_stats_long(channel_stats(frames))
@@ -149,6 +169,8 @@ QUERIES = {
     "frames_assemble": frames_assemble,
     "frame_labels": frame_labels,
     "frames_from_files": frames_from_files,
+    "test_frame_numbers": test_frame_numbers,
+    "frame_shards": frame_shards,
     "channel_stats": q_channel_stats,
     "channel_zscore": channel_zscore,
     "frame_zscore": frame_zscore,
@@ -196,7 +218,29 @@ def _patch_sql() -> str:
     return " UNION ALL ".join(rows)
 
 
+#: Lines under the numbers that files give them: a channel without a frame moves up, and the locations
+#: of the test split follow each other, each as long as its longest channel.
+NUMBERED = """ranked AS (
+  SELECT split, location, channel, pos, v,
+         dense_rank() OVER (PARTITION BY split, location, channel ORDER BY frame_idx) - 1 AS n FROM raw_long),
+places AS (
+  SELECT split, location, CASE WHEN split = 'test' THEN coalesce(sum(longest) OVER (
+           PARTITION BY split ORDER BY list_position(['Bag', 'Hips', 'Torso', 'Hand'], location)
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE 0 END AS start
+  FROM (SELECT split, location, max(n) + 1 AS longest FROM ranked GROUP BY ALL)),
+numbered AS (
+  SELECT split, location, channel, CAST(n + start AS BIGINT) AS frame_idx, pos, v FROM ranked JOIN places USING (split, location))"""
+
 ORACLES = {
+    "test_frame_numbers": with_cte(RAW, NUMBERED, select="""
+SELECT location, channel, frame_idx, CAST(count(*) AS INTEGER) AS n_samples, round(max(v) FILTER (pos = 0), 6) AS first
+FROM numbered WHERE split = 'test' GROUP BY ALL"""),
+    "frame_shards": with_cte(RAW, NUMBERED, """stats AS (
+  SELECT channel, avg(v) AS m, stddev_pop(v) AS s FROM numbered WHERE split = 'train' GROUP BY channel),
+scaled AS (
+  SELECT split, location, frame_idx, pos, channel,
+         CAST(CAST(CASE WHEN s = 0 THEN 0 ELSE (v - m) / s END AS FLOAT) AS DOUBLE) AS v
+  FROM numbered JOIN stats USING (channel))""", select=_pivot_sql("scaled", 4)),
     "frames_assemble": with_cte(RAW, select=_pivot_sql("raw_long")),
     "frame_labels": with_cte(EMB, select="SELECT split, location, frame_idx, y FROM emb"),
     "frames_from_files": with_cte(RAW, select="""

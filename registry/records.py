@@ -35,9 +35,9 @@ from framelake.sources.matrix import (
     sample_rows,
     write_matrix,
 )
-from framelake.sources.raw_files import number_lines
+from framelake.sources.raw_files import number_lines, store_lines
 from framelake.sources.runs import merge_tags
-from framelake.session import materialise
+
 from pyspark.sql import functions as F
 
 from .views import (
@@ -248,7 +248,7 @@ def submission_roundtrip(spark, sf):
         F.monotonically_increasing_id().alias("line_id"),
         "value",
     )
-    numbered = number_lines(materialise(lines, "matrix-lines"), ("name",))
+    numbered = number_lines(store_lines(lines, ("name",), "matrix-lines"), ("name",))
     parsed = parse_matrix(numbered)
     return parsed.select(
         F.col("frame_idx").alias("row"),

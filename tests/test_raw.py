@@ -15,6 +15,7 @@ from framelake.operators.frames import (
     check_counts,
     frame_sanity,
     incomplete_frames,
+    line_stats,
     normalise,
     repeated_lines,
 )
@@ -220,6 +221,85 @@ def test_test_frames_of_two_locations_are_refused(spark, raw_root, tmp_path):
         jobs.frozen_embeddings(spark, root, fm="m", revision="1", root=str(tmp_path / "cache"))
 
 
+@pytest.fixture
+def test_places(raw_root):
+    """Three test folders of unequal size, written in another order than the fixed one."""
+    rng = np.random.default_rng(6)
+    sizes = {"Torso": 13, "Hips": 29, "Bag": N}
+    for place, n in sizes.items():
+        if place != "Bag":
+            y = 1 + np.arange(n) % 8
+            for j, c in enumerate(CHANNELS):
+                mean = np.sin(y * (j + 1.0)) * 5
+                write_file(raw_root, "test", place, c, (mean[:, None] + rng.normal(0, 0.2, (n, WIDTH))).round(4))
+    return sizes
+
+
+def test_test_locations_are_one_sequence(spark, raw_root, test_places):
+    raw = read_raw(spark, str(raw_root), pool_test=True, facts=True)
+    spans = raw.groupBy("split", "location", "channel").agg(F.min("frame_idx").alias("a"), F.max("frame_idx").alias("b"))
+    found = {(r["split"], r["location"]): (r["a"], r["b"]) for r in spans.collect()}
+    assert found["test", "Bag"] == (0, N - 1)
+    assert found["test", "Hips"] == (N, N + 28) and found["test", "Torso"] == (N + 29, N + 41)
+    assert all(v == (0, N - 1) for k, v in found.items() if k[0] != "test")
+    lines = (raw_root / "test" / "Torso" / "Gyr_y.txt").read_text().splitlines()
+    row = raw.where(f"split = 'test' AND channel = 'Gyr_y' AND frame_idx = {N + 29 + 5}").first()
+    assert row["location"] == "Torso" and row["samples"] == pytest.approx([float(x) for x in lines[5].split()])
+    # Without a common sequence every location counts from 0.
+    assert read_raw(spark, str(raw_root)).where("split = 'test'").agg(F.max("frame_idx")).first()[0] == N - 1
+
+
+def test_the_number_of_test_frames_is_that_of_the_split(spark, raw_root, test_places):
+    raw = read_raw(spark, str(raw_root), pool_test=True, facts=True)
+    total = sum(test_places.values())
+
+    def found(n):
+        rows = frame_sanity(raw, WIDTH, frames_per_file={"train": N, "validation": N}, frames_per_split={"test": n}).collect()
+        return [tuple(r) for r in rows]
+
+    assert found(total) == []
+    assert found(92_726) == [("test", "all", "frame count", "all locations", total, 92_726)]
+    with pytest.raises(TableError) as caught:
+        check_counts(raw, WIDTH)
+    published = caught.value.rows.where("split = 'test'").collect()
+    assert [(r["location"], r["found"]) for r in published] == [("all", total)]
+
+
+def test_three_test_folders_reach_the_matrix(spark, raw_root, test_places, tmp_path):
+    frames, cache, head, out = (str(tmp_path / k) for k in ("frames", "cache", "head", "predictions"))
+    total = sum(test_places.values())
+    jobs.window_features(spark, str(raw_root), frames, n_samples=WIDTH, check=False)
+    jobs.frozen_embeddings(spark, frames, fm="stats", revision="1", root=cache)
+    jobs.train_head(spark, "stats", "linear", root=cache, out=head)
+    rows = jobs.predict_test(spark, head, out, root=cache).collect()
+    assert sorted(r["frame_idx"] for r in rows) == list(range(total))
+    starts = {"Bag": 0, "Hips": N, "Torso": N + 29}
+    truth = {starts[p] + k: 1 + k % 8 for p, n in test_places.items() for k in range(n)}
+    assert np.mean([truth[r["frame_idx"]] == r["y_pred"] for r in rows]) > 0.8
+    report = jobs.format_submission(spark, out, str(tmp_path / "matrix"), expected_rows=total)
+    assert report.ok and report.n_rows == total
+
+
+def test_lines_are_not_moved_and_blocks_not_broadcast(spark, raw_root):
+    raw = read_raw(spark, str(raw_root))
+    raw.collect()
+    plan = raw._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "Bucketed: true" in plan
+    # What is shuffled are counts of blocks; samples are in no exchange.
+    parts = plan.split("Exchange hashpartitioning")
+    assert len(parts) > 1 and all("samples" not in p.split("FileScan")[0] for p in parts[1:])
+
+
+def test_statistics_come_with_the_lines(spark, raw_root):
+    raw = read_raw(spark, str(raw_root), facts=True)
+    train = raw.where("split = 'train'")
+    stored, again = line_stats(train).first(), channel_stats(assemble_frames(train)).first()
+    for c in CHANNELS:
+        assert (stored[c]["mean"], stored[c]["std"]) == pytest.approx((again[c]["mean"], again[c]["std"]), abs=1e-12)
+    plan = line_stats(train)._jdf.queryExecution().executedPlan().toString()
+    assert "samples" not in plan
+
+
 def test_repeated_lines(spark):
     raw = spark.createDataFrame(
         [("train", "Bag", 0, "Acc_x", [1.0]), ("train", "Bag", 0, "Acc_x", [2.0]), ("train", "Bag", 0, "Acc_y", [1.0])],
