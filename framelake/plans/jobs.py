@@ -32,7 +32,7 @@ from ..sources.file_listing import digest_files, list_files
 from ..sources.matrix import read_text_predictions
 from ..sources.raw_files import PLAIN_LAYOUT, read_raw, unexpected_files
 from ..sources.runs import log_run
-from ..sources.vector_cache import embeddings, read_cache, slices, write_cache
+from ..sources.vector_cache import cached_slices, embeddings, write_cache
 
 
 def verify_raw(spark: SparkSession, manifest: str, root: str) -> int:
@@ -100,10 +100,10 @@ def frozen_embeddings(
     """
     frames = pool_test_frames(spark.read.schema(FRAME_SCHEMA).parquet(frames_root))
     if not refresh:
-        # One row per cached folder. As a filter on partition columns it keeps the files of
+        # One row per cached slice. As a filter on partition columns it keeps the files of
         # finished slices from being opened, and no join is needed.
         done = (
-            slices(read_cache(spark, root))
+            cached_slices(spark, root)
             .where((F.col("fm") == fm) & (F.col("revision") == revision))
             .select(F.concat_ws("/", "split", "location").alias("slice"))
             .collect()

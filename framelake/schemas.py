@@ -21,6 +21,22 @@ CACHE_SCHEMA = T.StructType(
     ]
 )
 
+#: What the log of a cache keeps of each slice and write.
+SLICE_SCHEMA = T.StructType(
+    [T.StructField(k, T.StringType()) for k in CACHE_KEYS]
+    + [
+        T.StructField("n", T.LongType()),
+        T.StructField("n_labelled", T.LongType()),
+        T.StructField("min_dim", T.IntegerType()),
+        T.StructField("max_dim", T.IntegerType()),
+        T.StructField("pooling", T.StringType()),
+        T.StructField("other_pooling", T.StringType()),
+        T.StructField("files", T.LongType()),
+        T.StructField("commit", T.StringType()),
+        T.StructField("slices", T.LongType()),
+    ]
+)
+
 FRAME_SCHEMA = T.StructType(
     [T.StructField("frame_idx", T.LongType())]
     + [T.StructField(c, T.ArrayType(T.FloatType())) for c in CHANNELS]

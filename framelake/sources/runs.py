@@ -1,4 +1,9 @@
-"""The run store: one row per run, metrics also as a long table."""
+"""The run store: one row per run, metrics also as a long table.
+
+Both are append-only logs. A run that is logged again under its id, as after a retry, is merged when it is
+read: the last write counts, with its own metrics and no others. A run's row is written after its
+metrics, so a writer that is killed in between leaves what was there before.
+"""
 
 from __future__ import annotations
 
@@ -15,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import EXPERIMENT_SCHEMA, RUN_METRIC_SCHEMA, RUN_SCHEMA
+from . import commit_log
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -26,17 +32,46 @@ def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         raise
 
 
+def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    records = commit_log.read_records(spark, path, schema)
+    return spark.createDataFrame([], T.StructType([*schema.fields, *commit_log.STAMP])) if records is None else records
+
+
+def _merged_runs(spark: SparkSession, store: str) -> DataFrame:
+    return commit_log.latest(_stored(spark, f"{store}/runs", RUN_SCHEMA), ["run_id"])
+
+
 def read_runs(spark: SparkSession, store: str) -> DataFrame:
-    """All runs; an empty typed table when none was logged yet. Other errors are raised."""
-    return _read(spark, f"{store}/runs", RUN_SCHEMA)
+    """All runs, one row per id; an empty typed table when none was logged yet. Other errors are raised."""
+    return _merged_runs(spark, store).select(RUN_SCHEMA.names)
 
 
 def read_experiments(spark: SparkSession, store: str) -> DataFrame:
     return _read(spark, f"{store}/experiments", EXPERIMENT_SCHEMA)
 
 
+def _merged_metrics(spark: SparkSession, store: str) -> DataFrame:
+    rows = _stored(spark, f"{store}/run_metrics", RUN_METRIC_SCHEMA)
+    counts = _merged_runs(spark, store).select(F.col("run_id").alias("winner_run"), F.col("write_id").alias("winner"))
+    joined = rows.join(counts, F.col("run_id") == F.col("winner_run"), "left")
+    kept = joined.where(F.col("write_id").isNull() | (F.col("write_id") == F.col("winner"))).select(rows.columns)
+    # A compaction that is still under way shows rows of a write twice.
+    written = kept.where("write_id IS NOT NULL").dropDuplicates()
+    return kept.where("write_id IS NULL").unionByName(written)
+
+
 def read_run_metrics(spark: SparkSession, store: str) -> DataFrame:
-    return _read(spark, f"{store}/run_metrics", RUN_METRIC_SCHEMA)
+    """(run_id, metric, value, step) of the writes that count, and what was appended beside them."""
+    return _merged_metrics(spark, store).select(RUN_METRIC_SCHEMA.names)
+
+
+def compact_runs(spark: SparkSession, store: str) -> int:
+    """One file each for runs and metrics, without what later writes replaced; how many files went.
+
+    Metrics go first: until the runs follow, both old and new rows name the same writes.
+    """
+    gone = commit_log.compact(spark, f"{store}/run_metrics", RUN_METRIC_SCHEMA, [], _merged_metrics(spark, store))
+    return gone + commit_log.compact(spark, f"{store}/runs", RUN_SCHEMA, ["run_id"])
 
 
 def merge_tags(auto: Column, explicit: Column) -> Column:
@@ -62,15 +97,20 @@ def eval_metrics_long(scores: DataFrame, keys: list[str], prefix: str = "") -> D
     return scores.select(*keys, F.explode(named).alias("metric", "value"))
 
 
-def append_metrics(metrics: DataFrame, store: str) -> None:
-    """Append (run_id, metric, value[, step]) rows."""
+def _metric_rows(metrics: DataFrame) -> DataFrame:
     step = F.col("step") if "step" in metrics.columns else F.lit(0)
-    metrics.select(
+    return metrics.select(
         F.col("run_id").cast("string").alias("run_id"),
         "metric",
         F.col("value").cast("double").alias("value"),
         step.cast("bigint").alias("step"),
-    ).write.mode("append").parquet(f"{store}/run_metrics")
+    )
+
+
+def append_metrics(metrics: DataFrame, store: str) -> None:
+    """Append (run_id, metric, value[, step]) rows, beside what runs log themselves."""
+    none = {"sequence": F.lit(None).cast("long"), "write_id": F.lit(None).cast("string")}
+    _metric_rows(metrics).withColumns(none).write.mode("append").parquet(f"{store}/run_metrics")
 
 
 def as_text(value: Any) -> str | None:
@@ -92,9 +132,9 @@ def log_run(
     run_id: str | None = None,
     start_time: dt.datetime | None = None,
 ) -> str:
-    """Append one finished run and return its id; the experiment name is its id as well.
+    """Log one finished run and return its id; the experiment name is its id as well.
 
-    ``metrics`` are values of step 0 and ``series`` (metric, value, step) of any step. The run row
+    Under an id that was logged before, the run replaces the earlier one. ``metrics`` are values of step 0 and ``series`` (metric, value, step) of any step. The run row
     holds the value of each metric's last step.
     """
     run_id = run_id or uuid.uuid4().hex
@@ -119,10 +159,13 @@ def log_run(
     run = spark.createDataFrame([row], raw).select(
         "run_id", "experiment_id", "start_time", "params", merged, "metrics"
     )
-    run.coalesce(1).write.mode("append").parquet(f"{store}/runs")
+    known_runs = commit_log.read_records(spark, f"{store}/runs", RUN_SCHEMA)
+    same = None if known_runs is None else known_runs.where(F.col("run_id") == run_id)
+    sequence, write_id = commit_log.next_sequence(same), commit_log.new_write_id()
     if points:
-        rows = [(run_id, *p) for p in points]
-        append_metrics(spark.createDataFrame(rows, RUN_METRIC_SCHEMA).coalesce(1), store)
+        rows = spark.createDataFrame([(run_id, *p) for p in points], RUN_METRIC_SCHEMA)
+        commit_log.append(_metric_rows(rows), f"{store}/run_metrics", sequence, write_id)
+    commit_log.append(run, f"{store}/runs", sequence, write_id)
     # Two writers may both add an experiment: readers take one row per id.
     known = read_experiments(spark, store).where(F.col("experiment_id") == experiment)
     if known.isEmpty():

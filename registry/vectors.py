@@ -30,10 +30,11 @@ from framelake.sources.vector_cache import (
     drop_partial_labels,
     embeddings,
     label_set,
+    logged_shape,
     read_cache,
     revisions,
     select_slice,
-    shape,
+    slice_log,
 )
 from pyspark.ml.functions import vector_to_array
 
@@ -52,6 +53,10 @@ def cached(spark, sf):
     return read_cache(spark, cache_path(spark, sf))
 
 
+def logged(spark, sf):
+    return slice_log(spark, cache_path(spark, sf))
+
+
 def emb_scan(spark, sf):
     rows = embeddings(spark, "fixture", "train", "Bag", root=cache_path(spark, sf)).df
     return rows.select("frame_idx", "y", _cells()).withColumn("value", F.col("value").cast("double"))
@@ -87,12 +92,8 @@ def emb_no_hand(spark, sf):
 
 
 def emb_shape(spark, sf):
-    rows = cached(spark, sf).where("fm = 'fixture'")
-    parts = [
-        shape(rows.where(F.col("split") == s)).withColumn("split", F.lit(s))
-        for s in ("train", "validation", "test")
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Rows, widths and labels per split, from the log of the cache."""
+    return logged_shape(logged(spark, sf).where("fm = 'fixture'"), ["split"])
 
 
 def emb_roundtrip(spark, sf):
@@ -105,11 +106,11 @@ def emb_roundtrip(spark, sf):
 
 
 def emb_catalog(spark, sf):
-    return catalog(cached(spark, sf))
+    return catalog(logged(spark, sf))
 
 
 def revision_resolve(spark, sf):
-    return revisions(cached(spark, sf), "org/other")
+    return revisions(logged(spark, sf), "org/other")
 
 
 def emb_label_set(spark, sf):

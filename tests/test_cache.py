@@ -4,17 +4,25 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelake import embeddings, list_available, save_embedding_set
+from framelake.schemas import SLICE_SCHEMA
+from framelake.sources.commit_log import latest, read_records
 from framelake.sources.vector_cache import (
     CACHE_ROOT_CONF,
     DEFAULT_CACHE_ROOT,
+    adopt_cache,
     cache_root,
     catalog,
+    compact_log,
+    log_commit,
     pooled_order,
     read_cache,
     resolve_revision,
     revisions,
     select_slice,
+    slice_log,
+    vacuum,
     write_cache,
+    write_commit,
 )
 
 
@@ -167,11 +175,97 @@ def test_large_slice_is_written_by_several_tasks(spark, tmp_path):
         write_cache(rows, root)
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
-    files = list((tmp_path / "c" / "fm=m" / "revision=1" / "split=train" / "location=Hips").glob("*.parquet"))
+    files = list((tmp_path / "c").glob("commit=*/fm=m/revision=1/split=train/location=Hips/*.parquet"))
     assert len(files) > 1
     assert read_cache(spark, root).count() == 20_000
 
 
+def keyed(spark, n, places=("Bag", "Hips"), fm="m"):
+    rows = vectors(spark, n).crossJoin(spark.createDataFrame([(p,) for p in places], "location string"))
+    return rows.selectExpr("*", f"'{fm}' AS fm", "'1' AS revision", "'train' AS split")
+
+
+def test_the_log_tells_what_a_slice_holds(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "c")
+    write_cache(keyed(spark, 5), root)
+    log = {r["location"]: r for r in slice_log(spark, root).collect()}
+    assert {p: (r["n"], r["n_labelled"], r["min_dim"], r["max_dim"], r["pooling"]) for p, r in log.items()} == {
+        p: (5, 5, 2, 2, "mean") for p in ("Bag", "Hips")
+    }
+    got = embeddings(spark, "m", "train", root=root)
+    assert (got.n, got.dim, got.has_labels, got.dims) == (10, 2, True, (2, 2))
+    # Neither the whole cache nor any row is looked at.
+    monkeypatch.setattr("framelake.sources.vector_cache.read_cache", None)
+    monkeypatch.setattr("framelake.sources.vector_cache.shape", None)
+    assert embeddings(spark, "m", "train", "Bag", root=root).dim == 2
+    assert list_available(spark, root) == [("m", "1")]
+
+
+def test_a_killed_write_leaves_the_old_slice(spark, tmp_path):
+    root = str(tmp_path / "c")
+    write_cache(keyed(spark, 3), root)
+    write_commit(keyed(spark, 9), root, "killed")
+    assert embeddings(spark, "m", "train", root=root).df.count() == 6
+    assert read_cache(spark, root).count() == 6
+    # The folder stays while its writer may be alive, and goes later.
+    assert vacuum(spark, root) == []
+    assert [p.rpartition("=")[2] for p in vacuum(spark, root, keep_hours=-1)] == ["killed"]
+    assert read_cache(spark, root).count() == 6
+
+
+def test_the_last_write_of_a_slice_counts(spark, tmp_path):
+    root = str(tmp_path / "c")
+    write_cache(keyed(spark, 3), root)
+    write_cache(keyed(spark, 7, ["Hips"]), root)
+    write_cache(keyed(spark, 4, ["Bag"], fm="n"), root)
+    got = embeddings(spark, "m", "train", root=root)
+    assert got.n == got.df.count() == 10
+    assert {r["location"]: r["count"] for r in got.df.groupBy("location").count().collect()} == {"Bag": 3, "Hips": 7}
+    assert read_cache(spark, root).count() == 14
+    assert compact_log(spark, root) == 3 and compact_log(spark, root) == 0
+    assert embeddings(spark, "m", "train", root=root).n == 10 and read_cache(spark, root).count() == 14
+    assert vacuum(spark, root, keep_hours=-1) == []
+
+
+def test_two_writers_leave_one_slice(spark, tmp_path):
+    # Both saw the same log: the records have one sequence number, and the ids of the writes decide.
+    root = str(tmp_path / "c")
+    for commit, n in (("a" * 32, 3), ("b" * 32, 5)):
+        write_commit(keyed(spark, n, ["Bag"]), root, commit)
+    for commit in ("b" * 32, "a" * 32):
+        log_commit(spark, root, commit)
+        log = slice_log(spark, root)
+    records = read_records(spark, f"{root}/_slices", SLICE_SCHEMA)
+    assert sorted((r["sequence"], r["commit"][0]) for r in records.collect()) == [(1, "b"), (2, "a")]
+    same = records.withColumn("sequence", F.lit(1).cast("long"))
+    assert [r["commit"][0] for r in latest(same, ["fm", "revision", "split", "location"]).collect()] == ["b"]
+    assert [r["commit"][0] for r in log.collect()] == ["a"] and embeddings(spark, "m", "train", root=root).n == 3
+
+
+def test_a_folder_without_a_log(spark, tmp_path):
+    plain, root = str(tmp_path / "plain"), str(tmp_path / "c")
+    rows = keyed(spark, 4).withColumn("pooling", F.lit("mean")).withColumn("y", F.col("y").cast("smallint"))
+    rows.write.partitionBy("fm", "revision", "split", "location").parquet(plain)
+    got = embeddings(spark, "m", "train", root=plain)
+    assert (got.n, got.dim, list_available(spark, plain)) == (8, 2, [("m", "1")])
+    with pytest.raises(ValueError, match="without a log"):
+        write_cache(keyed(spark, 1), plain)
+    adopt_cache(spark, plain, root)
+    assert embeddings(spark, "m", "train", "Hips", root=root).n == 4
+
+
+def test_odd_places(spark, tmp_path):
+    root = str(tmp_path / "c")
+    rows = keyed(spark, 2, ["Bag"]).unionByName(keyed(spark, 3, ["Bag"]).withColumn("location", F.lit(None).cast("string")))
+    write_cache(rows, root)
+    write_cache(keyed(spark, 4, ["Bag"]), root)
+    assert {r["location"]: r["n"] for r in slice_log(spark, root).collect()} == {None: 3, "Bag": 4}
+    assert read_cache(spark, root).count() == 7
+    # Nothing to write is no slice.
+    write_cache(keyed(spark, 0), root)
+    assert read_cache(spark, root).count() == 7
+
+
 def test_root_order(spark):
     assert cache_root(spark, "x") == "x"
     assert cache_root(spark) == DEFAULT_CACHE_ROOT

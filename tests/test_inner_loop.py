@@ -14,6 +14,7 @@ from framelake import (
     leaderboard,
     list_available,
     list_heads,
+    log_run,
     make_head,
     read_experiments,
     read_runs,
@@ -22,7 +23,8 @@ from framelake import (
 )
 from framelake.constants import CLASSES, EXPECTED_COLS, TRAIN_LOCATIONS
 from framelake.operators.leaderboard import certifiable
-from framelake.sources.runs import read_run_metrics
+from framelake.sources import commit_log
+from framelake.sources.runs import append_metrics, compact_runs, read_run_metrics
 
 WIDTH, EACH = 16, {"train": 48, "validation": 12}
 
@@ -90,6 +92,63 @@ def test_runs_keep_steps_and_the_last_value(spark, tmp_path):
     assert certifiable(read_runs(spark, store), "/venv").count() == 1
 
 
+def test_a_run_logged_again_is_one_run(spark, tmp_path):
+    store = str(tmp_path / "store")
+    log_run(spark, store, "team", run_id="r", metrics={"macro_f1": 0.1, "loss": 3.0}, tags={"git_dirty": False})
+    log_run(spark, store, "team", run_id="other", metrics={"macro_f1": 0.5})
+    log_run(spark, store, "team", run_id="r", metrics={"macro_f1": 0.2}, tags={"git_dirty": True})
+    append_metrics(spark.createDataFrame([("r", "late", 7.0)], "run_id string, metric string, value double"), store)
+
+    def seen():
+        rows = {r["run_id"]: r for r in read_runs(spark, store).collect()}
+        assert len(rows) == read_runs(spark, store).count() == 2
+        values = {(r["run_id"], r["metric"]): r["value"] for r in read_run_metrics(spark, store).collect()}
+        return rows["r"]["metrics"], rows["r"]["tags"].get("git_dirty"), values
+
+    want = {("r", "macro_f1"): 0.2, ("r", "late"): 7.0, ("other", "macro_f1"): 0.5}
+    assert seen() == ({"macro_f1": 0.2}, "true", want)
+    assert compact_runs(spark, store) > 3 and seen()[2] == want
+    assert compact_runs(spark, store) == 0
+    log_run(spark, store, "team", run_id="r", metrics={"macro_f1": 0.3})
+    assert seen()[0] == {"macro_f1": 0.3} and seen()[2]["r", "macro_f1"] == 0.3
+
+
+def test_two_writers_of_one_run(spark, tmp_path, monkeypatch):
+    store = str(tmp_path / "store")
+    # Neither writer sees the other: both take the first sequence number.
+    monkeypatch.setattr("framelake.sources.commit_log.next_sequence", lambda records: 1)
+    for name, value in (("b", 0.7), ("a", 0.4)):
+        monkeypatch.setattr("framelake.sources.commit_log.new_write_id", lambda name=name: name)
+        log_run(spark, store, "team", run_id="r", metrics={"macro_f1": value})
+    assert [r["metrics"] for r in read_runs(spark, store).collect()] == [{"macro_f1": 0.7}]
+    assert [r["value"] for r in read_run_metrics(spark, store).collect()] == [0.7]
+
+
+def test_a_writer_killed_between_its_tables(spark, tmp_path, monkeypatch):
+    store = str(tmp_path / "store")
+    log_run(spark, store, "team", run_id="r", metrics={"loss": 1.0})
+    real = commit_log.append
+
+    def killed(rows, path, *stamp):
+        if path.endswith("/runs"):
+            raise OSError("killed")
+        real(rows, path, *stamp)
+
+    monkeypatch.setattr(commit_log, "append", killed)
+    with pytest.raises(OSError):
+        log_run(spark, store, "team", run_id="r", metrics={"loss": 2.0})
+    assert [r["value"] for r in read_run_metrics(spark, store).collect()] == [1.0]
+
+
+def test_a_store_written_without_stamps(spark, tmp_path):
+    store = str(tmp_path / "store")
+    log_run(spark, f"{store}-new", "team", run_id="r", metrics={"loss": 1.0})
+    read_runs(spark, f"{store}-new").write.parquet(f"{store}/runs")
+    assert read_runs(spark, store).first()["metrics"] == {"loss": 1.0}
+    log_run(spark, store, "team", run_id="r", metrics={"loss": 2.0})
+    assert [r["metrics"] for r in read_runs(spark, store).collect()] == [{"loss": 2.0}]
+
+
 def test_a_store_that_cannot_be_written_warns(spark, tmp_path):
     (tmp_path / "file").write_text("no folder")
     with pytest.warns(UserWarning, match="was not written"), track(spark, str(tmp_path / "file"), "team") as run:
