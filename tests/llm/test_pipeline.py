@@ -10,7 +10,7 @@ import corpus_pipeline
 from framelake.llm import decontamination, quality, toxicity
 from framelake.llm.common import table
 
-from .test_simhash import plain_groups, plain_print
+from .test_near_copies import plain_kept
 
 
 @pytest.fixture(scope="module")
@@ -43,8 +43,10 @@ def test_classifier_stages(stages, spark, sf):
 
 def test_dedup_stage(stages):
     _, before, after = stages[2]
-    prints = {r["doc_id"]: plain_print(r["text"]) for r in before.collect()}
-    assert {r["doc_id"] for r in after.collect()} == set(plain_groups(prints).values())
+    kept = plain_kept({r["doc_id"]: r["text"] for r in before.collect()})
+    assert {r["doc_id"] for r in after.collect()} == kept
+    # Near copies of documents 6 and 1 at this scale, more than three fingerprint bits apart.
+    assert {145, 177} <= {r["doc_id"] for r in before.collect()} - kept
 
 
 def test_decontamination_stage(stages, spark, sf):
