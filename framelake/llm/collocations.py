@@ -42,9 +42,9 @@ COVERED_PERCENT = 50
 #: Phrases in a container before it bursts, and those of a next word that become a subtree.
 BURST, OWN = 1 << 18, 1 << 13
 #: Phrases in a task before it spills; a word counts as four.
-ENTRIES = 1_200_000
+ENTRIES = 900_000
 #: Word places read before they are counted.
-PENDING = 1 << 19
+PENDING = 1 << 18
 #: Text per partition of the merge.
 PART_BYTES = 4 << 20
 _BLOCK = 1 << 20

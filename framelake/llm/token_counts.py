@@ -14,13 +14,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import small_batches, texts, worker_memory
-from .token_records import PRE_TOKEN, Encoder
+from .token_records import Encoder
 
 #: Pre-tokens in a leaf when a tree is built; a leaf is cut up once it has four times as many.
 LEAF = 64
@@ -45,8 +44,8 @@ class Counts:
             raise ValueError("only byte-level tokenizers have independent pre-tokens")
         self.remembered = remembered
         self.known: dict[str, int] = {}
-        self.find = regex.compile(PRE_TOKEN).findall
-        self.match = regex.compile(PRE_TOKEN).finditer
+        self.find = self.encoder.pre_tokens.find
+        self.spans = self.encoder.pre_tokens.spans
 
     def learn(self, pieces: set[str]) -> None:
         if len(self.known) > self.remembered:
@@ -158,12 +157,12 @@ class PreTokenTree:
             buffer = head + joined[end - left :]
             last = at >= whole
             new, stop = [], None
-            for found in self.counter.match(buffer):
-                if not last and found.end() + LOOK > len(buffer):
+            for begun, ended in self.counter.spans(buffer):
+                if not last and ended + LOOK > len(buffer):
                     break
-                new.append(found.group())
-                place = end + found.end() - len(head)
-                if found.end() >= len(head) and place in bounds:
+                new.append(buffer[begun:ended])
+                place = end + ended - len(head)
+                if ended >= len(head) and place in bounds:
                     stop = bounds[place]
                     break
             if not buffer:

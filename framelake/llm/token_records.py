@@ -71,13 +71,80 @@ def unframe(read: Callable[[int], bytes]) -> bytes:
     return body[:size]
 
 
+class PreTokens:
+    """The pre-token pattern, with the character classes of the tokenizers library.
+
+    The library's Unicode tables are of another version than those here. A character is tried with both
+    when it is first met; where they disagree, the pattern sees a character of the library's class in
+    its place, so the pre-tokens are the library's.
+    """
+
+    #: One character of each class; both sides agree on them.
+    STANDING = {"letter": "é", "number": "²", "space": "\xa0", "other": "§"}
+
+    def __init__(self, library) -> None:
+        self.library = library
+        self.pattern = regex.compile(PRE_TOKEN)
+        self.agreed: set[str] = set()
+        self.odd: dict[str, str] = {}
+        self.learn([chr(c) for c in range(128)])
+        self.odd_ascii = list(self.odd)
+
+    def _class_there(self, chars: list[str]) -> list[str]:
+        """The library's class: a character is not cut off from one of its own class."""
+        starts = {start for _, (start, _) in self.library.pre_tokenize_str("".join([f"x{c}\n1{c}\n!{c}\n" for c in chars]))}
+        joined = (("letter", 1), ("number", 4), ("other", 7))
+        return [next((name for name, k in joined if 9 * i + k not in starts), "space") for i in range(len(chars))]
+
+    @staticmethod
+    def _class_here(char: str) -> str:
+        """The class of the pattern, or of Python's own tests where those say something else."""
+        for name, pattern, test in (("letter", r"\p{L}", str.isalpha), ("number", r"\p{N}", None), ("space", r"\s", str.isspace)):
+            found = regex.match(pattern, char) is not None
+            if test is not None and test(char) != found:
+                return "unsure"
+            if found:
+                return name
+        return "other"
+
+    def learn(self, chars: list[str]) -> None:
+        """Try some characters with both sides."""
+        for char, there in zip(chars, self._class_there(chars)):
+            if self._class_here(char) == there:
+                self.agreed.add(char)
+            else:
+                self.odd[char] = self.STANDING[there]
+
+    def is_odd(self, text: str) -> bool:
+        """Whether a text holds a character on which the two sides disagree."""
+        if any(c in text for c in self.odd_ascii):
+            return True
+        if text.isascii():
+            return False
+        rest = set(text).difference(self.agreed)
+        if rest:
+            self.learn(sorted(rest.difference(self.odd)))
+        return not rest.isdisjoint(self.odd)
+
+    def seen(self, text: str) -> str:
+        """The text as the pattern has to see it, character by character."""
+        return "".join([self.odd.get(c, c) for c in text]) if self.is_odd(text) else text
+
+    def find(self, text: str) -> list[str]:
+        seen = self.seen(text)
+        return self.pattern.findall(text) if seen is text else [text[m.start() : m.end()] for m in self.pattern.finditer(seen)]
+
+    def spans(self, text: str) -> Iterator[tuple[int, int]]:
+        return (m.span() for m in self.pattern.finditer(self.seen(text)))
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, remembering the pieces between spaces.
 
     A byte-level pre-tokenizer never joins a space to what stands before it unless that is white
     space too, so a text may be cut before such a space and the ids of the parts are the ids of the
-    text. Each new part goes through the library once. Texts that hold a special token's string, and
-    tokenizers of another kind, are encoded whole.
+    text. Each new part goes through the library once. Texts that hold a special token's string or a
+    character that the library files elsewhere, and tokenizers of another kind, are encoded whole.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -94,6 +161,7 @@ class Encoder:
         # Parts reach the model as pre-tokens in the byte alphabet, joined by the byte 255, which no text holds.
         self.parts = Tokenizer.from_file(path)
         self.parts.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\xff")
+        self.pre_tokens = PreTokens(kind) if self.cut else None
         self.find = regex.compile(PRE_TOKEN).findall
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
@@ -163,7 +231,8 @@ class Encoder:
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """The ids of each text as little-endian numbers."""
-        cut = [self._cut(t) if self.cut and not any(s in t for s in self.special) else None for t in batch]
+        odd = lambda t: any(s in t for s in self.special) or self.pre_tokens.is_odd(t)
+        cut = [self._cut(t) if self.cut and not odd(t) else None for t in batch]
         if len(self.known) > self.remembered // 2:
             # What is still in use comes back from the memory before; the rest is forgotten with it.
             self.known, self.before = {}, self.known

@@ -132,6 +132,40 @@ def test_encoder_equals_the_library():
     assert np.frombuffer(other.encode(["Some Text"])[0], "<u2").tolist() == other.whole.encode("Some Text", add_special_tokens=False).ids
 
 
+def test_every_character_is_encoded_as_the_library_does():
+    """All code points, in the contexts in which classes matter; the classes here may be of another version."""
+    whole, encoder = Tokenizer.from_file(BPE), token_records.Encoder(BPE, 10)
+    counter = token_counts.Counts(BPE, 10)
+    # Beyond the second plane only the last is assigned, in part.
+    chars = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x33500), *range(0xE0000, 0xE0200)]]
+    for k in range(0, len(chars), 4096):
+        encoder.pre_tokens.learn(chars[k : k + 4096])
+    counter.encoder.pre_tokens.odd, counter.encoder.pre_tokens.agreed = encoder.pre_tokens.odd, encoder.pre_tokens.agreed
+    odd = list(encoder.pre_tokens.odd)
+    assert "\u0558" in odd
+    # Some odd characters alone, all others a hundred to a text.
+    sound = [c for c in chars if c not in encoder.pre_tokens.odd]
+    groups = [[c] for c in odd[::20]] + [sound[k : k + 100] for k in range(0, len(sound), 100)]
+    for n, context in enumerate(("x{}'s ", "{}1 ", "1{} x", "!{}! ", " {} ", "{}\n", "a{}{}b ", "'{}ll ")):
+        texts = ["".join(context.replace("{}", c) for c in group) for group in groups[n::8]]
+        want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+        got = encoder.encode(texts)
+        assert [np.frombuffer(g, "<u2").tolist() for g in got] == want
+        for text, ids in list(zip(texts, want))[::9]:
+            pieces = counter.find(text)
+            assert "".join(pieces) == text and sum(counter.of(pieces)) == len(ids)
+
+
+def test_edits_beside_characters_of_another_class(counter, plain):
+    text = "x\u0558's and \u0c5c1 then \u208f!\u208f end \U00010940s"
+    for start, size, new in ((1, 1, "y"), (0, 0, "\u0558"), (4, 3, "\u0c5c"), (9, 2, ""), (2, 9, "1\u208f2")):
+        pieces = counter.find(text)
+        tree = token_counts.PreTokenTree(pieces, counter.of(pieces), counter)
+        tree.edit(start, start + size, new)
+        after = text[:start] + new + text[start + size :]
+        assert tree.text() == after and tree.total() == len(plain.encode(after, add_special_tokens=False).ids)
+
+
 def brute_records(rows):
     whole, at, out = Tokenizer.from_file(BPE), 0, []
     for doc_id, text in rows:
