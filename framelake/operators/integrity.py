@@ -78,7 +78,7 @@ def verify_manifest(spark: SparkSession, manifest_path: str, root: str) -> DataF
     """Statuses of all listed files; only listed files are hashed."""
     manifest = read_manifest(spark, manifest_path)
     files = list_files(spark, root, "*").join(manifest.select("rel"), "rel", "left_semi")
-    return check_manifest(manifest, digest_files(files.select("path", "rel")))
+    return check_manifest(manifest, digest_files(files.select("path", "rel", "length")))
 
 
 def folder_digest(parts: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from ..constants import (
     WRONG_ROWS,
 )
 from ..functions.text import as_label, is_whole, split_words, to_number, uncomment
-from ..session import materialise
+from ..session import materialise, scratch_path
 from ..sources.matrix import read_matrix_lines, write_matrix
 
 
@@ -152,6 +152,10 @@ def validation_report(
     )
 
 
+#: Stray labels that a message lists, at most; the driver holds no more than these and the allowed ones.
+LISTED = 1000
+
+
 @dataclass(frozen=True)
 class ValidationReport:
     ok: bool
@@ -175,16 +179,25 @@ def validate(
 ) -> ValidationReport:
     """Check a matrix file or folder; faults become messages and nothing is raised for them.
 
-    One pass; a second one lists the labels, every one of them, if some are stray.
+    One pass; a second one writes the table of labels if some are stray. The message lists the stray ones
+    up to ``LISTED`` labels; beyond, as in a matrix of measured values, it has their number and the
+    table that holds every one of them, and ``unique_labels`` has the allowed ones.
     """
     profiles = line_profiles(read_matrix_lines(spark, path))
     limits = (expected_rows, expected_cols, allowed)
     row = validation_report(profiles, *limits, count_stray=False).first()
     seen, messages = row["unique_labels"], list(row["messages"])
     if row["has_stray"]:
-        seen = [r["label"] for r in label_table(profiles).orderBy("label").toLocalIterator()]
-        stray = [str(label) for label in seen if label not in set(allowed)]
-        messages.append(STRAY_LABELS % ", ".join(stray))
+        where = scratch_path(spark, "labels")
+        label_table(profiles).write.parquet(where)
+        labels = spark.read.parquet(where)
+        n_stray = labels.where(~F.col("label").isin(list(allowed))).count()
+        if n_stray <= LISTED:
+            seen = [r["label"] for r in labels.orderBy("label").collect()]
+            shown = ", ".join(str(label) for label in seen if label not in set(allowed))
+        else:
+            shown = f"{n_stray} labels, all of them in {where}"
+        messages.append(STRAY_LABELS % shown)
     return ValidationReport(
         ok=row["ok"],
         path=path,

@@ -8,11 +8,16 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import without_scheme
+from ..session import materialise
 
 CHUNK = 1 << 20
+#: Bytes per hashing task, and what opening a file costs in bytes.
+TASK_BYTES = 256 << 20
+FILE_COST = 64 << 10
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*.txt") -> DataFrame:
@@ -50,16 +55,46 @@ def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
+def packed(files: DataFrame, target: int | None = None) -> tuple[DataFrame, int]:
+    """(path, rel, task) of (path, rel, length), longest files first, and the number of tasks.
+
+    A task gets files of about ``target`` bytes, each counted with ``FILE_COST`` for opening it; a longer file
+    is a task of its own. Files are sorted by ranges and numbered by running sums: those inside a
+    range, and one sum per range for all before it.
+    """
+    sized = files.select("path", "rel", (F.col("length") + FILE_COST).alias("cost"))
+    order = [F.desc("cost"), "path"]
+    placed = sized.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialise(placed.withColumn("place", F.monotonically_increasing_id()), "file-order")
+    placed = placed.withColumn("part", F.shiftright("place", 33))
+    sums = placed.groupBy("part").agg(F.sum("cost").alias("cost"), F.count(F.lit(1)).alias("n"))
+    total = sums.agg(F.sum("cost").alias("cost"), F.sum("n").alias("n")).first()
+    if not total["n"]:
+        return placed.select("path", "rel", F.lit(0).alias("task")), 1
+    if target is None:
+        # Smaller tasks while cores would be idle.
+        target = min(TASK_BYTES, max(1, total["cost"] // files.sparkSession.sparkContext.defaultParallelism))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select("part", F.coalesce(F.sum("cost").over(before), F.lit(0)).alias("offset"))
+    within = W.partitionBy("part").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
+    inside = placed.withColumn("earlier", F.coalesce(F.sum("cost").over(within), F.lit(0)))
+    start = F.col("offset") + F.col("earlier")
+    task = F.floor(start / F.lit(target)).cast("int").alias("task")
+    return inside.join(offsets, "part").select("path", "rel", task), total["cost"] // target + 1
+
+
 def digest_files(files: DataFrame, tasks: int | None = None) -> DataFrame:
-    """(rel, digest): every file streamed in 1 MiB pieces by the task that got its path.
+    """(rel, digest) of (path, rel, length): every file streamed in 1 MiB pieces by the task that got its path.
 
-    SHA-256 is sequential, so the unit of work is one file of any size in constant memory. The
-    number of tasks is given explicitly: paths are a few bytes, and adaptive execution would
-    otherwise merge them all into one task.
+    SHA-256 is sequential, so the unit of work is one file of any size in constant memory. Tasks get
+    files by their bytes, see :func:`packed`, or are as many as given. Adaptive execution would merge
+    paths, a few bytes each, into one task.
     """
     if tasks is None:
-        tasks = max(1, files.count())
-    spread = files.select("path", "rel").repartition(tasks)
+        dealt, many = packed(files)
+        spread = dealt.repartitionById(many, "task").select("path", "rel")
+    else:
+        spread = files.select("path", "rel").repartition(tasks)
     return spread.mapInArrow(_hash_batches, "rel string, digest string")
 
 

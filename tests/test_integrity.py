@@ -15,7 +15,7 @@ from framelake.operators.integrity import (
 )
 from framelake.plans.jobs import verify_raw
 from framelake.session import TableError
-from framelake.sources.file_listing import digest_files, list_files
+from framelake.sources.file_listing import digest_files, list_files, packed
 from framelake.sources.manifest import parse_manifest, read_manifest
 
 
@@ -133,3 +133,34 @@ def test_folder_digest_depends_on_names_and_contents(spark):
     many = [(f"part-{k:05d}", str(k)) for k in range(2500)]
     thousands = [joined(*[d for _, d in many[k : k + 1000]]) for k in range(0, 2500, 1000)]
     assert digest(*many) == joined(*thousands)
+
+
+def test_files_are_packed_by_their_bytes(spark):
+    """Many small files and a few huge ones: tasks in proportion to bytes, the huge ones alone."""
+    small = spark.range(100_000).selectExpr("concat('/s/', id) AS path", "concat('s', id) AS rel", "id % 2000 AS length")
+    huge = spark.range(3).selectExpr("concat('/h/', id) AS path", "concat('h', id) AS rel", "(4L << 30) + id AS length")
+    files = small.unionByName(huge).repartition(7)
+    dealt, tasks = packed(files, 256 << 20)
+    rows = dealt.collect()
+    assert len(rows) == 100_003 and {r["rel"] for r in rows} >= {"h0", "h1", "h2"}
+    cost, huge_tasks = {}, set()
+    for r in rows:
+        cost[r["task"]] = cost.get(r["task"], 0) + (64 << 10) + (int(r["rel"][1:]) % 2000 if r["rel"][0] == "s" else 0)
+        if r["rel"][0] == "h":
+            huge_tasks.add(r["task"])
+    assert len(huge_tasks) == 3 and max(cost) < tasks and max(cost.values()) <= (256 << 20) + (66 << 10)
+    # 100,000 files at 65 kB are 25 tasks; each huge file is one, however many numbers it spans.
+    assert 25 <= len(cost) <= 31
+    parts = dealt.repartitionById(tasks, "task").select("task", F.spark_partition_id().alias("p")).distinct().collect()
+    assert all(r["task"] == r["p"] for r in parts) and packed(files.limit(0))[1] == 1
+
+
+def test_hashing_a_folder_needs_no_task_per_file(spark, tmp_path):
+    for k in range(300):
+        (tmp_path / f"f{k:03d}.txt").write_text(f"content {k}" * (k + 1))
+    (tmp_path / "large.txt").write_bytes(b"x" * (3 << 20))
+    found = digest_files(list_files(spark, str(tmp_path)))
+    assert found.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    digests = {r["rel"]: r["digest"] for r in found.collect()}
+    assert len(digests) == 301
+    assert all(digests[p.name] == hashlib.sha256(p.read_bytes()).hexdigest() for p in tmp_path.glob("*.txt"))

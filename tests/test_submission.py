@@ -127,6 +127,17 @@ def test_all_stray_labels_are_reported(spark, tmp_path):
     assert stray_labels(line_profiles(spark.read.text(path))).count() == 1000
 
 
+def test_very_many_stray_labels_stay_in_a_table(spark, tmp_path):
+    path = str(tmp_path / "values")
+    spark.range(2001).selectExpr("CONCAT(id * 7 + 100, ' 1 2') AS value").write.text(path)
+    rep = validate(spark, path, expected_rows=2001, expected_cols=3)
+    (message,) = rep.messages
+    assert message.startswith("labels outside allowed set: [2001 labels, all of them in ") and len(message) < 300
+    assert rep.unique_labels == (1, 2) and not rep.ok
+    table = spark.read.parquet(message.partition("all of them in ")[2].rstrip("]"))
+    assert table.count() == 2003 and table.agg({"label": "max"}).first()[0] == 2000 * 7 + 100
+
+
 def test_writer_keeps_the_frame_order(spark, tmp_path):
     out = str(tmp_path / "sub")
     rows = spark.range(3000).selectExpr("(id * 7919) % 3000 AS frame_idx", "id AS k")
