@@ -7,28 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import EXPECTED_COLS
-from ..functions.text import split_words, to_number, uncomment
+from ..functions.numbers import parse_numbers
+from ..functions.text import uncomment
 from .raw_files import number_lines, store_lines
 
 
 def parse_matrix(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Add ``vals ARRAY<DOUBLE>``; comments and blank lines go, unreadable tokens are NULL.
-
-    A line of digits only is cast as a whole; token by token goes a line with words in it.
-    """
-    digits = ~F.col("line_text").rlike(r"[^-+.0-9eE\s]")
-    return (
-        lines.withColumn("line_text", uncomment(F.col(value)))
-        .where(F.col("line_text") != "")
-        .withColumn("words", split_words(F.col("line_text")))
-        .withColumn(
-            "vals",
-            F.when(digits, F.col("words").try_cast("array<double>")).otherwise(
-                F.transform("words", to_number)
-            ),
-        )
-        .drop("line_text", "words")
-    )
+    """Add ``vals ARRAY<DOUBLE>``; comments and blank lines go, unreadable tokens are NULL."""
+    text = lines.withColumn("line_text", uncomment(F.col(value))).where(F.col("line_text") != "")
+    return text.withColumn("vals", parse_numbers(F.col("line_text"))).drop("line_text")
 
 
 def frame_lines(predictions: DataFrame, n_cols: int = EXPECTED_COLS) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from framelake import validate, write_submission
 from framelake.constants import EXPECTED_COLS, EXPECTED_ROWS
@@ -127,6 +128,22 @@ def test_all_stray_labels_are_reported(spark, tmp_path):
     assert stray_labels(line_profiles(spark.read.text(path))).count() == 1000
 
 
+def test_numbers_are_read_as_the_column_functions_do(spark):
+    """Distinct tokens in bulk and odd ones alone, against one cast per token."""
+    from framelake.functions.text import split_words, to_number, uncomment
+    from framelake.sources.matrix import parse_matrix
+
+    odd = ["+1", "1.", ".5", ".", "-", "+", "--1", "1e", "e5", "1e5", "1E+5", "1e999", "-1e999", "inf", "-INF", "Infinity", "+nan", "NaN", "-nan",
+           "nano", "1d", "0x10", "1_0", "١", "1,5", "word", "1e5.5", "00012", "-0", "9" * 40, "4.9e-324"]
+    lines = [" ".join(odd), "  3\t4 5 # 6", "#", "", " \x0b ", "7", "8\x0b9\x0c10", *[" ".join(str(k * 0.37) for k in range(j, j + 40)) for j in range(50)]]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(lines)] + [(99, None)], "line int, value string").repartition(3)
+    text = uncomment(F.col("value"))
+    plain = rows.where(text != "").select("line", F.transform(split_words(text), to_number).alias("vals"))
+    got, want = ({r["line"]: [str(v) for v in r["vals"]] for r in df.collect()} for df in (parse_matrix(rows), plain))
+    assert got == want and len(got[0]) == len(odd) and set(got) == {0, 1, 5, 6, *range(7, 57)}
+    assert parse_matrix(rows.limit(0)).count() == 0
+
+
 def test_very_many_stray_labels_stay_in_a_table(spark, tmp_path):
     path = str(tmp_path / "values")
     spark.range(2001).selectExpr("CONCAT(id * 7 + 100, ' 1 2') AS value").write.text(path)
