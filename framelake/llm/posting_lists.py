@@ -291,25 +291,31 @@ def _tune(graph: CentroidGraph, points: np.ndarray, longest: float, neighbours:
     return ratio, max(width, int(within.max(initial=0)) + 1, 1)
 
 
-def _best(scores: np.ndarray, tie: np.ndarray, count: int) -> np.ndarray:
-    """Columns of the ``count`` largest scores of each row, ties to the smaller ``tie``."""
-    if scores.shape[1] > 4 * count:
-        edge = -np.partition(-scores, count - 1, axis=1)[:, count - 1]
-        rough = max(int((scores >= edge[:, None]).sum(1).max()), count)
-        some = np.argpartition(-scores, min(rough, scores.shape[1] - 1), axis=1)[:, :rough]
-    else:
-        some = np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
-    order = np.lexsort((tie[some], -np.take_along_axis(scores, some, 1)))
-    return np.take_along_axis(some, order[:, :count], 1)
-
-
-def search(index: PostingIndex, queries: DataFrame) -> DataFrame:
+def _best(query: np.ndarray, x: np.ndarray, rough: np.ndarray, reps: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``x`` with the ``count`` largest inner products, nearest first, ties to the smaller rep; and those products.
+
+    ``rough`` has the products as a block of them rounds. All rows within that rounding of the last
+    place are summed pair by pair, so equal products stay equal whatever block they are in.
+    """
+    some = np.arange(len(x))
+    if len(x) > count:
+        edge = np.partition(rough, len(x) - count)[len(x) - count]
+        slack = 1e-12 * len(query) * np.sqrt((query * query).sum() * (x * x).sum(1).max())
+        some = np.flatnonzero(rough >= edge - slack)
+    exact = (x[some] * query).sum(1)
+    order = np.lexsort((reps[some], -exact))[:count]
+    return some[order], exact[order]
+
+
+def search(index: PostingIndex, queries: DataFrame, times: int = 1) -> DataFrame:
     """(rep, ids, scores): for each entry ``rep`` in ``queries`` its nearest ids, its own among them.
 
     One more than ``index.neighbours`` are given, since a query leaves itself out. Scores are inner
-    products of the original vectors in double precision, ties to the smaller id.
+    products of the original vectors in double precision, ties to the smaller id. With ``times`` above 1
+    that many times the lists are read, whatever their distance.
     """
     keep, ratio, width, parts = index.neighbours + 1, index.ratio, index.width, index.parts
+    width = min(width * times, len(parts))
     graph, longest = index.graph, index.longest
     asked = index.entries.select("rep", "v").join(queries.select("rep").distinct(), "rep", "left_semi")
 
@@ -317,8 +323,13 @@ def search(index: PostingIndex, queries: DataFrame) -> DataFrame:
         for batch in small_batches(batches):
             values = batch.column("v").flatten().to_numpy(zero_copy_only=False)
             points = _aim(values.reshape(batch.num_rows, -1), longest)
-            places, gaps = graph.search(points, width)
-            row, at = np.nonzero(_chosen(places, gaps, ratio, width))
+            if times > 1 and width == len(parts):
+                places = np.broadcast_to(np.arange(width), (len(points), width))
+                chosen = np.ones(places.shape, bool)
+            else:
+                places, gaps = graph.search(points, width)
+                chosen = _chosen(places, gaps, ratio, width) if times == 1 else (places >= 0) & np.isfinite(gaps)
+            row, at = np.nonzero(chosen)
             again = parts[places[row, at]]
             row, lists = np.repeat(row, again), np.repeat(places[row, at], again)
             part = np.arange(len(row)) - np.repeat(np.cumsum(again) - again, again)
@@ -358,12 +369,10 @@ def search(index: PostingIndex, queries: DataFrame) -> DataFrame:
             names = asked.column("rep").to_pylist()
             for start in range(0, len(q), 512):
                 some = q[start : start + 512]
-                best = _best(some @ x.T, reps, keep + 8)
-                # The sum of products of one pair, whatever block it is in.
-                exact = (x[best] * some[:, None, :]).sum(2)
+                rough = some @ x.T
                 for k in range(len(some)):
-                    order = np.lexsort((reps[best[k]], -exact[k]))[:keep]
-                    pairs = [(i, s) for c, s in zip(best[k][order], exact[k][order]) for i in ids[c]]
+                    best, exact = _best(some[k], x, rough[k], reps, keep)
+                    pairs = [(i, s) for c, s in zip(best.tolist(), exact.tolist()) for i in ids[c]]
                     pairs.sort(key=lambda p: (-p[1], p[0]))
                     out["rep"].append(names[start + k])
                     out["ids"].append([p[0] for p in pairs[:keep]])
@@ -412,8 +421,8 @@ def nearest(
 ) -> DataFrame:
     """(query_id, rank, id, score): for each row where ``asked`` (on ``id``) holds, its nearest other rows.
 
-    A query has fewer than ``neighbours`` rows only if there are fewer candidates in the lists that it reads.
-    Equal vectors are searched for once. Queries that do not take part, see :func:`build_index`, and an
+    Queries whose lists hold too few candidates read further ones, eight times as many each time, until
+    they have ``neighbours`` rows or have read every list. Equal vectors are searched for once. Queries that do not take part, see :func:`build_index`, and an
     empty table give no rows.
     """
     index = build_index(vectors, id_col, vector_col, neighbours, sample, list_size)
@@ -421,7 +430,18 @@ def nearest(
     if index is None:
         return vectors.sparkSession.createDataFrame([], kind)
     queries = index.members.where(asked)
-    met = queries.join(search(index, queries), "rep")
+    found = materialise(search(index, queries), "list-answers")
+    there = index.members.select("id").distinct().count()
+    times, wanted, everything = 1, min(index.neighbours + 1, there), False
+    while not everything:
+        few = materialise(found.where(F.size("ids") < wanted).select("rep"), "short-answers")
+        if few.isEmpty():
+            break
+        times *= 8
+        everything = index.width * times >= len(index.parts)
+        more = search(index, few, times)
+        found = materialise(found.join(few, "rep", "left_anti").unionByName(more), "list-answers")
+    met = queries.join(found, "rep")
     pairs = F.filter(F.arrays_zip("ids", "scores"), lambda p: p["ids"] != F.col("id"))
     best = F.slice(pairs, 1, neighbours)
     return met.select(F.col("id").alias("query_id"), F.posexplode(best).alias("place", "p")).select(

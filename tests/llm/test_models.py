@@ -83,6 +83,45 @@ def test_vectors_that_take_no_part(spark):
     assert posting_lists.nearest(only, asked=F.lit(True)).count() == 0
 
 
+def plain_nearest(rows, wanted, count):
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    out = {}
+    for q in wanted:
+        scores = (x * x[ids == q][0]).sum(1)
+        order = [k for k in np.lexsort((ids, -scores)) if ids[k] != q][:count]
+        out[q] = [(int(ids[k]), float(scores[k])) for k in order]
+    return out
+
+
+def test_every_query_has_all_its_rows(spark):
+    """A few far vectors make lists of their own; queries there read on until they have twenty rows."""
+    rng = np.random.default_rng(8)
+    rows = [(k, rng.normal(size=16).tolist()) for k in range(3000)]
+    rows += [(3000 + k, (50 * rng.normal(size=16)).tolist()) for k in range(12)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in posting_lists.nearest(vectors, asked=F.col("id") % 20 == 0, list_size=16).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    asked = [k for k, _ in rows if k % 20 == 0]
+    assert sorted(got) == asked
+    assert all([r for r, _ in sorted(v)] == list(range(1, 21)) for v in got.values())
+    few = spark.createDataFrame(rows[:7], "vec_id long, embedding array<double>")
+    assert posting_lists.nearest(few, asked=F.lit(True)).count() == 7 * 6
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    """Hundreds of equal products at the edge; block products round them differently."""
+    rng = np.random.default_rng(9)
+    axis = np.zeros(24)
+    axis[0] = 1.0
+    rest = rng.normal(size=(400, 23))
+    rows = [(0, axis.tolist())] + [(k + 1, [0.1, *v]) for k, v in enumerate(rest.tolist())]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = posting_lists.nearest(vectors, asked=F.col("id") == 0, list_size=1000).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == plain_nearest(rows, [0], 20)[0] == [(k, 0.1) for k in range(1, 21)]
+
+
+
 def test_graph_finds_near_centroids():
     rng = np.random.default_rng(2)
     centers = rng.normal(size=(300, 8))
