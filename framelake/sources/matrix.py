@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -65,7 +65,8 @@ def read_text_predictions(spark: SparkSession, path: str) -> DataFrame:
     """(frame_idx, y_pred): the numbers of a text file in reading order, counted from 0.
 
     Lines are numbered by their block as raw files are; the numbers before a line are those of earlier
-    lines, added up per thousand lines first, so that no task sorts all lines.
+    lines, added up per thousand lines and per million first, so that no task sorts all lines, nor
+    one sum for each thousand of them.
     """
     lines = spark.read.text(path).select(
         F.lit("predictions").alias("name"),
@@ -77,11 +78,16 @@ def read_text_predictions(spark: SparkSession, path: str) -> DataFrame:
     kept = lines.where(uncomment(F.col("value")) != "")
     parsed = parse_matrix(number_lines(store_lines(kept, ("name",), "prediction-lines"), ("name",)))
     parsed = parsed.withColumns({"n": F.size("vals").cast("bigint"), "group": F.expr("frame_idx div 1000")})
-    sums = parsed.groupBy("group").agg(F.sum("n").alias("n"))
-    before = W.orderBy("group").rowsBetween(W.unboundedPreceding, -1)
-    starts = sums.select("group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = W.partitionBy("group").orderBy("frame_idx").rowsBetween(W.unboundedPreceding, -1)
-    placed = parsed.withColumn("first", F.coalesce(F.sum("n").over(within), F.lit(0))).join(starts, "group")
+    sums = parsed.groupBy("group").agg(F.sum("n").alias("n")).withColumn("far", F.expr("group div 1000"))
+
+    def before(*by: str, order: str) -> Column:
+        earlier = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        return F.coalesce(F.sum("n").over(earlier), F.lit(0))
+
+    far = sums.groupBy("far").agg(F.sum("n").alias("n")).select("far", before(order="far").alias("base"))
+    starts = sums.withColumn("near", before("far", order="group")).join(far, "far")
+    starts = starts.select("group", (F.col("base") + F.col("near")).alias("start"))
+    placed = parsed.withColumn("first", before("group", order="frame_idx")).join(starts, "group")
     cells = placed.select((F.col("start") + F.col("first")).alias("at"), F.posexplode("vals").alias("pos", "v"))
     return cells.select((F.col("at") + F.col("pos")).alias("frame_idx"), F.col("v").alias("y_pred"))
 

@@ -33,6 +33,7 @@ from framelake.sources.matrix import (
     frame_lines,
     parse_matrix,
     read_matrix_lines,
+    read_text_predictions,
     sample_rows,
     write_matrix,
 )
@@ -258,6 +259,20 @@ def submission_roundtrip(spark, sf):
     )
 
 
+def text_predictions(spark, sf):
+    """Predictions of all orders as text, one to four to a line, read back and counted in reading order."""
+
+    def write(path):
+        rows = order_pred(spark, sf)
+        places = F.floor(F.col("frame_idx") / 4)
+        lines = rows.groupBy(places.alias("line")).agg(F.sort_array(F.collect_list(F.struct("frame_idx", "y_pred")))["y_pred"].alias("y"))
+        text = F.array_join(F.col("y").cast("array<string>"), " ").alias("value")
+        lines.repartitionByRange("line").sortWithinPartitions("line").select(text).write.text(path)
+
+    found = read_text_predictions(spark, once(spark, sf, "text-predictions", write))
+    return found.select("frame_idx", F.col("y_pred").cast("int").alias("y_pred"))
+
+
 def submission_repeats(spark, sf):
     """Frames with several predictions, which a submission refuses."""
     return repeated_frames(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("frame_idx")))
@@ -311,6 +326,7 @@ QUERIES = {
     "submission_lines": submission_lines,
     "submission_roundtrip": submission_roundtrip,
     "submission_repeats": submission_repeats,
+    "text_predictions": text_predictions,
 }
 
 BOARD_SQL = """experiment, run_name,
@@ -320,6 +336,8 @@ NUMBER_SQL = "CASE WHEN NOT isnan(macro_f1) THEN macro_f1 END"
 WHOLE_SQL = "isfinite(val) AND val = trunc(val)"
 
 ORACLES = {
+    "text_predictions": with_cte(ORDER_PRED, select="""
+SELECT row_number() OVER (ORDER BY frame_idx) - 1 AS frame_idx, y_pred FROM order_pred"""),
     "runs_merged": with_cte(RUNS, select="""
 SELECT run_id, experiment_id, round((k % 1000 + attempt)::DOUBLE / 1000, 6) AS macro_f1, 'b' || attempt AS writer
 FROM (SELECT *, CASE WHEN k % 9 = 0 THEN 2 WHEN k % 3 = 0 THEN 1 ELSE 0 END AS attempt FROM runs)"""),

@@ -24,6 +24,7 @@ from framelake.operators.scaling import (
 )
 from framelake.operators.synthetic import synthetic_vectors
 from framelake.plans import jobs
+from framelake.sources.prediction_stream import predict_stream, read_stream_predictions, write_batch
 from framelake.sources.runs import read_experiments, read_run_metrics, read_runs
 from framelake.sources.vector_cache import (
     catalog,
@@ -236,6 +237,21 @@ def head_saved(spark, sf):
     return model.predict(test).select("frame_idx", "y_pred")
 
 
+def head_streamed(spark, sf):
+    """The test split predicted as a stream of files by a head, with one batch written twice."""
+    model = make_head("linear").fit(_train(spark, sf))
+
+    def write(path):
+        test = select_slice(cached(spark, sf), "fixture", "v1", "test").select("frame_idx", "features")
+        test.repartition(4, "frame_idx").write.parquet(f"{path}/frames")
+        frames = spark.readStream.schema(test.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/frames")
+        predict_stream(frames, model.predict, f"{path}/predictions", f"{path}/checkpoint").awaitTermination()
+        again = spark.read.parquet(f"{path}/predictions/batch=1")
+        write_batch(spark.createDataFrame(again.collect(), again.schema), 1, f"{path}/predictions")
+
+    return read_stream_predictions(spark, f"{once(spark, sf, 'streamed', write)}/predictions")
+
+
 def _trained(spark, sf):
     """The train and predict jobs on the cache, with a run store of their own."""
 
@@ -349,6 +365,7 @@ QUERIES = {
     "head_logreg": head_logreg,
     "head_mlp": head_mlp,
     "head_saved": head_saved,
+    "head_streamed": head_streamed,
     "job_predictions": job_predictions,
     "job_run_log": job_run_log,
     "predict_frames": predict_frames,
@@ -552,6 +569,7 @@ SELECT split, CASE WHEN split = 'test' THEN 'all' ELSE location END AS location,
 UNION ALL
 SELECT split, CASE WHEN split = 'test' THEN 'all' ELSE location END, frame_idx, y, CAST(127 - dim AS INTEGER), v FROM long"""),
     "head_saved": ridge_sql("0", "SELECT frame_idx, y_pred FROM predicted WHERE split = 'test'"),
+    "head_streamed": ridge_sql("0", "SELECT frame_idx, y_pred FROM predicted WHERE split = 'test'"),
     "job_predictions": ridge_sql("0", "SELECT frame_idx, y_pred FROM predicted WHERE split = 'test'"),
     "job_run_log": ridge_sql("0", """
 SELECT 'fixture|all|linear' AS run_name, '0' AS seed, 'false' AS git_dirty, 'macro_f1' AS metric,

@@ -10,6 +10,7 @@ from framelake.operators import gram
 from framelake.operators.gram import collect_gram, gram_rows
 from framelake.operators.heads import BUILDERS, fit_per_group, predict_per_group
 from framelake.operators.pca import fit_pca
+from framelake.sources.prediction_stream import predict_stream, read_stream_predictions, write_batch
 from framelake.operators.scaling import SCALED, VECTOR, PopulationScaler, scale, scaler_stats, with_vector
 
 
@@ -214,3 +215,28 @@ def test_head_on_components(noisy):
     target = np.where(y[:, None] == classes, 1.0, -1.0)
     scores = white @ (white.T @ target) / (len(z) + 1) + target.mean(0)
     assert [r["y_pred"] for r in rows] == classes[scores.argmax(1)].tolist()
+
+
+def test_a_batch_that_runs_again_leaves_one_row_per_frame(spark, noisy, tmp_path):
+    source, out, checkpoint = (str(tmp_path / k) for k in ("source", "out", "checkpoint"))
+    noisy.drop("y").repartition(3).write.parquet(source)
+    model = make_head("linear").fit(noisy)
+    want = {r["frame_idx"]: r["y_pred"] for r in model.predict(noisy).collect()}
+    frames = spark.readStream.schema(noisy.drop("y").schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+    def seen():
+        rows = read_stream_predictions(spark, out).collect()
+        assert len(rows) == len({r["frame_idx"] for r in rows})
+        return {r["frame_idx"]: r["y_pred"] for r in rows}
+
+    assert seen() == {}
+    predict_stream(frames, model.predict, out, checkpoint).awaitTermination()
+    assert seen() == want
+    # The checkpoint of the last batch is lost, as if the query had died behind its folder.
+    for name in ("2", ".2.crc"):
+        (tmp_path / "checkpoint" / "commits" / name).unlink()
+    predict_stream(frames, model.predict, out, checkpoint).awaitTermination()
+    assert seen() == want and len(list((tmp_path / "out").glob("batch=*"))) == 3
+    # A later batch may hold a frame again.
+    write_batch(spark.createDataFrame([(0, 9)], "frame_idx long, y_pred int"), 3, out)
+    assert seen() == want | {0: 9}
