@@ -53,9 +53,14 @@ def grouped_gram(rows: DataFrame, values: str, group: str) -> DataFrame:
     wide = rows.select(F.col(group).alias("g"), F.col(values).cast("array<double>").alias("x"))
     kind = wide.schema["g"].dataType.simpleString()
     partial = wide.mapInArrow(_partial_products, f"g {kind}, i int, bucket int, products array<double>")
+    return summed_rows(partial).withColumnRenamed("g", group)
+
+
+def summed_rows(partial: DataFrame) -> DataFrame:
+    """(g, i, products): partial rows (g, i, bucket, products) of tasks added up, in two steps."""
     some = partial.groupBy("g", "i", "bucket").agg(Summarizer.sum(array_to_vector("products")).alias("s"))
     summed = some.groupBy("g", "i").agg(Summarizer.sum(F.col("s")).alias("s"))
-    return summed.select(F.col("g").alias(group), "i", vector_to_array("s").alias("products"))
+    return summed.select("g", "i", vector_to_array("s").alias("products"))
 
 
 def gram_matrix(rows: DataFrame, values: str = "features") -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import persisted
 from .gram import collect_gram, grouped_gram
+from .grouped_logreg import fit_groups
 from .scaling import SCALED, VECTOR, PopulationScaler, scale, with_vector
 
 _INDEX = "class_index"
@@ -304,11 +305,14 @@ def fit_per_group(
 ) -> dict[str, HeadModel]:
     """One head per named group, e.g. per phone location (a fixed short list).
 
-    ``linear`` heads of all groups come from one pass; the estimators behind the others fit one
-    data set at a time.
+    ``linear`` heads of all groups come from one pass, and ``logreg`` heads from one pass per step for all
+    groups together; the estimator behind ``mlp`` fits one data set at a time.
     """
     if head.name == "linear":
         return _ridge_per_group(rows, column, groups, **head.params)
+    if head.name == "logreg" and set(head.params) <= {"C", "max_iter", "tol"}:
+        fitted = fit_groups(rows, column, groups, **head.params)
+        return {g: HeadModel(name="logreg", classes=c, weights=w) for g, (c, w) in fitted.items()}
     return {g: head.fit(rows.where(F.col(column) == g)) for g in groups}
 
 

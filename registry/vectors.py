@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -291,6 +293,32 @@ def head_per_location(spark, sf):
     return _rounded(score(pairs, by=["location"]))
 
 
+def head_logreg_per_location(spark, sf):
+    """Gradient of each location's penalised log loss at its fitted weights: zero at every optimum."""
+    train = _train(spark, sf)
+    models = fit_per_group(train, make_head("logreg", tol=1e-9), "location", TRAIN_LOCATIONS)
+    parts = []
+    for place, model in models.items():
+        rows = train.where(F.col("location") == place)
+        stats = scaler_stats(rows).select("dim", "mean", "std")
+        n = rows.count()
+        weights = spark.createDataFrame(
+            [(c, d, float(w)) for d, row in enumerate(model.weights[:-1]) for c, w in zip(model.classes, row)], "class int, dim int, w double"
+        )
+        exps = F.transform("scores", lambda s: F.exp(s - F.array_max("scores")))
+        share = F.transform(exps, lambda e: e / F.aggregate(exps, F.lit(0.0), lambda a, b: a + b))
+        cells = model.scores(rows).select("y", share.alias("p"), F.posexplode("features").alias("dim", "v"))
+        cells = cells.select("y", "dim", "v", F.posexplode("p").alias("c", "p"))
+        classes = F.array(*[F.lit(c) for c in model.classes])
+        cells = cells.withColumn("class", F.element_at(classes, F.col("c") + 1))
+        gap = F.col("p") - F.when(F.col("class") == F.col("y"), 1.0).otherwise(0.0)
+        sums = cells.groupBy("class", "dim").agg(F.sum(gap * F.col("v")).alias("gv"), F.sum(gap).alias("g"))
+        whole = sums.join(F.broadcast(stats), "dim").join(F.broadcast(weights), ["class", "dim"])
+        slope = (F.col("gv") - F.col("mean") * F.col("g")) / F.col("std") / n + F.col("w") * F.col("std") / n
+        parts.append(whole.select(F.lit(place).alias("location"), "class", "dim", (F.round(slope, 5) + 0.0).alias("gradient")))
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def head_pca(spark, sf):
     """Eight components: what is left of C v - l v, which is zero, and their products, the identity."""
     train = _train(spark, sf)
@@ -371,6 +399,7 @@ QUERIES = {
     "predict_frames": predict_frames,
     "evaluate_head": evaluate_head,
     "head_per_location": head_per_location,
+    "head_logreg_per_location": head_logreg_per_location,
     "head_pca": head_pca,
     "head_pca_score": head_pca_score,
     "fused_features": fused_features,
@@ -586,6 +615,9 @@ FROM range(0, 8) AS r(a), range(0, 8) AS q(b) WHERE EXISTS (SELECT 1 FROM embedd
     "head_logreg": with_cte(EMB, select="""
 SELECT c.y AS class, CAST(d AS INTEGER) AS dim, 0.0::DOUBLE AS gradient
 FROM (SELECT DISTINCT y FROM emb WHERE split = 'train') AS c, range(0, 64) AS r(d)"""),
+    "head_logreg_per_location": with_cte(EMB, select="""
+SELECT c.location, c.y AS class, CAST(d AS INTEGER) AS dim, 0.0::DOUBLE AS gradient
+FROM (SELECT DISTINCT location, y FROM emb WHERE split = 'train') AS c, range(0, 64) AS r(d)"""),
     "synth_balance": with_cte(EMB, select="""
 SELECT split, location, y, count(*) AS n, CAST(16 AS INTEGER) AS width FROM emb GROUP BY ALL"""),
 }

@@ -240,3 +240,37 @@ def test_a_batch_that_runs_again_leaves_one_row_per_frame(spark, noisy, tmp_path
     # A later batch may hold a frame again.
     write_batch(spark.createDataFrame([(0, 9)], "frame_idx long, y_pred int"), 3, out)
     assert seen() == want | {0: 9}
+
+
+def test_logistic_heads_of_all_groups_come_from_common_passes(spark, noisy, monkeypatch):
+    from framelake.operators import grouped_logreg
+
+    passes = []
+    real = grouped_logreg.losses
+    monkeypatch.setattr(grouped_logreg, "losses", lambda rows, trials, scales: passes.append(set(trials)) or real(rows, trials, scales))
+    place = F.when(F.col("frame_idx") % 3 == 0, "a").when(F.col("frame_idx") % 3 == 1, "b").otherwise("c")
+    # One group lacks a class.
+    grouped = noisy.withColumn("place", place).where("place != 'c' OR y != 2")
+    models = fit_per_group(grouped, make_head("logreg", C=0.5, tol=1e-8), "place", ("a", "b", "c"))
+    assert models["c"].classes == (1, 3, 4) and models["a"].classes == (1, 2, 3, 4)
+    assert passes[0] == {"a", "b", "c"} and len(passes) < 80
+    for g, model in models.items():
+        rows = grouped.where(F.col("place") == g)
+        x, y = local(rows)
+        z = standardised(x, x)
+        n, std = len(x), x.std(0)
+        score = x @ model.weights[:-1] + model.weights[-1]
+        p = np.exp(score - score.max(1, keepdims=True))
+        gap = p / p.sum(1, keepdims=True) - (y[:, None] == np.array(model.classes))
+        gradient = z.T @ gap / n + model.weights[:-1] * std[:, None] / (0.5 * n)
+        assert np.abs(gradient).max() < 1e-6 and np.abs(gap.mean(0)).max() < 1e-6
+        alone = make_head("logreg", C=0.5, tol=1e-9).fit(rows)
+        both = [[r["y_pred"] for r in m.predict(rows).orderBy("frame_idx").collect()] for m in (model, alone)]
+        assert np.mean(np.array(both[0]) == np.array(both[1])) > 0.99
+    # A single group takes as many passes as it took among the others.
+    among = sum("b" in p for p in passes)
+    passes.clear()
+    fit_per_group(grouped, make_head("logreg", C=0.5, tol=1e-8), "place", ("b",))
+    assert len(passes) == among
+    with pytest.raises(ValueError, match="no labels"):
+        fit_per_group(grouped, make_head("logreg"), "place", ("a", "nowhere"))
