@@ -115,7 +115,8 @@ def find_contamination(
 
     ``spans`` holds the (start, end) of every hit window in words. A null text has no words and an
     empty or null benchmark text no window. Repeated rows and null ids each keep their own result
-    row; other columns of the inputs are not read. With an empty benchmark nothing is hit.
+    row; other columns of the inputs are not read. With an empty benchmark nothing is hit. Texts of any
+    length are searched whole, a document being one row of words.
     """
     spark = docs.sparkSession
     windows = materialise(benchmark_windows(benchmark, item_col, item_text_col, size), "benchmark-windows")

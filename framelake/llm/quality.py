@@ -254,7 +254,12 @@ def score_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """(id, score) per document row; labels are learned only from rows where ``learn`` (on ``id``) holds."""
+    """(id, score) per document row; labels are learned only from rows where ``learn`` (on ``id``) holds.
+
+    Null and empty texts have statistics of zero and share a score; repeated rows score alike and equal
+    scores stay equal; texts of any length are read whole. Null ids keep their row; null labels are not
+    learned. Other columns are not read. An empty table gives no rows.
+    """
     stats = materialise(document_statistics(docs, id_col, text_col), "statistics")
     model = fit(stats.where(learn), labels, label_col, id_col)
 

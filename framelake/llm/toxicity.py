@@ -229,7 +229,8 @@ def score_documents(
 ) -> DataFrame:
     """(id, score) per document row; labels are learned only from rows where ``learn`` holds.
 
-    Null and empty texts score the bias, repeated rows alike; an empty table gives no rows.
+    Null and empty texts score the bias, repeated rows alike; an empty table gives no rows. Texts of any
+    length are read whole: a distinct word counts once. Other columns are not read.
     """
     model = fit(docs.where(learn), labels, label_col, id_col, text_col)
     return docs.select(F.col(id_col), model.column(F.col(text_col)).alias("score"))

@@ -220,7 +220,8 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
     """Every response, resource and revisit record of the archives that the manifest in ``folder`` names.
 
     A task per archive streams its records. Payload digests are verified; a response whose payload
-    differs from its digest raises ValueError. ``payloads=False`` leaves the payloads out.
+    differs from its digest raises ValueError. ``payloads=False`` leaves the payloads out. Archives of an
+    empty table give no rows; a folder without a manifest is an error.
     """
     files = spark.read.parquet(f"{folder}/manifest").select("file")
     files = files.repartition(spark.sparkContext.defaultParallelism * 4, "file")
