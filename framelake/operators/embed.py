@@ -23,7 +23,7 @@ def embed_statistics(frames: DataFrame, channels: Sequence[str] = CHANNELS) -> D
     return frames.select(*keep, F.concat(*[summary(F.col(c)) for c in channels]).alias("features"))
 
 
-def _stack(batch: pa.RecordBatch, channels: Sequence[str], width: int) -> np.ndarray:
+def stack_channels(batch: pa.RecordBatch, channels: Sequence[str], width: int) -> np.ndarray:
     """(rows, channels, width) from list columns; absent or short channels end in zeros."""
     lengths = [pc.fill_null(pc.list_value_length(batch.column(c)), 0) for c in channels]
     longest = max(pc.max(n).as_py() or 0 for n in lengths)
@@ -64,7 +64,7 @@ def embed_frames(
             model = model or load()
             for start in range(0, batch.num_rows, batch_rows):
                 part = batch.slice(start, batch_rows)
-                vectors = np.asarray(model(_stack(part, names, n_samples)), dtype=np.float32)
+                vectors = np.asarray(model(stack_channels(part, names, n_samples)), dtype=np.float32)
                 if vectors.ndim == 3:
                     vectors = vectors.mean(axis=1)
                 columns = [part.column(c) for c in keep]

@@ -9,6 +9,7 @@ from framelake import HeadModel, embeddings, make_head
 from framelake.operators import gram
 from framelake.operators.gram import collect_gram, gram_rows
 from framelake.operators.heads import BUILDERS, fit_per_group, predict_per_group
+from framelake.operators.latency import embed_latency, head_latency, numpy_scorer
 from framelake.operators.pca import fit_pca
 from framelake.sources.prediction_stream import predict_stream, read_stream_predictions, write_batch
 from framelake.operators.scaling import SCALED, VECTOR, PopulationScaler, scale, scaler_stats, with_vector
@@ -274,3 +275,39 @@ def test_logistic_heads_of_all_groups_come_from_common_passes(spark, noisy, monk
     assert len(passes) == among
     with pytest.raises(ValueError, match="no labels"):
         fit_per_group(grouped, make_head("logreg"), "place", ("a", "nowhere"))
+
+
+@pytest.mark.parametrize("name", ["linear", "logreg", "mlp"])
+def test_scores_by_the_weights_of_a_head(noisy, name):
+    model = make_head(name, seed=1).fit(noisy)
+    x, _ = local(noisy.orderBy("frame_idx"))
+    best = np.array(model.classes)[numpy_scorer(model)(x).argmax(1)]
+    assert np.mean(best == [r["y_pred"] for r in model.predict(noisy).orderBy("frame_idx").collect()]) > 0.99
+
+
+def test_latency_is_that_of_the_model(spark, noisy):
+    """A stand-in of 2 ms per window, one window in four slower; loading it takes long and does not count."""
+    from framelake.constants import CHANNELS
+
+    cells = [f"array({k}f, cast(id AS float)) AS {c}" for k, c in enumerate(CHANNELS)]
+    frames = spark.range(400).selectExpr("id AS frame_idx", *cells).repartition(4)
+
+    def load():
+        import time
+
+        time.sleep(1.0)
+
+        def embed(block):
+            time.sleep(sum(0.012 if b[0, 1] % 4 == 0 else 0.002 for b in block))
+            return block.mean(2)
+
+        return embed
+
+    one = embed_latency(frames, load, n_samples=2, batch_rows=1).first()
+    assert one["n"] == 400 and 2.0 <= one["p50_ms"] < 8 and 12.0 <= one["p95_ms"] < 30 and 4.4 <= one["mean_ms"] < 12
+    many = embed_latency(frames, load, n_samples=2, batch_rows=50).first()
+    assert many["n"] == 400 and 3.0 <= many["p50_ms"] < 12
+    none = embed_latency(frames.limit(0), load, n_samples=2).first()
+    assert none["n"] == 0 and none["p50_ms"] is None
+    head = head_latency(make_head("linear").fit(noisy), noisy).first()
+    assert head["n"] == 400 and 0 < head["p50_ms"] <= head["p95_ms"] < 100
