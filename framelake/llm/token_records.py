@@ -21,6 +21,7 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 from .common import attempt_path, file_system, publish, small_batches, texts, worker_memory
 
 #: Distinct pieces of text whose ids a worker remembers, the most recent ones.
-REMEMBERED = 800_000
+REMEMBERED = 1_000_000
 #: Records per reading task, at least.
 BLOCK = 20_000
 #: The pre-token pattern of byte-level vocabularies, and the alphabet that stands for bytes.
@@ -138,6 +139,19 @@ class PreTokens:
         return (m.span() for m in self.pattern.finditer(self.seen(text)))
 
 
+class Slots(dict):
+    """Numbers for keys in order of first use; ``new`` holds the keys that got one since it was last emptied."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        self[key] = found = len(self)
+        self.new.append(key)
+        return found
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, remembering the pieces between spaces.
 
@@ -164,50 +178,93 @@ class Encoder:
         self.pre_tokens = PreTokens(kind) if self.cut else None
         self.find = regex.compile(PRE_TOKEN).findall
         self.remembered = remembered
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-
-    def _ids(self, pieces: list[str], sizes: np.ndarray) -> Iterator[bytes]:
-        """The ids of texts given as pre-tokens, ``sizes`` of them each; 256 texts to a call's row."""
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Parts behind a space, and marks behind a word as tuples; the ids of slot k are ``ids[starts[k]:][:sizes[k]]``.
+        self.slots = Slots()
+        self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.ids = np.zeros(4096, self.dtype)
+        self.used = 0
+
+    def _keep(self, slots: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember the ids of some slots, given one behind the other."""
+        if len(self.slots) > len(self.sizes):
+            more = np.zeros(2 * len(self.slots) - len(self.sizes), np.int64)
+            self.starts, self.sizes = np.concatenate([self.starts, more]), np.concatenate([self.sizes, more])
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used + 2 * len(ids), self.dtype)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[slots] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[slots] = sizes
+        self.used += len(ids)
+
+    def _gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some slots one behind the other, and how many of each."""
+        sizes = self.sizes[slots]
+        at = np.repeat(self.starts[slots] - np.cumsum(sizes) + sizes, sizes)
+        return self.ids[at + np.arange(len(at))], sizes
+
+    def _arrays(self, pieces: list[str], sizes: np.ndarray, lead: str = "") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts given as pre-tokens, ``sizes`` of them each, and how many of each text; 256 texts to a call's row.
+
+        ``lead`` stands before every pre-token.
+        """
         ends = np.concatenate([[0], np.cumsum(sizes)])
         rows, marks = [], []
         for start in range(0, len(sizes), 256):
             mark = ends[start : start + 257]
-            joined = "\udcff".join(pieces[mark[0] : mark[-1]]).encode(errors="surrogateescape")
+            joined = (lead + ("\udcff" + lead).join(pieces[mark[0] : mark[-1]])).encode(errors="surrogateescape")
             rows.append(codecs.charmap_decode(joined, "strict", BYTE_ALPHABET)[0])
             marks.append(mark - mark[0])
+        ids, counts = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
         for mark, row in zip(marks, self.parts.encode_batch(rows, add_special_tokens=False)):
-            ids = np.array(row.ids, self.dtype).tobytes()
-            cuts = (np.searchsorted(np.array(row.word_ids), mark) * self.dtype.itemsize).tolist()
-            yield from map(ids.__getitem__, map(slice, cuts, cuts[1:]))
+            ids.append(np.array(row.ids, self.dtype))
+            counts.append(np.diff(np.searchsorted(np.array(row.word_ids), mark)))
+        return np.concatenate(ids), np.concatenate(counts)
 
-    def _learn(self, new: set[str]) -> None:
-        """Remember the ids of parts that follow a space.
+    def _ids(self, pieces: list[str], sizes: np.ndarray) -> Iterator[bytes]:
+        """The same, text by text."""
+        ids, counts = self._arrays(pieces, sizes)
+        whole, ends = ids.tobytes(), (np.cumsum(counts) * self.dtype.itemsize).tolist()
+        yield from map(whole.__getitem__, map(slice, [0, *ends], ends))
+
+    def _learn(self) -> None:
+        """Remember the ids of the keys that have a slot and no ids yet.
 
         Letters and the marks behind them are pre-tokens of their own, so of such a part only its
         letters are encoded, if they are not known either.
         """
-        again = new.intersection(self.before)
-        self.known.update(zip(again, map(self.before.__getitem__, again)))
-        plain, marked, mixed = set(), [], []
-        for part in new.difference(again):
-            if part.isalpha():
-                plain.add(part)
-            elif (found := _WORD_AND_MARKS(part)) and found[1].isalpha():
-                marked.append((part, found[1], found[2]))
+        slots, fresh, self.slots.new = self.slots, self.slots.new, []
+        base = len(slots) - len(fresh)
+        alpha = np.fromiter(map(str.isalpha, fresh), bool, len(fresh))
+        plain, places = list(compress(fresh, alpha)), [base + np.flatnonzero(alpha)]
+        rest, whole, joined = list(compress(fresh, ~alpha)), [], []
+        for slot, part, found in zip((base + np.flatnonzero(~alpha)).tolist(), rest, map(_WORD_AND_MARKS, rest)):
+            if found and (word := found[1]).isalpha():
+                joined.append((slot, slots[word], slots[(found[2],)]))
+            else:
+                whole.append((slot, " " + part))
+        more = []
+        for slot, key in enumerate(slots.new, base + len(fresh)):
+            if isinstance(key, tuple):
+                whole.append((slot, key[0]))
             else:
-                mixed.append(part)
-        plain.update([word for _, word, _ in marked if word not in self.known])
-        plain = list(plain)
-        self.known.update(zip(plain, self._ids([" " + p for p in plain], np.ones(len(plain), np.int64))))
-        self.known.update(zip(mixed, self._split([" " + p for p in mixed])))
-        marks = list({m for *_, m in marked}.difference(self.marks))
-        if len(self.marks) > self.remembered:
-            self.marks.clear()
-            marks = list({m for *_, m in marked})
-        self.marks.update(zip(marks, self._split(marks)))
-        self.known.update([(part, self.known[word] + self.marks[m]) for part, word, m in marked])
+                plain.append(key)
+                more.append(slot)
+        slots.new = []
+        if plain:
+            places = np.concatenate([*places, np.array(more, np.int64)])
+            self._keep(places, *self._arrays(plain, np.ones(len(plain), np.int64), " "))
+        if whole:
+            places, parts = zip(*whole)
+            found = [self.find(p) for p in parts]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self._keep(np.array(places), *self._arrays([x for f in found for x in f], sizes))
+        if joined:
+            places = np.array(joined)
+            ids, sizes = self._gather(places[:, 1:].ravel())
+            self._keep(places[:, 0], ids, sizes.reshape(-1, 2).sum(1))
 
     def _split(self, parts: list[str]) -> Iterator[bytes]:
         found = [self.find(p) for p in parts]
@@ -233,19 +290,23 @@ class Encoder:
         """The ids of each text as little-endian numbers."""
         odd = lambda t: any(s in t for s in self.special) or self.pre_tokens.is_odd(t)
         cut = [self._cut(t) if self.cut and not odd(t) else None for t in batch]
-        if len(self.known) > self.remembered // 2:
-            # What is still in use comes back from the memory before; the rest is forgotten with it.
-            self.known, self.before = {}, self.known
-        heads = [c[0] for c in cut if c is not None]
-        self._learn(set().union(*[c[1:] for c in cut if c is not None]).difference(self.known))
-        find, first = self.known.__getitem__, self._split(heads)
+        if len(self.slots) > self.remembered:
+            self._forget()
+        sizes = [0 if c is None else len(c) - 1 for c in cut]
+        every = chain.from_iterable([c[1:] for c in cut if c is not None])
+        slots = np.fromiter(map(self.slots.__getitem__, every), np.int64, sum(sizes))
+        if self.slots.new:
+            self._learn()
+        ids, counts = self._gather(slots)
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0, *sizes])]
+        first = self._split([c[0] for c in cut if c is not None])
         out = []
-        for text, parts in zip(batch, cut):
+        for text, parts, start, end in zip(batch, cut, ends.tolist(), ends[1:].tolist()):
             if parts is None:
-                ids = self.whole.encode(text, add_special_tokens=False).ids
-                out.append(np.array(ids, self.dtype).tobytes())
+                whole = self.whole.encode(text, add_special_tokens=False).ids
+                out.append(np.array(whole, self.dtype).tobytes())
             else:
-                out.append(b"".join([next(first), *map(find, parts[1:])]))
+                out.append(next(first) + ids[start:end].tobytes())
         return out
 
 
