@@ -89,14 +89,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def materialise_bucketed(df: DataFrame, columns: Sequence[str], name: str, buckets: int | None = None) -> DataFrame:
-    """The same, with the rows of each task filed by a hash of ``columns`` into ``buckets`` (default: shuffle partitions).
+    """The same, with the rows of each task filed by a hash of ``columns`` into ``buckets``.
+
+    By default there are as many as shuffle partitions, or as tasks write if that is fewer.
 
     Writing moves no row to another task. A later join or group on these columns reads the table bucket by
     bucket, so only the other side is shuffled. The catalogue entry goes again, the files stay.
     """
     spark = df.sparkSession
     path, entry = scratch_path(spark, name), f"{name}_{uuid.uuid4().hex}".replace("-", "_")
-    many = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    many = buckets or max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions()))
     df.write.format("parquet").bucketBy(many, *columns).option("path", path).saveAsTable(entry)
     rows = spark.table(entry)
     spark.sql(f"DROP TABLE {entry}")
