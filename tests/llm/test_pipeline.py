@@ -67,3 +67,19 @@ def test_last_stage(stages):
 
 def test_run_is_the_stages_in_order(stages, spark, sf):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()} == {r["doc_id"] for r in stages[-1][2].collect()}
+
+
+def test_odd_rows_pass_every_stage(spark, sf):
+    """Null and empty texts, repeated rows and ids, a long text, clashing names; and an empty table."""
+    rows = [(1, None, 1), (2, "", 2), (2, "", 2), (None, "one two three", 3), (3, "word " * 60_000, 4), (4, "é", 5)]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, score long, h string, root string")
+    for name, stage in corpus_pipeline.STAGES:
+        for table_ in (docs, docs.limit(0)):
+            after = stage(spark, table_, sf)
+            found = after.collect()
+            assert len(found) <= table_.count(), name
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert after.columns == docs.columns, name
+                assert {r["doc_id"] for r in found} <= {r[0] for r in rows}
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf).collect()
+    assert len(kept) == 4 and sum(not r["text"] for r in kept) == 1
