@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ARROW_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch while an intermediate table is written: a text or a set of shingles is some kB.
+ARROW_ROWS = 1000
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 #: A lookup side is broadcast only when it is measured to stay below both bounds.
 BROADCAST_ROWS = 100_000
@@ -77,6 +81,20 @@ def refuse(faults: DataFrame, name: str, message: str) -> None:
         raise TableError(message % n, rows, path)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]:
+    """Plans run inside send at most ``rows`` rows at once to Python workers; wide rows fill the memory of both sides."""
+    before = int(spark.conf.get(ARROW_CONF))
+    if 0 < before <= rows:
+        yield
+        return
+    spark.conf.set(ARROW_CONF, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_CONF, str(before))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -84,7 +102,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     and where iterations would otherwise grow the lineage.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with arrow_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
