@@ -1,6 +1,7 @@
 """Append-only tables of small records, merged when they are read.
 
-A write adds one file, which is there whole or not at all. Records carry a sequence number, one above
+A write adds one file, which is there whole or not at all; a write of many records adds a file per task, and each
+record is there whole or not at all. Records carry a sequence number, one above
 what their writer saw, and the id of their write; of the records of one key the greatest (sequence, write
 id) counts, so two writers that saw the same state still leave one answer, the same for every reader.
 Compaction rewrites what counts and then removes the files that it read. A reader in between sees
@@ -42,10 +43,10 @@ def next_sequence(records: DataFrame | None) -> int:
     return 1 + ((records.agg(F.max("sequence")).first()[0] or 0) if records is not None else 0)
 
 
-def append(rows: DataFrame, path: str, sequence: int, write_id: str) -> None:
-    """Add records in one file."""
+def append(rows: DataFrame, path: str, sequence: int, write_id: str, *, one_file: bool = True) -> None:
+    """Add records in one file, or as the tasks of ``rows`` write them, for records too many for one task."""
     stamped = rows.withColumns({"sequence": F.lit(sequence).cast("long"), "write_id": F.lit(write_id)})
-    stamped.coalesce(1).write.mode("append").parquet(path)
+    (stamped.coalesce(1) if one_file else stamped).write.mode("append").parquet(path)
 
 
 def new_write_id() -> str:

@@ -289,7 +289,7 @@ def runs_merged(spark, sf):
             # Two writers that saw the same state: the greater write id counts.
             for write_id in ("a", "b"):
                 tagged = again.withColumn("tags", F.map_concat("tags", F.create_map(F.lit("writer"), F.lit(f"{write_id}{attempt}"))))
-                commit_log.append(tagged, f"{path}/runs", attempt + 1, write_id)
+                commit_log.append(tagged, f"{path}/runs", attempt + 1, write_id, one_file=False)
 
     merged = read_runs(spark, once(spark, sf, "merged-runs", write))
     value = F.round(F.try_element_at("metrics", F.lit("macro_f1")), 6).alias("macro_f1")

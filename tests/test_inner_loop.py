@@ -171,3 +171,16 @@ def test_a_failed_block_is_still_logged(spark, tmp_path):
 def test_a_short_matrix_is_written_and_reported(spark, tmp_path, rows):
     report = write_submission(spark.range(rows).selectExpr("id AS frame_idx", "1 AS y_pred"), str(tmp_path / "out"))
     assert (report.ok, report.n_rows, report.n_cols) == (False, rows, EXPECTED_COLS)
+
+
+def test_many_records_are_written_by_many_tasks(spark, tmp_path):
+    store = str(tmp_path / "store")
+    log_run(spark, f"{store}-one", "team", run_id="r", metrics={"loss": 1.0})
+    row = read_runs(spark, f"{store}-one").drop("run_id")
+    rows = spark.range(0, 4000, 1, 4).selectExpr("cast(id as string) AS run_id").crossJoin(row)
+    for attempt, some in enumerate((rows, rows.where("cast(run_id as int) % 2 = 0"))):
+        commit_log.append(some, f"{store}/runs", attempt + 1, str(attempt), one_file=False)
+    assert len(list((tmp_path / "store" / "runs").glob("*.parquet"))) == 8
+    assert read_runs(spark, store).count() == 4000
+    stamped = commit_log.latest(commit_log.read_records(spark, f"{store}/runs", read_runs(spark, store).schema), ["run_id"])
+    assert stamped.where("sequence = 2").count() == 2000
