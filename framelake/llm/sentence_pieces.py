@@ -13,7 +13,10 @@ joined characters gives the two back. That leaves one path per place, which is t
 
 from __future__ import annotations
 
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +29,6 @@ SPACE = "▁"
 #: Words whose ids a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 600_000
 UNIGRAM, BPE = 1, 2
-#: Characters whose search words with the same start share.
-_HEAD = 6
 
 
 class PieceModel:
@@ -54,6 +55,8 @@ class PieceModel:
         self.ids = {s: k for k, s in enumerate(self.strings) if k not in special and k not in self.byte_of}
         self.rank = {s: -self.scores[k] for s, k in self.ids.items()}
         self.pairs: dict[int, bool] = {}
+        # Characters that stand side by side in some piece; no merge goes across others.
+        self.joined = {a + b for s in self.rank for a, b in pairwise(s)}
         if self.kind == BPE:
             # A piece that merging never makes cannot be in a result.
             self.usable = {s for s in self.ids if len(s) == 1 or self._merged(s) == [s]}
@@ -67,7 +70,6 @@ class PieceModel:
         # Where no piece holds a space behind another character, every path has a boundary before a space.
         self.word_cut = not any(SPACE in s.lstrip(SPACE) for s in self.usable)
         self.known: dict[str, bytes] = {}
-        self.begun: dict[str, tuple[list[int], list[int], list[float]]] = {}
         self.remembered = remembered
 
     def _merged(self, text: str) -> list[str]:
@@ -87,7 +89,8 @@ class PieceModel:
         a, b = self.strings[left], self.strings[right]
         if len(self.pairs) > 2_000_000:
             self.pairs.clear()
-        found = self.pairs[left << 32 | right] = self._merged(a + b) == [a, b]
+        found = a[-1] + b[0] not in self.joined or self._merged(a + b) == [a, b]
+        self.pairs[left << 32 | right] = found
         return found
 
     def _extend(self, window: str, last: list[int], sizes: list[int], total: list[float]) -> None:
@@ -172,20 +175,29 @@ class PieceModel:
         out.reverse()
         return out
 
-    def _word(self, word: str) -> bytes:
-        """The ids of a word and the space before it; words that start alike share the start of the search."""
-        text = SPACE + word
-        if len(text) > 2 * self.longest:
-            return np.array([k for part in self.search(text) for k in part], "<i4").tobytes()
-        head = text[:_HEAD]
-        begun = self.begun.get(head)
-        if begun is None:
-            begun = [-2], [0], [0.0]
-            self._extend(head, *begun)
-            self.begun[head] = begun
-        last, sizes, total = begun[0][:], begun[1][:], begun[2][:]
-        self._extend(text, last, sizes, total)
-        return np.array(self._path(text, last, sizes, len(text)), "<i4").tobytes()
+    def _learn(self, words: Iterable[str]) -> None:
+        """Remember the ids of words, each with the space before it.
+
+        In sorted order a search goes on from the places that the word before it had found for their common start.
+        """
+        before, last, sizes, total = "", [-2], [0], [0.0]
+        for word in sorted(words):
+            text = SPACE + word
+            if len(text) > 2 * self.longest:
+                ids = array("i", [k for part in self.search(text) for k in part])
+            else:
+                same = 1
+                for a, b in zip(before, text):
+                    if a != b:
+                        break
+                    same += 1
+                del last[same:], sizes[same:], total[same:]
+                self._extend(text, last, sizes, total)
+                before = text
+                ids = array("i", self._path(text, last, sizes, len(text)))
+            if sys.byteorder == "big":
+                ids.byteswap()
+            self.known[word] = ids.tobytes()
 
     def encode_batch(self, batch: list[str]) -> list[np.ndarray]:
         """The ids of whole texts; an empty text has none.
@@ -197,13 +209,11 @@ class PieceModel:
             return [np.array([k for part in self.search(t) for k in part], np.int32) for t in spaced]
         if len(self.known) > self.remembered:
             self.known.clear()
-            self.begun.clear()
         cut = []
         for text in batch:
             words = text.replace(SPACE, " ").split(" ")
             cut.append(_with_spaces(words) if "" in words else words)
-        for word in set().union(*cut).difference(self.known):
-            self.known[word] = self._word(word)
+        self._learn(set().union(*cut).difference(self.known))
         find = self.known.__getitem__
         return [np.frombuffer(b"".join(map(find, words)) if text else b"", "<i4") for text, words in zip(batch, cut)]
 
@@ -212,26 +222,39 @@ class PieceModel:
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: bytes become characters (wrong ones U+FFFD), control ids nothing."""
-        strings, byte_of, silent = self._decoding()
+        strings, high = self._decoding()
+        ids = list(ids)
+        if high.isdisjoint(ids):
+            text = "".join(map(strings.__getitem__, ids))
+            return text[1:] if text.startswith(" ") else text
         out, held = [], bytearray()
         for k in ids:
-            if k in byte_of:
-                held.append(byte_of[k])
+            if k in high:
+                held.append(self.byte_of[k])
                 continue
             if held:
                 out.append(held.decode("utf-8", "replace"))
                 held.clear()
-            if k not in silent:
-                out.append(strings[k])
+            out.append(strings[k])
         if held:
             out.append(held.decode("utf-8", "replace"))
         text = "".join(out)
         return text[1:] if text.startswith(" ") else text
 
-    def _decoding(self):
+    def _decoding(self) -> tuple[list[str], set[int]]:
+        """What each id stands for, and the ids of bytes that are characters only together with others.
+
+        A byte below 128 is a character whatever stands around it.
+        """
         if not hasattr(self, "_plain"):
-            self._plain = [" ⁇ " if k == self.unknown else s.replace(SPACE, " ") for k, s in enumerate(self.strings)]
-        return self._plain, self.byte_of, self.silent
+            plain = [s.replace(SPACE, " ") for s in self.strings]
+            plain[self.unknown] = " ⁇ "
+            for k in self.silent:
+                plain[k] = ""
+            for k, b in self.byte_of.items():
+                plain[k] = chr(b)
+            self._plain = plain, {k for k, b in self.byte_of.items() if b >= 128}
+        return self._plain
 
 
 def _with_spaces(words: list[str]) -> list[str]:

@@ -240,6 +240,31 @@ def test_pieces_of_documents_as_words_and_as_a_stream(pieces, library, spark, sf
         pieces.word_cut = True
 
 
+def test_a_common_start_of_words_is_searched_once(library, monkeypatch):
+    """A stem of 15 letters in 90 words with other endings: the places that the searches look at."""
+    places, search = [], sentence_pieces.PieceModel._extend
+
+    def counted(self, window, last, *rest):
+        places.append(len(window) + 1 - len(last))
+        return search(self, window, last, *rest)
+
+    monkeypatch.setattr(sentence_pieces.PieceModel, "_extend", counted)
+    pieces = sentence_pieces.PieceModel(PIECES)
+    text = " ".join("thhationendlyer" + c for c in map(chr, range(33, 123)))
+    assert pieces.encode(text).tolist() == library.encode(text)
+    assert sum(places) < 200
+
+
+def test_characters_as_bytes(pieces, library):
+    """Ids of the bytes of characters, among others and a control id."""
+    rnd = random.Random(3)
+    for _ in range(200):
+        chosen = [[pieces.bytes[b] for b in rnd.choice("\nAé中😀").encode()] for _ in range(rnd.randint(1, 5))]
+        chosen.insert(rnd.randint(0, len(chosen)), [rnd.choice([pieces.ids["▁the"], pieces.unknown, 1])])
+        ids = [pieces.ids["▁the"], *(k for part in chosen for k in part)]
+        assert pieces.decode(ids) == library.decode(ids)
+
+
 def test_ids_are_given_out_before_the_end(pieces):
     parts = pieces.search("▁" + "thequickbrownfox" * 500)
     assert 0 < len(next(parts)) < 200
