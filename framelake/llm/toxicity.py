@@ -8,6 +8,7 @@ sample of labelled rows. Since the softmax is linear, a trained model folds into
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +38,8 @@ ASIDE = 5
 TRAIN_ROWS = 7000
 #: Distinct words of a text that are hashed at once.
 _WORDS = 1 << 16
+#: Entries of bags that are held in one block of memory, which goes back to the system as a whole.
+_BLOCK = 1 << 24
 #: The weight of an n-gram by the number of distinct words that have it.
 _GROWN = (np.arange(256) ** 0.75).astype(np.float32)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -91,6 +94,25 @@ def bag(text: str | None, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarra
     return ids[starts], np.minimum(np.diff(starts, append=len(ids)), 255).astype(np.uint8)
 
 
+def _packed(bags: Iterable[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The bags one behind the other in a few large blocks, not as thousands of arrays whose memory stays in pieces."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    at = end = 0
+    for ids, counts in bags:
+        if at + len(ids) > end:
+            at, end = 0, max(_BLOCK, len(ids))
+            # Pages that are not written take no memory.
+            block = np.empty(end, np.int32), np.empty(end, np.uint8)
+        if len(ids):
+            held = block[0][at : at + len(ids)], block[1][at : at + len(ids)]
+            held[0][:], held[1][:] = ids, counts
+            at += len(ids)
+            out.append(held)
+        else:
+            out.append((ids, counts))
+    return out
+
+
 def weights_of(counts: np.ndarray) -> np.ndarray:
     """What each bucket adds to the average; repeats count less and less, and ``NEUTRAL`` n-grams nothing."""
     grown = _GROWN[counts]
@@ -149,26 +171,49 @@ def train(
     One of ``ASIDE`` texts is set aside to scale the log odds. Without texts of both kinds the score is the
     share of ones, or 0.5 without any text.
     """
-    rng = np.random.default_rng(seed)
     labels = np.array([y for _, y in rows], int)
-    share = float(labels.mean()) if rows else 0.5
-    if share in (0.0, 1.0) or not rows:
+    return _train((text for text, _ in rows), labels, buckets, dim, steps, rate, seed)
+
+
+def _train(
+    read: Iterable[str],
+    labels: np.ndarray,
+    buckets: int = BUCKETS,
+    dim: int = DIM,
+    steps: int = STEPS,
+    rate: float = RATE,
+    seed: int = SEED,
+) -> ToxicityModel:
+    """:func:`train` on texts that come one by one and are not kept."""
+    rng = np.random.default_rng(seed)
+    share = float(labels.mean()) if len(labels) else 0.5
+    if share in (0.0, 1.0) or not len(labels):
         return ToxicityModel(np.zeros(buckets, np.float32), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     # Five bytes a bucket; the weights are made anew at each step.
-    counted = [bag(text, buckets) for text, _ in rows]
-    places = rng.permutation(len(rows))
+    counted = _packed(bag(text, buckets) for text in read)
+    places = rng.permutation(len(labels))
     # Every ASIDE-th text of each label.
     aside = np.concatenate([places[labels[places] == k][::ASIDE] for k in (0, 1)])
     fitted = np.setdiff1d(places, aside)
     if len(np.unique(labels[fitted])) < 2:
         fitted = aside = places
-    table = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
+    table = np.empty((buckets, dim), np.float32)
+    for start in range(0, buckets, _WORDS):
+        part = table[start : start + _WORDS]
+        part[:] = rng.uniform(-1 / dim, 1 / dim, part.shape)
     # What few texts have tells them apart and not their labels: it keeps the zero vector.
-    shared = np.bincount(np.concatenate([counted[k][0] for k in fitted]), minlength=buckets) >= LEAST_TEXTS
+    holding = np.zeros(buckets, np.int32)
+    for k in fitted:
+        # The buckets of a bag are distinct.
+        holding[counted[k][0]] += 1
+    shared = holding >= LEAST_TEXTS
     table[~shared] = 0
     whole = [float(_GROWN[n].sum()) + NEUTRAL for _, n in counted]
     for k, (ids, n) in enumerate(counted):
-        counted[k] = ids[shared[ids]], n[shared[ids]]
+        kept = shared[ids]
+        size = int(kept.sum())
+        ids[:size], n[:size] = ids[kept], n[kept]
+        counted[k] = ids[:size], n[:size]
     soft = np.zeros((2, dim), np.float32)
     soft[1] = rng.normal(size=dim)
     bias = np.array([0.0, np.log(share / (1 - share))], np.float32)
@@ -216,7 +261,7 @@ def fit(
     chosen = known.join(rows.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(most)
     met = rows.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     found = met.orderBy("id").select("text", "y").toArrow()
-    return train(list(zip(found.column("text").to_pylist(), found.column("y").to_pylist())))
+    return _train((t.as_py() for t in found.column("text")), found.column("y").to_numpy().astype(int))
 
 
 def score_documents(

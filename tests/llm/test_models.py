@@ -238,3 +238,34 @@ def test_long_text_in_parts(monkeypatch):
     monkeypatch.setattr(toxicity, "_WORDS", 7)
     # Parts hold no n-gram over two words, as the whole does not.
     assert model.score(text) == pytest.approx(whole, abs=1e-6)
+
+
+def test_training_texts_are_not_kept_and_bags_lie_in_blocks(monkeypatch):
+    """Texts that come one by one train the same model, over blocks that some bags fill and one exceeds."""
+    import gc
+    import weakref
+
+    class Text(str):
+        pass
+
+    words = ["good plain words here", "bad nasty things said", ""]
+    rows = [(" ".join([words[k % 3], f"w{k}", *(f"x{j}y" for j in range(60 if k == 7 else 2))]), int(k % 3 == 1)) for k in range(40)]
+    want = toxicity.train(rows, steps=200)
+    alive, most = weakref.WeakSet(), 0
+
+    def read():
+        nonlocal most
+        for text, _ in rows:
+            held = Text(text)
+            alive.add(held)
+            yield held
+            del held
+            gc.collect()
+            most = max(most, len(alive))
+
+    monkeypatch.setattr(toxicity, "_BLOCK", 300)
+    got = toxicity._train(read(), np.array([y for _, y in rows]), steps=200)
+    assert most <= 2
+    assert (got.logits == want.logits).all() and got.bias == want.bias
+    blocks = {id(b[0].base) for b in toxicity._packed(toxicity.bag(t) for t, _ in rows)}
+    assert 2 <= len(blocks) < 20
