@@ -21,12 +21,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import persisted
+from ..session import dealt, persisted
 from .gram import collect_gram, grouped_gram
 from .grouped_logreg import fit_groups
 from .scaling import SCALED, VECTOR, PopulationScaler, scale, with_vector
 
 _INDEX = "class_index"
+#: Rows that a task of the perceptron's training takes at least: below, its start costs more than its step.
+STEP_ROWS = 2048
 
 
 def _class_array(classes: tuple[int, ...]) -> Column:
@@ -214,9 +216,11 @@ def _fit_mlp(
 
     A tenth of the rows, chosen by a hash of their vector, is held out. Training ends when the
     held-out accuracy has not risen for ``patience`` rounds, and the best round is kept. The
-    rounds share one scaled copy of the training set.
+    rounds share one scaled copy of the training set, dealt to all cores: a step is work on every row,
+    and a scan has as few tasks as there are files.
     """
     scaler, scaled, width = train.scaled()
+    scaled = dealt(scaled, -(-train.n // STEP_ROWS))
     layers = [width, *hidden_layer_sizes, len(train.classes)]
 
     def estimator(iterations: int) -> MultilayerPerceptronClassifier:

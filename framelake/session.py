@@ -150,6 +150,15 @@ def lookup_join(
     return facts.join(F.broadcast(dim) if fits_broadcast(dim, rows, size) else dim, on, how)
 
 
+def dealt(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Rows of few bytes and much work, dealt evenly to all cores, or to ``tasks`` tasks if that is fewer.
+
+    A scan makes its tasks by bytes and row groups, and adaptive execution merges partitions by bytes.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores if tasks is None else max(1, min(tasks, cores)))
+
+
 def persisted(df: DataFrame) -> DataFrame:
     """Keep a training set for repeated passes; lost blocks are recomputed from lineage."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -26,6 +26,7 @@ from framelake.operators.scaling import (
 )
 from framelake.operators.synthetic import synthetic_vectors
 from framelake.plans import jobs
+from framelake.session import dealt
 from framelake.sources.prediction_stream import predict_stream, read_stream_predictions, write_batch
 from framelake.sources.runs import read_experiments, read_run_metrics, read_runs
 from framelake.sources.vector_cache import (
@@ -204,16 +205,17 @@ def head_mlp(spark, sf):
         held.append([[*map(float, table[:, j]), float(bias[j])] for j in range(narrow)])
         at += (wide + 1) * narrow
     one = spark.createDataFrame([(held,)], "layers array<array<array<double>>>").scalar()
-    rows = scale(with_vector(model.predict(_held(spark, sf))), model.scaler).withColumn("layers", one)
+    rows = scale(with_vector(model.predict(dealt(_held(spark, sf)))), model.scaler).withColumn("layers", one)
 
     def layer(k, x):
+        # The input is the element of an outer array: an expression inside the lambda is evaluated for every unit.
+        whole = F.array(F.concat(x, F.array(F.lit(1.0))))
         units = F.get("layers", F.lit(k))
-        return F.transform(
-            units,
-            lambda u: F.aggregate(
-                F.zip_with(u, F.concat(x, F.array(F.lit(1.0))), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v
-            ),
-        )
+
+        def unit(u, x):
+            return F.aggregate(F.zip_with(u, x, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
+        return F.get(F.transform(whole, lambda x: F.transform(units, lambda u: unit(u, x))), F.lit(0))
 
     rows = rows.withColumn("hidden", F.transform(layer(0, vector_to_array(SCALED)), lambda v: 1 / (1 + F.exp(-v))))
     rows = rows.withColumn("out", layer(1, F.col("hidden")))

@@ -1,18 +1,21 @@
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from framelake import HeadModel, embeddings, make_head
-from framelake.operators import gram
+from framelake.operators import gram, heads
 from framelake.operators.gram import collect_gram, gram_rows
 from framelake.operators.heads import BUILDERS, fit_per_group, predict_per_group
 from framelake.operators.latency import embed_latency, head_latency, numpy_scorer
 from framelake.operators.pca import fit_pca
 from framelake.sources.prediction_stream import predict_stream, read_stream_predictions, write_batch
 from framelake.operators.scaling import SCALED, VECTOR, PopulationScaler, scale, scaler_stats, with_vector
+from registry.vectors import QUERIES
 
 
 def local(rows):
@@ -311,3 +314,29 @@ def test_latency_is_that_of_the_model(spark, noisy):
     assert none["n"] == 0 and none["p50_ms"] is None
     head = head_latency(make_head("linear").fit(noisy), noisy).first()
     assert head["n"] == 400 and 0 < head["p50_ms"] <= head["p95_ms"] < 100
+
+
+def test_the_perceptron_trains_on_all_cores(spark, noisy, monkeypatch):
+    """A training set of one file is dealt out; a small one takes no more tasks than it has work for."""
+    tasks = []
+
+    class Watched(heads.MultilayerPerceptronClassifier):
+        def _fit(self, dataset):
+            tasks.append(dataset.rdd.getNumPartitions())
+            return super()._fit(dataset)
+
+    monkeypatch.setattr(heads, "MultilayerPerceptronClassifier", Watched)
+    for rows in (1, 100, 2048):
+        monkeypatch.setattr(heads, "STEP_ROWS", rows, raising=False)
+        for early_stopping in (True, False):
+            make_head("mlp", early_stopping=early_stopping, max_iter=1).fit(noisy.coalesce(1))
+    cores = spark.sparkContext.defaultParallelism
+    assert tasks == [cores, cores, min(4, cores), min(4, cores), 1, 1]
+
+
+def test_the_forward_pass_takes_each_layer_once(spark, sf):
+    """What stands inside the lambda over the units would be evaluated for every unit."""
+    plan = QUERIES["head_mlp"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    inputs = re.findall(r"zip_with\(lambda \w+#\d+, (\w+)", plan)
+    assert inputs == ["lambda"] * 2
+    assert "Repartition" in plan
