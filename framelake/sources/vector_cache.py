@@ -348,11 +348,14 @@ def write_commit(rows: DataFrame, root: str, commit: str, *, rebalance: bool = T
 
 
 def log_commit(spark: SparkSession, root: str, commit: str) -> None:
-    """Add the slices of a written commit to the log: from here on they count."""
+    """Add the slices of a written commit to the log: from here on they count. A commit without rows adds nothing."""
     kind = T.StructType(
         [*[f for f in CACHE_SCHEMA.fields if f.name not in ("frame_idx", "features")], T.StructField("dim", T.IntegerType())]
     )
     light = spark.read.schema(kind).parquet(f"{root}/commit={commit}").withColumn("file", F.col("_metadata.file_path"))
+    before = commit_log.read_records(spark, _log_path(root), SLICE_SCHEMA)
+    if before is not None and light.isEmpty():
+        return
     pooling = F.coalesce("pooling", F.lit(DEFAULT_POOLING))
     facts = light.groupBy(*CACHE_KEYS).agg(
         F.count(F.lit(1)).alias("n"),
@@ -366,7 +369,6 @@ def log_commit(spark: SparkSession, root: str, commit: str) -> None:
     )
     # How many slices the commit has: with fewer that count, the others must not be read.
     facts = facts.withColumn("slices", F.count(F.lit(1)).over(W.partitionBy("commit")))
-    before = commit_log.read_records(spark, _log_path(root), SLICE_SCHEMA)
     commit_log.append(facts, _log_path(root), commit_log.next_sequence(before), commit)
 
 
