@@ -4,8 +4,10 @@ A bounded sample is cut by balanced two-means splits; the means of the parts are
 vector goes to the list of its nearest centroid and, near a boundary, to further lists whose distance
 is within a ratio of the nearest. Centroids are found by best-first search in a neighbour graph that
 each task holds in memory. A query reads the lists whose centroid distance is within a second ratio,
-chosen on the sample so that its true neighbours are found. Lists meet their queries by shuffle; a
-list above ``BLOCK`` vectors, or one that many queries read, is dealt out to several groups.
+chosen on the sample so that its true neighbours are found. Lists that lie near each other are one
+bundle, and bundles meet their queries by shuffle: a query comes once to each bundle it reads, with the
+names of its lists there. A list larger than a bundle, or a bundle that many queries read, is dealt out
+to several groups.
 
 Nearness is the inner product. One further component, the square root of (largest squared length less the vector's),
 gives all vectors one length, so that the largest inner product is the smallest distance.
@@ -15,6 +17,7 @@ Equal vectors are one entry with its ``k + 1`` smallest ids: no answer can hold
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framelake.session import materialise
+from framelake.session import dealt, materialise
 
 from .common import small_batches
 
@@ -39,10 +42,15 @@ REPLICAS = 4
 REPLICA_RATIO = 1.1
 #: Share of true neighbours that the sample's queries have to find.
 TARGET = 0.98
-#: Members and queries of one group, at most.
-BLOCK = 4096
-QUERY_BLOCK = 8192
+#: Members and queries of one group, and numbers in the vectors of either, at most.
+BLOCK = 32_768
+QUERY_BLOCK = 32_768
+CELLS = 1 << 21
+#: Groups that there are at least, as far as lists go round.
+BUNDLES = 64
 DEGREE = 16
+#: Centroids wanted at once from which the graph is walked in waves: one at a time sorts what was found as often.
+WIDE = 64
 SEED = 5
 
 
@@ -100,10 +108,14 @@ class CentroidGraph:
         """(places, distances) of about the ``width`` nearest centroids of each query, nearest first.
 
         All queries take a step together: each opens the nearest place that it has not opened and looks
-        at its neighbours, until the ``width`` nearest seen are all open.
+        at its neighbours, until the ``width`` nearest seen are all open. Where many are wanted it opens all that wait.
         """
         n, rows = len(self.centroids), np.arange(len(queries))
         width = min(width, n)
+        if width >= WIDE:
+            some = max(1, CELLS // n)
+            found = [self._waves(queries[k : k + some], width) for k in range(0, len(queries), some)]
+            return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
         seen = np.zeros((len(queries), n), bool)
         starts = np.linspace(0, n - 1, min(8, n)).astype(np.int64)
         places = np.full((len(queries), width + self.edges.shape[1]), -1)
@@ -141,10 +153,30 @@ class CentroidGraph:
                 table[active] = np.take_along_axis(table[active], order, 1)
         return places[:, :width], np.sqrt(gaps[:, :width])
 
+    def _waves(self, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same in fewer steps: one opens all that wait, and what was seen is not kept in order."""
+        every = _distances(queries, self.centroids)
+        seen, opened = np.zeros(every.shape, bool), np.zeros(every.shape, bool)
+        seen[:, np.linspace(0, len(self.centroids) - 1, min(8, len(self.centroids))).astype(np.int64)] = True
+        while True:
+            gaps = np.where(seen, every, np.inf)
+            waiting = seen & ~opened & (gaps <= np.partition(gaps, width - 1, axis=1)[:, width - 1 : width])
+            row, place = np.nonzero(waiting)
+            if not len(row):
+                break
+            opened |= waiting
+            seen[row[:, None], self.edges[place]] = True
+        places = np.argsort(gaps, axis=1, kind="stable")[:, :width]
+        gaps = np.take_along_axis(gaps, places, 1)
+        return np.where(np.isfinite(gaps), places, -1), np.sqrt(gaps)
+
 
 @dataclass
 class PostingIndex:
-    """Lists (list, part, rep, ids, v) on disk, and what every task needs to find lists."""
+    """Lists (list, rep, ids, v) on disk, and what every task needs to find lists.
+
+    A list is in ``parts`` bundles from ``first`` on, by the hash of ``rep``.
+    """
 
     lists: DataFrame
     entries: DataFrame
@@ -153,6 +185,7 @@ class PostingIndex:
     longest: float
     ratio: float
     width: int
+    first: np.ndarray
     parts: np.ndarray
     neighbours: int
 
@@ -181,6 +214,28 @@ def _chosen(places: np.ndarray, gaps: np.ndarray, ratio: float, most: int) -> np
     return near & (places >= 0)
 
 
+def _tour(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The places ``at`` in an order in which near ones are close together: halves by the widest coordinate."""
+    if len(at) < 3:
+        return at
+    own = x[at]
+    at = at[np.argsort(own[:, own.var(0).argmax()], kind="stable")]
+    return np.concatenate([_tour(x, at[: len(at) // 2]), _tour(x, at[len(at) // 2 :])])
+
+
+def _bundles(counts: np.ndarray, tour: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, parts) of each list: bundles of at most about ``most`` members, in the order of the tour."""
+    first, parts = np.zeros(len(counts), np.int64), np.maximum(-(-counts // most), 1)
+    bundle, held = -1, most + 1
+    for k in tour:
+        if parts[k] > 1 or held + counts[k] > most:
+            bundle, held = bundle + 1, 0
+        first[k] = bundle
+        held += counts[k]
+        bundle += parts[k] - 1
+    return first, parts
+
+
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
 
@@ -253,11 +308,13 @@ def build_index(
 
     placed = entries.select("rep", "ids", "v").mapInArrow(place, "list long, rep long, ids array<long>, v array<double>")
     placed = materialise(placed, "posting-lists")
-    parts = np.ones(count, np.int64)
+    counts = np.zeros(len(graph.centroids), np.int64)
     # A row per list, at most MOST_LISTS.
-    for r in placed.groupBy("list").count().where(F.col("count") > BLOCK).collect():
-        parts[r["list"]] = -(-r["count"] // BLOCK)
-    return PostingIndex(placed, entries, members, graph, longest, ratio, width, parts, neighbours)
+    for r in placed.groupBy("list").count().collect():
+        counts[r["list"]] = r["count"]
+    most = max(1, min(BLOCK, CELLS // size, max(int(counts.sum()) // BUNDLES, REPLICAS * list_size)))
+    first, parts = _bundles(counts, _tour(graph.centroids, np.arange(len(counts))), most)
+    return PostingIndex(placed, entries, members, graph, longest, ratio, width, first, parts, neighbours)
 
 
 def _tune(graph: CentroidGraph, points: np.ndarray, longest: float, neighbours: int) -> tuple[float, int]:
@@ -275,7 +332,8 @@ def _tune(graph: CentroidGraph, points: np.ndarray, longest: float, neighbours:
     if not count:
         return 1.0, 1
     truth = np.argpartition(near, count - 1, axis=1)[:, :count]
-    places, gaps = graph.search(points, 4 * REPLICAS)
+    found = [graph.search(points[k : k + 1024], 4 * REPLICAS) for k in range(0, len(points), 1024)]
+    places, gaps = (np.concatenate(x) for x in zip(*found))
     kept = np.where(_chosen(places, gaps, REPLICA_RATIO, REPLICAS), places, -1)[:, :REPLICAS]
     to_lists = np.sqrt(_distances(queries, graph.centroids))
     ranks = to_lists.argsort(1).argsort(1)
@@ -291,22 +349,59 @@ def _tune(graph: CentroidGraph, points: np.ndarray, longest: float, neighbours:
     return ratio, max(width, int(within.max(initial=0)) + 1, 1)
 
 
-def _best(query: np.ndarray, x: np.ndarray, rough: np.ndarray, reps: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of ``x`` with the ``count`` largest inner products, nearest first, ties to the smaller rep; and those products.
-
-    ``rough`` has the products as a block of them rounds. All rows within that rounding of the last
-    place are summed pair by pair, so equal products stay equal whatever block they are in.
-    """
-    some = np.arange(len(x))
-    if len(x) > count:
-        edge = np.partition(rough, len(x) - count)[len(x) - count]
-        slack = 1e-12 * len(query) * np.sqrt((query * query).sum() * (x * x).sum(1).max())
-        some = np.flatnonzero(rough >= edge - slack)
+def _best(
+    query: np.ndarray, x: np.ndarray, some: np.ndarray, reps: np.ndarray, count: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows ``some`` of ``x`` those with the ``count`` largest inner products, nearest first, ties to the smaller rep; and those products."""
     exact = (x[some] * query).sum(1)
     order = np.lexsort((reps[some], -exact))[:count]
     return some[order], exact[order]
 
 
+def _bits(flags: np.ndarray) -> np.ndarray:
+    """The flags of each row as 64-bit words."""
+    flags = np.pad(flags, ((0, 0), (0, -flags.shape[1] % 64)))
+    return np.packbits(flags, axis=1, bitorder="little").view(np.uint64)
+
+
+def _edges(rough: np.ndarray, keep: int) -> np.ndarray:
+    """A number for each row that its ``keep`` largest are not below: that of the largest of 64 parts, if there are enough."""
+    parts = rough.shape[1] // 64
+    if parts > keep:
+        rough = rough[:, : 64 * parts].reshape(len(rough), 64, parts).max(1)
+    if rough.shape[1] <= keep:
+        return np.full(len(rough), -np.inf)
+    return np.partition(rough, rough.shape[1] - keep, axis=1)[:, rough.shape[1] - keep]
+
+
+def _readable(
+    q: np.ndarray, reads: np.ndarray, x: np.ndarray, held: np.ndarray, keep: int
+) -> Iterator[tuple[int, np.ndarray]]:
+    """(place of a query, rows of ``x`` among which its ``keep`` largest inner products are).
+
+    A query reads the entries of its lists: ``reads`` is true where a query reads a list, ``held`` where a row
+    of ``x`` is in one. A block of products rounds as it likes; all rows within that rounding of the last
+    place are given, to be summed pair by pair, so that equal products stay equal whatever block they are in.
+    """
+    slack = 1e-12 * q.shape[1] * np.sqrt((q * q).sum(1) * (x * x).sum(1).max())
+    # Queries of the same lists are neighbours, so that a block reads few lists beside its own.
+    order = np.argsort(reads.argmax(1), kind="stable")
+    asks, holds = _bits(reads), _bits(held)
+    rows = max(1, CELLS // len(x))
+    for start in range(0, len(order), rows):
+        some = order[start : start + rows]
+        columns = np.flatnonzero((holds & np.bitwise_or.reduce(asks[some], axis=0)).any(1))
+        near, words = (x, holds) if len(columns) == len(x) else (x[columns], holds[columns])
+        apart = np.ones((len(some), len(columns)), bool)
+        for k in range(words.shape[1]):
+            apart &= (asks[some, k][:, None] & words[:, k]) == 0
+        rough = q[some] @ near.T
+        np.copyto(rough, -np.inf, where=apart)
+        close = ~apart & (rough >= (_edges(rough, keep) - slack[some])[:, None])
+        for k, place in enumerate(some.tolist()):
+            yield place, columns[np.flatnonzero(close[k])]
+
+
 def search(index: PostingIndex, queries: DataFrame, times: int = 1) -> DataFrame:
     """(rep, ids, scores): for each entry ``rep`` in ``queries`` its nearest ids, its own among them.
 
@@ -314,15 +409,15 @@ def search(index: PostingIndex, queries: DataFrame, times: int = 1) -> DataFrame
     products of the original vectors in double precision, ties to the smaller id. With ``times`` above 1
     that many times the lists are read, whatever their distance.
     """
-    keep, ratio, width, parts = index.neighbours + 1, index.ratio, index.width, index.parts
+    keep, ratio, width, first, parts = index.neighbours + 1, index.ratio, index.width, index.first, index.parts
     width = min(width * times, len(parts))
     graph, longest = index.graph, index.longest
+    size = graph.centroids.shape[1] - 1
     asked = index.entries.select("rep", "v").join(queries.select("rep").distinct(), "rep", "left_semi")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            values = batch.column("v").flatten().to_numpy(zero_copy_only=False)
-            points = _aim(values.reshape(batch.num_rows, -1), longest)
+            points = _aim(_matrix(batch.column("v"), size), longest)
             if times > 1 and width == len(parts):
                 places = np.broadcast_to(np.arange(width), (len(points), width))
                 chosen = np.ones(places.shape, bool)
@@ -332,55 +427,75 @@ def search(index: PostingIndex, queries: DataFrame, times: int = 1) -> DataFrame
             row, at = np.nonzero(chosen)
             again = parts[places[row, at]]
             row, lists = np.repeat(row, again), np.repeat(places[row, at], again)
-            part = np.arange(len(row)) - np.repeat(np.cumsum(again) - again, again)
-            taken = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(lists), pa.array(part), *taken.columns], names=["list", "part", "rep", "v"])
-
-    probes = asked.mapInArrow(probe, "list long, part long, rep long, v array<double>")
+            bundle = first[lists] + np.arange(len(row)) - np.repeat(np.cumsum(again) - again, again)
+            order = np.lexsort((lists, bundle, row))
+            row, lists, bundle = row[order], lists[order], bundle[order]
+            starts = np.flatnonzero(np.diff(row, prepend=-1) | np.diff(bundle, prepend=-1))
+            ends = np.append(starts[1:], len(row))
+            # A vector comes once for each bundle that it reads: so few rows go out at once.
+            some = max(1, CELLS // (4 * size))
+            for k in range(0, len(starts), some):
+                own, low = starts[k : k + some], starts[k]
+                offsets = np.append(own, ends[k : k + some][-1]) - low
+                names = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(lists[low : low + offsets[-1]]))
+                taken = batch.take(pa.array(row[own]))
+                yield pa.RecordBatch.from_arrays([pa.array(bundle[own]), names, *taken.columns], names=["bundle", "lists", "rep", "v"])
+
+    # Few bytes, much work: merged by bytes they would be a task or two.
+    probes = dealt(asked).mapInArrow(probe, "bundle long, lists array<long>, rep long, v array<double>")
     probes = materialise(probes, "list-probes")
-    # A row per list that is read, at most MOST_LISTS.
-    turns = np.ones(len(parts), np.int64)
-    for r in probes.where("part = 0").groupBy("list").count().where(F.col("count") > QUERY_BLOCK).collect():
-        turns[r["list"]] = -(-r["count"] // QUERY_BLOCK)
+    most = max(1, min(QUERY_BLOCK, CELLS // size))
+    # A row per bundle that many queries read; there are no more bundles than lists and parts of lists.
+    many = probes.groupBy("bundle").count().where(F.col("count") > most).collect()
     spark = index.lists.sparkSession
-    sized = spark.createDataFrame(
-        [(int(k), int(parts[k]), int(turns[k])) for k in range(len(parts))], "list long, parts long, turns long"
-    )
-    sized = F.broadcast(sized)
-    members = index.lists.join(sized, "list").select(
-        "list",
-        F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"),
-        "rep",
-        "ids",
-        "v",
+    kind = pa.schema([("bundle", pa.int64()), ("turns", pa.int64())])
+    turns = [(r["bundle"], -(-r["count"] // most)) for r in many]
+    turns = F.broadcast(spark.createDataFrame(pa.table({"bundle": [t[0] for t in turns], "turns": [t[1] for t in turns]}, schema=kind)))
+    turn = F.coalesce("turns", F.lit(1).cast("long"))
+    sized = F.broadcast(spark.createDataFrame(pa.table({"list": np.arange(len(parts)), "first": first, "parts": parts})))
+    members = index.lists.join(sized, "list").withColumn("bundle", F.col("first") + F.pmod(F.xxhash64("rep"), F.col("parts")))
+    members = members.join(turns, "bundle", "left").select(
+        "bundle", F.explode(F.sequence(F.lit(0).cast("long"), turn - 1)).alias("turn"), "list", "rep", "ids", "v"
     )
-    probes = probes.join(sized, "list").select(
-        "list", "part", F.pmod(F.xxhash64("rep"), F.col("turns")).alias("turn"), "rep", "v"
+    probes = probes.join(turns, "bundle", "left").select(
+        "bundle", F.pmod(F.xxhash64("rep"), turn).alias("turn"), "lists", "rep", "v"
     )
 
     def score(asked: pa.Table, stored: pa.Table) -> pa.Table:
-        out = {"rep": [], "ids": [], "scores": []}
+        names, offsets, out_ids, out_scores = array("q"), array("i", [0]), array("q"), array("d")
         if asked.num_rows and stored.num_rows:
-            q = asked.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(asked.num_rows, -1)
-            x = stored.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(stored.num_rows, -1)
+            q = _matrix(asked.column("v").combine_chunks(), size)
+            x = _matrix(stored.column("v").combine_chunks(), size)
             reps = stored.column("rep").to_numpy()
-            ids = stored.column("ids").to_pylist()
-            names = asked.column("rep").to_pylist()
-            for start in range(0, len(q), 512):
-                some = q[start : start + 512]
-                rough = some @ x.T
-                for k in range(len(some)):
-                    best, exact = _best(some[k], x, rough[k], reps, keep)
-                    pairs = [(i, s) for c, s in zip(best.tolist(), exact.tolist()) for i in ids[c]]
-                    pairs.sort(key=lambda p: (-p[1], p[0]))
-                    out["rep"].append(names[start + k])
-                    out["ids"].append([p[0] for p in pairs[:keep]])
-                    out["scores"].append([p[1] for p in pairs[:keep]])
-        kinds = [("rep", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))]
-        return pa.table(out, schema=pa.schema(kinds))
-
-    keys = ("list", "part", "turn")
+            # An entry may be in several lists of the bundle; two entries may have one rep.
+            keys = np.ascontiguousarray(np.hstack([reps[:, None].view(np.float64), x])).view(f"V{8 * (size + 1)}").ravel()
+            _, one, entry = np.unique(keys, return_index=True, return_inverse=True)
+            known, place = np.unique(stored.column("list").to_numpy(), return_inverse=True)
+            x, reps = x[one], reps[one]
+            held = np.zeros((len(one), len(known)), bool)
+            held[entry, place] = True
+            ids = stored.column("ids").combine_chunks().take(pa.array(one)).to_pylist()
+            wanted = asked.column("lists").combine_chunks()
+            row = np.repeat(np.arange(len(q)), np.diff(wanted.offsets.to_numpy()))
+            wanted = wanted.flatten().to_numpy()
+            at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+            reads = np.zeros((len(q), len(known)), bool)
+            # A list without members in this part of it is not known here.
+            reads[row[known[at] == wanted], at[known[at] == wanted]] = True
+            asking = asked.column("rep").to_numpy().tolist()
+            for k, some in _readable(q, reads, x, held, keep):
+                best, exact = _best(q[k], x, some, reps, keep)
+                pairs = [(i, s) for c, s in zip(best.tolist(), exact.tolist()) for i in ids[c]]
+                pairs.sort(key=lambda p: (-p[1], p[0]))
+                names.append(asking[k])
+                out_ids.extend(p[0] for p in pairs[:keep])
+                out_scores.extend(p[1] for p in pairs[:keep])
+                offsets.append(len(out_ids))
+        cut = pa.array(np.array(offsets, np.int32))
+        columns = [pa.ListArray.from_arrays(cut, pa.array(np.array(c, t))) for c, t in ((out_ids, np.int64), (out_scores, np.float64))]
+        return pa.table([pa.array(np.array(names, np.int64)), *columns], ["rep", "ids", "scores"])
+
+    keys = ("bundle", "turn")
     kind = "rep long, ids array<long>, scores array<double>"
     found = probes.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInArrow(score, kind)
 

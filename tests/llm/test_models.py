@@ -121,6 +121,43 @@ def test_ties_go_to_the_smaller_id(spark):
     assert [(r["vec_id"], r["score"]) for r in got] == plain_nearest(rows, [0], 20)[0] == [(k, 0.1) for k in range(1, 21)]
 
 
+def test_a_query_comes_once_to_the_lists_of_a_bundle(spark, monkeypatch):
+    """Where lists do not prune, a row for each list that a query reads is most of the table for each query."""
+    kept, real = {}, posting_lists.materialise
+
+    def seen(df, name):
+        kept[name] = real(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(posting_lists, "materialise", seen)
+    x = np.random.default_rng(4).normal(size=(3000, 32))
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = found(posting_lists.nearest(vectors, asked=F.col("id") % 100 == 0, list_size=4).collect())
+    lists = kept["posting-lists"].select("list").distinct().count()
+    rows = kept["list-probes"].groupBy("rep").count().agg(F.max("count")).first()[0]
+    assert lists > 500 and rows < lists / 5
+    want = {k: {v for v, _ in scan(np.arange(3000), x, k, 20)} for k in range(0, 3000, 100)}
+    assert np.mean([len({v for v, *_ in got[k]} & want[k]) / 20 for k in want]) >= 0.9
+
+
+def test_bundles_hold_all_parts_of_all_lists():
+    counts = np.array([0, 5, 5, 30, 1, 0, 9, 10, 2])
+    first, parts = posting_lists._bundles(counts, np.arange(9), 10)
+    assert parts.tolist() == [1, 1, 1, 3, 1, 1, 1, 1, 1]
+    assert first.tolist() == [0, 0, 0, 1, 4, 4, 4, 5, 6]
+
+
+def test_wide_walk_finds_near_centroids():
+    rng = np.random.default_rng(6)
+    graph = posting_lists.CentroidGraph.build(rng.normal(size=(500, 8)))
+    asked = rng.normal(size=(40, 8))
+    places, gaps = graph.search(asked, 200)
+    true = np.sqrt(posting_lists._distances(asked, graph.centroids))
+    assert np.allclose(np.take_along_axis(true, places, 1), gaps) and (np.diff(gaps, axis=1) >= 0).all()
+    near = true.argsort(1)[:, :200]
+    assert np.mean([len(set(a) & set(b)) / 200 for a, b in zip(places.tolist(), near.tolist())]) > 0.95
+    assert (graph.search(asked, 500)[0] >= 0).all()
+
 
 def test_graph_finds_near_centroids():
     rng = np.random.default_rng(2)
